@@ -44,6 +44,13 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in parts of few rows, for work that needs many times a text's memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def local_components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
     """Smallest index reachable from each of n nodes over the links (a[i], b[i])."""
     label = np.arange(n) if label is None else label

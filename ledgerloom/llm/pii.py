@@ -1,0 +1,322 @@
+"""Personal data: fixed base patterns, and candidates chosen by calibrated boosted trees.
+
+Generators propose spans with high recall; they may overlap. Gradient-boosted trees score each
+by its format and by the words around it, a logistic fit on held-out examples turns scores into
+probabilities, and per-kind thresholds (least probability at the wanted precision) select.
+Where selected spans overlap, the more probable one stays; base spans always stay, and a
+candidate that overlaps one is dropped.
+
+The trees are trained here, on examples written from templates with a fixed seed.
+"""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+from bisect import bisect
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .common import slices
+
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret", "address", "number", "account")
+
+# Base spans. Each pattern is applied so that the work stays linear in the text.
+
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+_NOT_DIGIT = re.compile(r"[^0-9]")
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches. A match has one `@`, after a run of local characters that starts where
+    the run or the text after the last match starts, so each `@` is tried once."""
+    out, free, at = [], 0, text.find("@")
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(_LOCAL))
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            out.append((start, m.end()))
+            free = m.end()
+        else:
+            free = at + 1
+        at = text.find("@", free)
+    return out
+
+
+def luhn(digits: str) -> bool:
+    total = sum(map(int, digits[-1::-2]))
+    return (total + sum(d // 5 + 2 * d % 10 for d in map(int, digits[-2::-2]))) % 10 == 0
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) by kind."""
+    out = [(a, z, "email") for a, z in emails(text)] if "@" in text else []
+    if not _DIGIT.search(text):
+        return out
+    for m in _IP.finditer(text):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), m.end(), "ip"))
+    for m in _CARD.finditer(text):
+        if 14 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
+            out.append((m.start(), m.end(), "card"))
+    if "+" in text:
+        for m in _PHONE.finditer(text):
+            if 10 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
+                out.append((m.start(), m.end(), "phone"))
+    return out
+
+
+# Candidates.
+
+_SECRET = re.compile(r"(?:password|passwd|pwd|token|secret|api[_-]?key)[\x20]{0,2}[=:][\x20]{0,2}[\"']?[^\s\"']{4,100}", re.I)
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|sk_live_|xox[bp]-)[A-Za-z0-9_-]{8,60}")
+_ADDRESS = re.compile(r"[\x20]?[(\[](?:at|AT)[)\]][\x20]?([A-Za-z0-9-]{1,63}[\x20]?(?:\.|[(\[](?:dot|DOT)[)\]])[\x20]?[A-Za-z]{2,10})")
+_NUMBER = re.compile(r"(?<![0-9A-Za-z.,/+-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])")
+_ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+
+
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    out = []
+    if "=" in text or ":" in text:
+        out += [(m.start(), m.end(), "secret") for m in _SECRET.finditer(text)]
+    if any(p in text for p in ("AKIA", "ASIA", "ghp_", "sk_live_", "xox")):
+        out += [(m.start(), m.end(), "secret") for m in _KEY.finditer(text)]
+    if any(p in text for p in ("(at)", "[at]", "(AT)", "[AT]")):
+        for m in _ADDRESS.finditer(text):
+            head = text[max(0, m.start() - 64):m.start()]
+            start = m.start() - (len(head) - len(head.rstrip(_LOCAL)))
+            if start < m.start():
+                out.append((start, m.end(), "address"))
+    if _DIGIT.search(text):
+        out += [(m.start(), m.end(), "number") for m in _NUMBER.finditer(text)]
+        out += [(m.start(), m.end(), "account") for m in _ACCOUNT.finditer(text)]
+    return out
+
+
+_CUES = tuple(re.compile(p, re.I) for p in (
+    r"\b(?:phone|tel|call|fax|mobile|cell|contact|téléphone|telefon|teléfono|dial|whatsapp)\b",
+    r"\b(?:ssn|social|security|passport|licen[cs]e|tax|national|id|identity)\b",
+    r"\b(?:iban|account|bank|bic|swift|konto|compte|cuenta)\b",
+    r"\b(?:login|credential|secret|key|auth|export|config|env)\b",
+    r"\b(?:isbn|order|invoice|version|page|pages|figure|table|total|price|sum|serial|part|item|no|ref|id)\b|[$€£]",
+    r"\b(?:mail|write|reach|email|contact)\b",
+))
+_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}\Z")
+_LOCAL_PHONE = re.compile(r"(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}\Z|0[0-9](?:[\x20.-][0-9]{2}){4}\Z")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[\x20.-][0-9]{1,2}[\x20.-][0-9]{1,2}|[0-9]{1,2}[.-][0-9]{1,2}[.-](?:19|20)[0-9]{2}")
+
+
+def iban_ok(s: str) -> bool:
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def features(text: str, start: int, end: int, kind: str) -> list[float]:
+    """Format of the span, and cues among the 40 characters on either side."""
+    span = text[start:end]
+    value = re.split(r"[=:]", span, maxsplit=1)[-1].strip(" \"'") if kind == "secret" else span
+    n = max(1, len(value))
+    digits = sum(c.isdigit() for c in value)
+    upper = sum(c.isupper() for c in value)
+    alpha = sum(c.isalpha() for c in value)
+    counts = [value.count(c) / n for c in set(value)]
+    entropy = -sum(p * math.log2(p) for p in counts)
+    flips = sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:]))
+    before, after = text[max(0, start - 40):start], text[end:end + 40]
+    return [
+        float(KINDS.index(kind)), n, digits, digits / n, upper / n, alpha / n, entropy, flips,
+        value.count("-"), value.count("."), value.count(" "), float("(" in value),
+        float(bool(_SSN.match(value))), float(bool(_LOCAL_PHONE.match(value))), float(bool(_DATE.match(value))),
+        float(kind == "account" and iban_ok(value)), float(value[:4] in ("AKIA", "ASIA", "ghp_", "sk_l", "xoxb", "xoxp")),
+        *(float(bool(c.search(before))) for c in _CUES), float(bool(_CUES[4].search(after))),
+        float(bool(before[-1:]) and not before[-1:].isspace()), float(after[:1].isalnum()),
+    ]
+
+
+# Training examples.
+
+def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and truth of n written spans."""
+    r = random.Random(seed)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(r.choice("aeioubcdlmnrst") for _ in range(r.randint(2, 9)))
+    mixed = lambda k: "".join(r.choice("abcdef0123456789" if r.random() < .5 else "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789_-") for _ in range(k))
+    caps = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(k))
+
+    def iban():
+        land, body = r.choice(["DE", "FR", "ES", "GB", "NL"]), d(r.choice([18, 20, 16]))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
+        s = f"{land}{check:02d}{body}"
+        return " ".join(s[i:i + 4] for i in range(0, len(s), 4)) if r.random() < .5 else s
+
+    good = [
+        ("number", ("phone", "tel", "call me on", "mobile", "telefon", "fax", "", ""), lambda: r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"])),
+        ("number", ("ssn", "social security number", "tax id", "passport", "", ""), lambda: f"{d(3)}-{d(2)}-{d(4)}"),
+        ("account", ("iban", "bank account", "konto", "", ""), iban),
+        ("address", ("mail", "write to", "contact", "", ""), lambda: f"{word()}{r.choice(['.', '_', ''])}{word()}{r.choice([' (at) ', '(at)', '[at]', ' [at] '])}{word()}{r.choice(['.', ' (dot) ', '[dot]'])}{r.choice(['com', 'org', 'net', 'de'])}"),
+        ("secret", ("", "", "config", "export"), lambda: f"{r.choice(['password', 'token', 'api_key', 'secret', 'pwd'])}{r.choice(['=', ': ', ' = '])}{r.choice(['', chr(34)])}{mixed(r.randint(12, 44))}"),
+        ("secret", ("", "", "key", "config"), lambda: r.choice(["AKIA" + caps(16), "ghp_" + mixed(36), "sk_live_" + mixed(24)])),
+    ]
+    bad = [
+        ("number", ("isbn", "order no", "invoice", "total", "price $", "serial", "version", "pages", "", "", ""), lambda: r.choice([d(r.randint(7, 13)), f"{d(4)} {d(4)}", f"20{d(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(10, 28)}.{r.randint(10, 12)}.20{d(2)}", f"{d(1)}.{d(3)}.{d(3)}.{d(3)}", f"{d(3)} {d(3)} {d(3)}", f"{d(2)} {d(2)} {d(2)} {d(2)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(4)}-20{d(2)}{d(2)}"])),
+        ("account", ("part", "serial", "item", "ref", "", ""), lambda: caps(2) + d(2) + "".join(r.choice("ABCDEFGH0123456789") for _ in range(r.choice([8, 12, 16])))),
+        ("address", ("table", "figure", ""), lambda: f"{word()} (at) {word()}. {word()[:6]}"),
+        ("secret", ("the", "a", "your", "enter", ""), lambda: f"{r.choice(['password', 'token', 'secret', 'Password', 'Token'])}{r.choice([': ', ' : ', '='])}{r.choice([word(), word() + word(), 'required', 'optional', 'yes', 'none', 'see', word() + ',', word() + '.'])}"),
+        ("secret", ("the", ""), lambda: "AKIA" + word() + word()),
+    ]
+    x, y = [], []
+    for i in range(n):
+        truth = i % 2
+        kind, cues, make = r.choice(good if truth else bad)
+        cue, span = r.choice(cues), make()
+        before = " ".join(word() for _ in range(r.randint(0, 8))) + (f" {cue}{r.choice([':', '', ' is'])}" if cue else "") + " "
+        after = " " + " ".join(word() for _ in range(r.randint(0, 6)))
+        x.append(features(before + span + after, len(before), len(before) + len(span), kind))
+        y.append(truth)
+    return np.array(x), np.array(y, float)
+
+
+class Trees:
+    """Boosted regression trees on the logistic loss, splits chosen on up to 32 cuts a feature."""
+
+    def __init__(self, x, y, rounds: int = 60, depth: int = 3, rate: float = 0.25):
+        cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.02, 0.98, 32))) for f in range(x.shape[1])]
+        self.base = float(np.log(y.mean() / (1 - y.mean())))
+        self.depth, self.trees = depth, []
+        score = np.full(len(y), self.base)
+        below = [x[:, f][:, None] <= cuts[f][None, :] for f in range(x.shape[1])]
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-score))
+            g, h = y - p, p * (1 - p)
+            feature, cut = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, np.inf)
+            at = np.zeros(len(y), np.int64)
+            for node in range(2**depth - 1):
+                mine = np.flatnonzero(at == node)
+                best = 1e-6
+                if len(mine) >= 20:
+                    gs, hs = g[mine].sum(), h[mine].sum()
+                    for f, b in enumerate(below):
+                        m = b[mine]
+                        gl, hl = g[mine] @ m, h[mine] @ m
+                        gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+                        k = int(gain.argmax())
+                        if gain[k] > best:
+                            best, feature[node], cut[node] = float(gain[k]), f, cuts[f][k]
+                at[mine] = 2 * node + 1 + (x[mine, feature[node]] > cut[node])
+            leaf = at - (2**depth - 1)
+            value = rate * np.bincount(leaf, g, 2**depth) / (np.bincount(leaf, h, 2**depth) + 1)
+            self.trees.append((feature, cut, value))
+            score = score + value[leaf]
+
+    def score(self, x):
+        out = np.full(len(x), self.base)
+        rows = np.arange(len(x))
+        for feature, cut, value in self.trees:
+            at = np.zeros(len(x), np.int64)
+            for _ in range(self.depth):
+                at = 2 * at + 1 + (x[rows, feature[at]] > cut[at])
+            out += value[at - (2**self.depth - 1)]
+        return out
+
+
+class Model:
+    def __init__(self, n: int = 6000, seed: int = 5, precision: float = 0.98):
+        self.trees = Trees(*examples(n, seed))
+        x, y = examples(n // 2, seed + 1)
+        s = self.trees.score(x)
+        self.a, self.b = 1.0, 0.0
+        for _ in range(25):  # Newton steps of the logistic fit y ~ a s + b
+            p = 1 / (1 + np.exp(-(self.a * s + self.b)))
+            w = p * (1 - p) + 1e-9
+            grad = np.array([(s * (y - p)).sum() - 1e-3 * self.a, (y - p).sum()])
+            hess = np.array([[(w * s * s).sum() + 1e-3, (w * s).sum()], [(w * s).sum(), w.sum() + 1e-3]])
+            self.a, self.b = np.array([self.a, self.b]) + np.linalg.solve(hess, grad)
+        p = self.probability(x)
+        self.threshold = {}
+        for kind in KINDS[len(BASE):]:
+            mine = x[:, 0] == KINDS.index(kind)
+            steps = np.linspace(0.5, 0.99, 50)
+            right = [t for t in steps if (p[mine] >= t).any() and y[mine][p[mine] >= t].mean() >= precision]
+            self.threshold[kind] = float(right[0] if right else 1.01)
+
+    def probability(self, x):
+        return 1 / (1 + np.exp(-(self.a * self.trees.score(x) + self.b)))
+
+
+@lru_cache(1)
+def model() -> Model:
+    return Model()
+
+
+def find(text: str | None, m: Model) -> list[tuple[int, int, str]]:
+    """All spans (start, end, kind) by start, then kind."""
+    text = text or ""
+    base = base_spans(text)
+    found = candidates(text)
+    if found:
+        p = m.probability(np.array([features(text, *c) for c in found]))
+        taken: list[tuple[int, int]] = []  # disjoint, in order
+        for a, z, _ in sorted(base):
+            if taken and a < taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(z, taken[-1][1]))
+            else:
+                taken.append((a, z))
+        for k in np.lexsort((np.arange(len(found)), -p)):
+            a, z, kind = found[k]
+            i = bisect(taken, (a, z))
+            free = (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or z <= taken[i][0])
+            if p[k] >= m.threshold[kind] and free:
+                taken.insert(i, (a, z))
+                base.append((a, z, kind))
+    return sorted(base, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+
+
+def find_spans(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id and spans (array of start, end, kind; code points, end exclusive) of each row.
+
+    Null and empty texts have none. Repeated rows repeat; an empty table gives an empty result;
+    other columns are not read. Whole texts are searched, in time linear in their length.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model())
+    item = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+
+    def run(batches):
+        for batch in slices(batches):
+            spans = [[{"start": a, "end": z, "kind": k} for a, z, k in find(t, shared.value)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, item)], [id_col, "spans"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, spans array<struct<start:bigint,end:bigint,kind:string>>")
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with every span of text replaced by its kind in brackets; where spans overlap, by
+    that of the first. Null texts stay null; other columns are as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model())
+    at = docs.columns.index("text")
+
+    def clean(text):
+        if text is None:
+            return None
+        out, last = [], 0
+        for a, z, kind in find(text, shared.value):
+            if a >= last:
+                out += [text[last:a], f"[{kind.upper()}]"]
+            last = max(last, z)
+        return "".join([*out, text[last:]])
+
+    def run(batches):
+        for batch in slices(batches):
+            texts = pa.array([clean(t) for t in batch.column(at).to_pylist()], pa.string())
+            yield batch.set_column(at, "text", texts)
+
+    return docs.mapInArrow(run, docs.schema)

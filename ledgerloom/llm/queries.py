@@ -9,14 +9,26 @@ from .bpe import encode_documents, id_digest
 from .chat import digest, format_chats, turns_as_events
 from .common import read
 from .linededup import drop_boilerplate
+from .embeddings import embedding_components
 from .packing import pack
+from .pii import BASE, find_spans
 from .quality import quality_report
+from .resampling import resample
 from .simhash import simhash_components
 from .urlfilter import filter_urls
 
 ORACLE_SQL: dict[str, str] = {}
 
 
+def op1_embedding_components(spark, sf_dir):
+    return embedding_components(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op2_importance_resampling(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return resample(docs, read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 def op3_url_filters(spark, sf_dir):
     return filter_urls(read(spark, sf_dir, "pages", "page_id", "url"))
 
@@ -101,3 +113,11 @@ def op8_byte_bpe(spark, sf_dir):
 
 def op9_quality_rules(spark, sf_dir):
     return quality_report(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_pii_spans(spark, sf_dir):
+    found = find_spans(read(spark, sf_dir, "documents", "doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
