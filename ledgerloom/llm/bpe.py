@@ -16,7 +16,6 @@ point matching depends only on the text that follows, so the right half's other
 from __future__ import annotations
 
 import base64
-import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +23,9 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import slices
 
 LEAF_CHARS = 1 << 14
 #: A match ending within so many characters of a half's end may depend on what follows it: the
@@ -135,7 +137,7 @@ def load(path: str, pattern: str) -> Bpe:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """id, ids (little-endian unsigned 32-bit) and decoded bytes of each row's whole text.
+    """id, ids (array of int) and decoded (binary) of each row's whole text.
 
     path is the ranks file, present on every executor. Null and empty texts have no ids and
     decode to empty bytes. Repeated rows repeat; an empty table gives an empty result; other
@@ -143,25 +145,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     """
     def run(batches):
         bpe = load(path, pattern)
-        for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, len(texts), 256):
-                ids = [bpe.encode(t) for t in texts[at:at + 256].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:at + 256], pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([bpe.decode(i) for i in ids], pa.binary())], [id_col, "ids", "decoded"])
+        for batch in slices(batches, 64):
+            ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), pa.array(np.concatenate(ids).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([bpe.decode(i) for i in ids], pa.binary())], [id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, ids binary, decoded binary")
+    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, ids array<int>, decoded binary")
 
 
 def id_digest(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 per row."""
-    def run(batches):
-        for batch in batches:
-            ids = [np.frombuffer(x.as_buffer(), np.uint32).tolist() for x in batch.column(1)]
-            n = [len(i) for i in ids]
-            text = [hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids]
-            data = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(text), pa.array(data)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    text = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

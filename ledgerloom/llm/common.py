@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +45,21 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches, rows: int = 256):
-    """Arrow batches in parts of few rows, for work that needs many times a text's memory."""
+def slices(batches, rows: int = 256, size: int = 1 << 20):
+    """Arrow batches in parts of at most `rows` rows and about `size` bytes of text (a longer
+    text is a part of its own), for work that needs many times a text's memory."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        text = batch.schema.get_field_index("text")
+        if text < 0:
+            total = np.zeros(batch.num_rows, np.int64)
+        else:
+            total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            done = total[at - 1] if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(total, done + size, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
