@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 BLOCK_WORDS = 1 << 18
@@ -141,11 +143,9 @@ def quality_report(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_i
     empty result; other columns are not read. Words are cut at ASCII white space.
     """
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                out = measure(some.column(1).to_pylist(), rules)
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(out[c]) for c in COLUMNS)], [id_col, *COLUMNS])
+        for some in slices(batches, 512):
+            out = measure(some.column(1).to_pylist(), rules)
+            yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(out[c]) for c in COLUMNS)], [id_col, *COLUMNS])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, {SCHEMA}")
@@ -156,9 +156,7 @@ def keep_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                some = batch.slice(start, 512)
-                yield some.filter(pa.array(measure(some.column(at).to_pylist(), rules)["kept"]))
+        for some in slices(batches, 512):
+            yield some.filter(pa.array(measure(some.column(at).to_pylist(), rules)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)

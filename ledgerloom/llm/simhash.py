@@ -18,10 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, local_components, materialize
+from .common import connected_components, local_components, materialize, slices
 
 FAN = 16
-PAIRS = 1 << 20
+BLOCK = 1 << 15
+PAIRS = 1 << 18
 NODE_CAP = 1 << 16
 
 
@@ -47,13 +48,13 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     done = 0
     while done < len(counts):
         low = ends[done] - counts[done]
-        stop = max(done + 1, int(np.searchsorted(ends, low + (1 << 18), "right")))
+        stop = max(done + 1, int(np.searchsorted(ends, low + (BLOCK), "right")))
         rows = hashes[low:ends[stop - 1]]
         full = np.flatnonzero(counts[done:stop])
         if len(full):
             ones = np.zeros((len(full), 64 * width), np.int64)
-            for at in range(0, len(rows), 1 << 18):  # one long document can exceed the block
-                part = np.unpackbits(np.ascontiguousarray(rows[at:at + (1 << 18)]).view(np.uint8), axis=1, bitorder="little")
+            for at in range(0, len(rows), BLOCK):  # one long document can exceed the block
+                part = np.unpackbits(np.ascontiguousarray(rows[at:at + (BLOCK)]).view(np.uint8), axis=1, bitorder="little")
                 begin = ends[done:stop][full] - counts[done:stop][full] - low - at
                 live = np.flatnonzero((begin < len(part)) & (begin + counts[done:stop][full] > 0))
                 ones[live] += np.add.reduceat(part, np.maximum(begin[live], 0), axis=0, dtype=np.int64)
@@ -216,7 +217,7 @@ def fingerprint_links(fps: DataFrame, most: int = 2, node_cap: int = NODE_CAP) -
 def fingerprint_documents(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp): the 64-bit SimHash of each row's whole text."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fp = fingerprints64(batch.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -339,13 +340,13 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, similarity: float =
     empty texts are one text. A null doc_id gives class_id null or its text's smallest id.
     """
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fp, same = wide_fingerprints(batch.column(1).to_pylist(), words)
             cols = [batch.column(0), *(pa.array(x[:, k].astype(np.uint64, copy=False).view(np.int64) if x is fp else x[:, k]) for x in (fp, same) for k in range(WIDE))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "f0", "f1", "s0", "s1"])
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in shingles(t, words)), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "s"])
 
