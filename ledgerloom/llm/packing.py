@@ -11,6 +11,9 @@ its queue alone: partitions need no state from each other but the queues' totals
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -20,32 +23,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize
+from .common import materialize, slices
 
 UNIT = 16
 #: Sources beyond so many are dealt to this many queues by hash: the plan stays this small.
 MAX_QUEUES = 512
-CACHE = 1 << 18
+MAX_BROADCAST_BASES = 1_000_000
+CACHE = 1 << 19
+SPACE = re.compile(r"[\x20\t-\r]+")
+
+
+#: Texts of these characters alone split by PARTS as the tokenizer splits them: no white space
+#: but ASCII's, no character that normalisation composes, lower case by single characters.
+PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa1-\xff]")
+LETTER, DIGIT = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^\\s{LETTER}{DIGIT}]+")
+
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class WordIds:
-    """Ids of a tokenizer whose pre-tokens never hold white space: texts are encoded by their
-    parts between ASCII white space, and parts seen before come from a cache."""
+    """Ids of a lower-casing word tokenizer whose parts never hold white space. Each part is
+    encoded by the tokenizer once and then comes from a cache. A text is cut into the parts that
+    the tokenizer itself cuts where its characters make that certain, else at white space."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.cache: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        parts = (text or "").encode().split()
-        get = self.cache.get
-        out = [get(p) for p in parts]
+        text = text or ""
+        if PLAIN.search(text) or "<|" in text:  # the tokenizer finds its special tokens in texts
+            return b"".join([np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in SPACE.split(text)])
+        parts = PARTS.findall(text.lower())
+        out = list(map(self.cache.get, parts))
         if None in out:
-            new = list({p for p, ids in zip(parts, out) if ids is None})
+            new = {p for p, ids in zip(parts, out) if ids is None}
             if len(self.cache) + len(new) > CACHE:
                 self.cache.clear()
-            fresh = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False))}
+            model = self.tokenizer.model
+            fresh = {}
+            for p in new:  # a part's bytes, as the characters that byte-level models write them with
+                ids = [t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTES))]
+                fresh[p] = struct.pack(f"<{len(ids)}I", *ids)
             self.cache.update((p, i) for p, i in fresh.items() if len(p) <= 64)
             out = [fresh[p] if ids is None else ids for p, ids in zip(parts, out)]
         return b"".join(out)
@@ -66,19 +89,17 @@ def tokenize(docs: DataFrame, path: str, end_id: int, queue: str) -> DataFrame:
         words = load(path)
         end = np.array([end_id], "<u4").tobytes()
         sent: dict[str | None, int] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                ids = [words.encode(t) + end for t in some.column("text").to_pylist()]
-                queues = some.column("queue").to_pylist()
-                start = []
-                for q, i in zip(queues, ids):
-                    start.append(sent.get(q, 0))
-                    sent[q] = start[-1] + len(i) // 4
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), some.column("queue"), pa.array([part] * len(ids), pa.int64()), pa.array(start, pa.int64()),
-                     pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "queue", "part", "start", "n", "ids"])
+        for some in slices(batches, 512):
+            ids = [words.encode(t) + end for t in some.column("text").to_pylist()]
+            queues = some.column("queue").to_pylist()
+            start = []
+            for q, i in zip(queues, ids):
+                start.append(sent.get(q, 0))
+                sent[q] = start[-1] + len(i) // 4
+            yield pa.RecordBatch.from_arrays(
+                [some.column("doc_id"), some.column("queue"), pa.array([part] * len(ids), pa.int64()), pa.array(start, pa.int64()),
+                 pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
+                ["doc_id", "queue", "part", "start", "n", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", F.expr(queue).alias("queue")).mapInArrow(
@@ -153,6 +174,9 @@ def pack(docs: DataFrame, path: str, *, seq_len: int = 2048, end_id: int = 1, mi
     plan = docs.sparkSession.sparkContext.broadcast(Plan(totals, mixture, window_tokens))
     order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("queue").alias("q"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    bases = materialize(bases, "bases")
+    if bases.count() <= MAX_BROADCAST_BASES:  # a row per queue and partition; beyond it Spark shuffles by them
+        bases = F.broadcast(bases)
     placed = tokens.join(bases, F.col("queue").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p")))
 
     def run(batches):
