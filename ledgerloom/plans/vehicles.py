@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import (alias_value, boolean_field, casefold, checked_number, compact, fingerprint, group_text, json_map, json_text, json_type, number_field, positive_ratio,
                                 string_field, strip)
+from ..operators.components import written
 from ..operators.dedup import candidates, comparable_json, resolution
 from ..operators.profile import category_inventory
 from ..operators.rules import funnel, in_rule_range, match_rules, prefix_stage, reason_counts
@@ -174,7 +175,8 @@ def integrity_reasons(files: DataFrame, log: DataFrame, records: DataFrame) -> D
 
 def build(normalised: DataFrame) -> dict[str, DataFrame]:
     """vehicles, excluded, candidates, resolution, funnel, reasons and categories. All of them
-    read one normalised parent; persist it or write it first."""
+    read one normalised parent, which is written to the shared folder first."""
+    normalised = written(normalised, "normalised")
     ok = normalised.where(F.size("reasons") == 0)
     keyed = ok.withColumn("__whole", F.expr(comparable_json("raw")))
     found = candidates(keyed, "vehicle_id", CANDIDATE_FIELDS, ["__whole"], "combined_mpg")

@@ -46,7 +46,7 @@ def json_folder(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
     if df.limit(1).count() == 0:
         raise ValueError(f"no JSON files in {path}")
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"), F.decode("content", F.lit("UTF-8")).alias("raw"))
+    return df.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("raw"))
 
 
 LOG = "request_id string, url string, file string, sha256 string, status int, valid boolean, received_at_utc string, kind string, snapshot_id string"
