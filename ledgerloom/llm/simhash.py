@@ -15,7 +15,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, local_components, materialize, slices
@@ -242,20 +242,20 @@ def simhash_components(docs: DataFrame, words: int = 3, most: int = 2, node_cap:
 
 # Wide fingerprints: pairs of a given Jaccard similarity, far more than two bits apart.
 
-WIDE = 2
+WIDE = 4  # words of a fingerprint; masks are drawn from all of its bits
 SAME_BITS = 1 - math.acos(2 * 0.8 / 1.8) / math.pi  # how often a bit agrees at a Jaccard similarity of 0.8
-FAR_BITS = 33  # of 128; three standard deviations above the mean at 0.8
+FAR_BITS = 38  # of 128; more than four standard deviations above the mean at 0.8
 WINDOW, STEP = 1024, 768
 
 
 def wide_fingerprints(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit fingerprints, and a 128-bit hash of each text's lower-cased words."""
+    """256-bit fingerprints, and a 128-bit hash of each text's lower-cased words."""
     lists = [shingles(t, words) for t in texts]
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
     digest = xxhash.xxh3_128_digest
-    hashes = np.frombuffer(b"".join(digest(s) for one in lists for s in one), np.uint64).reshape(-1, WIDE)
+    hashes = np.frombuffer(b"".join(digest(s) + digest(s, 1) for one in lists for s in one), np.uint64).reshape(-1, WIDE)
     same = np.frombuffer(b"".join(digest(b" ".join((t or "").encode().lower().split())) for t in texts), np.int64)
-    return majority_bits(hashes, counts), same.reshape(-1, WIDE)
+    return majority_bits(hashes, counts), same.reshape(-1, 2)
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -309,11 +309,11 @@ def nearest_task(far: int):
     return run
 
 
-def upper_masks(n: int, miss: float = 0.02) -> list[np.ndarray]:
+def upper_masks(n: int, miss: float = 0.015) -> list[np.ndarray]:
     """Bit positions of the upper nodes' masks for n distinct texts: so many bits that a node
     holds a few unrelated texts at any n, and so many masks that a pair at 0.8 shares the
     pattern of at least one with probability 1 - miss."""
-    bits = min(40, max(6, math.ceil(math.log2(max(n, 2))) - 2))
+    bits = min(40, max(6, math.ceil(math.log2(max(n, 2))) - 3))
     rng = np.random.default_rng(7)
     return [np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(math.ceil(math.log(1 / miss) / SAME_BITS**bits))]
 
@@ -321,11 +321,12 @@ def upper_masks(n: int, miss: float = 0.02) -> list[np.ndarray]:
 def key_task(masks: list[np.ndarray]):
     def run(batches):
         for batch in batches:
-            f = [batch.column(c).to_numpy() for c in ("f0", "f1")]
+            f = [batch.column(f"f{k}").to_numpy() for k in range(WIDE)]
             bits = np.unpackbits(np.stack(f, axis=1).view(np.uint8), axis=1, bitorder="little")
+            rest = [batch.column(c) for c in ("f0", "f1", "id")]
             for t, mask in enumerate(masks):
                 key = bits[:, mask].astype(np.int64) @ (1 << np.arange(len(mask), dtype=np.int64)) | t << len(mask)
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("f0"), batch.column("f1"), batch.column("id")], ["key", "f0", "f1", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *rest], ["key", "f0", "f1", "id"])
     return run
 
 
@@ -334,7 +335,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, similarity: float =
     shingles of at least `similarity`, class_id the smallest doc_id reachable.
 
     Equal word sequences (A-Z lower-cased) are one text from the start. Distinct texts get
-    128-bit fingerprints; candidates are the minimum spanning forests, by differing bits, below
+    256-bit fingerprints; candidates are the minimum spanning forests, by differing bits, below
     each upper node of the index; every candidate is verified on its whole shingle sets.
     Recall is that of the index (see upper_masks); no pair below `similarity` links. Null and
     empty texts are one text. A null doc_id gives class_id null or its text's smallest id.
@@ -342,8 +343,8 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, similarity: float =
     def run(batches):
         for batch in slices(batches):
             fp, same = wide_fingerprints(batch.column(1).to_pylist(), words)
-            cols = [batch.column(0), *(pa.array(x[:, k].astype(np.uint64, copy=False).view(np.int64) if x is fp else x[:, k]) for x in (fp, same) for k in range(WIDE))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "f0", "f1", "s0", "s1"])
+            cols = [pa.array(np.ascontiguousarray(x[:, k])) for x in (fp.view(np.int64), same) for k in range(x.shape[1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *names, "s0", "s1"])
 
     def sets(batches):
         for batch in slices(batches):
@@ -351,10 +352,11 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, similarity: float =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "s"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fps = materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, f0 long, f1 long, s0 long, s1 long"), "wide")
-    distinct = materialize(fps.groupBy("s0", "s1").agg(F.min("doc_id").cast("long").alias("id"), F.first("f0").alias("f0"), F.first("f1").alias("f1")).where("id IS NOT NULL"), "wide-texts")
+    names = [f"f{k}" for k in range(WIDE)]
+    fps = materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in names)}, s0 long, s1 long"), "wide")
+    distinct = materialize(fps.groupBy("s0", "s1").agg(F.min("doc_id").cast("long").alias("id"), *[F.first(c).alias(c) for c in names]).where("id IS NOT NULL"), "wide-texts")
     masks = upper_masks(distinct.count())
-    keyed = distinct.select("f0", "f1", "id").mapInArrow(key_task(masks), "key long, f0 long, f1 long, id long")
+    keyed = distinct.select(*names, "id").mapInArrow(key_task(masks), "key long, f0 long, f1 long, id long")
     pairs = materialize(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(nearest_task(FAR_BITS), "a long, b long").distinct(), "wide-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     held = materialize(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, "id long, s array<long>"), "wide-sets").dropDuplicates(["id"])
@@ -367,11 +369,9 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, similarity: float =
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without the rows whose class holds a smaller doc_id; columns as they were. Rows that
-    repeat a doc_id are copies: the class keeps one of them. Rows without a doc_id stay."""
-    from pyspark.sql import Window
-
+    """docs without the rows whose class holds a smaller doc_id; columns as they were. Of rows
+    that repeat a doc_id and its text one stays. Rows without a doc_id stay."""
     gone = near_duplicate_classes(docs, words, similarity).where("doc_id <> class_id").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last())
-    return rest.withColumn("__rn", F.row_number().over(order)).where("__rn = 1 OR doc_id IS NULL").drop("__rn").select(*docs.columns)
+    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    return rest.withColumn("__rn", F.row_number().over(copies)).where("__rn = 1 OR doc_id IS NULL").drop("__rn").select(*docs.columns)
