@@ -91,12 +91,16 @@ def hierarchy(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return levels
 
 
-def near_pairs(fp: np.ndarray, most: int):
+def near_pairs(fp: np.ndarray, most: int, label: np.ndarray | None = None):
     """Positions (i, j), i < j, in blocks, of all pairs of fingerprints (rows in Gray order) at
     most `most` bits apart. Pairs of groups fall away once the differences on the bits that
-    both groups share exceed it."""
+    both groups share exceed it. With labels, only pairs of different labels are listed."""
     levels = hierarchy(fp)
     top = len(levels) - 1
+    bounds = [(label, label)] if label is not None else []
+    while bounds and len(bounds) < len(levels):
+        at = np.arange(0, len(bounds[-1][0]), FAN)
+        bounds.append((np.minimum.reduceat(bounds[-1][0], at), np.maximum.reduceat(bounds[-1][1], at)))
     i, j = np.triu_indices(len(levels[top][0]))
     stack = [(top, i, j)]
     own = np.arange(FAN)
@@ -106,6 +110,10 @@ def near_pairs(fp: np.ndarray, most: int):
             half = len(i) // 2
             stack += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
             continue
+        if bounds:
+            low, high = bounds[level]
+            two = (low[i] != high[i]) | (low[i] != low[j]) | (low[j] != high[j])
+            i, j = i[two], j[two]
         mask, bits = levels[level]
         apart = np.bitwise_count((bits[i] ^ bits[j]) & mask[i] & mask[j]).sum(axis=1, dtype=np.int64)
         near = apart <= most
@@ -278,7 +286,31 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarr
     return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
 
 
+def spanning_pairs(fp: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, apart) of pairs that connect whatever pairs of fingerprints (rows in Gray order) at
+    most `far` bits apart connect: forests over windows, then pairs between what these leave."""
+    n = len(fp)
+    found = [(np.zeros(0, np.int64),) * 3]
+    for low in range(0, max(1, n - (WINDOW - STEP)), STEP):
+        pairs = [np.concatenate(x) for x in zip(*near_pairs(fp[low:low + WINDOW], far))]
+        if pairs:
+            keep = forest(min(WINDOW, n - low), *pairs)
+            found.append((low + pairs[0][keep], low + pairs[1][keep], pairs[2][keep]))
+    if n > WINDOW:
+        label = local_components(n, *(np.concatenate(x) for x in list(zip(*found))[:2]))
+        for i, j, apart in near_pairs(fp, far, label):
+            keep = forest(n, label[i], label[j], apart)
+            found.append((i[keep], j[keep], apart[keep]))
+            label = local_components(n, i[keep], j[keep], label)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def gray_order(fp: np.ndarray) -> np.ndarray:
+    return np.lexsort((gray_rank(fp[:, 1]), gray_rank(fp[:, 0])))
+
+
 def nearest_task(far: int):
+    """(a, b): pairs that connect all near fingerprints of each node."""
     def run(batches):
         for rows in grouped(batches, ["key"], ["key", "f0", "f1", "id"]):
             fp = np.stack([rows["f0"], rows["f1"]], axis=1).view(np.uint64)
@@ -294,13 +326,9 @@ def nearest_task(far: int):
                 near = apart <= far
                 found.append((i[near], i[near] + k, apart[near]))
             for g in np.flatnonzero(size > FAN):
-                at = start[g] + np.lexsort((gray_rank(fp[start[g]:start[g] + size[g], 1]), gray_rank(fp[start[g]:start[g] + size[g], 0])))
-                for low in range(0, max(1, len(at) - (WINDOW - STEP)), STEP):
-                    here = at[low:low + WINDOW]
-                    pairs = [np.concatenate(x) for x in zip(*near_pairs(fp[here], far))]
-                    if pairs:
-                        keep = forest(len(here), *pairs)
-                        found.append((here[pairs[0][keep]], here[pairs[1][keep]], pairs[2][keep]))
+                at = start[g] + gray_order(fp[start[g]:start[g] + size[g]])
+                i, j, apart = spanning_pairs(fp[at], far)
+                found.append((at[i], at[j], apart))
             if found:
                 i, j, apart = (np.concatenate(x) for x in zip(*found))
                 keep = forest(len(ids), i, j, apart)
@@ -309,6 +337,45 @@ def nearest_task(far: int):
     return run
 
 
+def nearest_of_each(i: np.ndarray, j: np.ndarray, apart: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the pairs that are among the `most` nearest of either end."""
+    end, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((pair, apart[pair], end))
+    start = runs_of(end[order])
+    rank = np.arange(len(end)) - np.repeat(start, np.diff(np.append(start, len(end))))
+    return np.unique(pair[order[rank < most]])
+
+
+def unlinked_task(far: int, most: int):
+    """(a, b, cut): the near pairs of each node whose labels differ, or where a fingerprint has
+    over `most` of them the nearest; cut tells that a node has more."""
+    def run(batches):
+        for rows in grouped(batches, ["key"], ["key", "f0", "f1", "id", "label"]):
+            fp = np.stack([rows["f0"], rows["f1"]], axis=1).view(np.uint64)
+            ids, label = rows["id"], rows["label"]
+            start = runs_of(rows["key"])
+            size = np.diff(np.append(start, len(ids)))
+            for g in np.flatnonzero(size > 1):
+                at = start[g] + gray_order(fp[start[g]:start[g] + size[g]])
+                held, waiting, cut = (np.zeros(0, np.int64),) * 3, [], False
+                blocks = near_pairs(fp[at], far, label[at])
+                while True:
+                    block = next(blocks, None)
+                    if block is not None:
+                        waiting.append(block)
+                    if waiting and (block is None or sum(len(x[0]) for x in waiting) > PAIRS):
+                        held = tuple(np.concatenate(x) for x in zip(held, *waiting))
+                        keep = nearest_of_each(*held, most)
+                        cut |= len(keep) < len(held[0])
+                        held, waiting = tuple(x[keep] for x in held), []
+                    if block is None:
+                        break
+                a, b = ids[at[held[0]]], ids[at[held[1]]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), cut))], ["a", "b", "cut"])
+    return run
+
+
 def upper_masks(n: int, miss: float = 0.015) -> list[np.ndarray]:
     """Bit positions of the upper nodes' masks for n distinct texts: so many bits that a node
     holds a few unrelated texts at any n, and so many masks that a pair at 0.8 shares the
@@ -318,15 +385,15 @@ def upper_masks(n: int, miss: float = 0.015) -> list[np.ndarray]:
     return [np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(math.ceil(math.log(1 / miss) / SAME_BITS**bits))]
 
 
-def key_task(masks: list[np.ndarray]):
+def key_task(masks: list[np.ndarray], columns: list[str]):
     def run(batches):
         for batch in batches:
             f = [batch.column(f"f{k}").to_numpy() for k in range(WIDE)]
             bits = np.unpackbits(np.stack(f, axis=1).view(np.uint8), axis=1, bitorder="little")
-            rest = [batch.column(c) for c in ("f0", "f1", "id")]
+            rest = [batch.column(c) for c in columns]
             for t, mask in enumerate(masks):
                 key = bits[:, mask].astype(np.int64) @ (1 << np.arange(len(mask), dtype=np.int64)) | t << len(mask)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *rest], ["key", "f0", "f1", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *rest], ["key", *columns])
     return run
 
 
@@ -335,10 +402,12 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, similarity: float =
     shingles of at least `similarity`, class_id the smallest doc_id reachable.
 
     Equal word sequences (A-Z lower-cased) are one text from the start. Distinct texts get
-    256-bit fingerprints; candidates are the minimum spanning forests, by differing bits, below
-    each upper node of the index; every candidate is verified on its whole shingle sets.
-    Recall is that of the index (see upper_masks); no pair below `similarity` links. Null and
-    empty texts are one text. A null doc_id gives class_id null or its text's smallest id.
+    256-bit fingerprints. First the minimum spanning forests, by differing bits, below each
+    upper node of the index are verified on whole shingle sets. Where that leaves near texts
+    in different classes, the nodes' near pairs between classes are verified too, the nearest
+    first, until each near pair of each node is verified or lies within a class. Recall is that
+    of the index (see upper_masks); no pair below `similarity` links. Null and empty texts are
+    one text. A null doc_id gives class_id null or its text's smallest id.
     """
     def run(batches):
         for batch in slices(batches):
@@ -349,21 +418,47 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, similarity: float =
     def sets(batches):
         for batch in slices(batches):
             out = [np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in shingles(t, words)), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["id", "n", "s"])
+
+    def below(rows, task, result, *more):
+        columns = ["f0", "f1", "id", *more]
+        keyed = rows.select(*names, "id", *more).mapInArrow(key_task(masks, columns), ", ".join(f"{c} long" for c in ["key", *columns]))
+        return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(task, result)
+
+    def verified(pairs):
+        side = lambda c, *of: held.select(F.col("id").alias(c), *[F.col(x).alias(x + c) for x in of])
+        sized = pairs.select("a", "b").join(side("a", "n"), "a").join(side("b", "n"), "b")
+        able = sized.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).withColumn("t", F.col("na") + F.col("nb"))
+        both = able.join(side("a", "s"), "a").join(side("b", "s"), "b")
+        shared = both.select("a", "b", "t", F.size(F.array_intersect("sa", "sb")).alias("m"))
+        return shared.where(F.col("m") >= F.lit(similarity) * (F.col("t") - F.col("m"))).select("a", "b")
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [f"f{k}" for k in range(WIDE)]
     fps = materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in names)}, s0 long, s1 long"), "wide")
     distinct = materialize(fps.groupBy("s0", "s1").agg(F.min("doc_id").cast("long").alias("id"), *[F.first(c).alias(c) for c in names]).where("id IS NOT NULL"), "wide-texts")
     masks = upper_masks(distinct.count())
-    keyed = distinct.select(*names, "id").mapInArrow(key_task(masks), "key long, f0 long, f1 long, id long")
-    pairs = materialize(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(nearest_task(FAR_BITS), "a long, b long").distinct(), "wide-pairs")
+    pairs = materialize(below(distinct, nearest_task(FAR_BITS), "a long, b long").distinct(), "wide-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = materialize(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, "id long, s array<long>"), "wide-sets").dropDuplicates(["id"])
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("t"))
-    links = shared.where(F.col("n") >= F.lit(similarity) * (F.col("t") - F.col("n"))).select("a", "b")
+    held = materialize(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "id long, n long, s array<long>"), "wide-sets")
+    links = materialize(verified(pairs), "wide-verified")
     roots = connected_components(links, "wide-links")
+    near = wanted.select(F.col("doc_id").alias("node")).join(connected_components(pairs, "wide-near"), "node", "left").select("node", F.coalesce("root", "node").alias("family"))
+    done, most = pairs, 16
+    while True:
+        labelled = near.join(roots, "node", "left").select("node", "family", F.coalesce("root", "node").alias("label"))
+        split = labelled.groupBy("family").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 AND low < high")
+        still = materialize(labelled.join(split, "family", "left_semi").select("node", "label"), "wide-open")
+        if still.isEmpty():
+            break
+        rows = distinct.join(still, distinct.id == still.node).select(*names, "id", "label")
+        found = materialize(below(rows, unlinked_task(FAR_BITS, most), "a long, b long, cut boolean", "label").groupBy("a", "b").agg(F.max("cut").alias("cut")), "wide-unlinked")
+        fresh = materialize(found.select("a", "b").join(done, ["a", "b"], "left_anti"), "wide-fresh")
+        links = links.unionByName(materialize(verified(fresh), "wide-verified"))
+        roots = connected_components(links, "wide-links")
+        if found.where("cut").isEmpty():
+            break
+        done, most = done.unionByName(fresh), 8 * most
     classes = distinct.join(roots, distinct.id == roots.node, "left").select("s0", "s1", F.coalesce("root", "id").alias("class_id"))
     return fps.join(classes, ["s0", "s1"], "left").select("doc_id", F.col("class_id").cast(kind))
 

@@ -121,6 +121,44 @@ def test_near_duplicate_classes(docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def edited_families(families=6, copies=49, length=300, edits=4):
+    """Copies with single words replaced: near to their original, most below 0.8 to each other."""
+    r = random.Random(8)
+    rows = []
+    for f in range(families):
+        base = [f"f{f}w{r.randrange(10**6)}" for _ in range(length)]
+        for c in range(copies + 1):
+            text = list(base)
+            for p in r.sample(range(length), edits if c else 0):
+                text[p] = f"new{r.randrange(10**9)}"
+            rows.append((len(rows), " ".join(text)))
+    r.shuffle(rows)
+    return rows
+
+
+def test_families_of_edited_copies_stay_whole(spark):
+    rows = spark.createDataFrame(edited_families(), "doc_id long, text string")
+    want = slow_classes(rows.collect())
+    assert len(set(want.values())) == 6
+    got = {r.doc_id: r.class_id for r in simhash.near_duplicate_classes(rows).collect()}
+    assert got == want
+
+
+def test_large_nodes_are_connected_whole():
+    rng = np.random.default_rng(3)
+    fp = rng.integers(0, 1 << 63, (40, 2)).astype(np.uint64)[rng.integers(0, 40, 3000)]
+    for _ in range(12):
+        fp[np.arange(3000), rng.integers(0, 2, 3000)] ^= np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)
+    fp = fp[simhash.gray_order(fp)]
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]).sum(axis=2) <= 20
+    want = common.local_components(len(fp), *np.nonzero(near))
+    i, j, _ = simhash.spanning_pairs(fp, 20)
+    assert near[i, j].all() and (common.local_components(len(fp), i, j) == want).all()
+    label = rng.integers(0, 3, len(fp))
+    pairs = np.concatenate([np.stack(x[:2], 1) for x in simhash.near_pairs(fp, 20, label)])
+    assert sorted(map(tuple, pairs)) == list(zip(*np.nonzero(np.triu(near, 1) & (label[:, None] != label))))
+
+
 def test_connected_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (7, 7), (60, 50), (50, 60), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in common.connected_components(e, "t").collect()}
