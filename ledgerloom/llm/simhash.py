@@ -257,8 +257,9 @@ WINDOW, STEP = 1024, 768
 
 
 def wide_fingerprints(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """256-bit fingerprints, and a 128-bit hash of each text's lower-cased words."""
-    lists = [shingles(t, words) for t in texts]
+    """256-bit fingerprints of the distinct shingles, as similarity counts them, and a 128-bit
+    hash of each text's lower-cased words."""
+    lists = [set(shingles(t, words)) for t in texts]
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
     digest = xxhash.xxh3_128_digest
     hashes = np.frombuffer(b"".join(digest(s) + digest(s, 1) for one in lists for s in one), np.uint64).reshape(-1, WIDE)

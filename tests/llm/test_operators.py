@@ -121,6 +121,15 @@ def test_near_duplicate_classes(docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_repeated_lines_leave_wide_fingerprints_near():
+    r = random.Random(5)
+    for _ in range(20):
+        body, line = (" ".join(f"w{r.randrange(10**9)}" for _ in range(n)) for n in (300, 7))
+        one, ten = (body + "\n" + "\n".join([line] * n) for n in (1, 10))
+        fp = simhash.wide_fingerprints([one, ten], 5)[0]
+        assert np.bitwise_count(fp[0] ^ fp[1]).sum() < 30  # Jaccard 0.98
+
+
 def edited_families(families=6, copies=49, length=300, edits=4):
     """Copies with single words replaced: near to their original, most below 0.8 to each other."""
     r = random.Random(8)
