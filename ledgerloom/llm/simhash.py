@@ -377,13 +377,29 @@ def unlinked_task(far: int, most: int):
     return run
 
 
-def upper_masks(n: int, miss: float = 0.015) -> list[np.ndarray]:
+def mask_recall(bits: int, masks: int) -> float:
+    """How probably a pair at a Jaccard similarity of 0.8 agrees on one of the masks: the masks
+    are drawn from the same bits, so this is an expectation over how many of these differ."""
+    width = 64 * WIDE
+    ways = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    missed = 0.0
+    for d in range(width + 1):
+        chance = math.exp(ways(width, d) + d * math.log(1 - SAME_BITS) + (width - d) * math.log(SAME_BITS))
+        agree = math.exp(ways(width - d, bits) - ways(width, bits)) if width - d >= bits else 0.0
+        missed += chance * (1 - agree) ** masks
+    return 1 - missed
+
+
+def upper_masks(n: int, miss: float = 0.01) -> list[np.ndarray]:
     """Bit positions of the upper nodes' masks for n distinct texts: so many bits that a node
     holds a few unrelated texts at any n, and so many masks that a pair at 0.8 shares the
-    pattern of at least one with probability 1 - miss."""
+    pattern of at least one with probability 1 - miss (see mask_recall)."""
     bits = min(40, max(6, math.ceil(math.log2(max(n, 2))) - 3))
+    count = math.ceil(math.log(1 / miss) / SAME_BITS**bits)
+    while mask_recall(bits, count) < 1 - miss:
+        count += max(1, count // 64)
     rng = np.random.default_rng(7)
-    return [np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(math.ceil(math.log(1 / miss) / SAME_BITS**bits))]
+    return [np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(count)]
 
 
 def key_task(masks: list[np.ndarray], columns: list[str]):
