@@ -560,6 +560,18 @@ def test_pii_spans_and_redaction(spark, docs, nothing):
     assert same == {r.doc_id: r.text for r in docs.collect()}
 
 
+def test_pii_long_secrets_are_whole():
+    m = pii.model()
+    r = random.Random(2)
+    value = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789_-") for _ in range(n))
+    for n in (90, 101, 150, 300, 2000):
+        for secret in ("token=" + value(n), "token=" + ".".join(value(n // 3) for _ in range(3)), "sk_live_" + value(n)):
+            text = f"config {secret} and more"
+            assert (7, 7 + len(secret), "secret") in pii.find(text, m), secret
+    mixed = "token=" + value(150) + ",x@y.org"
+    assert {k for _, _, k in pii.find(mixed, m)} == {"secret", "email"}
+
+
 def test_pii_stays_linear():
     m = pii.model()
     for t in ("1" * 200000, "a" * 200000, "a@" * 100000, "1." * 100000, "+1 " * 60000, "1 " * 100000, "(at)" * 50000, "password=" * 20000):
