@@ -293,14 +293,25 @@ def assign_clusters(df: DataFrame, x: str, centres, name: str = "cluster") -> Da
     return df.withColumn("__d", F.array(*d)).withColumn(name, (F.array_position("__d", F.array_min("__d")) - 1).cast("int")).drop("__d")
 
 
-def silhouette(df: DataFrame, id_col: str, x: str, cluster: str, sample: int = 5000) -> DataFrame:
-    """id, cluster, silhouette (Euclidean) within the `sample` rows of the smallest ids' hashes:
-    the sample is the feature. A cluster of one row scores 0."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(cluster).alias("c"), F.col(x).cast("array<double>").alias("p")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
+def silhouette(df: DataFrame, id_col: str, x: str, cluster: str, sample: int | None = None) -> DataFrame:
+    """id, cluster, silhouette (Euclidean) of all rows against all rows; with `sample`, within the
+    rows of so many smallest ids' hashes. A cluster of one row scores 0."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(cluster).alias("c"), F.col(x).cast("array<double>").alias("p"))
+    if sample is not None:
+        rows = rows.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     a = rows.select("id", "c", "p")
     b = rows.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("p").alias("p2"))
     d = F.sqrt(F.aggregate(F.zip_with("p", "p2", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda u, v: u + v))
-    means = a.crossJoin(F.broadcast(b)).where("id <> id2").groupBy("id", "c", "c2").agg(F.avg(d).alias("m"))
+    pairs = a.crossJoin(b if sample is None else F.broadcast(b))
+    means = pairs.where("id <> id2").groupBy("id", "c", "c2").agg(F.avg(d).alias("m"))
     both = means.groupBy("id", "c").agg(F.max(F.when(F.col("c") == F.col("c2"), F.col("m"))).alias("own"), F.min(F.when(F.col("c") != F.col("c2"), F.col("m"))).alias("other"))
     score = F.when(F.col("own").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
     return both.select(F.col("id").alias(id_col), F.col("c").alias(cluster), score.alias("silhouette"))
+
+
+def choose_k(scores: DataFrame) -> DataFrame:
+    """scores (k, silhouette, ...) with chosen: true for the largest silhouette, the smallest k of
+    equal ones; without a valid silhouette none is chosen."""
+    valid = F.col("silhouette").isNotNull() & ~F.isnan("silhouette")
+    best = scores.where(valid).orderBy(F.desc("silhouette"), "k").limit(1).select(F.col("k").alias("__k"))
+    return scores.join(F.broadcast(best), F.col("k") == F.col("__k"), "left").withColumn("chosen", F.col("__k").isNotNull()).drop("__k")

@@ -675,11 +675,11 @@ def kmeans_select(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     out = None
     for k in range(2, 7):
-        centres, cost = models.kmeans(e, "x", k, seeds=3, rounds=10)
-        s = models.silhouette(models.assign_clusters(e, "x", centres), "vec_id", "x", "cluster", 1000).agg(F.avg("silhouette").alias("silhouette"))
+        centres, cost = models.kmeans(e, "x", k)
+        s = models.silhouette(models.assign_clusters(e, "x", centres), "vec_id", "x", "cluster", 5000).agg(F.avg("silhouette").alias("silhouette"))
         one = s.select(F.lit(k).alias("k"), F.lit(cost).alias("cost"), "silhouette")
         out = one if out is None else out.unionByName(one)
-    return out
+    return models.choose_k(out)
 
 
 @query("""WITH p AS (SELECT a.vec_id, a.label AS c, b.label AS o, avg(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))))) AS m

@@ -252,6 +252,23 @@ def test_segments(spark):
     assert models.silhouette(models.assign_clusters(df, "x", centres), "id", "x", "cluster").agg(F.avg("silhouette")).first()[0] > 0.6
 
 
+def test_silhouette_scores_every_row(spark):
+    rows = [(i, i % 2, [float(i % 2 * 9), float(i % 7)]) for i in range(5200)]
+    df = spark.createDataFrame(rows, "id long, c int, x array<double>").repartition(8)
+    got = {r.id: r.silhouette for r in models.silhouette(df, "id", "x", "c").collect()}
+    assert len(got) == 5200
+    x, c = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    for i in (0, 1, 5199):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        own, other = d[c == c[i]].sum() / ((c == c[i]).sum() - 1), d[c != c[i]].mean()
+        assert abs(got[i] - (other - own) / max(own, other)) < 1e-9
+
+
+def test_choice_of_k(spark):
+    got = models.choose_k(spark.createDataFrame([(2, None), (3, 0.5), (4, 0.7), (5, 0.7), (6, float("nan"))], "k int, silhouette double")).collect()
+    assert [r.k for r in got if r.chosen] == [4] and len(got) == 5
+
+
 def test_log_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps(x) for x in (
