@@ -11,7 +11,7 @@ from ledgerloom.llm.linededup import drop_boilerplate
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.pii import redact
 from ledgerloom.llm.quality import keep_quality
-from ledgerloom.llm.simhash import near_dedup
+from ledgerloom.llm.neardup import near_dedup
 
 
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:

@@ -45,6 +45,15 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, or the first of name_1, name_2, ... that no column has (in any case of letters)."""
+    taken, k, out = {c.lower() for c in columns}, 0, name
+    while out.lower() in taken:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
 def slices(batches, rows: int = 256, size: int = 1 << 20):
     """Arrow batches in parts of at most `rows` rows and about `size` bytes of text (a longer
     text is a part of its own), for work that needs many times a text's memory."""

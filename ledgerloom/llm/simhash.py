@@ -15,7 +15,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, local_components, materialize, slices
@@ -41,26 +41,29 @@ def shingles(text: str | None, words: int) -> list[bytes]:
 
 def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Fingerprints (rows of uint64) of documents with counts[i] consecutive rows of hashes
-    each: a bit is 1 where it is 1 in over half of the rows; without rows all bits are 0."""
+    each: a bit is 1 where it is 1 in over half of the rows; without rows all bits are 0.
+
+    Bits are summed as bytes, eight to a word, over runs of at most 255 rows of a document."""
     width = hashes.shape[1]
     out = np.zeros((len(counts), width), np.uint64)
-    ends = np.cumsum(counts)
-    done = 0
-    while done < len(counts):
-        low = ends[done] - counts[done]
-        stop = max(done + 1, int(np.searchsorted(ends, low + (BLOCK), "right")))
-        rows = hashes[low:ends[stop - 1]]
-        full = np.flatnonzero(counts[done:stop])
-        if len(full):
-            ones = np.zeros((len(full), 64 * width), np.int64)
-            for at in range(0, len(rows), BLOCK):  # one long document can exceed the block
-                part = np.unpackbits(np.ascontiguousarray(rows[at:at + (BLOCK)]).view(np.uint8), axis=1, bitorder="little")
-                begin = ends[done:stop][full] - counts[done:stop][full] - low - at
-                live = np.flatnonzero((begin < len(part)) & (begin + counts[done:stop][full] > 0))
-                ones[live] += np.add.reduceat(part, np.maximum(begin[live], 0), axis=0, dtype=np.int64)
-            bits = 2 * ones > counts[done:stop][full][:, None]
-            out[done + full] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-        done = stop
+    full = np.flatnonzero(counts)
+    if not len(full):
+        return out
+    many = counts[full]
+    parts = -(-many // 255)
+    first = np.cumsum(parts) - parts
+    starts = np.repeat(np.cumsum(many) - many, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+    ends = np.append(starts[1:], many.sum())
+    ones = np.zeros((len(starts), 64 * width), np.uint8)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, "right")))
+        rows = np.ascontiguousarray(hashes[starts[at]:ends[stop - 1]]).view(np.uint8)
+        lanes = np.unpackbits(rows, axis=1, bitorder="little").view(np.uint64)
+        ones[at:stop] = np.add.reduceat(lanes, starts[at:stop] - starts[at], axis=0).view(np.uint8)
+        at = stop
+    sums = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
+    out[full] = np.packbits(2 * sums > many[:, None], axis=1, bitorder="little").view(np.uint64)
     return out
 
 
@@ -91,16 +94,12 @@ def hierarchy(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return levels
 
 
-def near_pairs(fp: np.ndarray, most: int, label: np.ndarray | None = None):
+def near_pairs(fp: np.ndarray, most: int):
     """Positions (i, j), i < j, in blocks, of all pairs of fingerprints (rows in Gray order) at
     most `most` bits apart. Pairs of groups fall away once the differences on the bits that
-    both groups share exceed it. With labels, only pairs of different labels are listed."""
+    both groups share exceed it."""
     levels = hierarchy(fp)
     top = len(levels) - 1
-    bounds = [(label, label)] if label is not None else []
-    while bounds and len(bounds) < len(levels):
-        at = np.arange(0, len(bounds[-1][0]), FAN)
-        bounds.append((np.minimum.reduceat(bounds[-1][0], at), np.maximum.reduceat(bounds[-1][1], at)))
     i, j = np.triu_indices(len(levels[top][0]))
     stack = [(top, i, j)]
     own = np.arange(FAN)
@@ -110,17 +109,13 @@ def near_pairs(fp: np.ndarray, most: int, label: np.ndarray | None = None):
             half = len(i) // 2
             stack += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
             continue
-        if bounds:
-            low, high = bounds[level]
-            two = (low[i] != high[i]) | (low[i] != low[j]) | (low[j] != high[j])
-            i, j = i[two], j[two]
         mask, bits = levels[level]
         apart = np.bitwise_count((bits[i] ^ bits[j]) & mask[i] & mask[j]).sum(axis=1, dtype=np.int64)
         near = apart <= most
-        i, j, apart = i[near], j[near], apart[near]
+        i, j = i[near], j[near]
         if level == 0:
             two = i < j
-            yield i[two], j[two], apart[two]
+            yield i[two], j[two]
             continue
         size = len(levels[level - 1][0])
         ci = np.repeat((i[:, None] * FAN + own).ravel(), FAN)
@@ -134,7 +129,7 @@ def index_links(fp: np.ndarray, most: int) -> np.ndarray:
     """Component labels (smallest position) of fingerprints over links of at most `most` bits."""
     order = np.argsort(gray_rank(fp[:, 0]), kind="stable")
     label = np.arange(len(fp))
-    for i, j, _ in near_pairs(fp[order], most):
+    for i, j in near_pairs(fp[order], most):
         label = local_components(len(fp), order[i], order[j], label)
     return label
 
@@ -234,7 +229,7 @@ def fingerprint_documents(docs: DataFrame, words: int = 3) -> DataFrame:
 
 def simhash_components(docs: DataFrame, words: int = 3, most: int = 2, node_cap: int = NODE_CAP) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over
-    links of at most `most` differing bits) of each row.
+    links of at most `most` differing bits) of each row. doc_id is an integer column.
 
     Null and empty texts have fingerprint zero and link like any other. A null doc_id gives
     a row with a component of its fingerprint's other ids, or null. Repeated rows repeat in the
@@ -246,244 +241,3 @@ def simhash_components(docs: DataFrame, words: int = 3, most: int = 2, node_cap:
     classes = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return fps.join(classes, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-# Wide fingerprints: pairs of a given Jaccard similarity, far more than two bits apart.
-
-WIDE = 4  # words of a fingerprint; masks are drawn from all of its bits
-SAME_BITS = 1 - math.acos(2 * 0.8 / 1.8) / math.pi  # how often a bit agrees at a Jaccard similarity of 0.8
-FAR_BITS = 38  # of 128; more than four standard deviations above the mean at 0.8
-WINDOW, STEP = 1024, 768
-
-
-def wide_fingerprints(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """256-bit fingerprints of the distinct shingles, as similarity counts them, and a 128-bit
-    hash of each text's lower-cased words."""
-    lists = [set(shingles(t, words)) for t in texts]
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    digest = xxhash.xxh3_128_digest
-    hashes = np.frombuffer(b"".join(digest(s) + digest(s, 1) for one in lists for s in one), np.uint64).reshape(-1, WIDE)
-    same = np.frombuffer(b"".join(digest(b" ".join((t or "").encode().lower().split())) for t in texts), np.int64)
-    return majority_bits(hashes, counts), same.reshape(-1, 2)
-
-
-def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Positions of the pairs in a minimum spanning forest (Boruvka rounds)."""
-    order = np.lexsort((j, i, weight))
-    i, j = i[order], j[order]
-    label, chosen = np.arange(n), []
-    live = np.arange(len(i))
-    while len(live):
-        a, b = label[i[live]], label[j[live]]
-        live = live[a != b]
-        if not len(live):
-            break
-        best = np.full(n, len(i))
-        np.minimum.at(best, label[i[live]], live)
-        np.minimum.at(best, label[j[live]], live)
-        picked = np.unique(best[best < len(i)])
-        chosen.append(picked)
-        label = local_components(n, i[picked], j[picked], label)
-    return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
-
-
-def spanning_pairs(fp: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, apart) of pairs that connect whatever pairs of fingerprints (rows in Gray order) at
-    most `far` bits apart connect: forests over windows, then pairs between what these leave."""
-    n = len(fp)
-    found = [(np.zeros(0, np.int64),) * 3]
-    for low in range(0, max(1, n - (WINDOW - STEP)), STEP):
-        pairs = [np.concatenate(x) for x in zip(*near_pairs(fp[low:low + WINDOW], far))]
-        if pairs:
-            keep = forest(min(WINDOW, n - low), *pairs)
-            found.append((low + pairs[0][keep], low + pairs[1][keep], pairs[2][keep]))
-    if n > WINDOW:
-        label = local_components(n, *(np.concatenate(x) for x in list(zip(*found))[:2]))
-        for i, j, apart in near_pairs(fp, far, label):
-            keep = forest(n, label[i], label[j], apart)
-            found.append((i[keep], j[keep], apart[keep]))
-            label = local_components(n, i[keep], j[keep], label)
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def gray_order(fp: np.ndarray) -> np.ndarray:
-    return np.lexsort((gray_rank(fp[:, 1]), gray_rank(fp[:, 0])))
-
-
-def nearest_task(far: int):
-    """(a, b): pairs that connect all near fingerprints of each node."""
-    def run(batches):
-        for rows in grouped(batches, ["key"], ["key", "f0", "f1", "id"]):
-            fp = np.stack([rows["f0"], rows["f1"]], axis=1).view(np.uint64)
-            ids = rows["id"]
-            start = runs_of(rows["key"])
-            size = np.diff(np.append(start, len(ids)))
-            group = np.repeat(np.arange(len(start)), size)
-            found = []
-            small = size[group] <= FAN
-            for k in range(1, min(FAN, int(size.max()))):
-                i = np.flatnonzero(small[:-k] & (group[:-k] == group[k:]))
-                apart = np.bitwise_count(fp[i] ^ fp[i + k]).sum(axis=1, dtype=np.int64)
-                near = apart <= far
-                found.append((i[near], i[near] + k, apart[near]))
-            for g in np.flatnonzero(size > FAN):
-                at = start[g] + gray_order(fp[start[g]:start[g] + size[g]])
-                i, j, apart = spanning_pairs(fp[at], far)
-                found.append((at[i], at[j], apart))
-            if found:
-                i, j, apart = (np.concatenate(x) for x in zip(*found))
-                keep = forest(len(ids), i, j, apart)
-                a, b = ids[i[keep]], ids[j[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-    return run
-
-
-def nearest_of_each(i: np.ndarray, j: np.ndarray, apart: np.ndarray, most: int) -> np.ndarray:
-    """Positions of the pairs that are among the `most` nearest of either end."""
-    end, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
-    order = np.lexsort((pair, apart[pair], end))
-    start = runs_of(end[order])
-    rank = np.arange(len(end)) - np.repeat(start, np.diff(np.append(start, len(end))))
-    return np.unique(pair[order[rank < most]])
-
-
-def unlinked_task(far: int, most: int):
-    """(a, b, cut): the near pairs of each node whose labels differ, or where a fingerprint has
-    over `most` of them the nearest; cut tells that a node has more."""
-    def run(batches):
-        for rows in grouped(batches, ["key"], ["key", "f0", "f1", "id", "label"]):
-            fp = np.stack([rows["f0"], rows["f1"]], axis=1).view(np.uint64)
-            ids, label = rows["id"], rows["label"]
-            start = runs_of(rows["key"])
-            size = np.diff(np.append(start, len(ids)))
-            for g in np.flatnonzero(size > 1):
-                at = start[g] + gray_order(fp[start[g]:start[g] + size[g]])
-                held, waiting, cut = (np.zeros(0, np.int64),) * 3, [], False
-                blocks = near_pairs(fp[at], far, label[at])
-                while True:
-                    block = next(blocks, None)
-                    if block is not None:
-                        waiting.append(block)
-                    if waiting and (block is None or sum(len(x[0]) for x in waiting) > PAIRS):
-                        held = tuple(np.concatenate(x) for x in zip(held, *waiting))
-                        keep = nearest_of_each(*held, most)
-                        cut |= len(keep) < len(held[0])
-                        held, waiting = tuple(x[keep] for x in held), []
-                    if block is None:
-                        break
-                a, b = ids[at[held[0]]], ids[at[held[1]]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), cut))], ["a", "b", "cut"])
-    return run
-
-
-def mask_recall(bits: int, masks: int) -> float:
-    """How probably a pair at a Jaccard similarity of 0.8 agrees on one of the masks: the masks
-    are drawn from the same bits, so this is an expectation over how many of these differ."""
-    width = 64 * WIDE
-    ways = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    missed = 0.0
-    for d in range(width + 1):
-        chance = math.exp(ways(width, d) + d * math.log(1 - SAME_BITS) + (width - d) * math.log(SAME_BITS))
-        agree = math.exp(ways(width - d, bits) - ways(width, bits)) if width - d >= bits else 0.0
-        missed += chance * (1 - agree) ** masks
-    return 1 - missed
-
-
-def upper_masks(n: int, miss: float = 0.01) -> list[np.ndarray]:
-    """Bit positions of the upper nodes' masks for n distinct texts: so many bits that a node
-    holds a few unrelated texts at any n, and so many masks that a pair at 0.8 shares the
-    pattern of at least one with probability 1 - miss (see mask_recall)."""
-    bits = min(40, max(6, math.ceil(math.log2(max(n, 2))) - 3))
-    count = math.ceil(math.log(1 / miss) / SAME_BITS**bits)
-    while mask_recall(bits, count) < 1 - miss:
-        count += max(1, count // 64)
-    rng = np.random.default_rng(7)
-    return [np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(count)]
-
-
-def key_task(masks: list[np.ndarray], columns: list[str]):
-    def run(batches):
-        for batch in batches:
-            f = [batch.column(f"f{k}").to_numpy() for k in range(WIDE)]
-            bits = np.unpackbits(np.stack(f, axis=1).view(np.uint8), axis=1, bitorder="little")
-            rest = [batch.column(c) for c in columns]
-            for t, mask in enumerate(masks):
-                key = bits[:, mask].astype(np.int64) @ (1 << np.arange(len(mask), dtype=np.int64)) | t << len(mask)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *rest], ["key", *columns])
-    return run
-
-
-def near_duplicate_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, class_id) of each row: texts linked at a Jaccard similarity of their word
-    shingles of at least `similarity`, class_id the smallest doc_id reachable.
-
-    Equal word sequences (A-Z lower-cased) are one text from the start. Distinct texts get
-    256-bit fingerprints. First the minimum spanning forests, by differing bits, below each
-    upper node of the index are verified on whole shingle sets. Where that leaves near texts
-    in different classes, the nodes' near pairs between classes are verified too, the nearest
-    first, until each near pair of each node is verified or lies within a class. Recall is that
-    of the index (see upper_masks); no pair below `similarity` links. Null and empty texts are
-    one text. A null doc_id gives class_id null or its text's smallest id.
-    """
-    def run(batches):
-        for batch in slices(batches):
-            fp, same = wide_fingerprints(batch.column(1).to_pylist(), words)
-            cols = [pa.array(np.ascontiguousarray(x[:, k])) for x in (fp.view(np.int64), same) for k in range(x.shape[1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *names, "s0", "s1"])
-
-    def sets(batches):
-        for batch in slices(batches):
-            out = [np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in shingles(t, words)), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["id", "n", "s"])
-
-    def below(rows, task, result, *more):
-        columns = ["f0", "f1", "id", *more]
-        keyed = rows.select(*names, "id", *more).mapInArrow(key_task(masks, columns), ", ".join(f"{c} long" for c in ["key", *columns]))
-        return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(task, result)
-
-    def verified(pairs):
-        side = lambda c, *of: held.select(F.col("id").alias(c), *[F.col(x).alias(x + c) for x in of])
-        sized = pairs.select("a", "b").join(side("a", "n"), "a").join(side("b", "n"), "b")
-        able = sized.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).withColumn("t", F.col("na") + F.col("nb"))
-        both = able.join(side("a", "s"), "a").join(side("b", "s"), "b")
-        shared = both.select("a", "b", "t", F.size(F.array_intersect("sa", "sb")).alias("m"))
-        return shared.where(F.col("m") >= F.lit(similarity) * (F.col("t") - F.col("m"))).select("a", "b")
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = [f"f{k}" for k in range(WIDE)]
-    fps = materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in names)}, s0 long, s1 long"), "wide")
-    distinct = materialize(fps.groupBy("s0", "s1").agg(F.min("doc_id").cast("long").alias("id"), *[F.first(c).alias(c) for c in names]).where("id IS NOT NULL"), "wide-texts")
-    masks = upper_masks(distinct.count())
-    pairs = materialize(below(distinct, nearest_task(FAR_BITS), "a long, b long").distinct(), "wide-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = materialize(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "id long, n long, s array<long>"), "wide-sets")
-    links = materialize(verified(pairs), "wide-verified")
-    roots = connected_components(links, "wide-links")
-    near = wanted.select(F.col("doc_id").alias("node")).join(connected_components(pairs, "wide-near"), "node", "left").select("node", F.coalesce("root", "node").alias("family"))
-    done, most = pairs, 16
-    while True:
-        labelled = near.join(roots, "node", "left").select("node", "family", F.coalesce("root", "node").alias("label"))
-        split = labelled.groupBy("family").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 AND low < high")
-        still = materialize(labelled.join(split, "family", "left_semi").select("node", "label"), "wide-open")
-        if still.isEmpty():
-            break
-        rows = distinct.join(still, distinct.id == still.node).select(*names, "id", "label")
-        found = materialize(below(rows, unlinked_task(FAR_BITS, most), "a long, b long, cut boolean", "label").groupBy("a", "b").agg(F.max("cut").alias("cut")), "wide-unlinked")
-        fresh = materialize(found.select("a", "b").join(done, ["a", "b"], "left_anti"), "wide-fresh")
-        links = links.unionByName(materialize(verified(fresh), "wide-verified"))
-        roots = connected_components(links, "wide-links")
-        if found.where("cut").isEmpty():
-            break
-        done, most = done.unionByName(fresh), 8 * most
-    classes = distinct.join(roots, distinct.id == roots.node, "left").select("s0", "s1", F.coalesce("root", "id").alias("class_id"))
-    return fps.join(classes, ["s0", "s1"], "left").select("doc_id", F.col("class_id").cast(kind))
-
-
-def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without the rows whose class holds a smaller doc_id; columns as they were. Of rows
-    that repeat a doc_id and its text one stays. Rows without a doc_id stay."""
-    gone = near_duplicate_classes(docs, words, similarity).where("doc_id <> class_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return rest.withColumn("__rn", F.row_number().over(copies)).where("__rn = 1 OR doc_id IS NULL").drop("__rn").select(*docs.columns)

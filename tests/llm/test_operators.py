@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import bpe, chat, common, embeddings, linededup, packing, pii, quality, resampling, simhash, urlfilter
+from ledgerloom.llm import bpe, chat, common, embeddings, linededup, neardup, packing, pii, quality, resampling, simhash, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -85,8 +85,8 @@ def test_simhash_components(docs, cap):
 
 def test_simhash_empty(nothing):
     assert simhash.simhash_components(nothing).count() == 0
-    assert simhash.near_duplicate_classes(nothing).count() == 0
-    assert simhash.near_dedup(nothing).columns == nothing.columns
+    assert neardup.near_duplicate_classes(nothing).count() == 0
+    assert neardup.near_dedup(nothing).columns == nothing.columns
 
 
 def test_index_links_is_exact():
@@ -113,10 +113,10 @@ def slow_classes(rows, k=5, least=0.8):
 def test_near_duplicate_classes(docs):
     rows = docs.select("doc_id", "text").collect()
     want = slow_classes(rows)
-    got = {r.doc_id: r.class_id for r in simhash.near_duplicate_classes(docs).collect()}
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(docs).collect()}
     assert len(set(want.values())) < len(want)
     assert got == want
-    kept = simhash.near_dedup(docs)
+    kept = neardup.near_dedup(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
@@ -126,15 +126,15 @@ def test_repeated_lines_leave_wide_fingerprints_near():
     for _ in range(20):
         body, line = (" ".join(f"w{r.randrange(10**9)}" for _ in range(n)) for n in (300, 7))
         one, ten = (body + "\n" + "\n".join([line] * n) for n in (1, 10))
-        fp = simhash.wide_fingerprints([one, ten], 5)[0]
+        fp = neardup.wide_fingerprints([one, ten], 5)[0]
         assert np.bitwise_count(fp[0] ^ fp[1]).sum() < 30  # Jaccard 0.98
 
 
 @pytest.mark.parametrize("n", [5000, 200_000, 30_000_000])
 def test_masks_keep_their_promise(n):
     rng = np.random.default_rng(1)
-    masks = simhash.upper_masks(n)
-    differ = rng.random((4000, 64 * simhash.WIDE)) >= simhash.SAME_BITS  # pairs at a similarity of 0.8
+    masks = neardup.upper_masks(n)
+    differ = rng.random((4000, 64 * neardup.WIDE)) >= neardup.agreement(0.8)  # pairs at a similarity of 0.8
     met = np.zeros(len(differ), bool)
     for mask in masks:
         met |= ~differ[:, mask].any(axis=1)
@@ -160,23 +160,77 @@ def test_families_of_edited_copies_stay_whole(spark):
     rows = spark.createDataFrame(edited_families(), "doc_id long, text string")
     want = slow_classes(rows.collect())
     assert len(set(want.values())) == 6
-    got = {r.doc_id: r.class_id for r in simhash.near_duplicate_classes(rows).collect()}
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(rows).collect()}
     assert got == want
 
 
-def test_large_nodes_are_connected_whole():
+def test_near_lists_all_pairs():
     rng = np.random.default_rng(3)
     fp = rng.integers(0, 1 << 63, (40, 2)).astype(np.uint64)[rng.integers(0, 40, 3000)]
     for _ in range(12):
         fp[np.arange(3000), rng.integers(0, 2, 3000)] ^= np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)
-    fp = fp[simhash.gray_order(fp)]
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]).sum(axis=2) <= 20
-    want = common.local_components(len(fp), *np.nonzero(near))
-    i, j, _ = simhash.spanning_pairs(fp, 20)
-    assert near[i, j].all() and (common.local_components(len(fp), i, j) == want).all()
-    label = rng.integers(0, 3, len(fp))
-    pairs = np.concatenate([np.stack(x[:2], 1) for x in simhash.near_pairs(fp, 20, label)])
-    assert sorted(map(tuple, pairs)) == list(zip(*np.nonzero(np.triu(near, 1) & (label[:, None] != label))))
+    fp = fp[neardup.gray_order(fp)]
+    apart = np.cumsum(np.bitwise_count(fp[:, None] ^ fp[None, :]), axis=2, dtype=int)
+    want = (apart <= [12, 20]).all(axis=2)
+    pairs = np.concatenate([np.stack(x, 1) for x in neardup.near(fp, fp, [12, 20])])
+    assert sorted(map(tuple, pairs)) == list(zip(*np.nonzero(np.triu(want, 1))))
+    pairs = np.concatenate([np.stack(x, 1) for x in neardup.near(fp[:700], fp[700:], [12, 20])])
+    assert sorted(map(tuple, pairs)) == list(zip(*np.nonzero(want[:700, 700:])))
+
+
+def template_family(pairs=800, length=300, shared=0.78, seed=4):
+    """Pairs at about 0.82 in a family of texts at about 0.73 to each other: one template, whose
+    own words differ by pair, and a word that differs within the pair."""
+    r = random.Random(seed)
+    base = [f"t{r.randrange(10**6)}" for _ in range(length)]
+    rows = []
+    for p in range(pairs):
+        own = list(base)
+        at = r.randrange(length - 50)
+        own[at:at + 22] = [f"p{p}w{k}" for k in range(22)]
+        two = list(own)
+        for k in r.sample(range(length), 5):
+            two[k] = f"q{r.randrange(10**9)}"
+        rows += [(2 * p, " ".join(own)), (2 * p + 1, " ".join(two))]
+    return rows
+
+
+@pytest.mark.parametrize("cap, block", [(1 << 15, 1 << 21), (200, 20_000)])
+def test_pairs_in_a_family_of_templates(spark, cap, block):
+    texts = template_family(400)
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    want = slow_classes(rows.collect())
+    paired = [p for p in range(400) if want[2 * p] == want[2 * p + 1]]
+    assert len(paired) > 200
+    out, classes, _ = neardup.class_rows(rows, 5, 0.8, cap, block)
+    got = {r.doc_id: r.c for r in out.join(classes, ["s0", "s1"]).select("doc_id", F.col("low.doc_id").alias("c")).collect()}
+    assert sum(got[2 * p] == got[2 * p + 1] for p in paired) >= 0.95 * len(paired)
+    for c in set(got.values()):  # nothing joins that isn't linked
+        assert len({want[d] for d in got if got[d] == c}) == 1
+
+
+def test_hot_nodes_and_families_in_blocks(spark):
+    rows = spark.createDataFrame(edited_families(), "doc_id long, text string")
+    want = slow_classes(rows.collect())
+    out, classes, _ = neardup.class_rows(rows, 5, 0.8, 16, 3000)
+    assert {r.doc_id: r.c for r in out.join(classes, ["s0", "s1"]).select("doc_id", F.col("low.doc_id").alias("c")).collect()} == want
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.7, 0.9])
+def test_other_similarities(docs, similarity):
+    want = slow_classes(docs.select("doc_id", "text").collect(), least=similarity)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(docs, similarity=similarity).collect()}
+    assert got == want
+
+
+def test_near_dedup_goes_by_row(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(40)) for p in "abc")
+    rows = [(3, a, 1), (7, a, 2), (7, b, 3), (7, b, 4), (None, a, 5), (None, c, 6), (8, None, 7), (9, "", 8), (3, c, 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, H long").withColumn("tid", F.lit(0)).withColumn("gid", F.lit(1))
+    kept = neardup.near_dedup(d)
+    assert kept.columns == d.columns
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert got == sorted([(3, a), (7, b), (0, a), (0, c), (8, None), (3, c)])
 
 
 def test_connected_components_of_a_chain(spark):
