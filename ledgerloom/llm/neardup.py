@@ -56,15 +56,14 @@ def far_bits(similarity: float, bits: int) -> int:
 
 # Shingles.
 
-_ODD = np.random.default_rng(3).integers(1 << 62, 1 << 63, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class _Words(dict):
-    def __missing__(self, word):
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1 << 18:
-            self[word] = h
-        return h
+_rng = np.random.default_rng(3)
+_ODD = _rng.integers(1 << 62, 1 << 63, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = _rng.integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_LONG = 4096  # bytes of a word from which it is hashed by itself
+_POWER = np.cumprod(np.full(_LONG, 0xD6E8FEB86659FD93, np.uint64))
+_LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_BYTES = 1 << 20
 
 
 def mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -75,37 +74,70 @@ def mixed(h: np.ndarray, seed: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def shingle_sets(lists: list[list[bytes]], words: int, cache: _Words) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct 64-bit shingles of word lists, one list after the other in ascending order,
-    and how many each has. A list of fewer words is one shingle, an empty list none."""
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    total = int(n.sum())
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased (A-Z) words, text after text, and how many each has."""
+    parts = [(t or "").encode() for t in texts]
+    raw = _LOWER[np.frombuffer(b"".join(p + b" " for p in parts), np.uint8)]
+    inside = ~_BLANK[raw]
+    change = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, ends = change[::2], change[1::2]  # every text ends with a blank
+    size = ends - starts
+    n = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)])))
+    out = np.zeros(len(starts), np.uint64)
+    at, total = 0, np.cumsum(size)
+    while at < len(starts):
+        done = total[at] - size[at]
+        stop = max(at + 1, int(np.searchsorted(total, done + _BYTES, "right")))
+        long = size[at:stop] >= _LONG
+        if long.any():
+            stop = at + max(1, int(np.flatnonzero(long)[0]))
+        if size[at] >= _LONG:
+            out[at] = xxhash.xxh3_64_intdigest(raw[starts[at]:ends[at]].tobytes())
+        else:
+            some = raw[starts[at]:ends[stop - 1]]
+            some, first = some[inside[starts[at]:ends[stop - 1]]], total[at:stop] - size[at:stop] - done
+            place = np.arange(len(some)) - np.repeat(first, size[at:stop])
+            out[at:stop] = np.add.reduceat(_BYTE[some] * _POWER[place], first)
+        at = stop
+    return out, n
+
+
+def shingle_sets(w: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 64-bit shingles of texts of n[i] consecutive words of hashes w, text after
+    text in ascending order, and how many each has. A text of fewer words is one shingle, one
+    without words none."""
+    total = len(w)
     if not total:
         return np.zeros(0, np.uint64), n
-    w = np.fromiter((cache[x] for some in lists for x in some), np.uint64, total)
     end = np.repeat(np.cumsum(n), n)
-    doc = np.repeat(np.arange(len(lists)), n)
-    h = np.zeros(total, np.uint64)
-    for k in range(words):
-        h[:total - k] += np.where(np.arange(k, total) < end[:total - k], w[k:] * _ODD[k % 64], np.uint64(0))
-    place = np.arange(total)
-    take = (place + words <= end) | ((n[doc] < words) & (place == end - n[doc]))
-    h, doc = mixed(h[take], 1), doc[take]
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], np.bincount(doc[new], minlength=len(lists))
-
-
-def wide_fingerprints(texts: list[str | None], words: int, cache: _Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    spread = mixed(w, 9)
+    h = spread * _ODD[0]
+    left = end - np.arange(total)  # words of the text from here
+    for k in range(1, min(words, total)):
+        h[:total - k] += spread[k:] * _ODD[k % 64] * (left[:total - k] > k)
+    h, ends = mixed(h, 1), np.cumsum(n)
+    sets = []
+    for k, e in zip(n.tolist(), ends.tolist()):
+        own = np.sort(h[e - k:max(e - words, e - k) + 1] if k else h[:0])
+        sets.append(own[np.append(True, own[1:] != own[:-1])] if k else own)
+    return np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+
+
+def wide_fingerprints(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """256-bit fingerprints of the distinct shingles, a 128-bit hash of each text's lower-cased
-    words, and the number of shingles."""
-    lists = [(t or "").encode().lower().split() for t in texts]
-    h, counts = shingle_sets(lists, words, _Words() if cache is None else cache)
+    words in order, and the number of shingles."""
+    w, n = word_hashes(texts)
+    h, counts = shingle_sets(w, n, words)
     hashes = np.stack([mixed(h, 2 + k) for k in range(WIDE)], axis=1)
-    same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(some)) for some in lists), np.int64)
-    return majority_bits(hashes, counts), same.reshape(-1, 2), counts
+    same = np.zeros((len(texts), 2), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        first = np.cumsum(n) - n
+        place = mixed((np.arange(len(w)) - np.repeat(first, n)).astype(np.uint64), 7)
+        for k in range(2):
+            same[full, k] = np.add.reduceat(mixed(w ^ place, 20 + k), first[full])
+    same += mixed(n.astype(np.uint64), 30)[:, None]
+    return majority_bits(hashes, counts), same.view(np.int64), counts
 
 
 # The index.
@@ -343,16 +375,14 @@ def class_rows(docs: DataFrame, words: int, similarity: float, node_cap: int = N
     xxhash64 of the text, low the smallest (doc_id, h) of the class; many tells classes of more
     than one row."""
     def prints(batches):
-        cache = _Words()
         for batch in slices(batches):
-            fp, same, n = wide_fingerprints(batch.column(1).to_pylist(), words, cache)
+            fp, same, n = wide_fingerprints(batch.column(1).to_pylist(), words)
             cols = [pa.array(np.ascontiguousarray(x[:, k])) for x in (fp.view(np.int64), same) for k in range(x.shape[1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), *cols], ["doc_id", "h", "n", *names, "s0", "s1"])
 
     def sets(batches):
-        cache = _Words()
         for batch in slices(batches):
-            h, n = shingle_sets([(t or "").encode().lower().split() for t in batch.column(0).to_pylist()], words, cache)
+            h, n = shingle_sets(*word_hashes(batch.column(0).to_pylist()), words)
             s = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(1), s], ["tid", "s"])
 
