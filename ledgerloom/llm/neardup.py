@@ -34,8 +34,10 @@ WIDE = 4  # words of a fingerprint; masks are drawn from all of its bits
 NODE_BITS = 12  # a node holds up to 2 ** NODE_BITS unrelated texts, at any number of texts
 NODE_CAP = 1 << 15  # fingerprints that a task compares with as many others
 BLOCK_SHINGLES = 1 << 21  # shingles that a task verifies against as many others
+NEAR_WORDS = 3  # words of a fingerprint that are compared below a node
 MISS = 0.005
-FAR = 4.5
+FAR = 3.5
+NEAR = [f"f{k}" for k in range(NEAR_WORDS)]
 RUN = 64
 PAIRS = 1 << 20
 #: Rows of (doc_id, hash) that are broadcast to find rows of docs by them; more are joined by a shuffle.
@@ -170,14 +172,14 @@ def upper_masks(n: int, similarity: float = 0.8, miss: float = MISS) -> list[np.
 
 
 def key_task(masks: list[np.ndarray]):
-    """A row (key, f0, f1, tid) for each text and mask."""
+    """A row (key, the first NEAR_WORDS words, tid) for each text and mask."""
     def run(batches):
         for batch in batches:
             f = [batch.column(f"f{k}").to_numpy() for k in range(WIDE)]
             bits = np.unpackbits(np.stack(f, axis=1).view(np.uint8), axis=1, bitorder="little")
             for t, mask in enumerate(masks):
                 key = bits[:, mask].astype(np.int64) @ (1 << np.arange(len(mask), dtype=np.int64)) | t << len(mask)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c) for c in ("f0", "f1", "tid"))], ["key", "f0", "f1", "tid"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c) for c in (*NEAR, "tid"))], ["key", *NEAR, "tid"])
     return run
 
 
@@ -268,7 +270,7 @@ def near_task(keys: list[str], cuts: list[int]):
         for batch in groups(batches, keys):
             if batch.num_rows < 2:
                 continue
-            fp, ids = words_of(batch, ["f0", "f1"]), batch.column("tid").to_numpy()
+            fp, ids = words_of(batch, NEAR), batch.column("tid").to_numpy()
             kind = batch.column("kind").to_numpy()
             order = gray_order(fp)
             order = order[np.argsort(kind[order], kind="stable")]
@@ -291,22 +293,25 @@ def sorted_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
 def families(texts: DataFrame, similarity: float, node_cap: int = NODE_CAP) -> DataFrame:
     """(node, root) of the texts (tid, f0 to f3) with near fingerprints; see the module."""
     masks = upper_masks(texts.count(), similarity)
-    cuts = [far_bits(similarity, 64), far_bits(similarity, 128)]
-    keyed = texts.select("tid", *[f"f{k}" for k in range(WIDE)]).mapInArrow(key_task(masks), "key long, f0 long, f1 long, tid long")
-    large = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("tid", "f0", "f1")).alias("hub")).where(F.col("n") > node_cap), "node-sizes")
+    cuts = [far_bits(similarity, 64 * (k + 1)) for k in range(NEAR_WORDS)]
+    words = ", ".join(f"{c} long" for c in NEAR)
+    keyed = texts.select("tid", *[f"f{k}" for k in range(WIDE)]).mapInArrow(key_task(masks), f"key long, {words}, tid long")
+    large = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("tid", *NEAR)).alias("hub")).where(F.col("n") > node_cap), "node-sizes")
     some = large.limit(1).count() > 0
     small = keyed.join(large.select("key"), "key", "left_anti") if some else keyed
     edges = sorted_groups(small.withColumn("kind", F.lit(0)), ["key"]).mapInArrow(near_task(["key"], cuts), "a long, b long")
     if some:
         # Rows near the hub of their node are joined by it; the others visit all rows of the node.
-        rows = keyed.join(large, "key").withColumns({
-            "apart0": F.bit_count(F.col("f0").bitwiseXOR(F.col("hub.f0"))), "blocks": F.ceil(F.col("n") / node_cap).cast("int")})
-        by_hub = (F.col("apart0") <= cuts[0]) & (F.col("apart0") + F.bit_count(F.col("f1").bitwiseXOR(F.col("hub.f1"))) <= cuts[1])
-        rows = materialize(rows.select("key", "f0", "f1", "tid", F.col("hub.tid").alias("hub"), "blocks", by_hub.alias("joined")), "node-rows")
+        apart, by_hub = F.lit(0), F.lit(True)
+        for c, cut in zip(NEAR, cuts):
+            apart = apart + F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub.{c}")))
+            by_hub = by_hub & (apart <= cut)
+        rows = keyed.join(large, "key").withColumn("blocks", F.ceil(F.col("n") / node_cap).cast("int"))
+        rows = materialize(rows.select("key", *NEAR, "tid", F.col("hub.tid").alias("hub"), "blocks", by_hub.alias("joined")), "node-rows")
         counts = rows.where("NOT joined").groupBy("key").agg(F.ceil(F.count("*") / node_cap).cast("int").alias("parts"))
         hash_ = F.xxhash64("tid")
-        members = rows.join(counts, "key").select("key", F.pmod(hash_, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "f0", "f1", "tid")
-        visitors = rows.where("NOT joined").join(counts, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(hash_, F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "f0", "f1", "tid")
+        members = rows.join(counts, "key").select("key", F.pmod(hash_, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), *NEAR, "tid")
+        visitors = rows.where("NOT joined").join(counts, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(hash_, F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), *NEAR, "tid")
         place = ["key", "block", "part"]
         edges = edges.unionByName(rows.where("joined").select(F.col("tid").alias("a"), F.col("hub").alias("b"))).unionByName(
             sorted_groups(members.unionByName(visitors), place).mapInArrow(near_task(place, cuts), "a long, b long"))
@@ -380,11 +385,13 @@ def class_rows(docs: DataFrame, words: int, similarity: float, node_cap: int = N
             cols = [pa.array(np.ascontiguousarray(x[:, k])) for x in (fp.view(np.int64), same) for k in range(x.shape[1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), *cols], ["doc_id", "h", "n", *names, "s0", "s1"])
 
-    def sets(batches):
-        for batch in slices(batches):
-            h, n = shingle_sets(*word_hashes(batch.column(0).to_pylist()), words)
-            s = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), s], ["tid", "s"])
+    def sets(columns):
+        def run(batches):
+            for batch in slices(batches):
+                h, n = shingle_sets(*word_hashes(batch.column(0).to_pylist()), words)
+                s = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], s], [*columns, "s"])
+        return run
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [f"f{k}" for k in range(WIDE)]
@@ -396,23 +403,29 @@ def class_rows(docs: DataFrame, words: int, similarity: float, node_cap: int = N
         .withColumn("tid", F.monotonically_increasing_id()), "texts")
     family = families(texts, similarity, node_cap)
     family = family.unionByName(family.select(F.col("root").alias("node"), "root").distinct())
-    # The shingle sets of the families' texts, each once.
+    # The families' texts, and the blocks that each family is dealt in.
     held = texts.join(family, texts.tid == family.node).select("tid", "n", *names, "low", F.col("root").alias("family"))
+    size = held.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / block), F.lit(1)).cast("int").alias("blocks"), F.count("*").alias("members"))
+    held = held.join(size, "family").where("members > 1").select(
+        F.col("low.doc_id").alias("gid"), F.col("low.h").alias("gh"), "tid", "family", "blocks", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int").alias("block"), *names)
     held = materialize(held, "family-texts")
-    wanted = held.select(F.col("low.doc_id").alias("gid"), F.col("low.h").alias("gh"), "tid")
-    text = rows_by(hashed, "h", wanted, "inner").select("text", "tid")
-    if repeats.limit(1).count():
-        text = text.groupBy("tid").agg(F.first("text").alias("text")).select("text", "tid")
-    shingled = text.mapInArrow(sets, "tid long, s array<long>")
-    size = held.groupBy("family").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count("*").alias("members"))
-    held = held.join(size, "family").where("members > 1").select(F.col("tid").alias("t"), "family", "blocks", F.pmod(F.xxhash64("tid"), F.greatest("blocks", F.lit(1))).cast("int").alias("block"), *names)
-    full = materialize(shingled.join(held, F.col("tid") == F.col("t")).drop("t"), "family-sets")
+    twice = repeats.limit(1).count() > 0
+
+    def shingled(some):
+        """The texts some of held with their shingle sets, each once."""
+        columns = ["tid", "family", "blocks", "block", *names]
+        text = rows_by(hashed, "h", some, "inner").select("text", *columns)
+        if twice:
+            text = text.groupBy("tid").agg(F.first("text").alias("text"), *[F.first(c).alias(c) for c in columns[1:]]).select("text", *columns)
+        return text.mapInArrow(sets(columns), ", ".join(f"{c} {t}" for c, t in some.select(*columns).dtypes) + ", s array<long>")
+
     place = ["family", "block"]
-    own = sorted_groups(full.select(*place, "tid", F.col("tid").alias("label"), F.lit(0).alias("kind"), "s", *names), place)
+    own = sorted_groups(shingled(held).select(*place, "tid", F.col("tid").alias("label"), F.lit(0).alias("kind"), "s", *names), place)
     links = materialize(own.mapInArrow(verify_task(place, similarity), "a long, b long"), "links")
     roots = connected_components(links, "classes")
-    wide = full.where("blocks > 1")
+    wide = held.where("blocks > 1")
     if wide.limit(1).count():
+        wide = shingled(wide)
         # Of families in blocks, texts outside of the largest class visit all other blocks.
         wide = materialize(wide.join(roots, wide.tid == roots.node, "left").withColumn("label", F.coalesce("root", "tid")).drop("node", "root"), "wide-families")
         most = wide.groupBy("family", "label").agg(F.count("*").alias("c")).groupBy("family").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
@@ -428,7 +441,6 @@ def class_rows(docs: DataFrame, words: int, similarity: float, node_cap: int = N
         across = sorted_groups(members.select(*columns).unionByName(visitors.select(*columns)), place).mapInArrow(verify_task(place, similarity), "a long, b long")
         links = links.unionByName(materialize(across, "links-across"))
         roots = connected_components(links, "classes")
-    discard(full)
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     named = texts.join(roots, texts.tid == roots.node, "left").select("s0", "s1", "low", "rows", F.coalesce("root", "tid").alias("class"), F.col("root").isNotNull().alias("linked"))
     lows = named.where("linked").groupBy("class").agg(F.min("low").alias("least"))
