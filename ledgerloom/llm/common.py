@@ -8,8 +8,9 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,9 +20,13 @@ def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; where that is unset a temporary one, which a
+    cluster's executors would not share: then this raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         atexit.register(shutil.rmtree, path[len("file://"):], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -71,6 +76,29 @@ def slices(batches, rows: int = 256, size: int = 1 << 20):
             at = stop
 
 
+def running_totals(df: DataFrame, order: str, n: str) -> DataFrame:
+    """df (without nulls in order, a long without repeats) with before: the sum of the long n
+    over the rows of smaller order. Rows are partitioned by ranges of order; what comes together
+    in one task is a sum for each partition."""
+    names = df.columns
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sums = np.cumsum(batch.column(n).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(sums), part)), pa.array(total + sums - batch.column(n).to_numpy())], [*names, "__part", "__own"])
+            total += int(sums[-1]) if len(sums) else 0
+
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order)
+    held = materialize(ranged.mapInArrow(run, f"{', '.join(f'{c} {t}' for c, t in df.dtypes)}, __part long, __own long"), "running")
+    parts = held.groupBy("__part").agg(F.sum(n).alias("sum"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("__base"))  # a row per partition
+    return held.join(F.broadcast(parts), F.col("__part") == F.col("__p")).select(*names, (F.col("__base") + F.col("__own")).alias("before"))
+
+
 def local_components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
     """Smallest index reachable from each of n nodes over the links (a[i], b[i])."""
     label = np.arange(n) if label is None else label

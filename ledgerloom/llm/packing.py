@@ -1,12 +1,16 @@
 """Mixture-controlled packing: deficit round-robin over one queue of documents per source.
 
-Each round gives every queue a quantum, its target share of the window's tokens, in fixed-point
-units of 2**-16 token. A queue sends whole tokens as far as its credit goes and carries the
-rest to the next round, so after k rounds queue s has sent min(total_s, k * quantum_s >> 16)
-tokens. The rounds follow each other in one stream of tokens, which is cut into sequences.
-
-As the credits are a closed form, a document's place in the stream follows from its place in
-its queue alone: partitions need no state from each other but the queues' totals before them.
+Each round is one window of tokens. It gives every queue a quantum of credit, its target share
+of the window in units of 2**-16 token, and a queue sends whole documents as long as its credit
+covers the next one; what is left is carried to the next round. So the first t tokens of a queue
+have been sent once the credit of k rounds covers them: a document leaves in round
+ceil(e / quantum), where e are the tokens of its queue up to its own end. That needs no state
+from other partitions but the queues' totals before them, and no queue is ever more than one
+document away from its share. Documents longer than a window leave in parts of a window.
+
+Documents are then sorted by round, queue and place, which is the order of the stream of tokens,
+and the stream is cut into sequences. Runs of rounds are laid out by themselves, from the number
+of tokens before them.
 """
 
 from __future__ import annotations
@@ -23,11 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize, slices
+from .common import materialize, running_totals, slices
 
-UNIT = 16
-#: Sources beyond so many are dealt to this many queues by hash: the plan stays this small.
-MAX_QUEUES = 512
+UNIT = 1 << 16
+#: Rounds that one task lays out in order.
+RUN = 16
 MAX_BROADCAST_BASES = 1_000_000
 CACHE = 1 << 19
 SPACE = re.compile(r"[\x20\t-\r]+")
@@ -106,94 +110,91 @@ def tokenize(docs: DataFrame, path: str, end_id: int, queue: str) -> DataFrame:
         run, f"doc_id {kind}, queue string, part long, start long, n long, ids binary")
 
 
-class Plan:
-    """Where the tokens of each queue stand in the stream. All arrays are by queue."""
-
-    def __init__(self, totals: dict, mixture: dict | None, window_tokens: int):
-        self.queues = {q: i for i, q in enumerate(sorted(totals, key=lambda q: (q is not None, q)))}
-        self.total = np.array([totals[q] for q in self.queues], np.int64)
-        weight = np.array([float((mixture or totals).get(q, 0)) for q in self.queues])
-        share = weight / weight.sum() if weight.sum() > 0 else np.full(len(weight), 1 / max(1, len(weight)))
-        self.quantum = np.maximum(1, np.round(share * window_tokens * (1 << UNIT)).astype(np.int64))
-
-    def sent(self, k: np.ndarray) -> np.ndarray:
-        """Tokens each queue has sent before round k: a row per k."""
-        return np.minimum(self.total, (np.asarray(k, np.int64)[:, None] * self.quantum) >> UNIT)
-
-    def pieces(self, q: int, a: int, n: int, seq_len: int):
-        """(start, length, sequence_id, offset) of a document's pieces, in order; it has n > 0
-        tokens and a tokens stand before it in queue q."""
-        quantum = int(self.quantum[q])
-        first = -(-((a + 1) << UNIT) // quantum) - 1
-        last = -(-((a + n) << UNIT) // quantum) - 1
-        out = []
-        k, t, end = first, a, a + n
-        while t < end:
-            if last - k > 4096:  # blocks, for quanta far below a document's length
-                rounds = np.arange(k, k + 4096)
-            else:
-                rounds = np.arange(k, last + 1)
-            before, after = self.sent(rounds), self.sent(rounds + 1)
-            base = before.sum(axis=1) + (after - before)[:, :q].sum(axis=1)
-            for r in range(len(rounds)):
-                stop = min(end, int(after[r, q]))
-                while t < stop:
-                    position = int(base[r]) + t - int(before[r, q])
-                    take = min(stop - t, seq_len - position % seq_len)
-                    if out and out[-1][2] == position // seq_len and out[-1][3] + out[-1][1] == position % seq_len:
-                        out[-1][1] += take
-                    else:
-                        out.append([t - a, take, position // seq_len, position % seq_len])
-                    t += take
-            k = int(rounds[-1]) + 1
-        return out
-
-
-def pack(docs: DataFrame, path: str, *, seq_len: int = 2048, end_id: int = 1, mixture: dict[str, float] | None = None,
+def quanta(totals: DataFrame, mixture: dict[str, float] | None, temper: float, window_tokens: int) -> DataFrame:
+    """queue, quantum and after of each queue of totals (queue, total). after is the number of
+    rounds before the queue's first: queues without a target begin when the others have ended,
+    in proportion to their totals. Sources are never collected."""
+    spark = totals.sparkSession
+    if mixture is None:
+        aimed = totals.withColumn("weight", F.pow(F.col("total").cast("double"), F.lit(temper)))
+    else:
+        if any(w < 0 or w != w or w == float("inf") for w in mixture.values()):
+            raise ValueError("a target that is no share")
+        wanted = spark.createDataFrame(list(mixture.items()) or [(None, 0.0)], "of string, weight double")
+        aimed = totals.join(wanted, F.col("queue").eqNullSafe(F.col("of")), "left").select("queue", "total", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    late = F.col("weight") <= 0
+    aimed = aimed.withColumns({"late": late, "weight": F.when(late, F.col("total").cast("double")).otherwise(F.col("weight"))})
+    sums = {r.late: r.w for r in aimed.groupBy("late").agg(F.sum("weight").alias("w")).collect()}  # two rows
+    whole = F.when(F.col("late"), F.lit(sums.get(True, 1.0))).otherwise(F.lit(sums.get(False, 1.0)))
+    aimed = aimed.withColumn("quantum", F.greatest(F.lit(1), F.round(F.col("weight") / whole * (window_tokens * UNIT)).cast("long")))
+    last = aimed.where("NOT late").agg(F.max(F.expr(f"(total * {UNIT} + quantum - 1) div quantum"))).first()[0] or 0
+    return aimed.select("queue", "quantum", F.when(F.col("late"), F.lit(last)).otherwise(F.lit(0)).cast("long").alias("after"))
+
+
+def stream(tokens: DataFrame, mixture: dict[str, float] | None, temper: float, window_tokens: int) -> DataFrame:
+    """tokens (see tokenize) with where they stand: doc_id, queue, ids, begin (within the
+    document), n, doc_tokens, round, place (in the queue), run and base (tokens of the stream
+    before the run); partitioned by run and sorted by the order of the stream."""
+    sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    q = quanta(materialize(sums.groupBy("queue").agg(F.sum("n").alias("total")), "totals"), mixture, temper, window_tokens)
+    bases = sums.select(F.col("queue").alias("q"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    bases = materialize(bases.join(q, F.col("q").eqNullSafe(F.col("queue"))).select("q", "p", "before", "quantum", "after"), "bases")
+    if bases.count() <= MAX_BROADCAST_BASES:  # a row per queue and partition; beyond it Spark shuffles by them
+        bases = F.broadcast(bases)
+    w = window_tokens
+    units = tokens.join(bases, F.col("queue").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p"))).select(
+        "doc_id", "queue", "ids", "n", (F.col("before") + F.col("start")).alias("place"), "quantum", "after",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {w}"))).alias("k"))
+    units = units.select(
+        "doc_id", "queue", F.col("n").alias("doc_tokens"), (F.col("k") * w).alias("begin"), F.least(F.lit(w), F.col("n") - F.col("k") * w).alias("n"),
+        (F.col("place") + F.col("k") * w).alias("place"), "quantum", "after",
+        F.when(F.col("n") <= w, F.col("ids")).otherwise(F.substring("ids", (F.col("k") * (4 * w) + 1).cast("int"), F.lit(4 * w))).alias("ids"))
+    units = units.withColumn("round", F.expr(f"after + ((place + n) * {UNIT} + quantum - 1) div quantum")).withColumn("run", F.expr(f"round div {RUN}"))
+    runs = running_totals(units.groupBy("run").agg(F.sum("n").alias("n")), "run", "n").select(F.col("run").alias("r"), F.col("before").alias("base"))
+    keep = ["doc_id", "queue", "ids", "begin", "n", "doc_tokens", "round", "place", "run"]
+    placed = units.select(*keep).repartition("run").join(runs, F.col("run") == F.col("r")).select(*keep, "base")
+    return placed.sortWithinPartitions("run", "round", "queue", "place")
+
+
+def pack(docs: DataFrame, path: str, *, seq_len: int = 2048, end_id: int = 1, mixture: dict[str, float] | None = None, temper: float = 0.7,
          window_tokens: int = 64 * 2048, queue_col: str = "source", with_ids: bool = True) -> DataFrame:
     """Pieces of all documents, laid into sequences of seq_len tokens: doc_id, start, length,
     ids (little-endian unsigned 32-bit), ids_crc32, doc_tokens, sequence_id, offset, queue.
 
     Every id of a document (its text's, then end_id) lies in exactly one piece, and only the
     last sequence isn't full. mixture maps queues to target shares of each window's tokens; by
-    default the targets are the corpus's own shares, so that all queues end together. A queue
-    without a target gets the least quantum; a queue that is empty no longer takes part, and the
-    others keep their proportions. Null and empty texts are packed as a single end_id. A null
+    default the targets are the corpus's shares raised to the power `temper`, so that small
+    sources are met earlier than at random. Queues without a target come after the others. A
+    queue that is empty no longer takes part; the others keep their proportions. A document of
+    up to a window's tokens is never interleaved with others, so it has at most
+    length / seq_len + 2 pieces. Null and empty texts are packed as a single end_id. A null
     source is a queue of its own; repeated rows are packed as often as they come; an empty table
-    gives an empty result; other columns are not read. Over MAX_QUEUES sources share queues by
-    hash, and then mixture must be None.
+    gives an empty result; other columns are not read.
     """
-    queue = f"`{queue_col}`"
-    if docs.select(queue_col).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        if mixture is not None:
-            raise ValueError(f"a mixture over more than {MAX_QUEUES} queues")
-        queue = f"cast(pmod(xxhash64(`{queue_col}`), {MAX_QUEUES}) as string)"
-    tokens = materialize(tokenize(docs, path, end_id, f"cast({queue} as string)"), "tokens")
-    sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    totals = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES + 1 rows
-    plan = docs.sparkSession.sparkContext.broadcast(Plan(totals, mixture, window_tokens))
-    order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(F.col("queue").alias("q"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
-    bases = materialize(bases, "bases")
-    if bases.count() <= MAX_BROADCAST_BASES:  # a row per queue and partition; beyond it Spark shuffles by them
-        bases = F.broadcast(bases)
-    placed = tokens.join(bases, F.col("queue").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p")))
+    tokens = materialize(tokenize(docs, path, end_id, f"cast(`{queue_col}` as string)"), "tokens")
+    placed = stream(tokens, mixture, temper, window_tokens)
 
     def run(batches):
-        p = plan.value
+        now, position = None, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 some = batch.slice(at, 2048)
                 rows, where, ids_out = [], [], []
                 data = some.column("ids")
-                for i, (q, base, start, n) in enumerate(zip(*(some.column(c).to_pylist() for c in ("queue", "base", "start", "n")))):
-                    ids = data[i].as_buffer()
-                    for s, length, seq, offset in p.pieces(p.queues[q], base + start, n, seq_len):
-                        piece = ids[4 * s:4 * (s + length)]
-                        rows.append((s, length, zlib.crc32(piece), n, seq, offset))
+                for i, (group, base, begin, n, whole) in enumerate(zip(*(some.column(c).to_pylist() for c in ("run", "base", "begin", "n", "doc_tokens")))):
+                    if group != now:
+                        now, position = group, base
+                    ids, done = data[i].as_buffer(), 0
+                    while done < n:
+                        take = min(n - done, seq_len - position % seq_len)
+                        piece = ids[4 * done:4 * (done + take)]
+                        rows.append((begin + done, take, zlib.crc32(piece), whole, position // seq_len, position % seq_len))
                         where.append(i)
                         if with_ids:
                             ids_out.append(piece.to_pybytes())
+                        done += take
+                        position += take
                 index = pa.array(where, pa.int64())
                 cols = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 6
                 names = ["doc_id", "queue", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -205,4 +206,4 @@ def pack(docs: DataFrame, path: str, *, seq_len: int = 2048, end_id: int = 1, mi
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, queue string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return placed.select("doc_id", "queue", "base", "start", "n", "ids").mapInArrow(run, schema + (", ids binary" if with_ids else ""))
+    return placed.select("doc_id", "queue", "run", "base", "begin", "n", "doc_tokens", "ids").mapInArrow(run, schema + (", ids binary" if with_ids else ""))
