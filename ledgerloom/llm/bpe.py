@@ -1,16 +1,17 @@
-"""Byte-level BPE as a monoid: halves are encoded on their own and joined at their border.
+"""Byte-level BPE as a monoid: halves are encoded recursively and joined at their border.
 
-An element is the head of a text up to its first settled cut, the ids between its first and
-last settled cuts, and the tail after the last one. A cut is settled where a character that
-isn't white space precedes a space or line feed: no match of the pattern holds both, and no
-alternative looks past white space, so what stands on either side is matched alike whatever
-follows or precedes. Joining two elements re-encodes the window of the left tail and the right
-head; a half without a settled cut is a bare fragment and makes the window grow.
+The element of a text is its own list of tokens. To join two neighbours, windows of tokens on
+either side of the border grow until each holds a settled cut; what lies between the two cuts is
+encoded again, and the tokens outside stand. A cut is settled where a character that isn't white
+space precedes a space or line feed: no match of the pattern holds both, and no alternative looks
+past white space, so the text on either side is encoded alike whatever follows or precedes. Where
+a half has no settled cut its whole side is the window.
 
-A fragment too long to encode at once is reduced by matches of the pattern in the same way:
+A window too long to encode at once is reduced by matches of the pattern in the same way:
 joining re-matches from the last match of the left half that cannot have seen its end, over a
 growing window, until a match ends where one of the right half's matches ends; beyond that
 point matching depends only on the text that follows, so the right half's other matches stand.
+Decoding concatenates the tokens' bytes up the same kind of tree.
 """
 
 from __future__ import annotations
@@ -27,7 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-LEAF_CHARS = 1 << 14
+LEAF_CHARS = 512
+LEAF_IDS = 256
+#: Tokens of a border window before it grows.
+WINDOW = 8
+#: Characters of a window that are encoded at once.
+AT_ONCE = 1 << 15
 #: A match ending within so many characters of a half's end may depend on what follows it: the
 #: longest fixed alternative of the pattern has 3 characters, and one is looked ahead at.
 REACH = 4
@@ -41,67 +47,84 @@ class Bpe:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.ordinary, self.piece = library.encode_ordinary, library._core_bpe.encode_single_piece
+        make = lambda p: tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.ordinary, self.whole = make(pattern), make("(?s).+")  # whole: the text is one match
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
     def leaf(self, text: str) -> list[int]:
         if BLANK.search(text):  # the library's matcher has a bounded stack
-            return [i for match in self.find(text) for i in self.piece(match.encode())]
+            return [i for match in self.find(text) for i in self.whole(match)]
         return self.ordinary(text)
 
     def encode(self, text: str | None, leaf_chars: int = LEAF_CHARS) -> np.ndarray:
         """Ids of the whole text, as unsigned 32-bit integers."""
-        if not text:
-            return np.zeros(0, np.uint32)
-        if len(text) <= leaf_chars:
-            return np.array(self.leaf(text), np.uint32)
-        out = self.tree(text, 0, len(text), leaf_chars)
-        if isinstance(out, str):
-            ids = self.fragment(out, leaf_chars)
-        else:
-            ids = self.fragment(out[0], leaf_chars) + out[1] + self.fragment(out[2], leaf_chars)
-        return np.array(ids, np.uint32)
-
-    def tree(self, text: str, a: int, z: int, leaf_chars: int):
-        """The element of text[a:z]: (head, ids, tail), or a bare fragment."""
-        if z - a > leaf_chars:
-            middle = (a + z) // 2
-            return self.join(self.tree(text, a, middle, leaf_chars), self.tree(text, middle, z, leaf_chars), leaf_chars)
-        part = text[a:z]
-        first = FIRST.search(part)
-        if not first:
-            return part
-        first, last = first.end(), LAST.search(part).end()
-        return part[:first], self.leaf(part[first:last]) if first < last else [], part[last:]
-
-    def join(self, left, right, leaf_chars: int):
-        """The element of two neighbouring texts. A cut may also lie at the border itself, or
-        be settled by a character on either side of it: it is looked for in the window."""
-        if isinstance(left, str) and isinstance(right, str):
-            return self.cut(left + right, len(left))
-        if isinstance(left, str):
-            return left + right[0], right[1], right[2]
-        if isinstance(right, str):
-            return left[0], left[1], left[2] + right
-        return left[0], left[1] + self.fragment(left[2] + right[0], leaf_chars) + right[1], right[2]
-
-    @staticmethod
-    def cut(window: str, border: int):
-        """A fragment, or the element around the settled cut at its border."""
-        if FIRST.match(window, border - 1) if border else None:
-            return window[:border], [], window[border:]
-        return window
-
-    def fragment(self, text: str, leaf_chars: int) -> list[int]:
-        if len(text) <= 4 * leaf_chars:
+        return np.array(self.tree(text, 0, len(text), leaf_chars) if text else [], np.uint32)
+
+    def tree(self, text: str, a: int, z: int, leaf_chars: int) -> list[int]:
+        """The tokens of text[a:z] as a text of its own."""
+        if z - a <= leaf_chars:
+            return self.leaf(text[a:z])
+        middle = (a + z) // 2
+        return self.join(self.tree(text, a, middle, leaf_chars), self.tree(text, middle, z, leaf_chars))
+
+    def join(self, left: list[int], right: list[int]) -> list[int]:
+        """The tokens of two neighbouring texts, from theirs."""
+        keep, before = self.last_settled(left)
+        drop, after = self.first_settled(right)
+        return left[:keep] + self.window((before + after).decode()) + right[drop:]
+
+    def last_settled(self, ids: list[int]) -> tuple[int, bytes]:
+        """How many tokens lie before the last settled cut (0 without one), and the bytes after it."""
+        k = WINDOW
+        while True:
+            some = ids[-k:]
+            raw = b"".join([self.bytes_of[i] for i in some])
+            skip = 0
+            while skip < len(raw) and raw[skip] & 0xC0 == 0x80 and len(some) < len(ids):
+                skip += 1  # the window begins within a character
+            text = raw[skip:].decode()
+            if m := LAST.search(text):
+                at = skip + len(text[:m.end()].encode())
+                return len(ids) - len(some) + self.tokens_before(some, at), raw[at:]
+            if len(some) == len(ids):
+                return 0, raw
+            k *= 4
+
+    def first_settled(self, ids: list[int]) -> tuple[int, bytes]:
+        """How many tokens lie before the first settled cut (all without one), and their bytes."""
+        k = WINDOW
+        while True:
+            some = ids[:k]
+            raw = b"".join([self.bytes_of[i] for i in some])
+            text = raw.decode(errors="ignore")  # the window may end within a character
+            if m := FIRST.search(text):
+                at = len(text[:m.end()].encode())
+                return self.tokens_before(some, at), raw[:at]
+            if len(some) == len(ids):
+                return len(ids), raw
+            k *= 4
+
+    def tokens_before(self, ids: list[int], at: int) -> int:
+        """How many of the tokens hold the first `at` bytes: a settled cut is a token's border."""
+        n = 0
+        for i in ids:
+            if at <= 0:
+                break
+            at -= len(self.bytes_of[i])
+            n += 1
+        assert at == 0
+        return n
+
+    def window(self, text: str) -> list[int]:
+        if len(text) <= AT_ONCE:
             return self.leaf(text)
+
         def tree(a, z):
-            if z - a <= leaf_chars:
+            if z - a <= AT_ONCE // 4:
                 return self.find(text, a, z)
             middle = (a + z) // 2
             return self.join_matches(tree(a, middle), tree(middle, z))
-        return [i for match in tree(0, len(text)) for i in self.piece(match.encode())]
+        return [i for match in tree(0, len(text)) for i in self.whole(match)]
 
     def join_matches(self, left: list[str], right: list[str]) -> list[str]:
         """The matches of two neighbouring texts, from theirs."""
@@ -123,10 +146,12 @@ class Bpe:
                     return left[:len(left) - drop] + matches + right[ends[position]:]
             take = 2 * take + 4
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of the ids: concatenation, the other monoid."""
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids.tolist()])
+    def decode(self, ids) -> bytes:
+        """The bytes of the ids, concatenated up the tree."""
+        if len(ids) <= LEAF_IDS:
+            return b"".join([self.bytes_of[i] for i in ids])
+        middle = len(ids) // 2
+        return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
 @lru_cache(2)
@@ -148,7 +173,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for batch in slices(batches, 64):
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), pa.array(np.concatenate(ids).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([bpe.decode(i) for i in ids], pa.binary())], [id_col, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([bpe.decode(i.tolist()) for i in ids], pa.binary())], [id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, ids array<int>, decoded binary")
