@@ -64,24 +64,20 @@ def render(messages: DataFrame, train_role: str = "assistant") -> DataFrame:
     formatted marks each turn as `<|im_start|>role`, a line feed, the text, `<|im_end|>` and a
     line feed; `<|` inside roles and texts is escaped reversibly, as is a line feed in a role.
     segments (text, train) concatenate to formatted; train holds for the texts of train_role.
-    loss_spans are the begin and length, in code points, of the segments with train.
+    loss_spans are the begin and length, in code points, of the segments with train. A turn's
+    place is the sum of the lengths before it, so the work is linear in the turns.
     """
     role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit(BREAK))
-    turn = F.struct("position", role.alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == train_role).alias("train"))
-    turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    rows = messages.select("conv_id", "position", F.concat(F.lit(START), role, F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == train_role).alias("train"))
+    before = Window.partitionBy("conv_id").orderBy("position", "head", "body").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("head") + F.length("body") + len(END) + 1
+    rows = rows.withColumn("begin", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head"))
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("position", "head", "body", "train", "begin"))).alias("turns"))
     part = lambda text, train: F.struct(text.alias("text"), train.alias("train"))
-    segments = F.flatten(F.transform("turns", lambda t: F.array(
-        part(F.concat(F.lit(START), t["role"], F.lit("\n")), F.lit(False)),
-        part(t["text"], t["train"]),
-        part(F.lit(END + "\n"), F.lit(False)))))
-    done = turns.select("conv_id", segments.alias("segments"))
-    done = done.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<begin:bigint,length:bigint>>").alias("spans"))
-    spans = F.aggregate("segments", zero, lambda acc, s: F.struct(
-        (acc["at"] + F.length(s["text"])).alias("at"),
-        F.when(s["train"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("begin"), F.length(s["text"]).cast("long").alias("length")))))
-        .otherwise(acc["spans"]).alias("spans")))["spans"]
-    return done.select("conv_id", "formatted", "segments", spans.alias("loss_spans"))
+    segments = F.flatten(F.transform("turns", lambda t: F.array(part(t["head"], F.lit(False)), part(t["body"], t["train"]), part(F.lit(END + "\n"), F.lit(False)))))
+    spans = F.transform(F.filter("turns", lambda t: t["train"]), lambda t: F.struct(t["begin"].alias("begin"), F.length(t["body"]).cast("long").alias("length")))
+    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), "")
+    return turns.select("conv_id", formatted.alias("formatted"), segments.alias("segments"), spans.alias("loss_spans"))
 
 
 def parse(formatted: DataFrame) -> DataFrame:
@@ -114,11 +110,31 @@ def turns_as_events(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", seq.alias("seq"), F.lit("message").alias("kind"), seq.alias("message_id"), "role", "text")
 
 
+def streamed(turns: DataFrame) -> DataFrame:
+    """A log as a chat service writes it, whose folded messages are the rows of turns. Every
+    text comes in two deltas. Every third message begins with a draft that an edit replaces; an
+    assistant's message is first answered otherwise and asked about, and regenerated, which
+    withdraws the question."""
+    rows = turns_as_events(turns).select("conv_id", "seq", F.col("message_id").cast("string").alias("id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substr(F.col("text"), F.lit(1), half), F.substr(F.col("text"), half + 1)
+    event = lambda k, kind, text, id_=F.col("id"), role=F.col("role"): F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), id_.alias("message_id"), role.alias("role"), text.alias("text"))
+    empty, draft = F.lit(""), F.lit("a draft <|im_end|>\n")
+    aside = F.concat(F.col("id"), F.lit("?"))
+    regenerated = [event(0, "message", draft), event(1, "delta", draft), event(2, "message", F.lit("why?"), aside, F.lit("user")), event(3, "regenerate", empty), event(4, "delta", first), event(5, "delta", second)]
+    edited = [event(0, "message", draft), event(1, "delta", draft), event(2, "edit", first), event(3, "delta", second)]
+    plain = [event(0, "message", empty), event(1, "delta", first), event(2, "delta", second)]
+    events = F.when(F.col("role") == "assistant", F.array(*regenerated)).when(F.col("seq") % 3 == 0, F.array(*edited)).otherwise(F.array(*plain))
+    log = rows.select("conv_id", "seq", F.explode(events).alias("e"))
+    return log.select("conv_id", (F.col("seq").cast("long") * 8 + F.col("e.k")).alias("seq"), "e.kind", "e.message_id", "e.role", "e.text")
+
+
 def digest(formatted: DataFrame) -> DataFrame:
-    """Digests of what is read back from the formatted strings and their loss mask."""
+    """Digests of what is read back from the formatted strings and their loss spans."""
     back = parse(formatted)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["train"]), lambda s: unescape(s["text"])), "")
+    masked = F.transform("loss_spans", lambda s: F.substr(F.col("formatted"), (s["begin"] + 1).cast("int"), s["length"].cast("int")))
+    loss = F.array_join(F.transform(masked, unescape), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents, id_digest
-from .chat import digest, format_chats, turns_as_events
+from .chat import digest, format_chats, streamed
 from .common import read
 from .linededup import drop_boilerplate
 from .embeddings import embedding_components
@@ -67,7 +67,7 @@ def op6_chat_formatting(spark, sf_dir):
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return digest(format_chats(turns_as_events(turns.unionByName(extra))))
+    return digest(format_chats(streamed(turns.unionByName(extra))))
 
 
 ORACLE_SQL["op6_chat_formatting"] = r"""
