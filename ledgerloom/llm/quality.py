@@ -1,4 +1,8 @@
-"""Quality rules: repetition by suffix arrays over the words of each document."""
+"""Quality rules: repetition by suffix arrays over the words of each document.
+
+Longest-common-prefix intervals of the suffix array are the maximal repeated substrings; the
+union of their spans and the longest of them are limited.
+"""
 
 from __future__ import annotations
 
@@ -21,23 +25,27 @@ class _WordIds(dict):
         return n
 
 
-def suffix_array(words: np.ndarray, doc: np.ndarray, end: np.ndarray):
-    """Suffixes of several documents' words in order, and the ranks by prefix of 1, 2, 4, ... words.
+def suffix_array(words: np.ndarray, doc: np.ndarray, end: np.ndarray, held_words: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of several documents' words in order, and the longest common prefix of each
+    with the next one (in words, 0 between documents).
 
     Prefix doubling; each round sorts only the suffixes that aren't told apart yet. doc and end
     hold each position's document and that document's end: suffixes end with their document and
-    compare equal only within one.
-    """
+    compare equal only within one. Up to held_words the ranks by prefix of 1, 2, 4, ... words
+    are held for the common prefixes; of more words only the last ranks are."""
     n = len(words)
-    key = doc << 32 | words
-    sa = np.argsort(key, kind="stable")
+    key = doc.astype(np.int64) << 32 | words
+    sa = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[sa]
     new = np.ones(n, bool)
-    new[1:] = key[sa[1:]] != key[sa[:-1]]
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    new[1:] = key[1:] != key[:-1]
+    del key
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
     ranks, k = [rank], 1
     size = np.bincount(rank, minlength=n)
     live = sa[size[rank[sa]] > 1]
+    del size, new
     while len(live):
         after = live + k
         second = np.where(after < end[live], rank[np.minimum(after, n - 1)] + 1, 0)
@@ -48,38 +56,71 @@ def suffix_array(words: np.ndarray, doc: np.ndarray, end: np.ndarray):
         head[1:] = first[1:] != first[:-1]
         new = head.copy()
         new[1:] |= second[1:] != second[:-1]
-        at = np.arange(len(live))
+        at = np.arange(len(live), dtype=np.int32)
         group = np.maximum.accumulate(np.where(head, at, 0))
         sub = np.maximum.accumulate(np.where(new, at, 0))
         sa[first + at - group] = live
-        rank = rank.copy()
+        if n <= held_words:
+            rank = rank.copy()
+            ranks.append(rank)
         rank[live] = first + sub - group
-        ranks.append(rank)
         k *= 2
         alone = new & np.append(new[1:], True)
         live = live[~alone]
-    return sa, ranks
+    if n <= held_words:
+        return sa, common_by_ranks(sa, ranks, doc, end)
+    return sa, common_by_text(sa, rank, words, doc, end)
 
 
-def repeat_lengths(words: np.ndarray, doc: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For each position, the words of the longest substring from there that occurs elsewhere
-    in its document: the larger of the two longest common prefixes beside it in the suffix array."""
-    n = len(words)
-    sa, ranks = suffix_array(words, doc, end)
+def common_by_ranks(sa: np.ndarray, ranks: list[np.ndarray], doc: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Common prefixes by binary lifting on the ranks by prefix."""
     p, q = sa[:-1], sa[1:]
-    lcp = np.zeros(max(0, n - 1), np.int64)
-    for level in range(len(ranks) - 1, -1, -1):  # binary lifting on the ranks by prefix
+    lcp = np.zeros(len(sa), np.int32)
+    for level in range(len(ranks) - 1, -1, -1):
         rank, k = ranks[level], 1 << level
-        i, j = p + lcp, q + lcp
+        i, j = p + lcp[:-1], q + lcp[:-1]
         inside = np.flatnonzero((i + k <= end[p]) & (j + k <= end[q]) & (doc[p] == doc[q]))
-        same = inside[rank[i[inside]] == rank[j[inside]]]
-        lcp[same] += k
-    out = np.zeros(n, np.int64)
-    out[p] = lcp
-    out[q] = np.maximum(out[q], lcp)
+        lcp[inside[rank[i[inside]] == rank[j[inside]]]] += k
+    return lcp
+
+
+def common_by_text(sa: np.ndarray, rank: np.ndarray, words: np.ndarray, doc: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Common prefixes in the order of the text: from one position to the next they shrink by
+    one word at most (Kasai et al., 2001). No memory beyond the arrays."""
+    out = np.zeros(len(sa), np.int32)
+    order, place, text, stop, which, result = map(memoryview, (sa, rank, words, end, doc, out))
+    last, h = len(sa) - 1, 0
+    for i in range(len(sa)):
+        r = place[i]
+        if r == last or which[order[r + 1]] != which[i]:
+            h = 0
+            continue
+        j = order[r + 1]
+        room = stop[i] - (i if i > j else j)
+        while h < room and text[i + h] == text[j + h]:
+            h += 1
+        result[r] = h
+        if h:
+            h -= 1
     return out
 
 
+def intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, first, last): for every suffix in a repeat of at least `least` words the deepest
+    longest-common-prefix interval that holds it, each once: the suffixes first to last of the
+    suffix array share `length` words, the longest substring that each of them repeats. Deeper
+    levels of an interval are intervals of their own; its other levels' spans lie within these."""
+    level = np.maximum(lcp, np.concatenate([[0], lcp[:-1]]))  # the larger of the prefixes on either side
+    first = np.flatnonzero(level >= least)
+    if not len(first):
+        return first, first, first
+    # Neighbours belong to one interval where the prefix between them is the level of both.
+    new = np.ones(len(first), bool)
+    new[1:] = (np.diff(first) > 1) | (lcp[first[1:] - 1] != level[first[1:]]) | (level[first[1:]] != level[first[:-1]])
+    begin = np.flatnonzero(new)
+    return level[first[begin]], first[begin], first[np.append(begin[1:], len(first)) - 1]
+
+
 @dataclass(frozen=True)
 class Rules:
     """Repeats count from min_repeat words. A document is kept if at most max_covered of its
@@ -112,19 +153,22 @@ def measure(texts: list[str | None], rules: Rules = Rules()) -> dict[str, np.nda
             last += 1
         if total:
             ids = _WordIds()
-            words = np.fromiter((ids[w] for x in lists[first:last] for w in x), np.int64, total)
+            words = np.fromiter((ids[w] for x in lists[first:last] for w in x), np.int32, total)
+            lists[first:last] = [None] * (last - first)
             counts = out["n_words"][first:last]
-            ends = np.cumsum(counts)
-            doc = np.repeat(np.arange(last - first), counts)
-            end = ends[doc]
-            length = repeat_lengths(words, doc, end)
-            spans = np.flatnonzero(length >= rules.min_repeat)
-            cover = np.zeros(total + 1, np.int64)  # union of the spans
-            np.add.at(cover, spans, 1)
-            np.add.at(cover, spans + length[spans], -1)
+            doc = np.repeat(np.arange(last - first, dtype=np.int32), counts)
+            end = np.cumsum(counts).astype(np.int32)[doc]
+            sa, lcp = suffix_array(words, doc, end)
+            length, low, high = intervals(lcp, rules.min_repeat)
+            many = high - low + 1
+            starts = sa[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())].astype(np.int64)
+            length = np.repeat(length, many)
+            cover = np.zeros(total + 1, np.int32)  # union of the spans
+            np.add.at(cover, starts, 1)
+            np.add.at(cover, starts + length, -1)
             covered = np.cumsum(cover)[:total] > 0
             out["n_repeat_words"][first:last] = np.bincount(doc, covered, last - first)
-            np.maximum.at(out["longest_repeat"][first:last], doc[spans], length[spans])
+            np.maximum.at(out["longest_repeat"][first:last], doc[starts], length)
         first = last
     words = out["n_words"]
     out["base_failed"] = (words < 20) | (100 * out["n_repeat_words"] > 30 * words)
