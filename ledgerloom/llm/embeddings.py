@@ -5,10 +5,13 @@ levels of centres with halving radii; a pair of nodes whose covering balls are m
 apart holds no link, and one whose balls lie within t of each other holds links only, which
 are counted without being listed. What is left is decided on the vectors themselves.
 
-The top of the tree is distributed: a label with over leaf_max distinct vectors is cut into
-cells around centres drawn from it, and each vector visits its own cell and those that the
-bisecting plane of the two centres doesn't put out of reach. A task holds up to leaf_max
-members of a cell and up to leaf_max visitors.
+The top of the tree is distributed. A label with over leaf_max distinct vectors is cut into
+cells around CENTRES vectors drawn from it; each vector is a member of the nearest centre's cell
+and visits those that the bisecting plane of the two centres doesn't put out of reach. A cell
+that is still too large is cut in the same way around centres of its own, level below level, so
+that the levels grow with the logarithm of the rows and a vector's copies with the cells near
+it, not with the rows. A cell that no longer falls apart (a ball of near vectors) is taken in
+blocks. A task holds up to leaf_max members and up to leaf_max visitors.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from .common import connected_components, local_components, materialize
 
 LEAF_MAX = 8192
 CENTRES = 256
+#: A level must leave at most this share of a cell in its largest part, else blocks follow.
+SHRINK = 0.75
 LEAF = 24
 EPS = 1e-7
 BLOCK = 1 << 20
@@ -186,26 +191,66 @@ def link_groups(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
 
 
 def assign_cells(points: pd.DataFrame, centres: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """The member row and the visitor rows of each vector: cells are numbered by centre."""
+    """The rows of a cell (kind 0: members, 1: visitors) in its parts: a member in that of the
+    nearest centre, a visitor in all that hold vectors within reach. A cell whose centres are one
+    vector stays whole."""
     t = math.sqrt(2.0 - 2.0 * cosine)
     columns = ["label", "cell", "kind", "id", "w", "vec"]
     if not len(points):
         return pd.DataFrame({c: [] for c in columns})
     if not len(centres):
-        both = [points.assign(cell=0, kind=k) for k in (0, 1)]
-        return pd.concat(both)[columns]
+        return points.assign(cell=points["cell"] + "/")[columns]
     centres = centres.sort_values("cid")
     unit = lambda col: (lambda r: r / np.linalg.norm(r, axis=1)[:, None])(np.stack([np.asarray(v, np.float64) / np.abs(v).max() for v in col]))
-    x, c = unit(points["vec"]), unit(centres["cvec"])
-    d2 = np.maximum(0.0, 2.0 - 2.0 * (x @ c.T))
-    home = d2.argmin(axis=1)
+    c = unit(centres["cvec"])
     between = distances(c, c)
-    # How far x lies beyond the plane between its centre and another, on its own side.
-    gap = (d2 - d2[np.arange(len(x)), home][:, None]) / np.maximum(2 * between[home], 1e-12)
-    p, q = np.nonzero(gap <= t + EPS)
-    members = points.assign(cell=home, kind=0)
-    visitors = points.iloc[p].assign(cell=q, kind=1)
-    return pd.concat([members, visitors])[columns]
+    parts = []
+    for low in range(0, len(points), 4096):
+        some = points.iloc[low:low + 4096]
+        d2 = np.maximum(0.0, 2.0 - 2.0 * (unit(some["vec"]) @ c.T))
+        home = d2.argmin(axis=1)
+        # How far x lies beyond the plane between its centre and another, on its own side.
+        gap = (d2 - d2[np.arange(len(some)), home][:, None]) / np.maximum(2 * between[home], 1e-12)
+        reach = gap <= t + EPS
+        member = (some["kind"] == 0).to_numpy()
+        reach[member] = False
+        reach[member, home[member]] = True
+        p, q = np.nonzero(reach)
+        one = some.iloc[p]
+        parts.append(one.assign(cell=one["cell"].to_numpy() + np.array([f"/{k}" for k in range(len(c))], dtype=object)[q]))
+    return pd.concat(parts)[columns]
+
+
+def cells(reps: DataFrame, cosine: float, leaf_max: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, sizes): the members and visitors (label, cell, kind, id, w, vec) of all cells, and
+    the number of members and visitors of each cell (label, cell, members, visitors)."""
+    schema = "label string, cell string, kind int, id long, w long, vec array<double>"
+    rows = reps.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1)))).select("label", F.lit("").alias("cell"), "kind", "id", "w", "vec")
+    done, stuck = None, None
+    while True:
+        sizes = materialize(rows.groupBy("label", "cell").agg(F.count_if(F.col("kind") == 0).alias("members"), F.count_if(F.col("kind") == 1).alias("visitors")).where("members > 0 AND visitors > 0"), "cell-sizes")
+        final = F.col("members") <= leaf_max
+        if stuck is not None:
+            # A part that holds most of its parent isn't cut again.
+            parent = F.regexp_replace("cell", "/[^/]*$", "")
+            sizes = sizes.withColumn("parent", parent).join(stuck, ["label", "parent"], "left").drop("parent")
+            final = final | (F.col("members") > SHRINK * F.coalesce("before", F.lit(0)))
+        else:
+            sizes = sizes.withColumn("before", F.lit(None).cast("long"))
+        sizes = materialize(sizes.withColumn("final", final), "cells")
+        ready = sizes.where("final").select("label", "cell", "members", "visitors")
+        done = (rows, ready) if done is None else (done[0].unionByName(rows), done[1].unionByName(ready))
+        large = sizes.where("NOT final")
+        if not large.limit(1).count():
+            return done
+        stuck = large.select("label", F.col("cell").alias("parent"), F.col("members").alias("before"))
+        told = large.select("label", "cell", F.ceil((F.col("members") + F.col("visitors")) / leaf_max).cast("int").alias("salts"), (F.least(F.lit(CENTRES), F.ceil(4 * F.col("members") / leaf_max)) / F.col("members")).alias("share"))
+        sized = rows.join(told, ["label", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id", "kind"), F.col("salts")).cast("int"))
+        drawn = sized.where((F.col("kind") == 0) & (F.pmod(F.xxhash64(F.length("cell"), "id"), F.lit(1 << 31)) < F.col("share") * (1 << 31)))
+        centres = drawn.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
+            F.col("label").alias("clabel"), F.col("cell").alias("ccell"), F.col("salt").alias("csalt"), F.col("id").alias("cid"), F.col("vec").alias("cvec"))
+        rows = materialize(sized.select("label", "cell", "kind", "salt", "id", "w", "vec").groupBy("label", "cell", "salt").cogroup(centres.groupBy("clabel", "ccell", "csalt")).applyInPandas(
+            lambda p, c: assign_cells(p, c, cosine), schema), "cell-rows")
 
 
 def embedding_components(vectors: DataFrame, cosine: float = 0.98, leaf_max: int = LEAF_MAX, id_col: str = "vec_id",
@@ -231,20 +276,9 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.98, leaf_max: int
     reps = materialize(v.where("fine").groupBy("k1", "k2").agg(
         F.min("id").alias("id"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("vec").alias("vec")).drop("k1", "k2")
         .select("id", "w", "label", "vec"), "vectors")
-    stats = reps.groupBy("label").agg(F.count("*").alias("n"))
-    sized = reps.join(stats, "label").withColumn("salts", F.ceil(F.col("n") / leaf_max).cast("int"))
-    sized = sized.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    share = F.least(F.lit(CENTRES), 4 * F.col("salts")) / F.col("n")
-    drawn = sized.where((F.col("salts") > 1) & (F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 31)) < share * (1 << 31)))
-    centres = drawn.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
-        F.col("label").alias("clabel"), F.col("salt").alias("csalt"), F.col("id").alias("cid"), F.col("vec").alias("cvec"))
-    schema = "label string, cell int, kind int, id long, w long, vec array<double>"
-    placed = sized.select("label", "salt", "id", "w", "vec").groupBy("label", "salt").cogroup(centres.groupBy("clabel", "csalt")).applyInPandas(
-        lambda p, c: assign_cells(p, c, cosine), schema)
-    placed = materialize(placed, "cells")
-    counts = placed.groupBy("label", "cell").agg(
-        F.ceil(F.count_if(F.col("kind") == 0) / leaf_max).cast("int").alias("mc"), F.ceil(F.count_if(F.col("kind") == 1) / leaf_max).cast("int").alias("vc"))
-    tasks = placed.join(counts.where("mc > 0"), ["label", "cell"])
+    rows, sizes = cells(reps, cosine, leaf_max)
+    counts = sizes.select("label", "cell", F.ceil(F.col("members") / leaf_max).cast("int").alias("mc"), F.ceil(F.col("visitors") / leaf_max).cast("int").alias("vc"))
+    tasks = rows.join(counts, ["label", "cell"])
     own = F.pmod(F.xxhash64("id"), F.when(F.col("kind") == 0, F.col("mc")).otherwise(F.col("vc"))).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.col("vc")).otherwise(F.col("mc")) - 1))
     tasks = tasks.withColumn("own", own).withColumn("other", every).withColumns({
