@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 #: A site's boilerplate lines are broadcast only while all of them together are at most so many.
 MAX_BROADCAST_LINES = 200_000
@@ -39,28 +39,29 @@ def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_docs: int = 5, hos
     The other lines stay as they are and in place. Blank lines are never dropped. A null text
     stays null; a null host is a site of its own. A line is compared without the white space
     around it. Repeated rows count as often as they come; an empty table gives an empty result.
-    Columns of docs named n_lines or n_dropped are replaced.
+    Columns of docs named n_lines or n_dropped are replaced; any other name may clash.
     """
     marked = materialize(boilerplate(docs, ratio, min_docs, host), "boilerplate")
-    sites = marked.groupBy("host").agg(F.collect_set("k").alias("__drop")).withColumnRenamed("host", "__host")
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    host_, drop_, row_, stay_ = (unused(keep, c) for c in ("__host", "__drop", "__row", "__stay"))
+    sites = marked.groupBy("host").agg(F.collect_set("k").alias(drop_)).withColumnRenamed("host", host_)
     base = docs.select(*keep)
     if marked.count() <= max_broadcast:
-        joined = base.join(F.broadcast(sites), F.col(host).eqNullSafe(F.col("__host")), "left")
+        joined = base.join(F.broadcast(sites), F.col(host).eqNullSafe(F.col(host_)), "left")
     else:
         # The lines of each document are looked up by (host, line); only hits come back, by row.
-        rows = materialize(base.withColumn("__row", F.monotonically_increasing_id()), "lines")
-        held = rows.select("__row", F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("k")).where("k IS NOT NULL")
-        m = marked.select(F.col("host").alias("h2"), F.col("k").alias("k2"))
-        hits = held.join(m, F.col("host").eqNullSafe(F.col("h2")) & (F.col("k") == F.col("k2"))).groupBy("__row").agg(F.collect_set("k").alias("__drop"))
-        joined = rows.join(hits, "__row", "left")
+        rows = materialize(base.withColumn(row_, F.monotonically_increasing_id()), "lines")
+        held = rows.select(row_, F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("k")).where("k IS NOT NULL")
+        some_ = marked.select(F.col("host").alias("h2"), F.col("k").alias("k2"))
+        hits = held.join(some_, F.col("host").eqNullSafe(F.col("h2")) & (F.col("k") == F.col("k2"))).groupBy(row_).agg(F.collect_set("k").alias(drop_))
+        joined = rows.join(hits, row_, "left")
     lines = _lines(F.col("text"))
-    hits = F.array_intersect(F.transform(lines, _key), F.col("__drop"))  # by hash; most often empty
-    joined = joined.withColumn("__drop", F.when(F.col("__drop").isNotNull() & F.col("text").isNotNull(), F.array_compact(hits)))
-    stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__drop"), _key(x)), F.lit(False)))
-    some = F.size("__drop") > 0
-    cut = joined.withColumn("__stay", F.when(some, stay))
+    hits = F.array_intersect(F.transform(lines, _key), F.col(drop_))  # by hash; most often empty
+    joined = joined.withColumn(drop_, F.when(F.col(drop_).isNotNull() & F.col("text").isNotNull(), F.array_compact(hits)))
+    stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(drop_), _key(x)), F.lit(False)))
+    some = F.size(drop_) > 0
+    cut = joined.withColumn(stay_, F.when(some, stay))
     return cut.select(
-        *[F.when(some, F.array_join("__stay", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in keep],
+        *[F.when(some, F.array_join(stay_, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in keep],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(some, F.size(lines) - F.size("__stay")).otherwise(0).cast("long").alias("n_dropped"))
+        F.when(some, F.size(lines) - F.size(stay_)).otherwise(0).cast("long").alias("n_dropped"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: The trie is broadcast only up to this many rules; more are split by their last host label.
+#: The trie is broadcast only up to this many rules; more raise, and are for the caller to split.
 MAX_BROADCAST_RULES = 1_000_000
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
