@@ -7,34 +7,42 @@ from pyspark.sql import functions as F
 
 from .values import collapse
 
-_N = r"(?<![\w.,])[+-]?[$€£]?\s?\d[\d,]*(?:\.\d+)?"
-_SEP = r"\s*(?:is|of|at|[:=\-–])?\s*"
-_MPG = r"(?:mpge?|miles\s+per\s+gallon(?:\s+equivalent)?)"
-_LKM = r"l(?:it(?:er|re)s?)?\s*(?:/|per)\s*100\s*km"
-_KEYS = r"(?:(?:city|highway|comb|ucity|uhighway|barrels|co2|fuelcost|range|phevcity|phevcomb|phevhwy)[a-z0-9]*\d[a-z0-9]*|(?:fuelcost|co2tailpipe|co2|barrels)[a-z0-9]*|yousavespend)"
-_SCORES = r"(?:(?:emissions?|efficiency|ghg|fe|smog|smartway|greenhouse\s+gas|air\s+pollution)[\s_]*(?:score|rating|standard)[a-z0-9]*|smartway)"
-_ECONOMY = r"(?:(?:epa\s+|estimated\s+)?(?:fuel\s+(?:economy|consumption|efficiency)|combined|city|highway|hwy))"
-
-#: What a measured target can be read back from. Applied in this order, each match becomes a space.
-LEAKS = [
-    r"\b(?:gas[\s-]*)?guzzler\b",
-    rf"\b{_KEYS}\b\s*[:=]\s*{_N}\s*(?:{_MPG}|{_LKM}|g\s*/\s*(?:km|mi))?",
-    rf"{_N}\s*{_MPG}\b",
-    rf"\b{_MPG}\b{_SEP}{_N}",
-    rf"{_N}\s*{_LKM}\b",
-    rf"\b{_LKM}\b{_SEP}{_N}",
-    rf"\b{_ECONOMY}\b{_SEP}{_N}",
-    rf"\b(?:annual\s+)?fuel\s*costs?\b{_SEP}{_N}",
-    rf"\b(?:{_SCORES}|co2(?:\s+emissions?)?|carbon\s+dioxide)\b{_SEP}{_N}(?:\s*(?:g\s*/\s*(?:km|mi)|kg\s*/\s*year))?",
-    rf"{_N}\s*(?:g\s*/\s*(?:km|mi(?:le)?)|kg\s*/\s*(?:year|yr))\b",
-    r"[$€£]\s?\d[\d,]*(?:\.\d+)?",
-    rf"\b(?:{_MPG}|{_LKM}|{_KEYS})\b",
-    rf"\b(?:fuel\s+(?:economy|consumption|efficiency)|(?:annual\s+)?fuel\s*costs?|co2|{_SCORES})\b",
-]
+# What names or measures a target, by kind.
+KEY_PREFIXES = ["fuelCost", "co2", "barrels", "feScore", "ghgScore", "smartwayScore", "youSaveSpend"]
+LABELS = ["annual fuel costs", "annual fuel cost", "fuel economy", "fuel consumption", "fuel costs", "fuel cost", "emissions score", "emission score", "emissions", "emission", "efficiency score", "ghg score", "smartway score", "smartway", "co2"]
+CONTEXTS = ["combined", "city", "highway"]
+DISTANCE_UNITS = ["mpge", "mpg", "miles per gallon"]
+VOLUME_UNITS = ["l/100 km", "l per 100 km", "liter/100 km", "litre/100 km", "liters/100 km", "litres/100 km"]
+MASS_UNITS = ["g/km", "g/mi", "kg/year", "kg co2/year"]
+MONEY_UNITS = ["usd", "dollars", "dollar", "/year", "per year"]
+
+
+def _one_of(phrases: list[str]) -> str:
+    """Any of the phrases; a blank stands for any white space or none, a slash may have some."""
+    return "(?:" + "|".join(p.replace(" ", r"\s*").replace("/", r"\s*/\s*") for p in phrases) + ")"
+
+
+def leak_grammar() -> list[str]:
+    """The patterns of target leaks, from the kinds above: a leak is a label or unit with the
+    amount that follows it, an amount with the unit that follows it, money, or a label alone.
+    No pattern looks around itself, so that every regex engine reads them alike."""
+    amount = r"[-+]?\b\d+(?:[.,]\d+)*"
+    units = _one_of(DISTANCE_UNITS + VOLUME_UNITS + MASS_UNITS)
+    priced = rf"[$€£]\s*{amount}(?:\s*{_one_of(MONEY_UNITS)}\b)?"
+    value = rf"(?:{priced}|{amount}(?:\s*(?:{units}|{_one_of(MONEY_UNITS)}))?\b)"
+    key = rf"{_one_of(KEY_PREFIXES)}[a-z0-9]*"
+    label = rf"(?:{key}|{_one_of(LABELS)}|{_one_of(DISTANCE_UNITS)}|{_one_of(VOLUME_UNITS)})"
+    context = rf"(?:epa\s*)?{_one_of(CONTEXTS)}(?:\s*{_one_of(['mpge', 'mpg', 'fuel economy', 'consumption'])})?"
+    named = rf"\b(?:{label}|{context})\s*[:=]?\s*{value}"
+    alone = rf"\b(?:{key}|{_one_of(LABELS)}|mpge|mpg)\b"
+    return [r"\b(?:gas\s+)?guzzler\b", rf"{named}|{amount}\s*{units}\b|{priced}", alone]
+
+
+LEAKS = leak_grammar()
 
 
 def sanitize(text: Column) -> Column:
-    """text without target proxies, white space collapsed; null gives an empty string. A second
+    """text without target leaks, white space collapsed; null gives an empty string. A second
     application changes nothing."""
     out = F.coalesce(text, F.lit(""))
     for _ in range(2):  # what a removal brings together goes in the second pass

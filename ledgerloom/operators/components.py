@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder of spark.checkpoint.dir (a temporary one where that is
-    unset) and read back, which cuts its lineage."""
+    """df, written to the shared folder of spark.checkpoint.dir (on a local master, a temporary
+    one where that is unset) and read back, which cuts its lineage."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         atexit.register(shutil.rmtree, root[len("file://"):], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)

@@ -73,9 +73,13 @@ class Preprocessor:
         return 8 * n * len(self.names())
 
 
+#: A vocabulary is broadcast up to so many terms; a larger one is joined by a shuffle.
+MAX_BROADCAST_TERMS = 100_000
+
+
 def refuse_dense(df: DataFrame, numeric: list[str], categorical: list[str], limit: int = 2 << 30) -> int:
-    """Upper bound of the dense matrix's bytes; raises beyond the limit."""
-    row = df.agg(F.count("*").alias("n"), *[F.approx_count_distinct(c, 0.01).alias(c) for c in categorical]).first()
+    """Upper bound of the dense matrix's bytes, from exact counts; raises beyond the limit."""
+    row = df.agg(F.count("*").alias("n"), *[F.count_distinct(c).alias(c) for c in categorical]).first()
     size = int(8 * row["n"] * (2 * len(numeric) + sum(row[c] + 1 for c in categorical)))
     if size > limit:
         raise ValueError(f"a dense matrix of {size} bytes")
@@ -83,19 +87,24 @@ def refuse_dense(df: DataFrame, numeric: list[str], categorical: list[str], limi
 
 
 def vocabulary(docs: DataFrame, text: str, max_features: int = 5000, min_df: int = 1) -> DataFrame:
-    """term, tf, df, idf, place of the most frequent uni- and bigrams (ties by term)."""
+    """term, tf, df, idf of the most frequent uni- and bigrams (ties by term). Texts are cut once;
+    one shuffle of partial sums counts occurrences and documents together."""
     n = docs.select(F.count("*").alias("n"))
-    terms = docs.select(unigrams_bigrams(tokens(F.col(text))).alias("t"))
-    counts = terms.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
-    df_ = terms.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    top = counts.join(df_, "term").where(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(max_features)
+    terms = docs.select(tokens(F.col(text)).alias("w")).select(unigrams_bigrams(F.col("w")).alias("t"))
+    one = lambda tf, df: lambda x: F.struct(x.alias("term"), F.lit(tf).cast("long").alias("tf"), F.lit(df).cast("long").alias("df"))
+    seen = terms.select(F.explode(F.concat(F.transform("t", one(1, 0)), F.transform(F.array_distinct("t"), one(0, 1)))).alias("s"))
+    counts = seen.groupBy("s.term").agg(F.sum("s.tf").alias("tf"), F.sum("s.df").alias("df"))
+    top = counts.where(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(max_features)
     return top.crossJoin(F.broadcast(n)).select("term", "tf", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def tfidf(docs: DataFrame, id_col: str, text: str, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
     """id, term, weight of each row's vocabulary terms, of unit length per row."""
     terms = docs.select(id_col, F.explode(unigrams_bigrams(tokens(F.col(text)))).alias("term"))
-    tf = terms.join(F.broadcast(vocab.select("term", "idf")), "term").groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
+    known = vocab.select("term", "idf")
+    if known.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
+        known = F.broadcast(known)
+    tf = terms.join(known, "term").groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
     w = (1 + F.log("tf") if sublinear else F.col("tf")) * F.col("idf")
     raw = tf.select(id_col, "term", w.alias("w"))
     norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

@@ -12,25 +12,35 @@ from pyspark.sql import functions as F
 MAX_FIT_ROWS = 2_000_000
 
 
+#: Features of a linear fit or of principal components: one matrix of their square in the driver.
+MAX_FEATURES = 6_000
+
+
 def gram(df: DataFrame, x: str, y: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, A'A, A'y) with A = [x, 1], as partial sums per batch: the wire carries matrices only."""
+    """(n, A'A, A'y) with A = [x, 1]. Each task sums its own rows' products; the sums are added
+    up row by row of the matrix in the cluster, so the driver gets one matrix, however many tasks
+    there are. More than MAX_FEATURES features are refused."""
     def run(batches):
-        total, target, n = None, None, 0
+        total, n = None, 0
         for pdf in batches:
             if len(pdf):
-                a = np.column_stack([np.stack(pdf[x].to_numpy()), np.ones(len(pdf))]).astype(float)
-                b = pdf[y].to_numpy(float)
-                total = a.T @ a if total is None else total + a.T @ a
-                target = a.T @ b if target is None else target + a.T @ b
+                a = np.column_stack([np.stack(pdf[x].to_numpy()), np.ones(len(pdf)), pdf[y].to_numpy(float)]).astype(float)
+                if a.shape[1] > MAX_FEATURES + 2:
+                    raise ValueError(f"more than {MAX_FEATURES} features")
+                total = a[:, :-1].T @ a if total is None else total + a[:, :-1].T @ a
                 n += len(pdf)
         if n:
-            yield pd.DataFrame({"n": [n], "xx": [total.ravel()], "xy": [target]})
-    parts = df.select(x, y).mapInPandas(run, "n long, xx array<double>, xy array<double>")
-    summed = parts.toPandas()  # a matrix per partition
+            yield pd.DataFrame({"row": np.arange(len(total)), "sums": list(total)})
+
+    def add(pdf):
+        return pd.DataFrame({"row": pdf["row"].iloc[:1], "sums": [np.sum(np.stack(pdf["sums"]), axis=0)]})
+
+    parts = df.select(x, y).mapInPandas(run, "row int, sums array<double>")
+    summed = parts.groupBy("row").applyInPandas(add, "row int, sums array<double>").toPandas().sort_values("row")  # one row per feature
     if not len(summed):
         raise ValueError("no rows")
-    xy = np.sum(np.stack(summed["xy"]), axis=0)
-    return int(summed["n"].sum()), np.sum(np.stack(summed["xx"]), axis=0).reshape(len(xy), len(xy)), xy
+    both = np.stack(summed["sums"])
+    return int(round(both[-1, -2])), both[:, :-1], both[:, -1]
 
 
 class Linear:
@@ -246,7 +256,7 @@ def project(df: DataFrame, x: str, mean, parts, name: str = "scores") -> DataFra
 
 
 def kmeans(df: DataFrame, x: str, k: int, seeds: int = 10, rounds: int = 50, sample: int = 20_000):
-    """(centres, cost): Lloyd's rounds over the whole table from the best of several starts on
+    """(centres, their cost): Lloyd's rounds over the whole table from the best of several starts on
     a bounded sample. Each round sends k sums per partition."""
     pdf = df.select(x).orderBy(F.xxhash64(x)).limit(sample).toPandas()
     points = np.stack(pdf[x].to_numpy()).astype(float)
@@ -268,7 +278,8 @@ def kmeans(df: DataFrame, x: str, k: int, seeds: int = 10, rounds: int = 50, sam
             c = np.stack([points[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
         if best is None or d.sum() < best[1]:
             best = (c, d.sum())
-    c, cost = best[0], np.inf
+    c = last = best[0]
+    cost = np.inf
     for _ in range(rounds):
         def run(batches, c=c):
             for b in batches:
@@ -284,8 +295,8 @@ def kmeans(df: DataFrame, x: str, k: int, seeds: int = 10, rounds: int = 50, sam
         now = float(got["d"].sum())
         if now >= cost - 1e-9:
             break
-        c, cost = new, now
-    return c, cost
+        last, c, cost = c, new, now
+    return last, cost
 
 
 def assign_clusters(df: DataFrame, x: str, centres, name: str = "cluster") -> DataFrame:

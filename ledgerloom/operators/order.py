@@ -5,22 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import written
+
 
 def round_robin(df: DataFrame, queue: str, item: str) -> DataFrame:
     """df with turn, the item's place in its queue; ordering by (turn, queue) takes the i-th
-    item of every queue before any (i+1)-th."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(queue).orderBy(item)))
+    item of every queue before any (i+1)-th.
+
+    Rows are dealt by ranges of (queue, item), so that a hot queue lies in many tasks; what
+    comes together for a queue is a count per task."""
+    ranged = written(df.repartitionByRange(queue, item).withColumn("__part", F.spark_partition_id()), "round-robin")
+    counts = ranged.groupBy(queue, "__part").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(queue).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(F.col(queue).alias("__q"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__part", queue).orderBy(item))
+    placed = ranged.withColumn("__own", own).join(base, (F.col("__part") == F.col("__p")) & F.col(queue).eqNullSafe(F.col("__q")))
+    return placed.select(*df.columns, (F.col("__base") + F.col("__own")).cast("int").alias("turn"))
 
 
 def batches(df: DataFrame, queue: str, item: str, size: int) -> DataFrame:
     """df with turn, seq (the global place of a round-robin drain) and batch.
 
-    seq needs no global sort in one task: it is the number of rows in earlier turns, from a
-    count per turn, and the place within the turn.
+    seq needs no global sort: it is the number of rows in earlier turns and the place within
+    the turn. Turns are summed in runs of 4,096, and only the runs' sums are added up in one task.
     """
     turns = round_robin(df, queue, item)
-    per = turns.groupBy("turn").agg(F.count("*").alias("n"))
-    before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    per = turns.groupBy("turn").agg(F.count("*").alias("n")).withColumn("run", F.expr("turn div 4096"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = per.groupBy("run").agg(F.sum("n").alias("n")).select("run", earlier(Window.orderBy("run")).alias("base"))
+    before = per.withColumn("own", earlier(Window.partitionBy("run").orderBy("turn"))).join(runs, "run").select("turn", (F.col("base") + F.col("own")).alias("before"))
     placed = turns.join(before, "turn").withColumn("seq", F.col("before") + F.row_number().over(Window.partitionBy("turn").orderBy(queue)))
     return placed.drop("before").withColumn("batch", F.floor((F.col("seq") - 1) / size).cast("long"))
 

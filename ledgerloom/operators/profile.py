@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import json_map, json_type, missingness, width_bin
+from ..functions.values import json_map, json_text, json_type, missingness, width_bin
 
 
 def category_inventory(df: DataFrame, columns: list[str], missing: str = "<MISSING>") -> DataFrame:
@@ -16,6 +16,27 @@ def category_inventory(df: DataFrame, columns: list[str], missing: str = "<MISSI
     return df.select(F.explode(pairs).alias("p")).groupBy("p.field", "p.value").agg(F.count("*").alias("n"))
 
 
+def raw_inventory(df: DataFrame, json_col: str, fields: list[str], pairs: list = (), missing: str = "<MISSING>", empty: str = "<EMPTY>") -> DataFrame:
+    """field, value, n over the top-level keys of JSON objects, in one scan: absent and null
+    values count as missing, empty texts as empty. pairs: (name, [keys, ...], separator), each
+    part the first of its keys that holds a value; what has none is missing in the first part
+    and empty in the others."""
+    m = F.col("__m")
+    text = lambda k: json_text(F.element_at(m, F.lit(k)))
+    rows = [F.struct(F.lit(f).alias("field"), F.when(text(f).isNull(), missing).when(text(f) == "", empty).otherwise(text(f)).alias("value")) for f in fields]
+    for name, parts, separator in pairs:
+        values = [F.coalesce(*[F.nullif(text(k), F.lit("")) for k in keys], F.lit(empty if i else missing)) for i, keys in enumerate(parts)]
+        rows.append(F.struct(F.lit(name).alias("field"), F.concat_ws(separator, *values).alias("value")))
+    known = df.select(json_map(F.col(json_col)).alias("__m")).where("__m IS NOT NULL")
+    return known.select(F.explode(F.array(*rows)).alias("p")).groupBy("p.field", "p.value").agg(F.count("*").alias("n"))
+
+
+def segment_summary(df: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:
+    """by, n, and mean and median of each measure: descriptions of segments after their fit."""
+    stats = [f(c).alias(f"{name}_{of}") for name, c in measures.items() for of, f in (("mean", F.avg), ("median", F.median))]
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *stats)
+
+
 def column_missingness(df: DataFrame, columns: list[str], blank_is_empty: bool = False) -> DataFrame:
     """field, null_n, empty_n, missing_n, fraction per column, in one aggregate."""
     aggs = []

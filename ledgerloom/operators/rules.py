@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,7 +69,17 @@ def match_rules(df: DataFrame, rules: DataFrame, *, make: str, name: str, year:
     identity fits, some required engine value is null and none contradicts. The rules of a
     row's make are looked up in a broadcast map, so rows stay where they are.
     """
-    def fits(r):
+    return match_rule_kinds(df, rules, {"rule_ids": (mode, None, None)}, make=make, name=name, year=year, engine=engine, max_rules=max_rules)
+
+
+def match_rule_kinds(df: DataFrame, rules: DataFrame, kinds: dict, *, make: str, name: str, year: str, engine: Sequence[tuple[str, str]] = (), max_rules: int = 10_000) -> DataFrame:
+    """df with a column of matching ids for each of kinds, {column: (mode, keep, form)}: keep(r)
+    says which rules count (None: all), form(id) what is listed (None: the id). The rules are
+    looked up once; see match_rules."""
+    def fits(mode, keep):
+        return lambda r: F.coalesce(_fit(r, mode) if keep is None else keep(r) & _fit(r, mode), F.lit(False))
+
+    def _fit(r, mode):
         on = F.col(year).between(r["year_min"], r["year_max"]) & F.regexp_like(F.col(name), r["pattern"])
         some = F.lit(mode != "missing")
         for value, column in engine if mode != "identity" else ():
@@ -75,11 +87,15 @@ def match_rules(df: DataFrame, rules: DataFrame, *, make: str, name: str, year:
             unknown = value.isNull() if mode == "missing" else F.lit(False)
             on = on & (need.isNull() | unknown | F.coalesce(F.abs(value - need) < 1e-6, F.lit(False)))
             some = some | (need.isNotNull() & value.isNull())
-        return F.coalesce(on & some, F.lit(False))
+        return on & some
+
+    def ids(mode, keep, form):
+        found = F.transform(F.filter("__mine", fits(mode, keep)), lambda r: r["rule_id"])
+        listed = F.array_sort(found) if form is None else F.transform(F.array_sort(found), form)
+        return F.coalesce(listed, F.array().cast("array<string>"))
 
-    found = F.filter(F.element_at("__rules", casefold(strip(F.col(make)))), fits)
-    ids = F.coalesce(F.array_sort(F.transform(found, lambda r: r["rule_id"])), F.array().cast("array<string>"))
-    return _by_make(df, rules, max_rules).withColumn("rule_ids", ids).drop("__rules")
+    told = _by_make(df, rules, max_rules).withColumn("__mine", F.element_at("__rules", casefold(strip(F.col(make))))).drop("__rules")
+    return told.withColumns({c: ids(*kind) for c, kind in kinds.items()}).drop("__mine")
 
 
 def in_rule_range(df: DataFrame, rules: DataFrame, *, make: str, year: str, column: str = "in_range", max_rules: int = 10_000) -> DataFrame:
@@ -88,9 +104,10 @@ def in_rule_range(df: DataFrame, rules: DataFrame, *, make: str, year: str, colu
     return _by_make(df, rules, max_rules).withColumn(column, F.coalesce(hit, F.lit(False))).drop("__rules")
 
 
-def check_rule_table(rows: list[dict]) -> None:
-    """Raise on repeated ids, unbounded or reversed years, missing sources, or engine values
-    that aren't positive."""
+def check_rule_table(rows: list[dict], technologies: Sequence[str] | None = None, years: tuple[int, int] | None = None) -> None:
+    """Raise on repeated ids, a missing make, a pattern that isn't one, unknown technologies,
+    unbounded or reversed years or such outside of `years`, missing sources, or engine values
+    that aren't finite and positive."""
     seen = set()
     for r in rows:
         if not r.get("rule_id") or r["rule_id"] in seen:
@@ -98,8 +115,19 @@ def check_rule_table(rows: list[dict]) -> None:
         seen.add(r["rule_id"])
         if not (isinstance(r.get("year_min"), int) and isinstance(r.get("year_max"), int) and r["year_min"] <= r["year_max"]):
             raise ValueError(f"years of {r['rule_id']}")
+        if years and not years[0] <= r["year_min"] <= r["year_max"] <= years[1]:
+            raise ValueError(f"years of {r['rule_id']} leave {years}")
+        if not isinstance(r.get("make"), str) or not r["make"].strip():
+            raise ValueError(f"no make for {r['rule_id']}")
+        try:
+            re.compile(r.get("pattern") or "(")
+        except re.error:
+            raise ValueError(f"pattern of {r['rule_id']}") from None
+        if technologies is not None and r.get("technology") not in technologies:
+            raise ValueError(f"technology of {r['rule_id']}")
         if not r.get("source"):
             raise ValueError(f"no source for {r['rule_id']}")
         for k in ("displacement", "cylinders"):
-            if r.get(k) is not None and not r[k] > 0:
+            v = r.get(k)
+            if v is not None and (isinstance(v, bool) or not isinstance(v, (int, float)) or not 0 < v < math.inf):
                 raise ValueError(f"{k} of {r['rule_id']}")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import FITS, MAX_FIT_ROWS
+from .models import FITS, MAX_FEATURES, MAX_FIT_ROWS
 
 
 def check_candidates(candidates: list[tuple[str, dict]], most: int = 12) -> None:
@@ -27,6 +27,66 @@ def _mae(a, b):
     return float(np.abs(a - b).mean())
 
 
+def fold_grams(df: DataFrame, x: str, y: str, fold: str) -> dict[int, np.ndarray]:
+    """[x, 1]'[x, 1, y] of the rows of each fold: one pass, sums added up in the cluster."""
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for f, some in pdf.groupby(fold):
+                a = np.column_stack([np.stack(some[x].to_numpy()), np.ones(len(some)), some[y].to_numpy(float)]).astype(float)
+                if a.shape[1] > MAX_FEATURES + 2:
+                    raise ValueError(f"more than {MAX_FEATURES} features")
+                total[f] = total.get(f, 0) + a[:, :-1].T @ a
+        for f, sums in total.items():
+            yield pd.DataFrame({"fold": np.full(len(sums), f), "row": np.arange(len(sums)), "sums": list(sums)})
+
+    def add(pdf):
+        return pd.DataFrame({"fold": pdf["fold"].iloc[:1], "row": pdf["row"].iloc[:1], "sums": [np.sum(np.stack(pdf["sums"]), axis=0)]})
+
+    schema = "fold int, row int, sums array<double>"
+    got = df.select(x, y, F.col(fold).cast("int").alias(fold)).mapInPandas(run, schema).groupBy("fold", "row").applyInPandas(add, schema).toPandas()
+    return {int(f): np.stack(g.sort_values("row")["sums"]) for f, g in got.groupby("fold")}
+
+
+def ridge(both: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept (free of penalty) from [x, 1]'[x, 1, y]."""
+    k, n = len(both) - 1, both[-1, -2]
+    mean, ymean = both[k, :k] / n, both[k, -1] / n
+    centred, target = both[:k, :k] - n * np.outer(mean, mean), both[:k, -1] - n * mean * ymean
+    coef = np.linalg.solve(centred + alpha * np.eye(k), target) if alpha else np.linalg.pinv(centred, hermitian=True, rcond=1e-10) @ target
+    return coef, float(ymean - mean @ coef)
+
+
+def ridge_grid(df: DataFrame, arms: dict[str, str], alphas: list[float], y: str, fold: str) -> DataFrame:
+    """model (arm), alpha, mae_mean, mae_std (over the folds, population), arm_choice, selected.
+
+    arms: name to an array<double> column of df, in order of preference. The other folds' sums
+    are all sums without a fold's own, so each arm takes one pass for all folds and alphas, and
+    one pass scores them. An arm chooses by the least mean, then the least deviation, then the
+    order of alphas; of the arms' choices the best by the same, then the order of arms, is
+    selected.
+    """
+    if not arms or not alphas or len(set(alphas)) != len(alphas) or any(a < 0 for a in alphas):
+        raise ValueError("arms and different alphas from 0 are asked for")
+    rows = []
+    for at, (arm, x) in enumerate(arms.items()):
+        grams = fold_grams(df, x, y, fold)
+        if len(grams) < 2:
+            raise ValueError("fewer than two folds")
+        every = sum(grams.values())
+        fits = {(f, a): ridge(every - own, alpha) for f, own in grams.items() for a, alpha in enumerate(alphas)}
+        errors = F.lit(None).cast("array<double>")
+        for f in grams:
+            dot = lambda w: F.aggregate(F.zip_with(F.col(x), F.array(*[F.lit(float(c)) for c in w]), lambda u, v: u * v), F.lit(0.0), lambda u, v: u + v)
+            errors = F.when(F.col(fold) == f, F.array(*[F.abs(dot(fits[f, a][0]) + fits[f, a][1] - F.col(y)) for a in range(len(alphas))])).otherwise(errors)
+        per = df.select(fold, F.posexplode(errors).alias("a", "e")).groupBy(fold, "a").agg(F.avg("e").alias("mae"))
+        for r in per.groupBy("a").agg(F.avg("mae").alias("m"), F.stddev_pop("mae").alias("s")).collect():  # a row per alpha
+            rows.append((arm, alphas[r.a], r.m, r.s, at, r.a))
+    choices = {min((r for r in rows if r[4] == at), key=lambda r: (r[2], r[3], r[5])) for at in range(len(arms))}
+    best = min(choices, key=lambda r: (r[2], r[3], r[4]))
+    return df.sparkSession.createDataFrame([(*r[:4], r in choices, r == best) for r in sorted(rows, key=lambda r: r[4:])], "model string, alpha double, mae_mean double, mae_std double, arm_choice boolean, selected boolean")
+
+
 def nested_search(df: DataFrame, candidates: list[tuple[str, dict]], group: str, outer: int = 5, inner: int = 3, seed: int = 42) -> DataFrame:
     """model, context (outer fold, or -1 for the selection on all rows), candidate, mae, chosen.
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize
+from ..functions.values import strip
 from ..sources.sinks import write_json, write_once
 from .features import Preprocessor
 from .models import Linear, Median
@@ -26,6 +27,35 @@ def select_arm(df: DataFrame, arm: str, structured: list[str], keep: list[str] =
     return df.select(*keep, *structured, *[sanitize(F.col(c)).alias(c) for c in ARMS[arm]])
 
 
+def ids_digest(df: DataFrame, id_col: str) -> str:
+    """SHA-256 of the ids, sorted as texts, as a compact JSON list. The list is hashed as it
+    comes, a partition at a time, and never held."""
+    h, first = hashlib.sha256(b"["), True
+    for r in df.select(F.col(id_col).cast("string").alias("i")).orderBy("i").toLocalIterator():
+        h.update((b"" if first else b",") + json.dumps(r.i).encode())
+        first = False
+    h.update(b"]")
+    return h.hexdigest()
+
+
+def interface_schema(train: DataFrame, categorical: list[str], numeric: list[str], id_col: str, allowed: dict[str, list[str]] | None = None) -> DataFrame:
+    """field, options, median from training rows alone: the sorted stripped values of categories
+    (within allowed, if given) and the medians of numbers, null where there are none; and a row
+    `training_rows` with their number as median and the digest of their ids as its option.
+    Rows of another split, or none at all, raise."""
+    if not train.limit(1).count():
+        raise ValueError("no training rows")
+    if "split" in train.columns and train.where("NOT split <=> 'train'").limit(1).count():
+        raise ValueError("the interface is described by training rows only")
+    aggs = [F.array_sort(F.collect_set(F.nullif(strip(F.col(c).cast("string")), F.lit("")))).alias(c) for c in categorical] + [F.median(c).alias(c) for c in numeric]
+    one = train.agg(*aggs, F.count("*").cast("double").alias("__n"))
+    listed = lambda c: F.array_sort(F.array_intersect(F.col(c), F.array(*map(F.lit, allowed[c])))) if c in (allowed or {}) else F.col(c)
+    rows = [F.struct(F.lit(c).alias("field"), listed(c).alias("options"), F.lit(None).cast("double").alias("median")) for c in categorical]
+    rows += [F.struct(F.lit(c).alias("field"), F.lit(None).cast("array<string>").alias("options"), F.col(c).cast("double").alias("median")) for c in numeric]
+    rows.append(F.struct(F.lit("training_rows").alias("field"), F.array(F.lit(ids_digest(train, id_col))).alias("options"), F.col("__n").alias("median")))
+    return one.select(F.inline(F.array(*rows)))
+
+
 class TargetScaler:
     """Standardises the target by training rows and undoes it on predictions."""
 

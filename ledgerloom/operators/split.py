@@ -50,6 +50,35 @@ def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     return df.sparkSession.createDataFrame([(r[0], fold[i]) for i, r in enumerate(rows)], f"{group} {df.schema[group].dataType.simpleString()}, cv_fold int")
 
 
+#: Fixed values of the split protocol.
+PROTOCOL = {"method": "GroupShuffleSplit", "test_group_fraction": 0.2, "random_state": 42, "cv_method": "GroupKFold", "cv_n_splits": 5, "cv_shuffle": False,
+            "group_fields": ["manufacturer", "base_model"], "fallback_group_field": "model_name"}
+
+
+def check_protocol(split: dict) -> None:
+    """Raise on any setting of a split that departs from the locked protocol."""
+    off = sorted(k for k, v in PROTOCOL.items() if k not in split or split[k] != v)
+    if off:
+        raise ValueError(f"the split protocol is locked; changed: {', '.join(off)}")
+
+
+def check_predictions(predictions: DataFrame, manifest: DataFrame, id_col: str) -> DataFrame:
+    """check, n over predictions (id, model, split, fold) against the manifest (id, split,
+    cv_fold): per model, test and training ids exactly once, no fold on test rows, and the
+    manifest's folds on training rows."""
+    models = predictions.select("model").distinct()
+    m = manifest.select(id_col, F.col("split").alias("s"), F.col("cv_fold").alias("f"))
+    wanted = m.crossJoin(F.broadcast(models))  # a handful of models
+    p = predictions.select(id_col, "model", F.when(F.col("split") == "test", "test").otherwise("train").alias("s"), F.col("fold").alias("pf"))
+    checks = {
+        "missing": F.col("n").isNull(), "unknown": (F.col("n") > 0) & ~F.col("known"), "repeated": F.col("n") > 1,
+        "test_with_fold": (F.col("s") == "test") & F.col("pf").isNotNull(), "other_fold": F.col("known") & (F.col("s") == "train") & F.col("n").isNotNull() & ~F.col("pf").eqNullSafe(F.col("f")),
+    }
+    both = wanted.withColumn("known", F.lit(True)).join(p.groupBy(id_col, "model", "s").agg(F.count("*").alias("n"), F.max("pf").alias("pf")), [id_col, "model", "s"], "full").withColumn("known", F.coalesce("known", F.lit(False)))
+    rows = F.array(*[F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(False)).cast("long").alias("off")) for k, v in checks.items()])
+    return both.select(F.inline(rows)).groupBy("check").agg(F.sum("off").alias("n"))
+
+
 def check_manifest(frame: DataFrame, manifest: DataFrame, id_col: str, group: str, k: int = 5) -> DataFrame:
     """check, n: violations; all zero for a sound manifest. Coverage both ways, groups on one
     side only, folds on training rows only and complete, one fold per group."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
-from ..operators import dedup, evaluate, families, features, joins, models, order, profile, rules, search, split
+from ..operators import dedup, evaluate, families, features, joins, models, order, profile, rules, search, serve, split
 from ..sources import files
 from . import vehicles
 
@@ -380,9 +380,12 @@ def indicator_join(spark, sf_dir):
     return joins.many_to_one(o, table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), ["c_custkey"]).select("o_orderkey", "c_mktsegment")
 
 
-@query("""SELECT 'left' AS side, c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT 'right', o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+@query("""WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_mktsegment <> 'BUILDING'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT 'left' AS side, k FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT 'right', k FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def anti_overlap(spark, sf_dir):
-    return joins.set_difference(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
+    """Customers of other segments without an urgent order, and urgent buyers of that segment."""
+    customers = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("k"))
+    return joins.set_difference(customers, table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")), "k")
 
 
 # Families.
@@ -410,14 +413,14 @@ def family_assignment(spark, sf_dir):
     return families.assign(_named(spark, sf_dir), "p_partkey", "p_brand", "name", "base", aliases)
 
 
-_AL = "al AS (SELECT DISTINCT lower(p_brand) AS make, lower(p_name) AS name, lower(p_type) || '-' || (p_size % 9) AS base FROM part WHERE p_partkey % 4 <> 3)"
+_AL = "al AS (SELECT DISTINCT lower(p_brand) AS make, lower(p_name) AS name, lower(p_type) || '-' || (p_size % 9) AS base FROM part)"
 
 
 @query(f"""WITH RECURSIVE {_AL}, e AS (SELECT DISTINCT a.make, a.base AS x, b.base AS y FROM al a JOIN al b ON a.make = b.make AND a.name = b.name AND a.base <> b.base),
 w AS (SELECT make, x AS base, x AS other FROM e UNION SELECT w.make, w.base, e.y FROM w JOIN e ON e.make = w.make AND e.x = w.other)
 SELECT make, base, min(other) AS canonical FROM w GROUP BY make, base""")
 def alias_components(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey % 4 <> 3").select("p_brand", "p_name", F.concat("p_type", F.lit("-"), (F.col("p_size") % 9).cast("string")).alias("base"))
+    p = table(spark, sf_dir, "part").select("p_brand", "p_name", F.concat("p_type", F.lit("-"), (F.col("p_size") % 9).cast("string")).alias("base"))
     return families.alias_components(p, "p_brand", "p_name", "base").select("make", "base", "canonical")
 
 
@@ -465,10 +468,44 @@ def group_kfold(spark, sf_dir):
     return o.join(split.group_folds(o, "o_custkey"), "o_custkey").groupBy("cv_fold").agg(F.count("*").alias("n_rows"), F.count_distinct("o_custkey").alias("n_groups"))
 
 
-@query("SELECT unnest(['missing_ids', 'unknown_ids', 'repeated_ids', 'groups_in_both_splits', 'test_rows_with_fold', 'train_rows_without_fold', 'groups_in_several_folds']) AS \"check\", CAST(0 AS BIGINT) AS n")
+_MANIFEST = f"""o AS (SELECT o_orderkey AS id, o_custkey AS g FROM orders),
+m AS (SELECT CASE WHEN id % 11 = 0 THEN -id ELSE id END AS id, g, CASE WHEN g % 5 = 0 OR id % 13 = 0 THEN 'test' ELSE 'train' END AS split,
+  CASE WHEN id % 17 = 0 THEN NULL WHEN id % 19 = 0 THEN 7 WHEN g % 5 = 0 AND id % 23 <> 0 THEN NULL ELSE g % 4 + id % 29 // 28 END AS f FROM o UNION ALL SELECT id, g, 'train', 1 FROM o WHERE id % 31 = 0)"""
+
+
+def _broken_manifest(spark, sf_dir):
+    """A manifest with every kind of fault, and its frame."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("g"))
+    i, g = F.col("id"), F.col("g")
+    fold = F.when(i % 17 == 0, None).when(i % 19 == 0, 7).when((g % 5 == 0) & (i % 23 != 0), None).otherwise(g % 4 + F.floor(i % 29 / 28))
+    m = o.select(F.when(i % 11 == 0, -i).otherwise(i).alias("id"), "g", F.when((g % 5 == 0) | (i % 13 == 0), "test").otherwise("train").alias("split"), fold.cast("int").alias("cv_fold"))
+    return o, m.unionByName(o.where("id % 31 = 0").select("id", "g", F.lit("train").alias("split"), F.lit(1).alias("cv_fold")))
+
+
+@query(f"""WITH {_MANIFEST} SELECT 'missing_ids' AS "check", count(*) AS n FROM o WHERE id NOT IN (SELECT id FROM m)
+UNION ALL SELECT 'unknown_ids', count(*) FROM m WHERE id NOT IN (SELECT id FROM o)
+UNION ALL SELECT 'repeated_ids', count(*) FROM (SELECT id FROM m GROUP BY id HAVING count(*) > 1)
+UNION ALL SELECT 'groups_in_both_splits', count(*) FROM (SELECT g FROM m GROUP BY g HAVING count(DISTINCT split) > 1)
+UNION ALL SELECT 'test_rows_with_fold', count(*) FROM m WHERE split = 'test' AND f IS NOT NULL
+UNION ALL SELECT 'train_rows_without_fold', count(*) FROM m WHERE split = 'train' AND (f IS NULL OR f < 0 OR f > 4)
+UNION ALL SELECT 'groups_in_several_folds', count(*) FROM (SELECT g FROM m WHERE split = 'train' GROUP BY g HAVING count(DISTINCT f) > 1)""")
 def manifest_validation(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return split.check_manifest(o, split.build_manifest(o, "o_orderkey", "o_custkey"), "o_orderkey", "o_custkey")
+    o, m = _broken_manifest(spark, sf_dir)
+    return split.check_manifest(o, m, "id", "g")
+
+
+@query(f"""WITH {_MANIFEST}, p AS (SELECT id, 'a' AS model, CASE WHEN id % 7 = 0 THEN 'train_oof' ELSE CASE split WHEN 'test' THEN 'test' ELSE 'train_oof' END END AS split, CASE WHEN id % 3 = 0 THEN 2 ELSE f END AS fold FROM m WHERE id % 37 <> 0),
+d AS (SELECT id, any_value(split) AS s, any_value(f) AS f FROM m GROUP BY id HAVING count(*) = 1),
+q AS (SELECT id, CASE split WHEN 'test' THEN 'test' ELSE 'train' END AS s, count(*) AS n, max(fold) AS pf FROM p WHERE id IN (SELECT id FROM d) GROUP BY ALL),
+b AS (SELECT coalesce(d.s, q.s) AS s, d.id IS NOT NULL AS known, n, pf, f FROM d FULL JOIN q ON d.id = q.id AND d.s = q.s)
+SELECT 'missing' AS "check", CAST(count(*) FILTER (WHERE n IS NULL) AS BIGINT) AS n FROM b UNION ALL SELECT 'unknown', count(*) FILTER (WHERE n > 0 AND NOT known) FROM b UNION ALL SELECT 'repeated', count(*) FILTER (WHERE n > 1) FROM b
+UNION ALL SELECT 'test_with_fold', count(*) FILTER (WHERE s = 'test' AND pf IS NOT NULL) FROM b UNION ALL SELECT 'other_fold', count(*) FILTER (WHERE known AND s = 'train' AND n IS NOT NULL AND pf IS DISTINCT FROM f) FROM b""")
+def prediction_coverage(spark, sf_dir):
+    """Predictions with missing rows, other splits and other folds, against their manifest."""
+    m = _broken_manifest(spark, sf_dir)[1]
+    single = m.groupBy("id").agg(F.count("*").alias("k"), F.first("split").alias("split"), F.first("cv_fold").alias("cv_fold")).where("k = 1").drop("k")
+    p = single.where("id % 37 <> 0").select("id", F.lit("a").alias("model"), F.when((F.col("id") % 7 == 0) | (F.col("split") != "test"), "train_oof").otherwise("test").alias("split"), F.when(F.col("id") % 3 == 0, 2).otherwise(F.col("cv_fold")).alias("fold"))
+    return split.check_predictions(p, single, "id")
 
 
 @query("""SELECT o_orderkey, CASE WHEN CAST('0x' || substr(sha256('42:' || o_custkey), 1, 8) AS BIGINT) / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS split FROM orders""")
@@ -494,11 +531,15 @@ def dense_memory_bound(spark, sf_dir):
     return spark.range(1).select(F.lit(n).cast("long").alias("bytes"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'EcoBoost V8 Turbo' WHEN 1 THEN 'EcoBoost V8 Turbo' WHEN 2 THEN 'EcoBoost V8 Turbo' ELSE p_name END AS clean FROM part""")
+@query("SELECT p_partkey, p_name || ' ' || p_type || ' V8' AS clean FROM part")
 def sanitize_text(spark, sf_dir):
-    leaks = F.array(F.lit("EcoBoost V8  27 MPG Turbo"), F.lit("EcoBoost V8 annual fuel cost: $2,500.00 Turbo"), F.lit("EcoBoost V8 guzzler Turbo "))
-    p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", X.sanitize(F.coalesce(F.get(leaks, (F.col("p_partkey") % 4).cast("int")), F.col("p_name"))).alias("clean"))
+    """One of 20 kinds of leaks, with amounts that vary by row, stands inside each text."""
+    n, s = (F.col("p_partkey") * 7 % 2999 + 1).cast("string"), F.col("p_size").cast("string")
+    forms = ["fuelCost08 {n}", "co2TailpipeGpm {n}", "barrels08 {s}.5", "youSaveSpend -{n}", "emissions: {n}", "${s},500/year", "{s} MPG", "MPG: {s}", "{s}.2 L/100 km", "L/100km={s}.2",
+             "fuel economy: {s} MPG", "EPA combined: {s}", "annual fuel cost: ${s},500.00", "CO2: {n} g/km", "{n} g/mi", "ghgScore={s}", "Gas GUZZLER", "efficiency score: {s}", "fuelCostA2={n} USD", "smartway score {s}"]
+    leaks = F.array(*[F.replace(F.replace(F.lit(f), F.lit("{n}"), n), F.lit("{s}"), s) for f in forms])
+    text = F.concat_ws("  ", "p_name", F.get(leaks, (F.col("p_partkey") % len(forms)).cast("int")), "p_type", F.lit("V8"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.sanitize(text).alias("clean"))
 
 
 @query(r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '(AKIA|ASIA)[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|-----BEGIN [A-Z ]*PRIVATE KEY-----|(password|token|secret|api_key) ?= ?\"?[A-Za-z0-9]{8,}')""")
@@ -521,7 +562,10 @@ def tfidf_weights(spark, sf_dir):
     return features.tfidf(p, "p_partkey", "text", features.vocabulary(p, "text"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<li(?:\s[^>]*)?>([^<]*(?:<(?:/?(?:a|b|i|em|strong|span)\b)[^>]*>[^<]*)*)', 1) AS items FROM pages),
+i AS (SELECT page_id, CAST(unnest(range(0, len(items))) AS INTEGER) AS position, unnest(items) AS item FROM l),
+t AS (SELECT page_id, position, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(item, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS item FROM i)
+SELECT page_id, position, nullif(regexp_extract(item, '^([A-Za-z][A-Za-z0-9_]*)\s*-\s*(.+)', 1), '') AS key, item AS meaning FROM t""")
 def html_list_items(spark, sf_dir):
     return files.list_items(table(spark, sf_dir, "pages"), "page_id", "html", keyed=False)
 
@@ -654,11 +698,12 @@ def paired_delta(spark, sf_dir):
     return evaluate.paired_delta(_pairs(spark, sf_dir), "dummy", ["by_quantity", "shrunk"]).select("model", F.round("mean_delta", 4).alias("mean_delta"), "n_better", "n")
 
 
-@query(f"WITH {_PRED} SELECT model, split, CAST(0 AS BIGINT) AS off FROM lg GROUP BY model, split HAVING false")
+@query(f"WITH {_PRED}, m AS (SELECT model, split, avg(abs(y_pred - y_true)) AS mae FROM lg GROUP BY model, split) SELECT model, split, round(mae + 0.5, 6) AS reported FROM m WHERE model = 'dummy' OR split = 'test'")
 def rederived_metrics(spark, sf_dir):
+    """Reported metrics of which the dummy's and the test split's were altered by hand."""
     m = evaluate.metrics(_predictions(spark, sf_dir), ["model", "split"])
-    bad = evaluate.check_reported(m.select("model", "split", "mae"), m, ["model", "split"], ["mae"], 1e-9)
-    return bad.select("model", "split", F.lit(0).cast("long").alias("off"))
+    told = m.select("model", "split", F.when((F.col("model") == "dummy") | (F.col("split") == "test"), F.col("mae") + 0.5).otherwise(F.col("mae")).alias("mae"))
+    return evaluate.check_reported(told, m, ["model", "split"], ["mae"], 1e-9).select("model", "split", F.round("mae", 6).alias("reported"))
 
 
 # Segments over the embeddings.
@@ -690,10 +735,16 @@ def silhouette(spark, sf_dir):
     return models.silhouette(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").select("vec_id", "label", F.round("silhouette", 6).alias("silhouette"))
 
 
-@query("SELECT label, count(*) AS n, round(avg(embedding[1]), 5) AS mean_1, round(median(embedding[1]::DOUBLE), 5) AS median_1 FROM embeddings GROUP BY label")
+@query("SELECT label, count(*) AS n, round(avg(embedding[1]), 5) AS first_mean, round(median(embedding[1]::DOUBLE), 5) AS first_median FROM embeddings GROUP BY label")
 def cluster_summary(spark, sf_dir):
-    x = F.get("embedding", F.lit(0)).cast("double")
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(x), 5).alias("mean_1"), F.round(F.median(x), 5).alias("median_1"))
+    out = profile.segment_summary(table(spark, sf_dir, "embeddings"), ["label"], {"first": F.get("embedding", F.lit(0)).cast("double")})
+    return out.select("label", "n", F.round("first_mean", 5).alias("first_mean"), F.round("first_median", 5).alias("first_median"))
+
+
+@query("SELECT p_type AS cluster, p_brand AS class, count(*) AS n, round(avg(p_size), 6) AS size_mean, median(p_size::DOUBLE) AS size_median FROM part GROUP BY ALL")
+def cluster_class_counts(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_type").alias("cluster"), F.col("p_brand").alias("class"), "p_size")
+    return profile.segment_summary(p, ["cluster", "class"], {"size": F.col("p_size").cast("double")}).withColumn("size_mean", F.round("size_mean", 6))
 
 
 def _cv(model, **options):
@@ -715,12 +766,12 @@ def nested_search(spark, sf_dir):
 
 # Serving.
 
-@query("""SELECT 'p_type' AS field, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS options, CAST(NULL AS DOUBLE) AS median FROM part WHERE p_partkey % 5 <> 0
-UNION ALL SELECT 'p_size', NULL, median(p_size) FROM part WHERE p_partkey % 5 <> 0""")
+@query("""WITH t AS (SELECT * FROM part WHERE p_partkey % 5 <> 0) SELECT 'p_type' AS field, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS options, CAST(NULL AS DOUBLE) AS median FROM t
+UNION ALL SELECT 'p_brand', string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) FILTER (WHERE p_brand IN ('Brand#1', 'Brand#2')), NULL FROM t UNION ALL SELECT 'p_size', NULL, median(p_size) FROM t
+UNION ALL SELECT 'training_rows', sha256('["' || string_agg(p_partkey::VARCHAR, '","' ORDER BY p_partkey::VARCHAR) || '"]'), count(*)::DOUBLE FROM t""")
 def interface_schema(spark, sf_dir):
-    train = table(spark, sf_dir, "part").where("p_partkey % 5 <> 0")
-    cat = train.select("p_type").distinct().agg(F.lit("p_type").alias("field"), F.array_join(F.array_sort(F.collect_list("p_type")), "|").alias("options"), F.lit(None).cast("double").alias("median"))
-    return cat.unionByName(train.agg(F.lit("p_size").alias("field"), F.lit(None).cast("string").alias("options"), F.median("p_size").alias("median")))
+    train = table(spark, sf_dir, "part").where("p_partkey % 5 <> 0")  # the training side of a split
+    return serve.interface_schema(train, ["p_type", "p_brand"], ["p_size"], "p_partkey", {"p_brand": ["Brand#1", "Brand#2"]}).withColumn("options", F.array_join("options", "|"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'hybrid_or_unconfirmed' WHEN 1 THEN 'model_year_out_of_scope' WHEN 2 THEN 'no_engine_specs' WHEN 3 THEN 'vehicle_class_out_of_scope' WHEN 4 THEN 'hybrid_text_signal'
@@ -735,6 +786,18 @@ def validate_inputs(spark, sf_dir):
     return vehicles.validate_inputs(p).select("p_partkey", "error")
 
 
+@query(f"""WITH {_MODEL}, s AS (SELECT x1 AS x, y, f FROM t), a AS (SELECT k AS alpha, h AS held FROM unnest([0.5, 5.0, 50.0]) u(k), range(0, 5) r(h)),
+g AS (SELECT held, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx, covar_pop(x, y) * count(*) AS sxy, avg(x2) AS mz, var_pop(x2) * count(*) AS szz, covar_pop(x2, y) * count(*) AS szy FROM (SELECT x1 AS x, x2, y, f FROM t), range(0, 5) r(held) WHERE f <> held GROUP BY held),
+e AS (SELECT 'size' AS model, alpha, a.held, avg(abs(my + (t.x1 - mx) * sxy / (sxx + alpha) - y)) AS mae FROM a JOIN g USING (held) JOIN t ON t.f = a.held GROUP BY ALL
+  UNION ALL SELECT 'price', alpha, a.held, avg(abs(my + (t.x2 - mz) * szy / (szz + alpha) - y)) FROM a JOIN g USING (held) JOIN t ON t.f = a.held GROUP BY ALL),
+m AS (SELECT model, alpha, avg(mae) AS mm, stddev_pop(mae) AS ms FROM e GROUP BY model, alpha),
+c AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY mm, ms, alpha) = 1 AS arm_choice FROM m)
+SELECT model, alpha::DOUBLE AS alpha, round(mm, 6) AS mae_mean, round(ms, 6) AS mae_std, arm_choice, arm_choice AND mm = (SELECT min(mm) FROM c) AS selected FROM c""")
+def ridge_arm_grid(spark, sf_dir):
+    d = _modelling(spark, sf_dir).withColumns({"size": F.slice("x", 1, 1), "price": F.slice("x", 2, 1)})
+    return search.ridge_grid(d, {"size": "size", "price": "price"}, [0.5, 5.0, 50.0], "y", "cv_fold").withColumns({c: F.round(c, 6) for c in ("mae_mean", "mae_std")})
+
+
 @query()
 def batch_score(spark, sf_dir):
     d = _modelling(spark, sf_dir)
@@ -774,6 +837,19 @@ def vehicle_clean(spark, sf_dir):
     return vehicles.normalise(_records(spark, sf_dir)).select("p_partkey", F.array_join("reasons", "|").alias("reasons"), F.round("target_l100km", 9).alias("target_l100km"))
 
 
+@query("""WITH t AS (SELECT CASE WHEN p_partkey % 10 = 3 THEN 'Vans' ELSE 'Compact Cars' END AS v, CASE WHEN p_partkey % 10 = 5 THEN 'Diesel' ELSE 'Regular Gasoline' END AS f, p_partkey % 10 = 6 AS nomotor, p_brand AS b FROM part)
+SELECT 'VClass' AS field, v AS value, count(*) AS n FROM t GROUP BY v UNION ALL SELECT 'fuelType1', f, count(*) FROM t GROUP BY f UNION ALL SELECT 'fuelType2', '<EMPTY>', count(*) FROM t UNION ALL SELECT 'atvType', '<EMPTY>', count(*) FROM t
+UNION ALL SELECT 'evMotor', CASE WHEN nomotor THEN '<MISSING>' ELSE '<EMPTY>' END, count(*) FROM t GROUP BY ALL UNION ALL SELECT 'make', b, count(*) FROM t GROUP BY b UNION ALL SELECT 'vehicle_class_atv_pair', v || '::<EMPTY>', count(*) FROM t GROUP BY v""")
+def raw_categories(spark, sf_dir):
+    return vehicles.raw_categories(_records(spark, sf_dir))
+
+
+@query("""SELECT CASE WHEN p_partkey % 4 = 0 THEN 'SUV' WHEN p_partkey % 4 = 1 THEN 'Station wagons' WHEN p_partkey % 4 = 2 THEN 'Cars' END AS family, count(*) AS n FROM part GROUP BY ALL""")
+def class_families(spark, sf_dir):
+    names = F.array(F.lit("Small Sport Utility Vehicle 2WD"), F.lit("Midsize Station Wagons"), F.lit("Two Seaters"), F.lit(None))
+    return table(spark, sf_dir, "part").groupBy(vehicles.class_family(F.get(names, (F.col("p_partkey") % 4).cast("int"))).alias("family")).agg(F.count("*").alias("n"))
+
+
 # Coverage and contamination joins of the corpus tables.
 
 @query("SELECT source, count(*) AS n, count(quality) AS labelled, count(*) FILTER (WHERE quality IS NULL) AS unlabelled FROM documents LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) USING (doc_id) GROUP BY source")

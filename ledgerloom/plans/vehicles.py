@@ -9,8 +9,8 @@ from ..functions.values import (alias_value, boolean_field, casefold, checked_nu
                                 string_field, strip)
 from ..operators.components import written
 from ..operators.dedup import candidates, comparable_json, resolution
-from ..operators.profile import category_inventory
-from ..operators.rules import funnel, in_rule_range, match_rules, prefix_stage, reason_counts
+from ..operators.profile import category_inventory, raw_inventory
+from ..operators.rules import check_rule_table, funnel, in_rule_range, match_rule_kinds, match_rules, prefix_stage, reason_counts
 
 # Fixed values of the data contract.
 LITRES_PER_100KM = 235.2145833333333
@@ -53,6 +53,8 @@ RULES = [
     ("audi_2021_2022_a4_a5_q5_2l_mild_hybrid", "Audi", 2021, 2022, r"(?i)\b(A4|A5|Q5)\b", 2.0, 4.0, "mild_hybrid"),
     ("audi_sq7_sq8_4l_technology_uncertain", "Audi", 2020, 2025, r"(?i)\b(SQ7|SQ8)\b", 4.0, 8.0, "powertrain_uncertain"),
 ]
+#: Family of a vehicle class, by the first text it contains.
+FAMILIES = [("Sport Utility", "SUV"), ("Station Wagon", "Station wagons")]
 OUTPUTS = ["vehicle_id", *(c for c, _ in TEXT_FIELDS), "base_model", "atv_type", "phev_blended", *(c for c, _, _ in NUMBER_FIELDS), "target_l100km"]
 
 
@@ -60,10 +62,29 @@ def stage_of(reason):
     return prefix_stage(reason, STAGE_TABLE, "engine_specs")
 
 
+#: Where the reviewed rules come from.
+RULE_SOURCE = "the reviewed rules of the data contract"
+
+
 def rules_table(spark) -> DataFrame:
+    names = [c.split()[0] for c in RULE_COLUMNS.split(", ")]
+    check_rule_table([dict(zip(names, r)) | {"source": RULE_SOURCE} for r in RULES], ("mild_hybrid", "powertrain_uncertain"), YEARS)
     return spark.createDataFrame(RULES, RULE_COLUMNS)
 
 
+def class_family(vehicle_class):
+    """The family label of a class; classes of no listed family are cars. Null stays null."""
+    out = F.when(vehicle_class.isNull(), None)
+    for part, family in FAMILIES:
+        out = out.when(vehicle_class.contains(part), family)
+    return out.otherwise("Cars")
+
+
+def raw_categories(raw: DataFrame) -> DataFrame:
+    """field, value, n over all parseable records (raw, a JSON text), excluded ones too."""
+    return raw_inventory(raw, "raw", ["VClass", "fuelType1", "fuelType2", "atvType", "evMotor", "make"], [("vehicle_class_atv_pair", [["VClass"], ["atvType", "atvtype"]], "::")])
+
+
 def _around(before: str, after: str):
     return lambda text: F.concat(F.lit(before), text, F.lit(after))
 
@@ -103,10 +124,11 @@ def normalise(raw: DataFrame, integrity: str | None = None) -> DataFrame:
     engine = [("displacement_l", "displacement"), ("cylinders", "cylinders")]
     rules = rules_table(df.sparkSession)
     cols = dict(make="manufacturer", name="model_name", year="model_year", engine=engine)
-    for name, technology, mode, form in (("__hybrid", "mild_hybrid", "full", "reviewed_powertrain_hybrid:{}"), ("__uncertain", "powertrain_uncertain", "full", "reviewed_powertrain_uncertain:{}"), ("__missing", None, "missing", "reviewed_powertrain_uncertain:{}:missing_engine_condition")):
-        some = rules if technology is None else rules.where(F.col("technology") == technology)
-        before, after = form.split("{}")
-        df = match_rules(df, some, mode=mode, **cols).withColumn(name, F.transform("rule_ids", _around(before, after))).drop("rule_ids")
+    of = lambda technology: lambda r: r["technology"] == technology
+    df = match_rule_kinds(df, rules, {
+        "__hybrid": ("full", of("mild_hybrid"), _around("reviewed_powertrain_hybrid:", "")),
+        "__uncertain": ("full", of("powertrain_uncertain"), _around("reviewed_powertrain_uncertain:", "")),
+        "__missing": ("missing", None, _around("reviewed_powertrain_uncertain:", ":missing_engine_condition"))}, **cols)
     c = F.col
     tests = [F.when(c("vehicle_id").isNull(), "invalid_vehicle_id")]
     later = [F.when(c(k).isNull(), f"missing_required:{k}") for k in ("manufacturer", "model_name", "vehicle_class")]

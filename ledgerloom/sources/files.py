@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-from html.parser import HTMLParser
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +52,8 @@ LOG = "request_id string, url string, file string, sha256 string, status int, va
 def request_log(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
     """Per file the last entry of a JSONL log; blank lines are skipped, back slashes in names
     become slashes. A fallback index (name to entry, flat or below `entries`) only adds files."""
-    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("line", F.monotonically_increasing_id())
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))  # files by name, then lines in order
+    lines = spark.read.text(path).select("value", place.alias("line")).where("trim(value) <> ''")
     log = lines.select("line", F.from_json("value", LOG).alias("e")).select("line", "e.*").withColumn("file", F.replace("file", F.lit("\\"), F.lit("/")))
     last = latest(log.where("file IS NOT NULL"), "file", "line").drop("line")
     if fallback is None:
@@ -114,54 +112,32 @@ def menu_items(df: DataFrame, raw: str) -> DataFrame:
     return df.withColumn("menu_error", error).withColumn("items", F.when(F.col("menu_error").isNull(), F.coalesce(rows, F.array().cast("array<struct<text:string,value:string>>"))))
 
 
-class _Items(HTMLParser):
-    """Key and meaning of list items written `key - meaning`; the text of an item ends where a
-    nested item or block starts."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[list] = []
-        self.found: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("li", "div") and self.open:
-            self.open[-1][1] = True
-        if tag == "li":
-            self.open.append([[], False])
-
-    def handle_data(self, data):
-        if self.open and not self.open[-1][1]:
-            self.open[-1][0].append(data)
-
-    def handle_endtag(self, tag):
-        if tag == "li" and self.open:
-            self.found.append(" ".join("".join(self.open.pop()[0]).split()))
-
-
-_KEYED = re.compile(r"([A-Za-z][A-Za-z0-9_]*)\s*-\s*(.+)")
+#: Named entities that list_items decodes.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
 def list_items(pages: DataFrame, id_col: str, html: str, keyed: bool = True) -> DataFrame:
-    """id, position, key, meaning of list items; keyed: only `key - meaning` items, the first of
-    each key; else every item's text as meaning. Null pages have none."""
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                p = _Items()
-                p.feed(text or "")
-                seen = set()
-                for k, item in enumerate(p.found):
-                    m = _KEYED.match(item)
-                    if not keyed:
-                        rows.append((i, k, m[1] if m else None, item))
-                    elif m and m[1] not in seen:
-                        seen.add(m[1])
-                        rows.append((i, k, m[1], m[2]))
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], [id_col, "position", "key", "meaning"])
-    kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, html).mapInArrow(run, f"{id_col} {kind}, position int, key string, meaning string")
+    """id, position, key, meaning of list items, in the order in which they open; keyed: only
+    `key - meaning` items, the first of each key; else every item's text as meaning.
+
+    An item's own text runs from its tag to the next item, block or end of an item; tags inside
+    are dropped, ENTITIES decoded, white space collapsed. Null pages have none. One projection.
+    """
+    begun = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<li(?:\s[^>]*)?>(.*?)(?=<li[\s>]|<div[\s>]|</li\s*>|\z)"), F.lit(1))
+
+    def text(item):
+        out = F.regexp_replace(item, r"(?s)<!--.*?-->|<[^>]*>", "")
+        for entity, plain in ENTITIES.items():
+            out = F.replace(out, F.lit(entity), F.lit(plain))
+        return F.btrim(F.regexp_replace(out, r"(?U)\s+", " "))
+
+    items = pages.select(id_col, F.posexplode(F.transform(begun, text)).alias("position", "item"))
+    pattern = r"(?s)^([A-Za-z][A-Za-z0-9_]*)\s*-\s*(.+)"
+    named = F.nullif(F.regexp_extract("item", pattern, 1), F.lit(""))
+    if not keyed:
+        return items.select(id_col, "position", named.alias("key"), F.col("item").alias("meaning"))
+    found = items.select(id_col, "position", named.alias("key"), F.regexp_extract("item", pattern, 2).alias("meaning")).where("key IS NOT NULL")
+    return found.groupBy(id_col, "key").agg(F.min(F.struct("position", "meaning")).alias("m")).select(id_col, "m.position", "key", "m.meaning")
 
 
 def best_run(root: str) -> Path:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import email.utils
 import hashlib
+import math
 import time
 import urllib.error
 import urllib.request
@@ -19,16 +21,24 @@ def retryable(status: int | None) -> bool:
 
 
 def retry_after(value: str | None, now: float) -> float | None:
-    """Seconds from a Retry-After header: a number or an HTTP date."""
+    """Seconds from a Retry-After header: a finite number, or an HTTP date (one without a zone
+    is in UTC); none where it is neither."""
     if not value:
         return None
     try:
-        return max(0.0, float(value))
+        seconds = float(value)
     except ValueError:
         try:
-            return max(0.0, email.utils.parsedate_to_datetime(value).timestamp() - now)
+            date = email.utils.parsedate_to_datetime(value)
         except (TypeError, ValueError):
             return None
+        seconds = (date if date.tzinfo else date.replace(tzinfo=datetime.timezone.utc)).timestamp() - now
+    return max(0.0, seconds) if math.isfinite(seconds) else None
+
+
+def header(headers: dict, name: str) -> str | None:
+    """A header's value; names compare without case."""
+    return next((v for k, v in headers.items() if k.lower() == name.lower()), None)
 
 
 def wait(attempt: int, jitter: float, after: float | None) -> float:
@@ -53,7 +63,7 @@ def fetch(url: str, *, transport=get, attempts: int = 5, timeout: float = 30.0,
         try:
             status, headers, body = transport(url, timeout)
             error = None if status == 200 else f"http_{status}"
-            after = retry_after(headers.get("Retry-After"), now())
+            after = retry_after(header(headers, "Retry-After"), now())
         except OSError as e:
             status, body, error = None, b"", type(e).__name__
         if error is None or not retryable(status) or attempt == attempts:

@@ -1,16 +1,17 @@
 """Sources, sinks, text functions, models, search, splits and streams."""
 
+import hashlib
 import json
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
 from ledgerloom.functions import values as V
-from ledgerloom.operators import components, dedup, evaluate, families, features, joins, models, order, rules, search, split
+from ledgerloom.operators import components, dedup, evaluate, families, features, joins, models, order, rules, search, serve, split
 from ledgerloom.sources import files, http, sinks
 from ledgerloom.streaming import logs
 
@@ -18,13 +19,39 @@ LEAKS = ["GUZZLER", "Gas Guzzler", "27 MPG", "MPG: 27", "29 MPGe", "9.2 L/100 km
          "198 g/mi", "emissions score: 8", "ghgScore=7", "feScore=9", "efficiency score: 7", "smartwayScore=9", "youSaveSpend=-1500"]
 
 
-def test_sanitizer(spark):
-    rows = [(leak, f"EcoBoost V8 S4 {leak} Turbo AWD") for leak in LEAKS]
-    df = spark.createDataFrame(rows, "leak string, whole string")
-    for r in df.select("leak", X.sanitize(F.col("whole")).alias("a"), X.sanitize(F.col("leak")).alias("b"), X.sanitize(X.sanitize(F.col("whole"))).alias("c")).collect():
-        assert "EcoBoost V8 S4" in r.a and "Turbo AWD" in r.a and r.b.strip(" :=-/") == "" and r.c == r.a, r
-    one = spark.createDataFrame([("DOHC fuelCostA=2,100 co2TailpipeGpmA=250 barrels08=10.5", None)], "a string, b string").select(X.sanitize(F.col("a")), X.sanitize(F.col("b"))).first()
-    assert tuple(one) == ("DOHC", "")
+def cleaned(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r for r in df.select("i", "t", X.sanitize(F.col("t")).alias("a"), X.sanitize(X.sanitize(F.col("t"))).alias("b")).orderBy("i").collect()]
+
+
+def test_published_leaks_go(spark):
+    for r in cleaned(spark, LEAKS):
+        assert r.a.strip(" :=-/") == "", r
+
+
+@settings(max_examples=2, deadline=None, phases=[Phase.generate])
+@given(st.data())
+def test_any_amount_of_any_leak_goes_and_nothing_else(spark, data):
+    """Leaks of every form, with drawn amounts and without the separator that a form may have,
+    between words that must stay."""
+    amounts = st.one_of(st.integers(1, 99999).map(str), st.floats(0.1, 999).map(lambda x: f"{x:.1f}"), st.integers(1000, 99999).map(lambda n: f"{n:,}"))
+    named = ["co2TailpipeGpm", "co2A", "barrels08", "fuelCost08", "fuelCostA2", "youSaveSpend", "ghgScoreA", "feScore", "smartwayScore", "emissions", "emissions score", "CO2", "ghg score", "efficiency score", "fuel economy", "Fuel Consumption",
+             "annual fuel cost", "fuel costs", "EPA combined", "city", "highway mpg", "MPG", "mpge", "miles per gallon", "L/100 km", "l / 100km"]
+    measured = ["MPG", "mpge", "miles per gallon", "L/100 km", "liters/100km", "l per 100 km", "g/km", "g / mi", "kg/year", "kg CO2/year"]
+    forms = [f"{n}{sep}{{}}" for n in named for sep in (" ", ": ", "=", " = ")] + [f"{{}} {u}" for u in measured] + ["${}", "€ {}", "${}/year", "£{} per year", "fuel cost: ${}", "youSaveSpend -{}", "CO2: {} g/km", "fuelCost08 {} USD"]
+    keep = ["EcoBoost V8 S4", "2.0L Turbo", "AWD", "9-3 Aero"]  # a number before a unit would be its amount
+    texts, want = [], []
+    for f in forms:
+        left, right = data.draw(st.sampled_from(keep)), data.draw(st.sampled_from(["Turbo AWD", "V6 coupe", "hatch"]))
+        texts.append(f"{left}  {f.format(data.draw(amounts))} {right}")
+        want.append(f"{left} {right}")
+    for r, w in zip(cleaned(spark, texts), want):
+        assert r.a == w and r.b == w, r
+
+
+def test_sanitizer_edges(spark):
+    got = cleaned(spark, [None, "", "  plain   words ", "DOHC fuelCostA=2,100 co2TailpipeGpmA=250 barrels08=10.5", "27 gas guzzler MPG wagon", "city car, Highwayman", "barrels08", "emission 7 emissions"])
+    assert [r.a for r in got] == ["", "", "plain words", "DOHC", "wagon", "city car, Highwayman", "", ""]
 
 
 def test_bins_golden(spark):
@@ -63,11 +90,12 @@ def test_family_rules(spark):
 
 
 def test_rule_table_checks():
-    ok = {"rule_id": "a", "year_min": 1, "year_max": 2, "source": "s"}
-    rules.check_rule_table([ok])
-    for bad in ([ok, ok], [{**ok, "year_min": 3}], [{**ok, "source": ""}], [{**ok, "cylinders": 0}]):
+    ok = {"rule_id": "a", "make": "m", "pattern": r"\bx\b", "year_min": 1, "year_max": 2, "source": "s", "technology": "t"}
+    rules.check_rule_table([ok], ("t",), (1, 2))
+    for bad in ([ok, ok], [{**ok, "year_min": 3}], [{**ok, "source": ""}], [{**ok, "cylinders": 0}], [{**ok, "make": " "}], [{**ok, "pattern": "("}], [{**ok, "pattern": None}], [{**ok, "technology": "u"}],
+                [{**ok, "displacement": float("nan")}], [{**ok, "displacement": float("inf")}], [{**ok, "cylinders": True}], [{**ok, "year_max": 3}]):
         with pytest.raises(ValueError):
-            rules.check_rule_table(bad)
+            rules.check_rule_table(bad, ("t",), (1, 2))
 
 
 def test_sources(spark, tmp_path):
@@ -97,10 +125,19 @@ def test_sources(spark, tmp_path):
 
 
 def test_html_items(spark):
-    html = "<ul><li>comb08 - combined &amp; more <div>x</div> no</li><li>a <b>text</b><ul><li>city08 -  city</li></ul> tail</li><li>comb08 - again</li></ul>"
-    df = spark.createDataFrame([(1, html), (2, None)], "id long, html string")
+    html = "<ul><li>comb08 - combined &amp; more <div>x</div> no</li><li>a <b>text</b><ul><LI class='x'>city08 -\n city</LI></ul> tail</li><!-- c --><li>comb08 - again</li><li></li><link rel='x'><li>open &lt;end&gt;</ul>"
+    df = spark.createDataFrame([(1, html, 0), (2, None, 0), (3, "", 0)], "id long, html string, position int")
     assert [(r.key, r.meaning) for r in files.list_items(df, "id", "html").orderBy("position").collect()] == [("comb08", "combined & more"), ("city08", "city")]
-    assert files.list_items(df, "id", "html", keyed=False).count() == 4
+    every = files.list_items(df, "id", "html", keyed=False).orderBy("position").collect()
+    assert [r.meaning for r in every] == ["comb08 - combined & more", "a text", "city08 - city", "comb08 - again", "", "open <end>"] and [r.position for r in every] == list(range(6))
+
+
+def test_log_lines_stand_by_file_and_line(spark, tmp_path):
+    for k, name in enumerate(("b", "a")):  # a large first file would otherwise come first
+        lines = [json.dumps({"file": f"f{i % 5}", "status": 100 * k + i}) for i in range(400 if name == "b" else 7)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n\n")
+    got = {r.file: r.status for r in files.request_log(spark, str(tmp_path)).collect()}
+    assert got == {f"f{i}": 395 + i for i in range(5)}
 
 
 def test_sinks(spark, tmp_path):
@@ -128,6 +165,8 @@ def test_sinks(spark, tmp_path):
 def test_http_schedule():
     assert http.retryable(None) and http.retryable(429) and http.retryable(503) and not http.retryable(404)
     assert http.wait(3, 0.5, None) == 4.5 and http.wait(1, 0.0, 30.0) == 30.0
+    assert http.retry_after("inf", 0) is None and http.retry_after("nan", 0) is None and http.retry_after("-3", 0) == 0
+    assert http.retry_after("Thu, 01 Jan 1970 00:00:10", 4) == 6 and http.header({"retry-after": "5"}, "Retry-After") == "5"
     assert http.retry_after("7", 0) == 7 and http.retry_after("Thu, 01 Jan 1970 00:00:10 GMT", 4) == 6 and http.retry_after("x", 0) is None
     slept, answers = [], [(503, {"Retry-After": "9"}, b"no"), (200, {}, b"yes")]
     got = http.fetch("u", transport=lambda u, t: answers.pop(0), sleep=slept.append, now=lambda: 0.0)
@@ -159,6 +198,66 @@ def test_splits(spark):
         split.group_folds(df.where("family = 'Family 1'"), "family")
 
 
+def test_shuffle_split_is_the_seeded_permutation(spark):
+    df = spark.createDataFrame([(f"g{i % 37:02d}",) for i in range(100)], "g string")
+    got = {r.g for r in split.shuffle_split(df, "g").where("split = 'test'").collect()}
+    places = np.random.RandomState(42).permutation(37)
+    assert got == {f"g{i:02d}" for i in places[:8]}  # ceil(0.2 * 37)
+
+
+def test_group_folds_against_a_plain_greedy(spark):
+    df = spark.createDataFrame([(g,) for g in range(23) for _ in range(1 + g * 7 % 11)], "g int")
+    size = {g: 1 + g * 7 % 11 for g in range(23)}
+    load, want = [0] * 5, {}
+    for g in sorted(size, key=lambda g: (size[g], g), reverse=True):
+        f = load.index(min(load))
+        want[g] = f
+        load[f] += size[g]
+    assert {r.g: r.cv_fold for r in split.group_folds(df, "g").collect()} == want
+
+
+def test_protocol_is_locked():
+    split.check_protocol(dict(split.PROTOCOL))
+    for k in split.PROTOCOL:
+        with pytest.raises(ValueError, match=k):
+            split.check_protocol({**split.PROTOCOL, k: "other"})
+        with pytest.raises(ValueError, match=k):
+            split.check_protocol({a: b for a, b in split.PROTOCOL.items() if a != k})
+
+
+def test_interface_schema_takes_training_rows_only(spark):
+    df = spark.createDataFrame([("2", " b ", 1.0, "train"), ("10", "a", 3.0, "train"), ("x", "", None, "train")], "id string, c string, v double, split string")
+    got = {r.field: r for r in serve.interface_schema(df, ["c"], ["v"], "id").collect()}
+    assert got["c"].options == ["a", "b"] and got["v"].median == 2.0
+    assert got["training_rows"].options == [hashlib.sha256(b'["10","2","x"]').hexdigest()] and got["training_rows"].median == 3
+    for bad in (df.where("false"), df.withColumn("split", F.lit("test"))):
+        with pytest.raises(ValueError):
+            serve.interface_schema(bad, ["c"], ["v"], "id")
+
+
+def test_ridge_grid_against_refitted_models(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 4))
+    y = x @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=120) * 0.3
+    fold = np.arange(120) % 4
+    df = spark.createDataFrame([(v.tolist(), v[:2].tolist(), float(t), int(f)) for v, t, f in zip(x, y, fold)], "a array<double>, b array<double>, y double, fold int")
+    got = search.ridge_grid(df, {"few": "b", "all": "a"}, [0.1, 10.0, 100.0], "y", "fold").collect()
+    def mae(cols, alpha):
+        out = []
+        for f in range(4):
+            t, h = fold != f, fold == f
+            z, m = x[t][:, cols], x[t][:, cols].mean(0)
+            w = np.linalg.solve((z - m).T @ (z - m) + alpha * np.eye(len(cols)), (z - m).T @ (y[t] - y[t].mean()))
+            out.append(np.abs((x[h][:, cols] - m) @ w + y[t].mean() - y[h]).mean())
+        return np.mean(out), np.std(out)
+    for r in got:
+        assert np.allclose((r.mae_mean, r.mae_std), mae([0, 1] if r.model == "few" else [0, 1, 2, 3], r.alpha))
+    best = min(got, key=lambda r: (r.mae_mean, r.mae_std))
+    assert [r for r in got if r.selected] == [best] and best.model == "all" and sum(r.arm_choice for r in got) == 2
+    with pytest.raises(ValueError):
+        search.ridge_grid(df, {"all": "a"}, [1.0, 1.0], "y", "fold")
+
+
 def test_joins_raise(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(1, 5), (1, 6)], "k int, w int")
     with pytest.raises(ValueError):
