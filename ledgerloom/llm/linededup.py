@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, unused
 
+#: Boilerplate is on more than one page in twenty of its site (and on min_docs pages).
+RATIO = 0.05
 #: A site's boilerplate lines are broadcast only while all of them together are at most so many.
 MAX_BROADCAST_LINES = 200_000
 
@@ -32,7 +34,7 @@ def boilerplate(docs: DataFrame, ratio: float, min_docs: int, host: str = "sourc
     return counts.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("count") > ratio * F.col("total")).select("host", "k")
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_docs: int = 5, host: str = "source",
+def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_docs: int = 5, host: str = "source",
                      max_broadcast: int = MAX_BROADCAST_LINES) -> DataFrame:
     """docs with boilerplate lines cut from text, and the longs n_lines and n_dropped.
 

@@ -97,7 +97,7 @@ l AS (
 k AS (SELECT rid, source, line, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
 c AS (SELECT source, bare, count(DISTINCT rid) AS n FROM k WHERE bare <> '' GROUP BY source, bare),
 s AS (SELECT source, count(*) AS total FROM d GROUP BY source),
-b AS (SELECT c.source, c.bare FROM c JOIN s ON c.source IS NOT DISTINCT FROM s.source WHERE n >= 5 AND n > 0.1 * total),
+b AS (SELECT c.source, c.bare FROM c JOIN s ON c.source IS NOT DISTINCT FROM s.source WHERE n >= 5 AND n > 0.05 * total),
 o AS (SELECT k.rid, k.pos, k.line, b.bare IS NOT NULL AS gone FROM k LEFT JOIN b ON k.source IS NOT DISTINCT FROM b.source AND k.bare = b.bare),
 a AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM o GROUP BY rid)
 SELECT d.doc_id, coalesce(a.n_lines, 0) AS n_lines, coalesce(a.n_dropped, 0) AS n_dropped,

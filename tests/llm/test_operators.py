@@ -586,6 +586,14 @@ def test_line_dedup(spark, nothing, limit):
     assert linededup.drop_boilerplate(nothing).count() == 0
 
 
+def test_lines_of_a_twentieth_of_the_pages_go(spark):
+    line = {7: "on seven percent", 10: "on a tenth", 4: "on four percent"}
+    rows = [(i, "\n".join([f"own {i}", *(t for k, t in line.items() if i % 100 < k)]), "en", "big", 0) for i in range(200)]
+    rows += [(1000 + i, "small site footer" if i < 4 else "x", "en", "small", 0) for i in range(8)]  # on half of the pages, yet on fewer than five
+    out = {r.doc_id: r.text for r in linededup.drop_boilerplate(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out[0] == "own 0\non four percent" and out[5] == "own 5" and out[150] == "own 150" and out[1000] == "small site footer"
+
+
 # 8
 
 @pytest.fixture(scope="module")

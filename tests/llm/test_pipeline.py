@@ -31,7 +31,7 @@ def test_pipeline(spark, tmp_path):
             keep = quality.measure([r[1] for r in want])["kept"]
             want = [r for r, ok in zip(want, keep) if ok]
         elif name == "line_dedup":
-            want = [(r[0], x[3], r[2], r[3], len(x[3])) for r, x in zip(want, slow_lines(want, 0.1, 5))]
+            want = [(r[0], x[3], r[2], r[3], len(x[3])) for r, x in zip(want, slow_lines(want, 0.05, 5))]
         elif name == "simhash_near_dedup":
             rows_ = [collections.namedtuple("R", "doc_id text")(r[0], r[1]) for r in want]
             low = slow_classes(rows_)
