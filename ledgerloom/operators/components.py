@@ -7,10 +7,20 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def own_folder(spark: SparkSession, root: str) -> str:
+    """The folder of this application below root; it is removed when the driver ends."""
+    folder = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder of spark.checkpoint.dir (on a local master, a temporary
     one where that is unset) and read back, which cuts its lineage."""
@@ -23,7 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
         root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         atexit.register(shutil.rmtree, root[len("file://"):], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark, root)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

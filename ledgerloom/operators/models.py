@@ -125,6 +125,55 @@ def nearest(train: DataFrame, queries: DataFrame, id_col: str, x: str, y: str, k
 
 # Trees and networks in numpy, one fit per task.
 
+class _Numpy:
+    """A fitted model: a function of a matrix, and a batch scorer of tables."""
+
+    def predict(self, df: DataFrame, x: str = "x", name: str = "y_pred") -> DataFrame:
+        """df with the predictions; the model goes to the executors once."""
+        held = df.sparkSession.sparkContext.broadcast(self)
+
+        @F.pandas_udf("double")
+        def score(v: pd.Series) -> pd.Series:
+            return pd.Series(held.value(np.stack(v.to_numpy()).astype(float)) if len(v) else np.zeros(0))
+        return df.withColumn(name, score(F.col(x)))
+
+
+class Forest(_Numpy):
+    """The mean of trees, nested (feature, cut, left, right)."""
+
+    def __init__(self, trees: list):
+        self.trees = trees
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.mean([_tree_values(t, x) for t in self.trees], axis=0)
+
+    def to_json(self) -> dict:
+        return {"trees": self.trees}
+
+    @classmethod
+    def from_json(cls, body: dict) -> Forest:
+        nested = lambda t: float(t) if isinstance(t, (int, float)) else (t[0], t[1], nested(t[2]), nested(t[3]))
+        return cls([nested(t) for t in body["trees"]])
+
+
+class Network(_Numpy):
+    """One hidden layer, on a standardised target."""
+
+    def __init__(self, weights: list[np.ndarray], mean: float, std: float):
+        self.weights, self.mean, self.std = weights, mean, std
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        p = self.weights
+        return (np.maximum(0, x @ p[0] + p[1]) @ p[2] + p[3][0]) * self.std + self.mean
+
+    def to_json(self) -> dict:
+        return {"weights": [w.tolist() for w in self.weights], "mean": self.mean, "std": self.std}
+
+    @classmethod
+    def from_json(cls, body: dict) -> Network:
+        return cls([np.array(w, float) for w in body["weights"]], body["mean"], body["std"])
+
+
 def _tree(x, y, rng, depth, leaf, features, random_cuts):
     """Nested tuples (feature, cut, left, right) or a leaf's mean."""
     if depth == 0 or len(y) < 2 * leaf or np.ptp(y) == 0:
@@ -181,7 +230,7 @@ def fit_trees(x, y, *, trees=1, depth=8, leaf=10, features=1.0, bootstrap=False,
     for _ in range(trees):
         rows = rng.integers(0, len(y), len(y)) if bootstrap else slice(None)
         out.append(_tree(x[rows], y[rows], rng, depth, leaf, k, random_cuts))
-    return lambda z: np.mean([_tree_values(t, z) for t in out], axis=0)
+    return Forest(out)
 
 
 def fit_mlp(x, y, *, hidden=16, epochs=200, rate=0.01, l2=1e-4, seed=42):
@@ -200,7 +249,7 @@ def fit_mlp(x, y, *, hidden=16, epochs=200, rate=0.01, l2=1e-4, seed=42):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
             p[i] = p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    return lambda z: (np.maximum(0, z @ p[0] + p[1]) @ p[2] + p[3][0]) * sd + mu
+    return Network(p, float(mu), float(sd))
 
 
 FITS = {

@@ -14,7 +14,10 @@ from ..functions.text import sanitize
 from ..functions.values import strip
 from ..sources.sinks import write_json, write_once
 from .features import Preprocessor
-from .models import Linear, Median
+from .models import Forest, Linear, Median, Network
+
+#: Models that a bundle can hold; the numpy ones write themselves.
+NUMPY = {"Forest": Forest, "Network": Network}
 
 #: Feature arms: the structured predictors, and which text columns join them.
 ARMS = {"structured": [], "structured_model": ["model_name"], "structured_engine": ["engine_description"], "structured_model_engine": ["model_name", "engine_description"]}
@@ -71,11 +74,14 @@ class TargetScaler:
         return df.withColumn(predicted, F.col(predicted) * self.std + self.mean)
 
 
-def save_bundle(folder: str | Path, model: Linear | Median, preprocessor: Preprocessor, meta: dict) -> str:
+def save_bundle(folder: str | Path, model: Linear | Median | Forest | Network, preprocessor: Preprocessor, meta: dict) -> str:
     """Write the model once, and beside it a sidecar with its SHA-256; returns the hash."""
     p = preprocessor
     body = {"kind": type(model).__name__, "preprocessor": {k: getattr(p, k) for k in ("numeric", "categorical", "medians", "means", "stds", "missing", "levels")}}
-    body |= {"coef": [float(c) for c in model.coef], "intercept": model.intercept} if isinstance(model, Linear) else {"value": model.value}
+    if isinstance(model, Linear):
+        body |= {"coef": [float(c) for c in model.coef], "intercept": model.intercept}
+    else:
+        body |= model.to_json() if body["kind"] in NUMPY else {"value": model.value}
     data = json.dumps(body, sort_keys=True, allow_nan=False).encode()
     write_once(Path(folder) / "model.json", data)
     digest = hashlib.sha256(data).hexdigest()
@@ -83,7 +89,7 @@ def save_bundle(folder: str | Path, model: Linear | Median, preprocessor: Prepro
     return digest
 
 
-def load_bundle(folder: str | Path, expected: dict | None = None) -> tuple[Linear | Median, Preprocessor, dict]:
+def load_bundle(folder: str | Path, expected: dict | None = None) -> tuple[Linear | Median | Forest | Network, Preprocessor, dict]:
     """The bundle, after its hash and the expected metadata have been checked."""
     meta = json.loads((Path(folder) / "bundle.json").read_text())
     for k, v in (expected or {}).items():
@@ -96,6 +102,8 @@ def load_bundle(folder: str | Path, expected: dict | None = None) -> tuple[Linea
     if body["kind"] == "Linear":
         model = Linear()
         model.coef, model.intercept = np.array(body["coef"]), body["intercept"]
+    elif body["kind"] in NUMPY:
+        model = NUMPY[body["kind"]].from_json(body)
     else:
         model = Median()
         model.value = body["value"]

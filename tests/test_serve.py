@@ -1,5 +1,6 @@
 """Bundles, arms, scaling, stage comparison, reviews."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +54,21 @@ def test_stage_and_review_checks(spark, rows):
     assert {r.check: r.n for r in serve.check_reviews(c, d, "k", True).collect()} == {"undecided": 1, "unknown_candidate": 2, "repeated": 1, "unknown_decision": 1, "unjustified": 1, "pending": 1}
     m = spark.createDataFrame([(1, "train"), (2, "test")], "id int, split string")
     assert serve.check_segments(m, m, "id").count() == 0 and serve.check_segments(m.where("id = 1"), m, "id").count() == 1
+
+
+@pytest.mark.parametrize("kind", ["tree", "random_forest", "extra_trees", "mlp"])
+def test_numpy_models_are_served_as_fitted(spark, tmp_path, kind):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 2))
+    y = 20 + 3 * x[:, 0] + np.sign(x[:, 1])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id int, a double, b double")
+    p = features.Preprocessor(["a", "b"], []).fit(df)
+    z = np.array([r.x for r in p.vector(df, ["id"]).orderBy("id").collect()])
+    m = models.FITS[kind](z, y, 3)
+    serve.save_bundle(tmp_path, m, p, {"dataset": "d"})
+    bundle = serve.load_bundle(tmp_path, {"dataset": "d"})
+    got = [r.y_pred for r in serve.score(bundle, df, ["id"]).orderBy("id").collect()]
+    assert np.allclose(got, m(z)) and np.abs(np.array(got) - y).mean() < 2
+    (tmp_path / "model.json").write_text((tmp_path / "model.json").read_text().replace("0", "1", 1))
+    with pytest.raises(ValueError):
+        serve.load_bundle(tmp_path)
