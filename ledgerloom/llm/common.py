@@ -20,8 +20,8 @@ def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset a temporary one, which a
-    cluster's executors would not share: then this raises."""
+    """This application's folder below spark.checkpoint.dir; where that is unset below a temporary
+    one, which a cluster's executors would not share: then this raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         master = spark.conf.get("spark.master", "local")
@@ -30,14 +30,19 @@ def workspace(spark: SparkSession) -> str:
         path = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         atexit.register(shutil.rmtree, path[len("file://"):], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    folder = f"{path.rstrip('/')}/{spark.sparkContext.applicationId}"  # removed when the driver ends
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return folder
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df below the shared checkpoint folder and read it back: lineage is cut, and a
     lost executor costs no recomputation. Unlike checkpoint(), it computes df only once."""
     spark = df.sparkSession
-    path = f"{workspace(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ledgerloom_path = path

@@ -789,3 +789,42 @@ def test_pii_stays_linear():
     m = pii.model()
     for t in ("1" * 200000, "a" * 200000, "a@" * 100000, "1." * 100000, "+1 " * 60000, "1 " * 100000, "(at)" * 50000, "password=" * 20000):
         pii.find(t, m)
+
+
+def test_recall_by_kind_in_real_texts():
+    """Personal data written in other forms than the training examples, put between the words of
+    documents that hold none: what the generators propose and what the model selects."""
+    import pyarrow.parquet as pq
+
+    m, r = pii.model(), random.Random(11)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t and len(t) < 6000 and not pii.find(t, m)]
+    assert len(texts) > 100
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
+
+    def iban():
+        land, body = r.choice(["AT", "BE", "PT", "IT"]), digits(18)
+        check = 98 - int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
+        s = f"{land}{check:02d}{body}"
+        return r.choice([s, " ".join(s[i:i + 4] for i in range(0, len(s), 4))])
+
+    makes = {
+        "number": lambda: r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"{digits(3)}-{digits(2)}-{digits(4)}"]),
+        "account": iban,
+        "address": lambda: r.choice(["ann", "bo.li", "max_w"]) + r.choice([" (at) ", " [at] ", "(at)"]) + r.choice(["mail", "web-host", "uni"]) + r.choice([".", " (dot) ", " [dot] "]) + r.choice(["org", "edu", "com"]),
+        "secret": lambda: r.choice([f"api_key={mixed(32)}", f"token: {mixed(24)}", f'password = "{mixed(14)}"', "AKIA" + mixed(16).upper(), "ghp_" + mixed(36), "sk_live_" + mixed(24)]),
+    }
+    proposed, selected, n = collections.Counter(), collections.Counter(), collections.Counter()
+    for _ in range(600):
+        kind = r.choice(list(makes))
+        value, w = makes[kind](), r.choice(texts).split(" ")
+        p = r.randint(0, len(w))
+        text, a = " ".join([*w[:p], value, *w[p:]]), len(" ".join(w[:p])) + (p > 0)
+        covers = lambda spans: any(x[0] <= a + 1 and x[1] >= a + len(value) - 1 for x in spans)  # noqa: B023, E731
+        found = pii.find(text, m)
+        n[kind] += 1
+        proposed[kind] += covers(pii.candidates(text))
+        selected[kind] += covers(found)
+        assert all(x[1] > a and x[0] < a + len(value) for x in found)  # nothing else is taken
+    for kind in makes:
+        assert proposed[kind] == n[kind] and selected[kind] >= 0.95 * n[kind], (kind, proposed, selected, n)
