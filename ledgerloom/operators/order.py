@@ -50,6 +50,13 @@ def cap(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rn") <= k)
 
 
+def largest(df: DataFrame, key: str, order: list, n: int, others: DataFrame) -> DataFrame:
+    """The first n rows of df by order (a top-n report) with the columns of others joined back by
+    key, and rank. Only those n rows meet the other table."""
+    top = df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # n rows
+    return others.join(F.broadcast(top), key)
+
+
 def ordered_distinct(df: DataFrame, value: str, position: str) -> DataFrame:
     """Values by their first position."""
     return df.groupBy(value).agg(F.min(position).alias("first_position"))

@@ -443,6 +443,14 @@ def per_group_cap(spark, sf_dir):
     return order.cap(table(spark, sf_dir, "orders"), "o_custkey", [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_orderkey", "o_custkey")
 
 
+@query("""WITH t AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS rank FROM orders)
+SELECT l_orderkey AS o_orderkey, l_linenumber, o_totalprice, rank FROM lineitem JOIN t ON l_orderkey = o_orderkey WHERE rank <= 10""")
+def largest_with_lines(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    return order.largest(o, "o_orderkey", [F.desc("o_totalprice"), F.col("o_orderkey")], 10, lines)
+
+
 @query("SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('42:' || p_brand || ':' || p_name), p_name)::INTEGER AS place FROM (SELECT DISTINCT p_brand, p_name FROM part)")
 def seeded_order(spark, sf_dir):
     return order.seeded_rank(table(spark, sf_dir, "part"), "p_brand", "p_name", 42)
