@@ -63,5 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        # Written as a caller of the stages writes them: Spark reads files in the order of their
+        # sizes, and packing takes documents in the order in which they are read.
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", codec=None)
     return STAGES[-1][1](spark, docs, sf_dir)

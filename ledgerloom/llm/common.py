@@ -38,12 +38,13 @@ def workspace(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str | None = "zstd") -> DataFrame:
     """Write df below the shared checkpoint folder and read it back: lineage is cut, and a
-    lost executor costs no recomputation. Unlike checkpoint(), it computes df only once."""
+    lost executor costs no recomputation. Unlike checkpoint(), it computes df only once.
+    codec None: as the session writes its own tables."""
     spark = df.sparkSession
     path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ledgerloom_path = path
     return out
