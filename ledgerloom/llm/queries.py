@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from . import alignment, fim, sketch
 from .bpe import encode_documents, id_digest
 from .chat import digest, format_chats, streamed
 from .common import read
@@ -121,3 +122,59 @@ def op10_pii_spans(spark, sf_dir):
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", *(count(k) for k in BASE), F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def op11_fill_in_middle(spark, sf_dir):
+    return fim.digest(fim.fill_in_middle(read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+ORACLE_SQL["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, CAST(len(units) AS BIGINT) AS n FROM u),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c),
+p AS (
+  SELECT doc_id, n, form, text, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:], '') AS suffix FROM f)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op12_token_alignment(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    aligned = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.link_scores(alignment.digest(aligned)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_document_fingerprints(spark, sf_dir):
+    return sketch.digest(sketch.fingerprints(read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+ORACLE_SQL["op13_document_fingerprints"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+o AS (
+  SELECT rid, doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, coalesce(lead(rid) OVER w, first_value(rid) OVER w) AS next_rid
+  FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited FROM o),
+t AS (SELECT rid, 0 AS v, text AS body FROM e UNION ALL SELECT rid, 1, edited FROM e),
+w AS (SELECT rid, v, list_filter(regexp_split_to_array(lower(body), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS words FROM t),
+s AS (SELECT rid, v, unnest(list_distinct(list_transform(range(greatest(len(words) - 4, 1)), lambda i: substr(md5(array_to_string(words[i + 1:i + 5], ' ')), 1, 16)))) AS h FROM w WHERE len(words) > 0),
+k AS (SELECT rid, v, h FROM s QUALIFY h < '2' OR (h = min(h) OVER (PARTITION BY rid, v))),
+f AS (SELECT rid, v, list(h ORDER BY h) AS sk FROM k GROUP BY rid, v),
+j AS (
+  SELECT e.*, coalesce(a.sk, []) AS own, coalesce(b.sk, []) AS other, coalesce(c.sk, []) AS following
+  FROM e LEFT JOIN f a ON a.rid = e.rid AND a.v = 0 LEFT JOIN f b ON b.rid = e.rid AND b.v = 1 LEFT JOIN f c ON c.rid = e.next_rid AND c.v = 0),
+n AS (SELECT *, len(list_intersect(own, other)) AS i, len(list_intersect(own, following)) AS m FROM j)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(other, '') AS edited_fingerprint,
+  coalesce(CAST(i AS DOUBLE) / nullif(len(own) + len(other) - i, 0), 1.0) AS near_edited, coalesce(CAST(m AS DOUBLE) / nullif(len(own) + len(following) - m, 0), 1.0) AS near_next,
+  coalesce(CAST(i AS DOUBLE) / nullif(len(own), 0), 1.0) AS held_by_edited
+FROM n
+"""
