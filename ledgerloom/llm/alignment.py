@@ -12,9 +12,11 @@ path through the transducer is memoised like a transition.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -27,10 +29,12 @@ from .common import materialize, slices, unused
 
 #: Where neither tokenizer joins what lies on both sides.
 CUT = re.compile(r"(?<=\S)(?= +\S)")
-#: Bounds of a worker's memos, which are emptied beyond them, and the longest word kept in one.
-WORDS, STEPS, WORD_CHARS = 200_000, 500_000, 64
+#: Bounds of a worker's memos, which are emptied beyond them; longer words aren't kept.
+WORDS, STEPS, WORD_CHARS = 50_000, 500_000, 64
+#: Words that are encoded in one call, and in one string.
+BATCH, JOINED = 4_096, 64
 #: Rows and bytes of texts that are counted together.
-BLOCK_ROWS, BLOCK_BYTES = 8_192, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 8_192, 6 << 20
 A, B = 0, 1
 
 
@@ -42,6 +46,21 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Paths:
+    """The paths of a block's distinct words, one after the other. A word whose tokens' bytes aren't
+    its own has no tokens and is not sound."""
+
+    def __init__(self):
+        self.sizes, self.links, self.groups, self.sound = array("i"), array("q"), [], bytearray()
+
+    def add(self, path: tuple | None) -> None:
+        n_a, n_b, n_groups, groups, links = path or (0, 0, 0, "", ())
+        self.sizes.extend((n_a, n_b, n_groups, len(links)))
+        self.links.extend(links)
+        self.groups.append(groups)
+        self.sound.append(path is not None)
+
+
 class Aligner:
     """Tokens, groups and links of texts under a byte-level tokenizer (A) and a piece model (B)."""
 
@@ -58,82 +77,116 @@ class Aligner:
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(signs[c] for c in token)
+        self.length_a = np.array([len(b) for b in self.bytes_a], np.int64)
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.bytes_b = [piece(i) for i in range(self.b.get_piece_size())]
         self.words: dict[str, tuple | None] = {}
-        self.steps: dict[tuple, tuple | None] = {}
-
-    def step(self, lead: int, rest: bytes, token: int) -> tuple[int, bytes] | None:
-        """The state after the other side's next token; None where the bytes differ."""
-        key = (lead, rest, token)
-        if key in self.steps:
-            return self.steps[key]
-        new = (self.bytes_b if lead == A else self.bytes_a)[token]
-        if rest.startswith(new):
-            out = lead, rest[len(new):]
-        elif new.startswith(rest):
-            out = 1 - lead, new[len(rest):]
+        self.forget_steps()
+
+    def forget_steps(self) -> None:
+        """States are numbered as they come up; 0 has nothing unmatched."""
+        self.states: dict[tuple[int, bytes], int] = {(A, b""): 0}
+        self.state: list[tuple[int, bytes]] = [(A, b"")]
+        self.a_leads = [False]
+        self.steps: dict[int, int] = {}
+
+    def numbered(self, lead: int, rest: bytes) -> int:
+        key = (lead, rest) if rest else (A, b"")
+        if key not in self.states:
+            self.states[key] = len(self.state)
+            self.state.append(key)
+            self.a_leads.append(lead == A)
+        return self.states[key]
+
+    def step(self, state: int, token: int) -> int:
+        """The state after the next token, which A reads where nothing is unmatched and else the side
+        that doesn't lead; -1 where the bytes differ."""
+        lead, rest = self.state[state]
+        if not rest:
+            out = self.numbered(A, self.bytes_a[token])
         else:
-            out = None
-        if len(self.steps) >= STEPS:
-            self.steps.clear()
-        self.steps[key] = out
+            new = (self.bytes_b if lead == A else self.bytes_a)[token]
+            if rest.startswith(new):
+                out = self.numbered(lead, rest[len(new):])
+            elif new.startswith(rest):
+                out = self.numbered(1 - lead, new[len(rest):])
+            else:
+                out = -1
+        self.steps[state << 20 | token] = out
         return out
 
-    def path(self, raw: bytes, a: list[int], b: list[int]) -> tuple | None:
-        """(n_a, n_b, n_groups, groups, links) of two token lists of the same bytes, each link as
-        a << 32 | b; None where the bytes of a side aren't raw."""
-        if b"".join([self.bytes_a[t] for t in a]) != raw:
-            return None
-        i = j = begin_a = begin_b = 0
-        lead, rest, groups, links = A, b"", [], []
-        while i < len(a) or j < len(b):
-            if not rest:
-                if i == len(a):
-                    return None
-                lead, rest = A, self.bytes_a[a[i]]
-                i += 1
-            if lead == A:
-                if j == len(b):
-                    return None
-                links.append(a[i - 1] << 32 | b[j])
-                state = self.step(A, rest, b[j])
-                j += 1
-            else:
-                if i == len(a):
+    def path(self, a: list[int], b: list[int]) -> tuple | None:
+        """(n_a, n_b, n_groups, groups, links) of two token lists, each link as a << 32 | b; None
+        where their bytes differ."""
+        if len(self.steps) >= STEPS:
+            self.forget_steps()
+        steps, a_leads, n_a, n_b = self.steps, self.a_leads, len(a), len(b)
+        i = j = begin_a = begin_b = state = 0
+        groups, links = [], []
+        try:
+            while i < n_a or j < n_b:
+                if a_leads[state]:
+                    token = b[j]
+                    links.append(a[i - 1] << 32 | token)
+                    j += 1
+                else:
+                    token = a[i]
+                    if state:
+                        links.append(token << 32 | b[j - 1])
+                    i += 1
+                key = state << 20 | token
+                state = steps[key] if key in steps else self.step(state, token)
+                if not state:
+                    groups.append(f"{a[begin_a]}|{b[begin_b]}" if i - begin_a == 1 == j - begin_b else ",".join(map(str, a[begin_a:i])) + "|" + ",".join(map(str, b[begin_b:j])))
+                    begin_a, begin_b = i, j
+                elif state < 0:
                     return None
-                links.append(a[i] << 32 | b[j - 1])
-                state = self.step(B, rest, a[i])
-                i += 1
-            if state is None:
-                return None
-            lead, rest = state
-            if not rest:
-                groups.append(",".join(map(str, a[begin_a:i])) + "|" + ",".join(map(str, b[begin_b:j])))
-                begin_a, begin_b = i, j
-        return None if rest else (len(a), len(b), len(groups), ";".join(groups), tuple(links))
-
-    def read(self, texts: list[str | None]) -> tuple[list[list[int] | None], list[tuple]]:
-        """For each text the words it consists of, as places in the second list, or None where it
-        has no tokens; and the paths of the distinct words."""
+        except IndexError:  # a side has no token left
+            return None
+        return None if state else (n_a, n_b, len(groups), ";".join(groups), links)
+
+    def encode_a(self, words: list[str]) -> list[list[int] | None]:
+        """Each word's ids under A; None where their bytes aren't the word's. Words that end in what
+        isn't white space are encoded side by side, as they would be in a text, and cut apart."""
+        joined = [k for k, w in enumerate(words) if not w[-1].isspace()]
+        strings = ["".join([words[k] for k in joined[at:at + JOINED]]) for at in range(0, len(joined), JOINED)]
+        out: list[list[int] | None] = [None] * len(words)
+        ids = list(chain.from_iterable([e.ids for e in self.a.encode_batch_fast(strings, add_special_tokens=False)]))
+        ends = np.cumsum(self.length_a[ids]) if ids else np.zeros(0, np.int64)
+        wanted = np.cumsum([len(words[k].encode()) for k in joined])
+        cuts = np.searchsorted(ends, wanted).tolist()
+        sound = bool(len(joined)) and b"".join([self.bytes_a[i] for i in ids]) == "".join(strings).encode() and np.array_equal(ends[cuts], wanted)
+        begin = 0
+        for k, cut in zip(joined, cuts):
+            out[k] = ids[begin:cut + 1] if sound else None
+            begin = cut + 1
+        for k, w in enumerate(words):
+            if out[k] is None:
+                alone = self.a.encode(w, add_special_tokens=False).ids
+                out[k] = alone if b"".join([self.bytes_a[i] for i in alone]) == w.encode() else None
+        return out
+
+    def read(self, texts: list[str | None]) -> tuple[list[np.ndarray], Paths]:
+        """For each text the words it consists of, as places among the distinct words' paths; none
+        where a word isn't sound."""
         place: dict[str, int] = {}
-        split = [CUT.split(f" {t}") if t else [] for t in texts]
-        for word in chain.from_iterable(split):
-            place.setdefault(word, len(place))
+        own = [np.array([place.setdefault(w, len(place)) for w in CUT.split(f" {t}")] if t else [], np.int32) for t in texts]
+        uses = np.bincount(np.concatenate(own), minlength=len(place)) if own else np.zeros(0)
         if len(self.words) > WORDS:
             self.words.clear()
-        missing = [w for w in place if w not in self.words]
-        found: dict[str, tuple | None] = {}
-        for at in range(0, len(missing), 4096):
-            some = missing[at:at + 4096]
-            ids_a = [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)]
-            ids_b = self.b.encode([w[1:] for w in some], num_threads=1)  # which adds the space
-            for w, a, b in zip(some, ids_a, ids_b):
-                found[w] = self.path(w.encode(), a, b)
-        paths = [found[w] if w in found else self.words[w] for w in place]
-        self.words.update((w, p) for w, p in found.items() if len(w) <= WORD_CHARS)
-        sound = lambda words: None if not words or any(paths[place[w]] is None for w in words) else [place[w] for w in words]
-        return [sound(words) for words in split], paths
+        paths, distinct = Paths(), list(place)
+        for at in range(0, len(distinct), BATCH):
+            some = distinct[at:at + BATCH]
+            missing = [w for w in some if w not in self.words]
+            ids_b = self.b.encode([w[1:] for w in missing], num_threads=1) if missing else []  # which adds the space
+            found = {w: None if a is None else self.path(a, b) for w, a, b in zip(missing, self.encode_a(missing), ids_b)}
+            for k, w in enumerate(some, at):
+                path = found[w] if w in found else self.words[w]
+                paths.add(path)
+                if uses[k] > 1 and len(w) <= WORD_CHARS:
+                    self.words[w] = path
+        sound = np.frombuffer(bytes(paths.sound), bool)
+        return [w if sound[w].all() else w[:0] for w in own], paths
 
 
 @lru_cache(2)
@@ -160,23 +213,23 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id") ->
         for batch in slices(batches, BLOCK_ROWS, BLOCK_BYTES):
             if not batch.num_rows:
                 continue
-            texts, paths = aligner.read(batch.column(1).to_pylist())
-            paths = [p if p is not None else (0, 0, 0, "", ()) for p in paths]
-            sizes = np.array([(p[0], p[1], p[2], len(p[4])) for p in paths] or [(0, 0, 0, 0)], np.int64).reshape(-1, 4)
-            words = [np.array(t if t is not None else [], np.int32) for t in texts]
+            gc.disable()  # reading makes many small objects and no cycles
+            words, paths = aligner.read(batch.column(1).to_pylist())
+            gc.enable()
+            sizes = np.array(paths.sizes, np.int64).reshape(-1, 4)
             totals = np.array([sizes[w].sum(axis=0) for w in words], np.int64).reshape(-1, 4)
-            uses = np.bincount(np.concatenate(words), minlength=len(paths))
-            pairs, index = np.unique(np.fromiter(chain.from_iterable(p[4] for p in paths), np.int64), return_inverse=True)
-            counts = np.bincount(index, np.repeat(uses[:len(paths)], sizes[:len(paths), 3]), minlength=len(pairs)).astype(np.int64)
+            uses = np.bincount(np.concatenate(words), minlength=len(sizes))
+            pairs, index = np.unique(np.array(paths.links, np.int64), return_inverse=True)
+            counts = np.bincount(index, np.repeat(uses, sizes[:, 3]), minlength=len(pairs)).astype(np.int64)
             used = counts > 0  # pairs of words of texts without tokens are not
             first = [True] + [False] * (batch.num_rows - 1)  # the block's own data stand in its first row
             only = lambda x: pa.array([x if f else None for f in first])
             lists = lambda x: pa.array([x if f else None for f in first], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), *(pa.array(totals[:, k]) for k in range(4)),
-                pa.array([";".join([paths[i][3] for i in t]) if t is not None else "" for t in texts], pa.string()),
+                pa.array([";".join([paths.groups[i] for i in w.tolist()]) for w in words], pa.string()),
                 pa.array(np.full(batch.num_rows, block)), pa.array([w.tobytes() for w in words], pa.binary()),
-                lists(pairs[used]), lists(counts[used]), only(sizes[:len(paths), 3].astype(np.int32).tobytes()), only((np.cumsum(used) - 1)[index].astype(np.int32).tobytes()),
+                lists(pairs[used]), lists(counts[used]), only(sizes[:, 3].astype(np.int32).tobytes()), only((np.cumsum(used) - 1)[index].astype(np.int32).tobytes()),
             ], [id_col, "n_a", "n_b", "n_groups", "n_links", "groups", "block", "words", "pairs", "counts", "word_links", "word_pairs"])
             block += 1
 
