@@ -45,7 +45,8 @@ def fold(events: DataFrame) -> DataFrame:
         "opened": F.min("at").over(message),
         "reset": F.max(F.when(resets, F.col("at"))).over(message),
     })
-    later = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Backwards, so that a frame grows with each event and is never computed again.
+    later = Window.partitionBy("conv_id").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     log = log.withColumn("withdrawn", F.min(F.when(F.col("kind") == "regenerate", F.col("opened"))).over(later))
     live = log.groupBy("conv_id", "message_id").agg(
         F.min("opened").alias("opened"),
