@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import medians
+
 
 def prediction_rows(df: DataFrame, id_col: str, truth: str, predicted: str, model: str, split: str, fold=None) -> DataFrame:
     """Long rows: id, split, fold, y_true, y_pred, residual (predicted - true), abs_error, model."""
@@ -24,9 +26,11 @@ def metrics(df: DataFrame, by: list[str], truth: str = "y_true", predicted: str
 def subgroup_errors(df: DataFrame, by: list[str], label: str, small: int = 30) -> DataFrame:
     """by, subgroup, n, mae, rmse, median_absolute_error, bias, small_support."""
     e = F.col("residual")
-    return df.groupBy(*by, F.col(label).alias("subgroup")).agg(
-        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.median(F.abs(e)).alias("median_absolute_error"),
-        F.avg(e).alias("bias"), (F.count("*") < small).alias("small_support"))
+    rows = df.select(*by, F.col(label).alias("subgroup"), e.alias("__e"), F.abs(e).alias("__abs"))
+    means = rows.groupBy(*by, "subgroup").agg(F.count("*").alias("n"), F.avg("__abs").alias("mae"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"), F.avg("__e").alias("bias"), (F.count("*") < small).alias("small_support"))
+    keys = [*by, "subgroup"]
+    middle = medians(rows, keys, ["__abs"]).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], F.col("__abs").alias("median_absolute_error"))
+    return means.join(middle, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)]).select(*keys, "n", "mae", "rmse", "median_absolute_error", "bias", "small_support")
 
 
 def top_errors(df: DataFrame, id_col: str, k: int = 10) -> DataFrame:

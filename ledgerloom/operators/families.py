@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,11 @@ from ..functions.values import group_key, group_text
 from .components import components
 
 
+def component_tag(make: pd.Series, bases: pd.Series) -> pd.Series:
+    """20 hex digits over the compact JSON of [make, bases]: a row for each component."""
+    return pd.Series([hashlib.sha256(json.dumps([m, list(b)], separators=(",", ":")).encode()).hexdigest()[:20] for m, b in zip(make, bases)], dtype=object)
+
+
 def prefix_candidates(df: DataFrame, make: str, name: str, base: str) -> DataFrame:
     """make, name, possible_bases: the make's bases of which the name is an extension by further
     words, or the other way round. Equal only on the make, then a residual on distinct names."""
@@ -44,7 +53,8 @@ def assign(df: DataFrame, id_col: str, make: str, name: str, base: str, aliases:
 
 def alias_components(df: DataFrame, make: str, name: str, base: str) -> DataFrame:
     """make, base, canonical, component_id: bases of one make that share a full name belong
-    together, transitively; only components of two or more bases. canonical is the smallest."""
+    together, transitively; only components of two or more bases. canonical is the smallest;
+    component_id begins the SHA-256 of the compact JSON list of make and sorted bases."""
     rows = df.where(F.col(base).isNotNull()).select(group_text(F.col(make)).alias("make"), group_text(F.col(name)).alias("name"), group_text(F.col(base)).alias("base")).distinct()
     first = rows.groupBy("make", "name").agg(F.min("base").alias("low"))
     key = lambda c: F.concat_ws("\x1f", "make", c)
@@ -52,8 +62,8 @@ def alias_components(df: DataFrame, make: str, name: str, base: str) -> DataFram
     found = components(edges)
     parts = lambda c, i: F.split_part(F.col(c), F.lit("\x1f"), F.lit(i))
     members = found.select(parts("node", 1).alias("make"), parts("node", 2).alias("base"), parts("root", 2).alias("canonical"))
-    tag = members.groupBy("make", "canonical").agg(F.sha2(F.concat_ws("|", "make", F.array_join(F.array_sort(F.collect_list("base")), "|")).cast("binary"), 256).alias("h"))
-    return members.join(tag, ["make", "canonical"]).select("make", "base", "canonical", F.substring("h", 1, 20).alias("component_id"))
+    tag = members.groupBy("make", "canonical").agg(F.array_sort(F.collect_list("base")).alias("bases")).select("make", "canonical", F.pandas_udf(component_tag, "string")("make", "bases").alias("component_id"))
+    return members.join(tag, ["make", "canonical"]).select("make", "base", "canonical", "component_id")
 
 
 def alias_rows(df: DataFrame, id_col: str, make: str, name: str, base: str) -> DataFrame:

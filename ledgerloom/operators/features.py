@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens, unigrams_bigrams
 from ..functions.values import strip
+from .ranks import medians
 
 
 def require_columns(df: DataFrame, allowed: list[str]) -> DataFrame:
@@ -40,9 +41,10 @@ class Preprocessor:
     levels: dict = field(default_factory=dict)
 
     def fit(self, train: DataFrame, max_levels: int = 10_000) -> Preprocessor:
-        meds = train.agg(*[F.median(c).alias(c) for c in self.numeric], *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in self.numeric]).first()
+        meds = medians(train, [], self.numeric).first() if self.numeric else {}
+        gaps = train.agg(F.count("*"), *[F.count_if(F.col(c).isNull()).alias(c) for c in self.numeric]).first()
         self.medians = {c: meds[c] if meds[c] is not None else 0.0 for c in self.numeric}
-        self.missing = [c for c in self.numeric if meds[f"n_{c}"]]
+        self.missing = [c for c in self.numeric if gaps[c]]
         filled = train.select(*[F.coalesce(F.col(c), F.lit(self.medians[c])).alias(c) for c in self.numeric])
         row = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in self.numeric], *[F.stddev_pop(c).alias(f"s_{c}") for c in self.numeric]).first()
         self.means = {c: row[f"m_{c}"] for c in self.numeric}

@@ -1,5 +1,4 @@
-"""Regressors and segments. Fits reduce the training table to aggregates or to trees; no fit
-holds more rows than a stated, checked bound."""
+"""Regressors and segments. Fits reduce the training table to sums in the cluster."""
 
 from __future__ import annotations
 
@@ -8,9 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows a tree or network fit may hold at once (its training sample is refused beyond it).
-MAX_FIT_ROWS = 2_000_000
-
+from . import networks, trees
+from .components import written
+from .local import FITS, Forest, Network, fit_mlp, fit_trees  # noqa: F401
+from .neighbours import cluster_distances, nearest  # noqa: F401
+from .ranks import medians
+from .trees import Fit
 
 #: Features of a linear fit or of principal components: one matrix of their square in the driver.
 MAX_FEATURES = 6_000
@@ -68,219 +70,53 @@ class Linear:
 
 class Median:
     def fit(self, df: DataFrame, x: str = "x", y: str = "y") -> Median:
-        self.value = df.agg(F.median(y)).first()[0]
+        self.value = medians(df, [], [y]).first()[0]
         return self
 
     def predict(self, df: DataFrame, x: str = "x", name: str = "y_pred") -> DataFrame:
         return df.withColumn(name, F.lit(self.value))
 
 
-def nearest(train: DataFrame, queries: DataFrame, id_col: str, x: str, y: str, k: int = 15, block: int = 4096, max_queries: int = 200_000) -> DataFrame:
-    """query id and y_pred: the mean of the k nearest training values (Euclidean, ties by
-    training id) weighted by 1 / distance; neighbours at distance zero take all the weight.
+# Trees and networks, fitted in the cluster.
 
-    Stated queries against all training rows, in blocks: the checked, bounded query matrix is
-    broadcast, each training partition keeps its k nearest per query, and those are merged.
-    """
-    q = queries.select(id_col, x).limit(max_queries + 1).toPandas()
-    if len(q) > max_queries:
-        raise ValueError(f"more than {max_queries} queries; call nearest on parts of them")
-    shared = train.sparkSession.sparkContext.broadcast((q[id_col].to_numpy(), np.stack(q[x].to_numpy()) if len(q) else np.zeros((0, 1))))
+def model_rows(df: DataFrame, id_col: str, folds: list) -> DataFrame:
+    """key, y, folds, x: what fits read. folds: columns, one a scheme; null folds take no part."""
+    schemes = F.array(*[F.coalesce(f.cast("int"), F.lit(-1)) for f in folds])
+    return df.select(F.xxhash64(id_col).alias("key"), F.col("y").cast("double").alias("y"), schemes.alias("folds"), F.col("x").cast("array<double>").alias("x"))
 
-    def run(batches):
-        ids, points = shared.value
-        best_d = np.full((len(ids), k), np.inf)
-        best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
-        best_y = np.zeros((len(ids), k))
-        for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                some = pdf.iloc[at:at + 1024]
-                a, ti, ty = np.stack(some[x].to_numpy()), some[id_col].to_numpy(), some[y].to_numpy(float)
-                for low in range(0, len(ids), block):
-                    p = points[low:low + block]
-                    d = np.zeros((len(p), len(a)))
-                    for f in range(a.shape[1]):  # exact differences, so that equal points are at zero
-                        d += (p[:, f][:, None] - a[:, f][None, :]) ** 2
-                    d = np.concatenate([best_d[low:low + block], d], axis=1)
-                    i = np.concatenate([best_i[low:low + block], np.broadcast_to(ti, (len(p), len(ti)))], axis=1)
-                    v = np.concatenate([best_y[low:low + block], np.broadcast_to(ty, (len(p), len(ty)))], axis=1)
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d[low:low + block] = np.take_along_axis(d, order, 1)
-                    best_i[low:low + block] = np.take_along_axis(i, order, 1)
-                    best_y[low:low + block] = np.take_along_axis(v, order, 1)
-        r, c = np.nonzero(np.isfinite(best_d))
-        for at in range(0, len(r), 100_000):
-            rr, cc = r[at:at + 100_000], c[at:at + 100_000]
-            yield pd.DataFrame({"q": ids[rr], "d": np.sqrt(best_d[rr, cc]), "i": best_i[rr, cc], "y": best_y[rr, cc]})
-
-    kind = queries.schema[id_col].dataType.simpleString()
-    near = train.select(id_col, x, y).mapInPandas(run, f"q {kind}, d double, i long, y double")
-    kept = near.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "i", "y"))), 1, k).alias("n"))
-    zero = F.filter("n", lambda s: s["d"] == 0)
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, s: t + s["y"]) / F.size(a)
-    w = F.aggregate("n", F.lit(0.0), lambda t, s: t + F.try_divide(F.lit(1.0), s["d"]))
-    wy = F.aggregate("n", F.lit(0.0), lambda t, s: t + F.try_divide(s["y"], s["d"]))
-    return kept.select(F.col("q").alias(id_col), F.when(F.size(zero) > 0, mean(zero)).otherwise(wy / w).alias("y_pred"))
-
-
-# Trees and networks in numpy, one fit per task.
-
-class _Numpy:
-    """A fitted model: a function of a matrix, and a batch scorer of tables."""
 
-    def predict(self, df: DataFrame, x: str = "x", name: str = "y_pred") -> DataFrame:
-        """df with the predictions; the model goes to the executors once."""
-        held = df.sparkSession.sparkContext.broadcast(self)
-
-        @F.pandas_udf("double")
-        def score(v: pd.Series) -> pd.Series:
-            return pd.Series(held.value(np.stack(v.to_numpy()).astype(float)) if len(v) else np.zeros(0))
-        return df.withColumn(name, score(F.col(x)))
-
-
-class Forest(_Numpy):
-    """The mean of trees, nested (feature, cut, left, right)."""
-
-    def __init__(self, trees: list):
-        self.trees = trees
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return np.mean([_tree_values(t, x) for t in self.trees], axis=0)
-
-    def to_json(self) -> dict:
-        return {"trees": self.trees}
-
-    @classmethod
-    def from_json(cls, body: dict) -> Forest:
-        nested = lambda t: float(t) if isinstance(t, (int, float)) else (t[0], t[1], nested(t[2]), nested(t[3]))
-        return cls([nested(t) for t in body["trees"]])
-
-
-class Network(_Numpy):
-    """One hidden layer, on a standardised target."""
-
-    def __init__(self, weights: list[np.ndarray], mean: float, std: float):
-        self.weights, self.mean, self.std = weights, mean, std
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        p = self.weights
-        return (np.maximum(0, x @ p[0] + p[1]) @ p[2] + p[3][0]) * self.std + self.mean
-
-    def to_json(self) -> dict:
-        return {"weights": [w.tolist() for w in self.weights], "mean": self.mean, "std": self.std}
-
-    @classmethod
-    def from_json(cls, body: dict) -> Network:
-        return cls([np.array(w, float) for w in body["weights"]], body["mean"], body["std"])
-
-
-def _tree(x, y, rng, depth, leaf, features, random_cuts):
-    """Nested tuples (feature, cut, left, right) or a leaf's mean."""
-    if depth == 0 or len(y) < 2 * leaf or np.ptp(y) == 0:
-        return float(y.mean())
-    best = (1e-12, None, None)
-    for f in rng.choice(x.shape[1], features, replace=False) if features < x.shape[1] else range(x.shape[1]):
-        v = x[:, f]
-        low, high = v.min(), v.max()
-        if low == high:
-            continue
-        if random_cuts:
-            cuts = [rng.uniform(low, high)]
-            for c in cuts:
-                m = v <= c
-                n = int(m.sum())
-                if leaf <= n <= len(y) - leaf:
-                    gain = n * (len(y) - n) / len(y) * (y[m].mean() - y[~m].mean()) ** 2
-                    if gain > best[0]:
-                        best = (gain, f, c)
-            continue
-        order = np.argsort(v, kind="stable")
-        s, t = v[order], np.cumsum(y[order])
-        n = np.arange(1, len(y))
-        ok = (s[1:] > s[:-1]) & (n >= leaf) & (len(y) - n >= leaf)
-        if ok.any():
-            gain = np.where(ok, n * (len(y) - n) / len(y) * (t[:-1] / n - (t[-1] - t[:-1]) / (len(y) - n)) ** 2, -1)
-            k = int(gain.argmax())
-            if gain[k] > best[0]:
-                best = (gain[k], f, (s[k] + s[k + 1]) / 2)
-    if best[1] is None:
-        return float(y.mean())
-    m = x[:, best[1]] <= best[2]
-    return int(best[1]), float(best[2]), _tree(x[m], y[m], rng, depth - 1, leaf, features, random_cuts), _tree(x[~m], y[~m], rng, depth - 1, leaf, features, random_cuts)
-
-
-def _tree_values(tree, x):
-    out = np.zeros(len(x))
-    stack = [(tree, np.arange(len(x)))]
-    while stack:
-        node, rows = stack.pop()
-        if isinstance(node, float):
-            out[rows] = node
-        else:
-            f, c, a, b = node
-            m = x[rows, f] <= c
-            stack += [(a, rows[m]), (b, rows[~m])]
+def fit_all(rows: DataFrame, jobs: list[tuple[str, int, int, dict]], seed: int = 42) -> list:
+    """A fitted model for each (model, scheme, held, options): on the rows whose fold in the scheme is
+    neither negative nor held. All trees grow together, and all networks descend together."""
+    out: list = [None] * len(jobs)
+    for module, fit in ((trees, trees.grow_on), (networks, networks.descend)):
+        mine = [i for i, (m, *_) in enumerate(jobs) if (m == "mlp") == (module is networks)]
+        if mine:
+            defaults = [networks.DEFAULTS if jobs[i][0] == "mlp" else trees.DEFAULTS[jobs[i][0]] for i in mine]
+            for i, model in zip(mine, fit(rows, [Fit(jobs[i][1], jobs[i][2], d | jobs[i][3]) for i, d in zip(mine, defaults)], seed)):
+                out[i] = model
     return out
 
 
-def fit_trees(x, y, *, trees=1, depth=8, leaf=10, features=1.0, bootstrap=False, random_cuts=False, seed=42):
-    rng = np.random.default_rng(seed)
-    k = max(1, int(round(features * x.shape[1])))
-    out = []
-    for _ in range(trees):
-        rows = rng.integers(0, len(y), len(y)) if bootstrap else slice(None)
-        out.append(_tree(x[rows], y[rows], rng, depth, leaf, k, random_cuts))
-    return Forest(out)
-
-
-def fit_mlp(x, y, *, hidden=16, epochs=200, rate=0.01, l2=1e-4, seed=42):
-    """One hidden ReLU layer, Adam over the full batch, the target standardised on the fit rows."""
-    rng = np.random.default_rng(seed)
-    mu, sd = y.mean(), y.std() or 1.0
-    t = (y - mu) / sd
-    p = [rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
-    m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    for step in range(1, epochs + 1):
-        h = np.maximum(0, x @ p[0] + p[1])
-        e = (h @ p[2] + p[3][0] - t) / len(t)
-        back = np.outer(e, p[2]) * (h > 0)
-        grads = [x.T @ back + l2 * p[0], back.sum(0), h.T @ e + l2 * p[2], np.array([e.sum()])]
-        for i, g in enumerate(grads):
-            m[i] = 0.9 * m[i] + 0.1 * g
-            v[i] = 0.999 * v[i] + 0.001 * g * g
-            p[i] = p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    return Network(p, float(mu), float(sd))
-
-
-FITS = {
-    "tree": lambda x, y, seed, **o: fit_trees(x, y, seed=seed, **({"depth": 8, "leaf": 10} | o)),
-    "random_forest": lambda x, y, seed, **o: fit_trees(x, y, seed=seed, **({"trees": 20, "depth": 10, "leaf": 3, "features": 0.5, "bootstrap": True} | o)),
-    "extra_trees": lambda x, y, seed, **o: fit_trees(x, y, seed=seed, **({"trees": 20, "depth": 10, "leaf": 3, "random_cuts": True} | o)),
-    "mlp": lambda x, y, seed, **o: fit_mlp(x, y, seed=seed, **o),
-}
-
-
-def cross_validate(df: DataFrame, id_col: str, model: str, folds: int = 5, seed: int = 42, max_fit_rows: int = MAX_FIT_ROWS, **options) -> DataFrame:
-    """Out-of-fold predictions of a numpy model: id, fold, y_true, y_pred, model.
-
-    df: id, x (array<double>), y, cv_fold. One task per fold fits the other folds' rows, each
-    row going to every fold's task; the size is checked first.
+def cross_validate(df: DataFrame, id_col: str, model: str, folds: int = 5, seed: int = 42, **options) -> DataFrame:
+    """Out-of-fold predictions: id, fold, y_true, y_pred, model.
+
+    df: id, x (array<double>, no nulls), y, cv_fold (null: no part). All folds are fitted in the
+    same passes over the table, from sums in the cluster, for any number of rows.
     """
-    n = df.count()
-    if n > max_fit_rows:
-        raise ValueError(f"{n} rows exceed a fit's bound of {max_fit_rows}")
+    fitted = fit_all(model_rows(df, id_col, [F.col("cv_fold")]), [(model, 0, f, options) for f in range(folds)], seed)
+    shared = df.sparkSession.sparkContext.broadcast(fitted)
 
-    def run(pdf):
-        pdf = pdf.sort_values(id_col)
-        x, y = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(float)
-        held = (pdf["cv_fold"] == pdf["task"]).to_numpy()
-        out = pdf.loc[held, [id_col]].copy()
-        predict = FITS[model](x[~held], y[~held], seed, **options)
-        return out.assign(fold=pdf.loc[held, "cv_fold"], y_true=y[held], y_pred=predict(x[held]), model=model)
+    @F.pandas_udf("double")
+    def score(x: pd.Series, fold: pd.Series) -> pd.Series:
+        out = np.zeros(len(x))
+        for f in fold.unique():
+            mine = (fold == f).to_numpy()
+            out[mine] = shared.value[int(f)](np.stack(x[mine].to_numpy()).astype(float))
+        return pd.Series(out)
 
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(id_col, "x", "y", "cv_fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("task"))
-    return rows.groupBy("task").applyInPandas(run, f"{id_col} {kind}, fold int, y_true double, y_pred double, model string")
+    held = df.where(F.col("cv_fold").between(0, folds - 1))
+    return held.select(id_col, F.col("cv_fold").cast("int").alias("fold"), F.col("y").cast("double").alias("y_true"), score(F.col("x").cast("array<double>"), "cv_fold").alias("y_pred"), F.lit(model).alias("model"))
 
 
 # Segments.
@@ -306,7 +142,7 @@ def project(df: DataFrame, x: str, mean, parts, name: str = "scores") -> DataFra
 
 def kmeans(df: DataFrame, x: str, k: int, seeds: int = 10, rounds: int = 50, sample: int = 20_000):
     """(centres, their cost): Lloyd's rounds over the whole table from the best of several starts on
-    a bounded sample. Each round sends k sums per partition."""
+    a bounded sample. A round sends k sums a task, added up by centre in the cluster."""
     pdf = df.select(x).orderBy(F.xxhash64(x)).limit(sample).toPandas()
     points = np.stack(pdf[x].to_numpy()).astype(float)
 
@@ -331,16 +167,25 @@ def kmeans(df: DataFrame, x: str, k: int, seeds: int = 10, rounds: int = 50, sam
     cost = np.inf
     for _ in range(rounds):
         def run(batches, c=c):
+            n, total, d2 = np.zeros(k, np.int64), np.zeros(c.shape), np.zeros(k)
             for b in batches:
                 if len(b):
                     p = np.stack(b[x].to_numpy()).astype(float)
                     own, d = step(p, c)
-                    for j in np.unique(own):
-                        yield pd.DataFrame({"j": [int(j)], "n": [int((own == j).sum())], "s": [p[own == j].sum(0)], "d": [float(d[own == j].sum())]})
-        got = df.select(x).mapInPandas(run, "j int, n long, s array<double>, d double").toPandas()
+                    n += np.bincount(own, minlength=k)
+                    d2 += np.bincount(own, d, k)
+                    total += np.eye(k)[own].T @ p
+            some = np.flatnonzero(n)
+            yield pd.DataFrame({"j": some, "n": n[some], "s": list(total[some]), "d": d2[some]})
+
+        def add(pdf):
+            return pd.DataFrame({"j": pdf["j"].iloc[:1], "n": [pdf["n"].sum()], "s": [np.sum(np.stack(pdf["s"]), axis=0)], "d": [pdf["d"].sum()]})
+
+        schema = "j int, n long, s array<double>, d double"
+        got = df.select(x).mapInPandas(run, schema).groupBy("j").applyInPandas(add, schema).toPandas()  # a row for each centre
         new = c.copy()
-        for j, g in got.groupby("j"):
-            new[j] = np.sum(np.stack(g["s"]), axis=0) / g["n"].sum()
+        for j, n, total in zip(got["j"], got["n"], got["s"]):
+            new[j] = np.asarray(total) / n
         now = float(got["d"].sum())
         if now >= cost - 1e-9:
             break
@@ -354,19 +199,17 @@ def assign_clusters(df: DataFrame, x: str, centres, name: str = "cluster") -> Da
 
 
 def silhouette(df: DataFrame, id_col: str, x: str, cluster: str, sample: int | None = None) -> DataFrame:
-    """id, cluster, silhouette (Euclidean) of all rows against all rows; with `sample`, within the
-    rows of so many smallest ids' hashes. A cluster of one row scores 0."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(cluster).alias("c"), F.col(x).cast("array<double>").alias("p"))
+    """id, cluster, silhouette (Euclidean) of all rows against all rows, in tiles; with `sample`, within
+    the rows of so many smallest ids' hashes. A cluster of one row scores 0, as do rows without a
+    cluster or a vector, which count for no others."""
+    rows = df.select(id_col, cluster, x)
     if sample is not None:
         rows = rows.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    a = rows.select("id", "c", "p")
-    b = rows.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("p").alias("p2"))
-    d = F.sqrt(F.aggregate(F.zip_with("p", "p2", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda u, v: u + v))
-    pairs = a.crossJoin(b if sample is None else F.broadcast(b))
-    means = pairs.where("id <> id2").groupBy("id", "c", "c2").agg(F.avg(d).alias("m"))
-    both = means.groupBy("id", "c").agg(F.max(F.when(F.col("c") == F.col("c2"), F.col("m"))).alias("own"), F.min(F.when(F.col("c") != F.col("c2"), F.col("m"))).alias("other"))
-    score = F.when(F.col("own").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
-    return both.select(F.col("id").alias(id_col), F.col("c").alias(cluster), score.alias("silhouette"))
+    rows = written(rows, "silhouette")
+    m, own = F.col("total") / F.col("n"), F.col("c") == F.col("other")
+    means = cluster_distances(rows, id_col, x, cluster).groupBy(F.col("id").alias("__id")).agg(F.max(F.when(own, m)).alias("own"), F.min(F.when(~own, m)).alias("far"))
+    score = F.when(F.col("own").isNull(), 0.0).otherwise((F.col("far") - F.col("own")) / F.greatest("own", "far"))
+    return rows.join(means, F.col(id_col) == F.col("__id"), "left").select(id_col, cluster, score.alias("silhouette"))
 
 
 def choose_k(scores: DataFrame) -> DataFrame:

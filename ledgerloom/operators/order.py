@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from .components import written
 
 
+def placed(df: DataFrame, by: str, name: str = "place") -> DataFrame:
+    """df with the place, from 0, of each row in the order of by (without repeats or nulls). Rows are
+    dealt by ranges; what comes together in one task is a count for each range."""
+    ranged = written(df.repartitionByRange(by).withColumn("__part", F.spark_partition_id()), "placed")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("__part").agg(F.count("*").alias("__n")).select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(by)) - 1
+    return ranged.withColumn("__own", own).join(F.broadcast(base), F.col("__part") == F.col("__p")).select(*df.columns, (F.col("__base") + F.col("__own")).cast("long").alias(name))
+
+
 def round_robin(df: DataFrame, queue: str, item: str) -> DataFrame:
     """df with turn, the item's place in its queue; ordering by (turn, queue) takes the i-th
     item of every queue before any (i+1)-th.
@@ -24,18 +34,14 @@ def round_robin(df: DataFrame, queue: str, item: str) -> DataFrame:
 
 
 def batches(df: DataFrame, queue: str, item: str, size: int) -> DataFrame:
-    """df with turn, seq (the global place of a round-robin drain) and batch.
+    """df with turn, seq (the global place of a round-robin drain, from 1) and batch.
 
-    seq needs no global sort: it is the number of rows in earlier turns and the place within
-    the turn. Turns are summed in runs of 4,096, and only the runs' sums are added up in one task.
+    seq is the place in the order of (turn, queue), taken from ranges of both: the first turn, which
+    holds a row of every queue, lies in many tasks, and nothing is sorted as a whole.
     """
-    turns = round_robin(df, queue, item)
-    per = turns.groupBy("turn").agg(F.count("*").alias("n")).withColumn("run", F.expr("turn div 4096"))
-    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = per.groupBy("run").agg(F.sum("n").alias("n")).select("run", earlier(Window.orderBy("run")).alias("base"))
-    before = per.withColumn("own", earlier(Window.partitionBy("run").orderBy("turn"))).join(runs, "run").select("turn", (F.col("base") + F.col("own")).alias("before"))
-    placed = turns.join(before, "turn").withColumn("seq", F.col("before") + F.row_number().over(Window.partitionBy("turn").orderBy(queue)))
-    return placed.drop("before").withColumn("batch", F.floor((F.col("seq") - 1) / size).cast("long"))
+    turns = round_robin(df, queue, item).withColumn("__at", F.struct("turn", queue))
+    drained = placed(turns, "__at", "__place").withColumn("seq", F.col("__place") + 1)
+    return drained.drop("__at", "__place").withColumn("batch", F.floor((F.col("seq") - 1) / size).cast("long"))
 
 
 def seeded_rank(df: DataFrame, by: str, value: str, seed: int) -> DataFrame:

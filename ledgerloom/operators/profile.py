@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import json_map, json_text, json_type, missingness, width_bin
+from .ranks import medians, order_statistics
 
 
 def category_inventory(df: DataFrame, columns: list[str], missing: str = "<MISSING>") -> DataFrame:
@@ -33,8 +34,13 @@ def raw_inventory(df: DataFrame, json_col: str, fields: list[str], pairs: list =
 
 def segment_summary(df: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:
     """by, n, and mean and median of each measure: descriptions of segments after their fit."""
-    stats = [f(c).alias(f"{name}_{of}") for name, c in measures.items() for of, f in (("mean", F.avg), ("median", F.median))]
-    return df.groupBy(*by).agg(F.count("*").alias("n"), *stats)
+    rows = df.select(*by, *[c.alias(f"__m{i}") for i, c in enumerate(measures.values())])
+    held = [f"__m{i}" for i in range(len(measures))]
+    means = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in held])
+    middle = medians(rows, by, held).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], *held)
+    both = means.join(middle, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)])
+    stats = [F.col(f"{c}{end}").alias(f"{name}_{of}") for name, c in zip(measures, held) for of, end in (("mean", "_mean"), ("median", ""))]
+    return both.select(*by, "n", *stats)
 
 
 def column_missingness(df: DataFrame, columns: list[str], blank_is_empty: bool = False) -> DataFrame:
@@ -65,12 +71,12 @@ def key_presence(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
 
 def coverage(df: DataFrame, split: str, fields: list[str]) -> DataFrame:
     """split, field, value, n for each field, by grouping sets over one scan."""
-    names = ", ".join(f"`{f}`" for f in fields)
-    sets = ", ".join(f"(`{split}`, `{f}`)" for f in fields)
-    df.createOrReplaceTempView("__coverage")
-    which = "CASE " + " ".join(f"WHEN grouping(`{f}`) = 0 THEN '{f}'" for f in fields) + " END"
-    value = "CASE " + " ".join(f"WHEN grouping(`{f}`) = 0 THEN cast(`{f}` AS string)" for f in fields) + " END"
-    return df.sparkSession.sql(f"SELECT `{split}` AS split, {which} AS field, {value} AS value, count(*) AS n FROM __coverage GROUP BY `{split}`, {names} GROUPING SETS ({sets})")
+    which, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for f in fields:
+        held = F.grouping(f) == 0
+        which, value = F.when(held, f).otherwise(which), F.when(held, F.col(f).cast("string")).otherwise(value)
+    grouped = df.groupingSets([[split, f] for f in fields], split, *fields)
+    return grouped.agg(which.alias("field"), value.alias("value"), F.count("*").alias("n")).select(F.col(split).alias("split"), "field", "value", "n")
 
 
 def distinct_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -82,15 +88,15 @@ def distinct_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def describe_groups(df: DataFrame, by: str, value: str) -> DataFrame:
-    """n, median, mean and sample standard deviation per group."""
-    return df.groupBy(by).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    """n, median, mean and sample standard deviation per group; the median is exact, by counts."""
+    rest = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    middle = medians(df, [by], [value]).select(F.col(by).alias("__by"), F.col(value).alias("median"))
+    return rest.join(middle, F.col(by).eqNullSafe(F.col("__by"))).select(by, "n", "median", "mean", "std")
 
 
 def quantiles(df: DataFrame, value: str, at=(0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """q, value: linear-interpolated quantiles. The exact aggregate keeps counts per distinct
-    value, partially aggregated."""
-    row = df.agg(F.percentile(value, F.array(*[F.lit(float(q)) for q in at])).alias("v"))
-    return row.select(F.explode(F.arrays_zip(F.array(*[F.lit(float(q)) for q in at]).alias("q"), F.col("v").alias("value"))).alias("z")).select("z.q", "z.value")
+    """q, value: exact linear-interpolated quantiles, by counts in narrowing ranges."""
+    return order_statistics(df, [], [value], list(at)).select(F.col("share").alias("q"), "value")
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:

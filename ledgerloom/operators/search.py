@@ -8,10 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import FITS, MAX_FEATURES, MAX_FIT_ROWS
+from .components import written
+from .models import FITS, MAX_FEATURES, fit_all, model_rows
+from .split import group_folds
 
 
 def check_candidates(candidates: list[tuple[str, dict]], most: int = 12) -> None:
@@ -23,10 +26,6 @@ def check_candidates(candidates: list[tuple[str, dict]], most: int = 12) -> None
             raise ValueError(f"not a candidate: {(model, options)}")
 
 
-def _mae(a, b):
-    return float(np.abs(a - b).mean())
-
-
 def fold_grams(df: DataFrame, x: str, y: str, fold: str) -> dict[int, np.ndarray]:
     """[x, 1]'[x, 1, y] of the rows of each fold: one pass, sums added up in the cluster."""
     def run(batches):
@@ -88,50 +87,60 @@ def ridge_grid(df: DataFrame, arms: dict[str, str], alphas: list[float], y: str,
 
 
 def nested_search(df: DataFrame, candidates: list[tuple[str, dict]], group: str, outer: int = 5, inner: int = 3, seed: int = 42) -> DataFrame:
-    """model, context (outer fold, or -1 for the selection on all rows), candidate, mae, chosen.
+    """model, context (outer fold, or -1 for the selection on all rows), candidate, mae, chosen,
+    outer_mae.
 
     df: id, x, y, cv_fold and the group. For each model and outer fold, inner group folds of the
-    other rows choose a candidate, which is refitted on them and scored on the fold; then the
-    outer folds choose among all candidates. One task per (model, context); the size is checked.
+    other rows choose a candidate by the least (mean, deviation, place), which is scored, fitted on
+    all those rows, on the outer fold; then the outer folds choose among all candidates. Every
+    fit of every context is a mask over one table, and all grow in the same passes.
     """
     check_candidates(candidates)
-    n = df.count()
-    if n > MAX_FIT_ROWS:
-        raise ValueError(f"{n} rows exceed a fit's bound of {MAX_FIT_ROWS}")
-    models = sorted({m for m, _ in candidates})
     id_col = df.columns[0]
+    rows, schemes = df, [F.col("cv_fold")]
+    for o in range(outer):
+        name = f"__inner{o}"
+        part = group_folds(df.where(F.col("cv_fold") != o), group, inner).select(F.col(group).alias(f"__g{o}"), F.col("cv_fold").alias(name))
+        rows = rows.join(part, F.col(group) == F.col(f"__g{o}"), "left").drop(f"__g{o}")
+        schemes.append(F.when(F.col("cv_fold") != o, F.col(name)))
+    rows = written(model_rows(rows, id_col, schemes), "nested")
+    jobs = [(m, scheme, held, options) for m, options in candidates for scheme, held in [*[(0, f) for f in range(outer)], *[(1 + o, i) for o in range(outer) for i in range(inner)]]]
+    fitted = fit_all(rows, jobs, seed)
+    errors = held_errors(rows, [(scheme, held, model) for (_, scheme, held, _), model in zip(jobs, fitted)])
+    mae = {}
+    each = len(jobs) // len(candidates)
+    for k, (_, scheme, held, _) in enumerate(jobs):
+        if k in errors:
+            mae.setdefault((k // each, scheme), {})[held] = errors[k]
+    out = []
+    for model in sorted({m for m, _ in candidates}):
+        mine = [c for c, (m, _) in enumerate(candidates) if m == model]
+        for context in [*range(outer), -1]:
+            scores = {c: list(mae[c, 1 + context].values()) for c in mine}
+            best = min(mine, key=lambda c: (np.mean(scores[c]), np.std(scores[c]), c))
+            out += [(model, context, c, float(np.mean(scores[c])), c == best, mae[c, 0][context] if c == best and context >= 0 else None) for c in mine]
+    return df.sparkSession.createDataFrame(out, "model string, context int, candidate int, mae double, chosen boolean, outer_mae double")
+
+
+def held_errors(rows: DataFrame, models: list[tuple[int, int, object]]) -> dict[int, float]:
+    """Mean absolute error of each (scheme, held, model) on the rows that it left out, in one pass."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
-    def folds_of(groups, k):
-        names, sizes = np.unique(groups, return_counts=True)
-        weight, out = np.zeros(k, np.int64), {}
-        for i in np.argsort(sizes, kind="stable")[::-1]:
-            out[names[i]] = int(weight.argmin())
-            weight[out[names[i]]] += sizes[i]
-        return np.array([out[g] for g in groups])
-
-    def run(pdf):
-        model, context = pdf["model"].iloc[0], int(pdf["context"].iloc[0])
-        pdf = pdf.sort_values(id_col)
-        x, y, g, fold = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(float), pdf[group].to_numpy(), pdf["cv_fold"].to_numpy()
-        train = fold != context
-        inside = fold[train] if context < 0 else folds_of(g[train], inner)
-        rows = []
-        for c, (m, options) in enumerate(candidates):
-            if m == model:
-                scores = []
-                for f in np.unique(inside):
-                    held = inside == f
-                    scores.append(_mae(FITS[m](x[train][~held], y[train][~held], seed, **options)(x[train][held]), y[train][held]))
-                rows.append((c, float(np.mean(scores)), float(np.std(scores))))
-        best = min(rows, key=lambda r: (r[1], r[2], r[0]))[0]
-        outer_mae = None
-        if context >= 0:
-            outer_mae = _mae(FITS[model](x[train], y[train], seed, **candidates[best][1])(x[~train]), y[~train])
-        return pd.DataFrame([(model, context, c, mae, c == best, outer_mae if c == best else None) for c, mae, _ in rows], columns=["model", "context", "candidate", "mae", "chosen", "outer_mae"])
-
-    jobs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("context")) for m in models for k in [*range(outer), -1]])
-    rows = df.select(id_col, "x", "y", "cv_fold", group, F.explode(jobs).alias("j")).select("*", "j.model", "j.context").drop("j")
-    return rows.groupBy("model", "context").applyInPandas(run, "model string, context int, candidate int, mae double, chosen boolean, outer_mae double")
+    def run(batches):
+        n, total = np.zeros(len(models), np.int64), np.zeros(len(models))
+        for batch in batches:
+            y, x = batch.column(0).to_numpy(), np.stack(batch.column(2).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, 1))
+            folds = np.stack(batch.column(1).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, 1))
+            for k, (scheme, held, model) in enumerate(shared.value):
+                mine = folds[:, scheme] == held if len(folds) else np.zeros(0, bool)
+                if mine.any():
+                    n[k] += mine.sum()
+                    total[k] += np.abs(model(x[mine]) - y[mine]).sum()
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some]), pa.array(total[some])], ["k", "n", "e"])
+
+    got = rows.select("y", "folds", "x").mapInArrow(run, "k int, n long, e double").groupBy("k").agg((F.sum("e") / F.sum("n")).alias("mae")).collect()  # a row per model
+    return {r.k: r.mae for r in got}
 
 
 @dataclass(frozen=True)
@@ -147,18 +156,10 @@ class Choice:
         return Choice(model, text, hashlib.sha256(f"{model}:{text}".encode()).hexdigest())
 
 
-def score_test(train: DataFrame, test: DataFrame, choice: Choice, id_col: str, seed: int = 42, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
+def score_test(train: DataFrame, test: DataFrame, choice: Choice, id_col: str, seed: int = 42) -> DataFrame:
     """id, y_true, y_pred of the test rows by the chosen model, refitted on all training rows."""
     if Choice.of(choice.model, json.loads(choice.options)).seal != choice.seal:
         raise ValueError("the choice isn't the sealed one")
-    if train.limit(max_fit_rows + 1).count() > max_fit_rows:
-        raise ValueError("too many training rows for a fit")
-    pdf = train.select(id_col, "x", "y").toPandas().sort_values(id_col)
-    predict = FITS[choice.model](np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(float), seed, **json.loads(choice.options))
-
-    def run(batches):
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({id_col: b[id_col], "y_true": b["y"].astype(float), "y_pred": predict(np.stack(b["x"].to_numpy()))})
-    kind = test.schema[id_col].dataType.simpleString()
-    return test.select(id_col, "x", "y").mapInPandas(run, f"{id_col} {kind}, y_true double, y_pred double")
+    model = fit_all(model_rows(train, id_col, [F.lit(0)]), [(choice.model, 0, -1, json.loads(choice.options))], seed)[0]
+    scored = model.predict(test.select(id_col, F.col("x").cast("array<double>").alias("x"), "y"))
+    return scored.select(id_col, F.col("y").cast("double").alias("y_true"), "y_pred")

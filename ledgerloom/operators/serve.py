@@ -15,6 +15,7 @@ from ..functions.values import strip
 from ..sources.sinks import write_json, write_once
 from .features import Preprocessor
 from .models import Forest, Linear, Median, Network
+from .ranks import medians
 
 #: Models that a bundle can hold; the numpy ones write themselves.
 NUMPY = {"Forest": Forest, "Network": Network}
@@ -30,9 +31,16 @@ def select_arm(df: DataFrame, arm: str, structured: list[str], keep: list[str] =
     return df.select(*keep, *structured, *[sanitize(F.col(c)).alias(c) for c in ARMS[arm]])
 
 
+#: Ids that one hash may run over.
+MAX_IDS = 10_000_000
+
+
 def ids_digest(df: DataFrame, id_col: str) -> str:
-    """SHA-256 of the ids, sorted as texts, as a compact JSON list. The list is hashed as it
-    comes, a partition at a time, and never held."""
+    """SHA-256 of the ids, sorted as texts, as a compact JSON list. The hash of one list is
+    sequential, so the ids are hashed in the driver as they come, a partition at a time; more than
+    MAX_IDS raise (content_hash takes any number)."""
+    if df.limit(MAX_IDS + 1).count() > MAX_IDS:
+        raise ValueError(f"more than {MAX_IDS} ids for one hash")
     h, first = hashlib.sha256(b"["), True
     for r in df.select(F.col(id_col).cast("string").alias("i")).orderBy("i").toLocalIterator():
         h.update((b"" if first else b",") + json.dumps(r.i).encode())
@@ -50,8 +58,10 @@ def interface_schema(train: DataFrame, categorical: list[str], numeric: list[str
         raise ValueError("no training rows")
     if "split" in train.columns and train.where("NOT split <=> 'train'").limit(1).count():
         raise ValueError("the interface is described by training rows only")
-    aggs = [F.array_sort(F.collect_set(F.nullif(strip(F.col(c).cast("string")), F.lit("")))).alias(c) for c in categorical] + [F.median(c).alias(c) for c in numeric]
+    aggs = [F.array_sort(F.collect_set(F.nullif(strip(F.col(c).cast("string")), F.lit("")))).alias(c) for c in categorical] + []
     one = train.agg(*aggs, F.count("*").cast("double").alias("__n"))
+    if numeric:
+        one = one.crossJoin(F.broadcast(medians(train, [], numeric)))  # one row each
     listed = lambda c: F.array_sort(F.array_intersect(F.col(c), F.array(*map(F.lit, allowed[c])))) if c in (allowed or {}) else F.col(c)
     rows = [F.struct(F.lit(c).alias("field"), listed(c).alias("options"), F.lit(None).cast("double").alias("median")) for c in categorical]
     rows += [F.struct(F.lit(c).alias("field"), F.lit(None).cast("array<string>").alias("options"), F.col(c).cast("double").alias("median")) for c in numeric]

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
-from ..operators import dedup, evaluate, families, features, joins, models, order, profile, rules, search, serve, split
-from ..sources import files
+from ..operators import dedup, evaluate, families, features, joins, models, order, profile, ranks, rules, search, serve, sparse, split
+from ..sources import files, markup
 from . import vehicles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -470,7 +470,11 @@ def group_shuffle_split(spark, sf_dir):
         F.count("*").alias("n_groups"), F.count_if(F.col("split") == "test").alias("n_test"), F.count_if(F.col("k") > 1).alias("groups_in_both"))
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT o_custkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_custkey DESC) AS i FROM orders GROUP BY o_custkey),
+w(i, rows, groups) AS (SELECT CAST(0 AS BIGINT), [0, 0, 0, 0, 0]::BIGINT[], [0, 0, 0, 0, 0]::BIGINT[]
+  UNION ALL SELECT g.i, list_transform(range(1, 6), lambda j: CAST(l.rows[j] + CASE WHEN j = l.least THEN g.n ELSE 0 END AS BIGINT)), list_transform(range(1, 6), lambda j: CAST(l.groups[j] + CASE WHEN j = l.least THEN 1 ELSE 0 END AS BIGINT))
+  FROM (SELECT *, list_position(rows, list_min(rows)) AS least FROM w) l JOIN g ON g.i = l.i + 1)
+SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS cv_fold, unnest(rows) AS n_rows, unnest(groups) AS n_groups FROM w WHERE i = (SELECT max(i) FROM g)""")
 def group_kfold(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey")
     return o.join(split.group_folds(o, "o_custkey"), "o_custkey").groupBy("cv_fold").agg(F.count("*").alias("n_rows"), F.count_distinct("o_custkey").alias("n_groups"))
@@ -564,10 +568,14 @@ def tfidf_top_terms(spark, sf_dir):
     return v.select("term", "tf", "df", F.round("idf", 6).alias("idf"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_name || ' ' || p_type), '[\p{L}\p{N}_]{2,}') AS w FROM part),
+g AS (SELECT p_partkey, unnest(w) AS term FROM t UNION ALL SELECT p_partkey, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM t),
+v AS (SELECT term, ln((1 + (SELECT count(*) FROM part)) / (1 + count(DISTINCT p_partkey))) + 1 AS idf FROM g GROUP BY term ORDER BY count(*) DESC, term LIMIT 5000),
+r AS (SELECT p_partkey, term, (1 + ln(count(*))) * any_value(idf) AS x FROM g JOIN v USING (term) GROUP BY p_partkey, term)
+SELECT p_partkey, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY p_partkey)), 6) AS weight FROM r""")
 def tfidf_weights(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    return features.tfidf(p, "p_partkey", "text", features.vocabulary(p, "text"))
+    return features.tfidf(p, "p_partkey", "text", features.vocabulary(p, "text")).withColumn("weight", F.round("weight", 6))
 
 
 @query(r"""WITH l AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<li(?:\s[^>]*)?>([^<]*(?:<(?:/?(?:a|b|i|em|strong|span)\b)[^>]*>[^<]*)*)', 1) AS items FROM pages),
@@ -578,6 +586,14 @@ def html_list_items(spark, sf_dir):
     return files.list_items(table(spark, sf_dir, "pages"), "page_id", "html", keyed=False)
 
 
+@query(r"""WITH l AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<li(?:\s[^>]*)?>(.*?)</li\s*>', 1) AS items FROM pages),
+i AS (SELECT page_id, CAST(unnest(range(0, len(items))) AS INTEGER) AS position, unnest(items) AS item FROM l),
+t AS (SELECT page_id, position, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(item, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS item FROM i)
+SELECT page_id, position, nullif(regexp_extract(item, '^([A-Za-z][A-Za-z0-9_]*)\s*-\s*(.+)', 1), '') AS key, item AS meaning FROM t""")
+def html_descriptions(spark, sf_dir):
+    return markup.list_descriptions(table(spark, sf_dir, "pages"), "page_id", "html", keyed=False)
+
+
 # Models.
 
 def _fold(key: str):
@@ -602,9 +618,9 @@ _MODEL = f"""t AS (SELECT p_partkey, p_size / 10.0::DOUBLE AS x1, (p_retailprice
 SELECT CAST(t.f AS INTEGER) AS cv_fold, count(*) AS n, round(avg(abs(v - y)), 6) AS mae FROM t JOIN m ON m.f = t.f GROUP BY t.f""")
 def dummy_cv(spark, sf_dir):
     d = _modelling(spark, sf_dir).select("y", "cv_fold")
-    held = d.select("cv_fold").distinct().withColumnRenamed("cv_fold", "f")
-    medians = d.join(F.broadcast(held), F.col("cv_fold") != F.col("f")).groupBy("f").agg(F.median("y").alias("v"))  # five folds
-    return d.join(F.broadcast(medians), F.col("cv_fold") == F.col("f")).groupBy("cv_fold").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("v") - F.col("y"))), 6).alias("mae"))
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda f: f != F.col("cv_fold"))).alias("f")
+    middle = ranks.medians(d.select(other, "y"), ["f"], ["y"]).select("f", F.col("y").alias("v"))  # five folds
+    return d.join(F.broadcast(middle), F.col("cv_fold") == F.col("f")).groupBy("cv_fold").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("v") - F.col("y"))), 6).alias("mae"))
 
 
 @query(f"""WITH {_MODEL}, n AS (SELECT a.p_partkey AS q, b.y, sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2) + (a.x3 - b.x3) * (a.x3 - b.x3)) AS d,
@@ -806,6 +822,15 @@ def ridge_arm_grid(spark, sf_dir):
     return search.ridge_grid(d, {"size": "size", "price": "price"}, [0.5, 5.0, 50.0], "y", "cv_fold").withColumns({c: F.round(c, 6) for c in ("mae_mean", "mae_std")})
 
 
+@query()
+def text_arm_grid(spark, sf_dir):
+    """Sparse ridges of the four arms, over the parts' names and types as texts."""
+    d = _modelling(spark, sf_dir).select("p_partkey", "y", "cv_fold", F.col("x")[0].alias("size"), F.when(F.col("p_partkey") % 9 != 0, F.col("x")[1]).alias("price"), "grp")
+    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("__k"), F.col("p_name").alias("model_name"), F.concat_ws(" ", F.lit("V"), (F.col("p_size") % 9 + 10).cast("string"), "p_type").alias("engine_description"))
+    design = sparse.Design(["size", "price"], ["grp"], ["model_name", "engine_description"])
+    return sparse.text_ridge_grid(d.join(texts, F.col("p_partkey") == F.col("__k")).drop("__k"), design, serve.ARMS, [0.1, 1.0, 10.0], "y").withColumns({c: F.round(c, 6) for c in ("mae_mean", "mae_std")})
+
+
 @query()
 def batch_score(spark, sf_dir):
     d = _modelling(spark, sf_dir)

@@ -82,11 +82,12 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema("vehicle_id string, model_group string, split string, cv_fold int").csv(path)
 
 
-def menu_file(name: str, params: dict[str, str]) -> str:
-    """File name of a menu request: the name and 16 hex digits over the sorted parameters."""
+def menu_file(name: str, params: dict | None = None) -> str:
+    """File name of a menu request: the name and 16 hex digits over the parameters as a JSON object
+    with sorted keys (values of any JSON type, ASCII escapes, a blank after `,` and `:`)."""
     if name == "year":
         return "menus/year.json"
-    text = json.dumps(sorted(params.items()), ensure_ascii=False, separators=(",", ":"))
+    text = json.dumps(params or {}, sort_keys=True)
     return f"menus/{name}_{hashlib.sha256(text.encode()).hexdigest()[:16]}.json"
 
 
