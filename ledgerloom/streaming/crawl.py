@@ -7,9 +7,10 @@ discovered options and the log of attempts, so an interrupted crawl resumes from
 from __future__ import annotations
 
 import json
-import os
-import socket
+import shutil
+import threading
 import time
+import uuid
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -141,25 +142,50 @@ def open_snapshot(folder: str | Path, scope: dict, config: dict, resume: bool =
     return meta
 
 
-@contextmanager
-def only_writer(folder: str | Path, resume: bool = False):
-    """One crawl at a time in a folder. On resume the lock of a dead process of this host goes."""
-    path = Path(folder) / ".crawl.lock"
-    if resume and path.exists():
+def _expired(lock: Path, lease: float, now: float) -> bool:
+    """Whether the holder of a lock has let its lease run out; without a lease, its folder's age counts."""
+    try:
+        return json.loads((lock / "lease.json").read_text())["until"] < now
+    except (OSError, ValueError, KeyError, TypeError):
         try:
-            held = json.loads(path.read_text())
-            if held["host"] == socket.gethostname():
-                os.kill(int(held["pid"]), 0)
-        except ProcessLookupError:
-            path.unlink()
-        except (ValueError, KeyError, PermissionError):
-            pass
+            return lock.stat().st_mtime + lease < now
+        except OSError:
+            return False
+
+
+@contextmanager
+def only_writer(folder: str | Path, resume: bool = False, lease: float = 60.0, clock=time.time):
+    """One crawl at a time in a folder that hosts may share: who makes the lock's folder holds it, and
+    renews its lease while it runs. On resume a lock whose lease has run out is moved aside, which
+    one caller alone can do; any other lock raises."""
+    lock, holder, ended = Path(folder) / ".crawl.lease", uuid.uuid4().hex, threading.Event()
+    taken = f"{lock}: another crawl may be running"
     try:
-        with path.open("x") as f:
-            json.dump({"pid": os.getpid(), "host": socket.gethostname()}, f)
+        lock.mkdir()
     except FileExistsError:
-        raise RuntimeError(f"{path}: another crawl may be running") from None
+        if not (resume and _expired(lock, lease, clock())):
+            raise RuntimeError(taken) from None
+        try:
+            lock.rename(aside := lock.with_name(f".expired-{holder}"))
+            lock.mkdir()
+        except OSError:
+            raise RuntimeError(taken) from None
+        shutil.rmtree(aside, ignore_errors=True)
+
+    def renew():
+        write_json(lock / "lease.json", {"holder": holder, "until": clock() + lease})
+
+    def keep():
+        while not ended.wait(lease / 3):
+            renew()
+
+    renew()
+    keeper = threading.Thread(target=keep, daemon=True)
+    keeper.start()
     try:
         yield
     finally:
-        path.unlink(missing_ok=True)
+        ended.set()
+        keeper.join()
+        if json.loads((lock / "lease.json").read_text())["holder"] == holder:
+            shutil.rmtree(lock)

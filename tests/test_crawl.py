@@ -1,8 +1,7 @@
 """Acquisition: discovery, statuses, waves of requests with one cooldown and budget, resuming."""
 
 import json
-import subprocess
-import sys
+import time
 
 import pytest
 
@@ -77,11 +76,23 @@ def test_resume_guards_and_lock(tmp_path):
         for resume in (False, True):
             with pytest.raises(RuntimeError), crawl.only_writer(tmp_path, resume):
                 pass
-    dead = subprocess.run([sys.executable, "-c", "import os; print(os.getpid())"], capture_output=True, text=True).stdout
-    import socket
-    (tmp_path / ".crawl.lock").write_text(json.dumps({"pid": int(dead), "host": socket.gethostname()}))
+    (tmp_path / ".crawl.lease").mkdir()
+    (tmp_path / ".crawl.lease" / "lease.json").write_text(json.dumps({"holder": "dead", "until": 1.0}))
     with pytest.raises(RuntimeError), crawl.only_writer(tmp_path):
         pass
-    with crawl.only_writer(tmp_path, resume=True):
+    with crawl.only_writer(tmp_path, resume=True), pytest.raises(RuntimeError), crawl.only_writer(tmp_path, resume=True):
         pass
-    assert not (tmp_path / ".crawl.lock").exists()
+    assert not (tmp_path / ".crawl.lease").exists()
+    (tmp_path / ".crawl.lease").mkdir()  # its holder died before it wrote a lease
+    with pytest.raises(RuntimeError), crawl.only_writer(tmp_path, resume=True):
+        pass
+    with crawl.only_writer(tmp_path, resume=True, clock=lambda: 1e12):
+        pass
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith(".")] == []
+
+
+def test_a_lease_is_renewed_while_it_is_held(tmp_path):
+    with crawl.only_writer(tmp_path, lease=0.3):
+        first = json.loads((tmp_path / ".crawl.lease" / "lease.json").read_text())["until"]
+        time.sleep(0.5)
+        assert json.loads((tmp_path / ".crawl.lease" / "lease.json").read_text())["until"] > first
