@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import discard, materialize, slices
 
 BUCKET_BITS = 18
 #: Labelled target rows from which the target model is fitted: those of the smallest id hashes.
@@ -98,8 +98,11 @@ def target_cut(keys: DataFrame, labels: DataFrame, keep_targets: float, max_rows
     """The log weight that the share keep_targets of the labelled targets reach, over at most
     max_rows targets that the model wasn't fitted on (those of the smallest id hashes)."""
     some = judged(labels).where("y = 1").where(~_fitted()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    w = keys.join(F.broadcast(some), "doc_id").select("log_weight").toArrow()["log_weight"].to_numpy()
-    return float(np.quantile(w, 1 - keep_targets, method="lower")) if len(w) else -np.inf
+    held = materialize(keys.join(F.broadcast(some), "doc_id").select(F.col("log_weight").alias("key")), "targets")  # max_rows ids
+    n = held.count()  # rows, of which an id may have any number
+    cut = kth_key(held, n - int((n - 1) * (1 - keep_targets))) if n else -np.inf
+    discard(held)
+    return cut
 
 
 def _score_task(table, seed):
