@@ -1,4 +1,11 @@
-"""python -m ledgerloom list | run QUERY SF_DIR [OUT] | clean RAW_DIR LOG INVENTORY OUT | split DATASET OUT"""
+"""python -m ledgerloom COMMAND, one of
+list
+run QUERY SF_DIR [OUT]
+clean RAW_DIR LOG INVENTORY OUT
+split DATASET OUT
+train DATASET MANIFEST RUN
+final DATASET MANIFEST RUN
+evaluate RUN [DATASET]"""
 
 from __future__ import annotations
 
@@ -8,7 +15,7 @@ from pyspark.sql import SparkSession
 
 from .operators.profile import coverage
 from .operators.split import build_manifest, check_manifest
-from .plans import queries, vehicles
+from .plans import queries, runs, vehicles
 from .sources import files, sinks
 
 
@@ -47,6 +54,12 @@ def main(args: list[str]) -> int:
         return clean(spark, *args[1:])
     if args[:1] == ["split"] and len(args) == 3:
         return freeze(spark, *args[1:])
+    if args[:1] in (["train"], ["final"]) and len(args) == 4:
+        print(getattr(runs, args[0])(spark, *args[1:])["selected_model"])
+        return 0
+    if args[:1] == ["evaluate"] and len(args) in (2, 3):
+        print(runs.evaluate_run(spark, *args[1:]))
+        return 0
     print(__doc__)
     return 2
 

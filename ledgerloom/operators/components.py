@@ -35,7 +35,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{own_folder(spark, root)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ledgerloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that written() wrote and that no later plan reads."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._ledgerloom_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -57,4 +65,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        after = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        discard(now)
+        now = after

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,16 +90,53 @@ def refuse_dense(df: DataFrame, numeric: list[str], categorical: list[str], limi
     return size
 
 
+#: Distinct terms that a task counts before it sends their sums on, and rows it reads at once.
+COUNTED_TERMS, COUNTED_ROWS = 200_000, 256
+
+
+def term_counts(words: DataFrame, by: str | None = None) -> DataFrame:
+    """by, term, tf, df: occurrences and rows of the uni- and bigrams of w (array of words), for each
+    value of by. Terms are counted within a task, in Arrow batches, before their sums are shuffled."""
+    names = [by] if by else []
+    fields = ", ".join([*[f"`{by}` {words.schema[by].dataType.simpleString()}" for _ in names], "term string, tf long, df long"])
+
+    def run(batches):
+        tf: dict = {}
+        df: dict = {}
+
+        def sums():
+            rows = [(k, t, n, df[k][t]) for k, counts in tf.items() for t, n in counts.items()]
+            columns = list(zip(*rows)) if rows else [()] * 4
+            group = [pa.array(columns[0], kind)] if by else []
+            return pa.RecordBatch.from_arrays([*group, pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], [*names, "term", "tf", "df"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(by).type if by else None
+            for at in range(0, batch.num_rows, COUNTED_ROWS):
+                some = batch.slice(at, COUNTED_ROWS)
+                groups = some.column(by).to_pylist() if by else [None] * some.num_rows
+                for k, row in zip(groups, some.column("w").to_pylist()):
+                    terms = [*(row or []), *[f"{a} {b}" for a, b in zip(row or [], (row or [])[1:])]]
+                    tf.setdefault(k, Counter()).update(terms)
+                    df.setdefault(k, Counter()).update(set(terms))
+                if sum(map(len, df.values())) > COUNTED_TERMS:
+                    yield sums()
+                    tf, df = {}, {}
+        if tf:
+            yield sums()
+
+    counted = words.select(*names, "w").mapInArrow(run, fields)
+    return counted.groupBy(*names, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
 def vocabulary(docs: DataFrame, text: str, max_features: int = 5000, min_df: int = 1) -> DataFrame:
-    """term, tf, df, idf of the most frequent uni- and bigrams (ties by term). Texts are cut once;
-    one shuffle of partial sums counts occurrences and documents together."""
+    """term, tf, df, idf of the most frequent uni- and bigrams (ties by term). Texts are cut once and
+    their terms counted before they are shuffled."""
     n = docs.select(F.count("*").alias("n"))
-    terms = docs.select(tokens(F.col(text)).alias("w")).select(unigrams_bigrams(F.col("w")).alias("t"))
-    one = lambda tf, df: lambda x: F.struct(x.alias("term"), F.lit(tf).cast("long").alias("tf"), F.lit(df).cast("long").alias("df"))
-    seen = terms.select(F.explode(F.concat(F.transform("t", one(1, 0)), F.transform(F.array_distinct("t"), one(0, 1)))).alias("s"))
-    counts = seen.groupBy("s.term").agg(F.sum("s.tf").alias("tf"), F.sum("s.df").alias("df"))
+    counts = term_counts(docs.select(tokens(F.col(text)).alias("w")))
     top = counts.where(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(max_features)
-    return top.crossJoin(F.broadcast(n)).select("term", "tf", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return top.crossJoin(F.broadcast(n)).select("term", "tf", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
 
 
 def tfidf(docs: DataFrame, id_col: str, text: str, vocab: DataFrame, sublinear: bool = True) -> DataFrame:

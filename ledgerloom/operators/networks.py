@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import written
+from .components import discard, written
 from .local import Network
 from .trees import Fit, _matrix
 
@@ -92,4 +92,5 @@ def descend(rows: DataFrame, fits: list[Fit], seed: int = 42) -> list[Network]:
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
             flat[i] = flat[i] - options["rate"] * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+    discard(held)
     return [Network([a.copy() for a in _parts(flat[i], width, f.options["hidden"])], float(mean[i]), float(std[i])) for i, f in enumerate(fits)]

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import written
+from .components import discard, written
 
 #: Bins of a range, and so the rows of a range's histogram that a window holds.
 BINS = 4_096
@@ -29,14 +29,22 @@ def _with_ranges(rows: DataFrame, ranges: DataFrame, on: list[str], most: int) -
     return joined.drop(*[f"__r_{c}" for c in on])
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str], where) -> DataFrame:
+    """left joined with what was found in the ranges of its rows."""
+    keys = [*on, "lo", "hi"]
+    renamed = right.select(*[F.col(c).alias(f"__m_{c}") for c in keys], *[c for c in right.columns if c not in keys])
+    return left.join(renamed, [*[F.col(c).eqNullSafe(F.col(f"__m_{c}")) for c in keys], where])
+
+
 def order_statistics(df: DataFrame, by: list[str], columns: list[str], shares: list[float]) -> DataFrame:
     """by, column, share, n, value: exact quantiles of each numeric column in each group, as double,
     linear between neighbours, over the n values that are neither null nor NaN (none: no row).
 
     A rank is looked for in a range of values, at first the group's extremes. Each round counts the
     range's rows in bins with the bins' own extremes and goes on within the bin that holds the
-    rank, until its extremes are equal. A task holds no more than bins, whatever a group's size, and
-    the driver learns only how many ranks are still open. Null groups are groups.
+    rank, until its extremes are equal or it has at most BINS rows, which are then listed. A task
+    holds no more than bins or such a list, whatever a group's size, and the driver learns only how
+    many ranks are still open. Null groups are groups.
     """
     if not columns or not shares or any(not 0 <= s <= 1 for s in shares):
         raise ValueError("columns and shares from 0 to 1 are asked for")
@@ -55,20 +63,31 @@ def order_statistics(df: DataFrame, by: list[str], columns: list[str], shares: l
     below, above = F.col("k") < F.col("__low"), F.col("k") >= F.col("__low") + F.col("__finite")
     value = F.when(below, -inf).when(above, inf).when(F.col("lo") == F.col("hi"), F.col("lo"))
     public = [*on, "n", "share", "up"]
-    state = written(open_.select(*public, value.alias("value"), (F.col("k") - F.col("__low")).alias("k"), "lo", "hi"), "ranks")
-    while n_open := state.where("value IS NULL").count():
-        left = state.where("value IS NULL").drop("value")
-        ranges = left.select(*on, "lo", "hi").distinct()
-        width = F.col("hi") - F.col("lo")  # above 0; where it is beyond a double, halves are taken
-        share = F.when(width < inf, (F.col("__v") - F.col("lo")) / width).otherwise((F.col("__v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
-        bin_ = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
-        counted = _with_ranges(rows, ranges, on, n_open).groupBy(*on, "lo", "hi", bin_.alias("bin")).agg(F.count("*").alias("m"), F.min("__v").alias("a"), F.max("__v").alias("z"))
-        running = Window.partitionBy(*on, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most BINS rows
-        counted = counted.withColumn("before", F.coalesce(F.sum("m").over(running), F.lit(0)))
-        right = counted.select(*[F.col(c).alias(f"__r_{c}") for c in on], F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), "before", "m", "a", "z")
-        met = left.join(right, [*[F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on], F.col("lo") == F.col("__lo"), F.col("hi") == F.col("__hi"), F.col("k") >= F.col("before"), F.col("k") < F.col("before") + F.col("m")])
-        new = met.select(*public, F.when(F.col("a") == F.col("z"), F.col("a")).alias("value"), (F.col("k") - F.col("before")).alias("k"), F.col("a").alias("lo"), F.col("z").alias("hi"))
-        state = written(state.where("value IS NOT NULL").unionByName(new), "ranks")
+    state = written(open_.select(*public, value.alias("value"), (F.col("k") - F.col("__low")).alias("k"), F.col("__finite").alias("m"), "lo", "hi"), "ranks")
+    while True:
+        few, many = state.where("value IS NULL").agg(F.count_if(F.col("m") <= BINS), F.count_if(F.col("m") > BINS)).first()
+        if not few + many:
+            break
+        out = state.where("value IS NOT NULL")
+        if few:
+            left = state.where(F.col("value").isNull() & (F.col("m") <= BINS)).drop("value")
+            listed = _with_ranges(rows, left.select(*on, "lo", "hi").distinct(), on, few).groupBy(*on, "lo", "hi").agg(F.sort_array(F.collect_list("__v")).alias("vs"))  # at most BINS values
+            out = out.unionByName(_met(left, listed, on, F.lit(True)).select(*public, F.get("vs", F.col("k").cast("int")).alias("value"), "k", "m", "lo", "hi"))
+        if many:
+            left = state.where(F.col("value").isNull() & (F.col("m") > BINS)).drop("value", "m")
+            width = F.col("hi") - F.col("lo")  # above 0; where it is beyond a double, halves are taken
+            share = F.when(width < inf, (F.col("__v") - F.col("lo")) / width).otherwise((F.col("__v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
+            bin_ = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
+            ranged = _with_ranges(rows, left.select(*on, "lo", "hi").distinct(), on, many)
+            counted = ranged.groupBy(*on, "lo", "hi", bin_.alias("bin")).agg(F.count("*").alias("m"), F.min("__v").alias("a"), F.max("__v").alias("z"))
+            running = Window.partitionBy(*on, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most BINS rows
+            counted = counted.withColumn("before", F.coalesce(F.sum("m").over(running), F.lit(0)))
+            met = _met(left, counted, on, (F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("m")))
+            out = out.unionByName(met.select(*public, F.when(F.col("a") == F.col("z"), F.col("a")).alias("value"), (F.col("k") - F.col("before")).alias("k"), "m", F.col("a").alias("lo"), F.col("z").alias("hi")))
+        after = written(out, "ranks")
+        discard(state)
+        state = after
+    discard(rows)
     both = state.groupBy(*on, "n", "share").agg(F.max(F.when(~F.col("up"), F.col("value"))).alias("a"), F.max(F.when(F.col("up"), F.col("value"))).alias("z"))
     part = (F.col("n") - 1) * F.col("share") - F.floor((F.col("n") - 1) * F.col("share"))
     names = F.get(F.array(*map(F.lit, columns)), F.col("__c"))

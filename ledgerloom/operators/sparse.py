@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sanitize, tokens, unigrams_bigrams
 from ..functions.values import strip
 from .components import written
+from .features import term_counts
 from .ranks import medians
 
 #: Levels of a category, and entries of a task's products that are held at once.
@@ -96,13 +97,12 @@ class Design:
         return self
 
     def _vocabulary(self, rows: DataFrame, text: str) -> dict[str, np.ndarray]:
-        """term to its idf in each set, 0 where a set leaves it out. Terms are counted within their
-        text before they are shuffled; a set's counts are all folds' less its own fold's."""
+        """term to its idf in each set, 0 where a set leaves it out. Terms are counted in tasks, by
+        fold, before they are shuffled; a set's counts are those of all folds but its own."""
         sets = self.folds + 1
-        once = lambda a: F.transform(F.array_distinct(a), lambda t: F.struct(t.alias("term"), F.size(F.filter(a, lambda x: x == t)).cast("long").alias("tf")))
-        seen = rows.select("fold", F.explode(once(unigrams_bigrams(F.col(text)))).alias("s"))
-        each = [f(F.when(F.col("fold") == k, v)).alias(f"{n}{k}") for k in range(self.folds) for n, f, v in (("tf", F.sum, F.col("s.tf")), ("df", F.count, F.lit(1)))]
-        terms = written(seen.groupBy("s.term").agg(*each).fillna(0), "terms")
+        seen = term_counts(rows.select("fold", F.col(text).alias("w")), "fold")
+        each = [F.sum(F.when(F.col("fold") == k, F.col(n))).alias(f"{n}{k}") for k in range(self.folds) for n in ("tf", "df")]
+        terms = written(seen.groupBy("term").agg(*each).fillna(0), "terms")
         size = {r.fold: r.n for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}
         out: dict[str, np.ndarray] = {}
         for s in range(sets):
@@ -340,28 +340,35 @@ def predict(rows: DataFrame, design: Design, system: System, fitted: tuple[np.nd
     return rows.mapInArrow(run, ", ".join([*[f"`{k}` {types[k]}" for k in keep], f"y double, fold int, {name} double"]))
 
 
-def text_ridge_grid(df: DataFrame, design: Design, arms: dict[str, list[str]], alphas: list[float], y: str, fold: str = "cv_fold", folds: int = 5) -> DataFrame:
-    """model (arm), alpha, mae_mean, mae_std (over the folds, population), arm_choice, selected.
-
-    arms: name to the texts that join the structured columns, in order of preference. Everything is
-    fitted on the other folds' rows. An arm chooses by the least mean, then deviation, then the
-    order of alphas; of the choices the best by the same, then the order of arms, is selected.
-    """
+def arm_choices(rows: DataFrame, design: Design, arms: dict[str, list[str]], alphas: list[float]) -> list[tuple]:
+    """(model, alpha, mae_mean, mae_std, arm_choice, selected) of each arm and penalty over written
+    rows, all fitted together on the other folds."""
     if not arms or not alphas or len(set(alphas)) != len(alphas) or any(not a > 0 for a in alphas):
         raise ValueError("arms and different positive alphas are asked for")
-    design.fit(df, folds, fold)
-    rows = design.rows(df, [], y, fold)
-    grid = [(arm, a, f) for arm in arms for a in alphas for f in range(folds)]
+    grid = [(arm, a, f) for arm in arms for a in alphas for f in range(design.folds)]
     systems = [System(f, tuple(design.texts.index(t) for t in arms[arm]), a) for arm, a, f in grid]
-    fitted = solve(rows, design, systems)
-    errors = _held_errors(rows, design, systems, fitted)
+    errors = _held_errors(rows, design, systems, solve(rows, design, systems))
     scores: dict[tuple[str, float], list[float]] = {}
     for (arm, a, _), e in zip(grid, errors):
         scores.setdefault((arm, a), []).append(e)
     table = [(arm, a, float(np.mean(e)), float(np.std(e))) for (arm, a), e in scores.items()]
     choice = {arm: min((r for r in table if r[0] == arm), key=lambda r: (r[2], r[3], alphas.index(r[1]))) for arm in arms}
     best = min(choice.values(), key=lambda r: (r[2], r[3], list(arms).index(r[0])))
-    return df.sparkSession.createDataFrame([(*r, r == choice[r[0]], r == best) for r in table], "model string, alpha double, mae_mean double, mae_std double, arm_choice boolean, selected boolean")
+    return [(*r, r == choice[r[0]], r == best) for r in table]
+
+
+GRID = "model string, alpha double, mae_mean double, mae_std double, arm_choice boolean, selected boolean"
+
+
+def text_ridge_grid(df: DataFrame, design: Design, arms: dict[str, list[str]], alphas: list[float], y: str, fold: str = "cv_fold", folds: int = 5) -> DataFrame:
+    """model (arm), alpha, mae_mean, mae_std (over the folds, population), arm_choice, selected.
+
+    arms: name to the texts that join the structured columns, in order of preference. Everything is
+    fitted on the other folds' rows. An arm chooses by the least mean, then deviation, then the
+    order of alphas; of the choices the best by the same, then the order of arms, is selected.
+    """
+    design.fit(df, folds, fold)
+    return df.sparkSession.createDataFrame(arm_choices(design.rows(df, [], y, fold), design, arms, alphas), GRID)
 
 
 def _held_errors(rows: DataFrame, design: Design, systems: list[System], fitted: list) -> list[float]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import written
+from .components import discard, written
 from .local import Forest
 from .ranks import order_statistics
 
@@ -264,4 +264,7 @@ def grow_on(rows: DataFrame, fits: list[Fit], seed: int = 42, max_bins: int = MA
     if first is None:
         raise ValueError("no rows")
     edges = bin_edges(rows, first.n, max_bins)
-    return grow(binned(rows, edges), edges, fits, seed)
+    held = binned(rows, edges)
+    out = grow(held, edges, fits, seed)
+    discard(held)
+    return out
