@@ -25,6 +25,8 @@ from .ranks import medians
 
 #: Levels of a category, and entries of a task's products that are held at once.
 MAX_LEVELS, ENTRIES = 10_000, 1 << 21
+#: Columns whose products with each other precondition a solution.
+HEAVY = 256
 
 
 @dataclass
@@ -225,15 +227,16 @@ def _by_row(values, starts, n):
     return out
 
 
-def _sums(rows: DataFrame, design: Design, systems: list[System], per_system, size: int) -> dict[int, np.ndarray]:
-    """Each system's sum, over its training rows, of what per_system gives for a part of rows."""
+def _sums(rows: DataFrame, design: Design, systems: list[System], per_system, size: int, per_row: int = 1) -> dict[int, np.ndarray]:
+    """Each system's sum, over its training rows, of what per_system gives for a part of rows, which
+    may hold per_row numbers for each entry and system."""
     shared = rows.sparkSession.sparkContext.broadcast((design.block, systems, design.folds + 1))
 
     def run(batches):
         block, systems, sets = shared.value
         total = np.zeros((len(systems), size))
         for batch in batches:
-            for _, _, y, fold, starts, idx, val, length in _pieces(batch, len(systems)):
+            for _, _, y, fold, starts, idx, val, length in _pieces(batch, len(systems) * per_row):
                 row, e = _entries(starts, idx, val, length, block, systems, sets)
                 train = (fold[:, None] >= 0) & (fold[:, None] != np.array([s.set for s in systems])[None, :])
                 per_system(total, y, train, starts, row, idx, e)
@@ -259,10 +262,49 @@ def _scatter(idx, values, size: int) -> np.ndarray:
     return out
 
 
+def _heavy(rows: DataFrame, design: Design, systems: list[System], scale: np.ndarray, mean: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each system its at most HEAVY heaviest columns, and the inverse of their normal matrix."""
+    sets = sorted({s.set for s in systems})
+    whole = [System(s, tuple(sorted({t for x in systems if x.set == s for t in x.texts})), 0.0) for s in sets]
+    heavy, place = [], np.full((len(sets), len(design.names)), -1)
+    for i, s in enumerate(sets):
+        weight = np.max([scale[k] - x.alpha for k, x in enumerate(systems) if x.set == s], axis=0)
+        top = {int(c) for c in np.argsort(-weight, kind="stable")[:HEAVY] if weight[c] > 0}
+        top |= {c + 1 for c in top if c < 2 * len(design.numeric) and c % 2 == 0}  # a number's indicator adds to it
+        heavy.append(np.array(sorted(top), np.int64))
+        place[i, heavy[-1]] = np.arange(len(top))
+    size = max([len(h) for h in heavy])
+
+    def products(total, y, train, starts, row, idx, e):
+        for i in range(len(sets)):
+            mine = np.flatnonzero((place[i, idx] >= 0) & train[row, i])
+            r, c, v = row[mine], place[i, idx[mine]], e[mine, i]
+            count = np.bincount(r, minlength=len(y))[r]  # each entry meets all of its row
+            first = np.searchsorted(r, r)
+            a = np.repeat(np.arange(len(r)), count)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+            total[i] += np.bincount(c[a] * size + c[b], v[a] * v[b], size * size)
+
+    got = _sums(rows, design, whole, products, size * size, HEAVY)
+    out = []
+    for k, system in enumerate(systems):
+        i = sets.index(system.set)
+        h, raw = heavy[i], got.get(i, np.zeros(size * size)).reshape(size, size)[:len(heavy[i]), :len(heavy[i])]
+        m = np.diag(design.factor[system.set][h])
+        for j in range(len(design.numeric)):
+            if place[i, 2 * j] >= 0:
+                m[place[i, 2 * j + 1], place[i, 2 * j]] += design.fill[system.set][j]
+        normal = m.T @ raw @ m - n[k] * np.outer(mean[k][h], mean[k][h])
+        own = np.flatnonzero(np.isin(design.block[h], [0, *[1 + t for t in system.texts]]) & (design.factor[system.set][h] != 0))
+        part = (normal + normal.T)[np.ix_(own, own)] / 2 + system.alpha * np.eye(len(own))
+        out.append((h[own], np.linalg.inv(part)))
+    return out
+
+
 def solve(rows: DataFrame, design: Design, systems: list[System], tolerance: float = 1e-12, rounds: int = 1_000) -> list[tuple[np.ndarray, float]]:
     """(weights over the written values, intercept) of each system's ridge; the intercept is free of
-    penalty. Conjugate gradients with the normal matrix's diagonal as preconditioner, until each
-    residual is below tolerance times its right side."""
+    penalty. Conjugate gradients until each residual is below tolerance times its right side; what
+    preconditions them is the normal matrix of the heaviest columns, and its diagonal for the others."""
     d, m = len(design.names), len(systems)
     inside = [np.isin(design.block, [0, *[1 + t for t in s.texts]]) & (design.factor[s.set] != 0) for s in systems]
 
@@ -290,8 +332,15 @@ def solve(rows: DataFrame, design: Design, systems: list[System], tolerance: flo
             at = np.arange(len(design.numeric)) * 2
             diagonal[at] += square[at + 1] * design.fill[s.set] ** 2
         scale[k] = np.maximum(diagonal - n[k] * mean[k] ** 2, 0.0) + s.alpha
+    blocks = _heavy(rows, design, systems, scale, mean, n)
+
+    def eased(k, r):
+        z = r / scale[k]
+        z[blocks[k][0]] = blocks[k][1] @ r[blocks[k][0]]
+        return z
+
     w, r = np.zeros((m, d)), right.copy()
-    z = r / scale
+    z = np.stack([eased(k, r[k]) for k in range(m)])
     p, rz = z.copy(), (r * z).sum(axis=1)
     goal = tolerance * np.linalg.norm(right, axis=1)
     for _ in range(rounds):
@@ -314,7 +363,7 @@ def solve(rows: DataFrame, design: Design, systems: list[System], tolerance: flo
             step = rz[k] / (p[k] @ q)
             w[k] += step * p[k]
             r[k] -= step * q
-            new = r[k] / scale[k]
+            new = eased(k, r[k])
             beta = (r[k] @ new) / rz[k]
             rz[k] = r[k] @ new
             p[k] = new + beta * p[k]

@@ -167,8 +167,9 @@ def dense_design(rows, words, train, texts, terms_most):
     return np.stack(cols, axis=1)
 
 
-@pytest.mark.parametrize("most", [5000, 12])
-def test_text_ridge_equals_a_dense_solve(spark, most):
+@pytest.mark.parametrize("most,heavy", [(5000, 256), (5000, 9), (12, 256)])
+def test_text_ridge_equals_a_dense_solve(spark, monkeypatch, most, heavy):
+    monkeypatch.setattr(sparse, "HEAVY", heavy)
     rows, df = cars(spark)
     words = {}
     for t in ("model_name", "engine_description"):
