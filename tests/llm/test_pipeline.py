@@ -70,7 +70,7 @@ def test_queries_cover_every_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     q = entry.queries()
     names = [k for k in q if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11)) and "pipeline" in q
-    for name in ("op2_importance_resampling", "op5_simhash_components", "op7_line_dedup", "op8_byte_bpe", "op9_quality_rules", "op10_pii_spans"):
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14)) and "pipeline" in q
+    for name in ("op2_importance_resampling", "op5_simhash_components", "op7_line_dedup", "op8_byte_bpe", "op9_quality_rules", "op10_pii_spans", "op11_fill_in_middle", "op12_token_alignment", "op13_document_fingerprints"):
         assert q[name](spark, SF).count() == n, name
     assert q["op4_mixture_packing"](spark, SF).select(F.count_distinct("doc_id")).first()[0] == n
