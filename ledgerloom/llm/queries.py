@@ -113,7 +113,9 @@ def op8_byte_bpe(spark, sf_dir):
 
 
 def op9_quality_rules(spark, sf_dir):
-    return quality_report(read(spark, sf_dir, "documents", "doc_id", "text"))
+    found = quality_report(read(spark, sf_dir, "documents", "doc_id", "text"))
+    asked = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select(*asked, *[c for c in found.columns if c not in asked])
 
 
 def op10_pii_spans(spark, sf_dir):
