@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,14 +103,13 @@ def term_counts(words: DataFrame, by: str | None = None) -> DataFrame:
     fields = ", ".join([*[f"`{by}` {words.schema[by].dataType.simpleString()}" for _ in names], "term string, tf long, df long"])
 
     def run(batches):
-        tf: dict = {}
-        df: dict = {}
+        counts: dict = {}  # of each group: a term's rows << 40 | its occurrences
 
         def sums():
-            rows = [(k, t, n, df[k][t]) for k, counts in tf.items() for t, n in counts.items()]
-            columns = list(zip(*rows)) if rows else [()] * 4
-            group = [pa.array(columns[0], kind)] if by else []
-            return pa.RecordBatch.from_arrays([*group, pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], [*names, "term", "tf", "df"])
+            for k, of in counts.items():
+                both = np.fromiter(of.values(), np.int64, len(of))
+                group = [pa.array([k] * len(of), kind)] if by else []
+                yield pa.RecordBatch.from_arrays([*group, pa.array(list(of), pa.string()), pa.array(both & (1 << 40) - 1), pa.array(both >> 40)], [*names, "term", "tf", "df"])
 
         kind = None
         for batch in batches:
@@ -117,14 +118,15 @@ def term_counts(words: DataFrame, by: str | None = None) -> DataFrame:
                 some = batch.slice(at, COUNTED_ROWS)
                 groups = some.column(by).to_pylist() if by else [None] * some.num_rows
                 for k, row in zip(groups, some.column("w").to_pylist()):
-                    terms = [*(row or []), *[f"{a} {b}" for a, b in zip(row or [], (row or [])[1:])]]
-                    tf.setdefault(k, Counter()).update(terms)
-                    df.setdefault(k, Counter()).update(set(terms))
-                if sum(map(len, df.values())) > COUNTED_TERMS:
-                    yield sums()
-                    tf, df = {}, {}
-        if tf:
-            yield sums()
+                    if row:
+                        of = counts.setdefault(k, {})
+                        had = of.get
+                        for term, n in Counter(chain(row, map(" ".join, zip(row, row[1:])))).items():
+                            of[term] = had(term, 0) + n + (1 << 40)
+                if sum(map(len, counts.values())) > COUNTED_TERMS:
+                    yield from sums()
+                    counts.clear()
+        yield from sums()
 
     counted = words.select(*names, "w").mapInArrow(run, fields)
     return counted.groupBy(*names, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
