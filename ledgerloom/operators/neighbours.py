@@ -41,7 +41,7 @@ def _best(d, i, k):
     return np.lexsort((np.broadcast_to(i, d.shape), d), axis=1)[:, :k]
 
 
-def _visit(train: DataFrame, asked: DataFrame, k: int, width: str) -> DataFrame:
+def _visit(train: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """q, n: for each asked (block, q, x, bound) the block's k best no farther than the bound, as
     (d, i, y). A block's queries are taken in parts, each of which meets the block's rows."""
     counts = asked.groupBy("block").agg(F.count("*").alias("n")).select(F.col("block").alias("b"), F.ceil(F.col("n") / PART_QUERIES).cast("int").alias("parts"))
@@ -133,11 +133,11 @@ def nearest(train: DataFrame, queries: DataFrame, id_col: str, x: str, y: str, k
 
     width = "block int, q long, x array<double>, bound double"
     top = F.slice(F.array_sort(F.flatten(F.collect_list("n"))), 1, k)
-    once = written(_visit(known, asked.select("q", "x").mapInArrow(route(True), width), k, width).groupBy("q").agg(top.alias("n")), "nearest")
+    once = written(_visit(known, asked.select("q", "x").mapInArrow(route(True), width), k).groupBy("q").agg(top.alias("n")), "nearest")
     # Fewer than k rows in all: nothing is left to visit but what the first visit saw.
     limit = F.when(F.size("n") >= k, F.element_at("n", -1)["d"]).otherwise(float("inf"))
     bounded = asked.join(once.select("q", limit.alias("bound")), "q").select("q", "x", "bound")
-    twice = _visit(known, bounded.mapInArrow(route(False), width), k, width)
+    twice = _visit(known, bounded.mapInArrow(route(False), width), k)
     kept = once.unionByName(twice).groupBy("q").agg(top.alias("n"))
     zero = F.filter("n", lambda s: s["d"] == 0)
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, s: t + s["y"]) / F.size(a)

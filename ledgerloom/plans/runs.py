@@ -8,6 +8,7 @@ A folder that exists is refused.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from pathlib import Path
 
@@ -148,8 +149,6 @@ def final(spark: SparkSession, dataset: str, manifest: str, out: str, alphas: li
 def evaluate_run(spark: SparkSession, run: str, dataset: str | None = None) -> int:
     """Rebuild a run's error tables from its saved predictions, if those and the dataset are the ones it
     was made of; nothing is fitted. Returns the number of prediction rows."""
-    import json
-
     folder = Path(run)
     meta = json.loads((folder / "run_metadata.json").read_text())
     kept, data = spark.read.parquet(f"{folder}/predictions.parquet"), spark.read.parquet(dataset or meta["dataset"])
