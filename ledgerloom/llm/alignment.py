@@ -17,8 +17,9 @@ import json
 import os
 import re
 from array import array
+from collections import defaultdict
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ WORDS, STEPS, WORD_CHARS = 50_000, 500_000, 64
 #: Words that are encoded in one call, and in one string.
 BATCH, JOINED = 4_096, 64
 #: Rows and bytes of texts that are counted together.
-BLOCK_ROWS, BLOCK_BYTES = 8_192, 6 << 20
+BLOCK_ROWS, BLOCK_BYTES = 8_192, 10 << 20
 A, B = 0, 1
 
 
@@ -53,12 +54,12 @@ class Paths:
     def __init__(self):
         self.sizes, self.links, self.groups, self.sound = array("i"), array("q"), [], bytearray()
 
-    def add(self, path: tuple | None) -> None:
-        n_a, n_b, n_groups, groups, links = path or (0, 0, 0, "", ())
-        self.sizes.extend((n_a, n_b, n_groups, len(links)))
-        self.links.extend(links)
-        self.groups.append(groups)
-        self.sound.append(path is not None)
+    def add(self, some: list[tuple | None]) -> None:
+        told = [p or (0, 0, 0, "", ()) for p in some]
+        self.sizes.extend(chain.from_iterable([(a, b, g, len(links)) for a, b, g, _, links in told]))
+        self.links.extend(chain.from_iterable([p[4] for p in told]))
+        self.groups += [p[3] for p in told]
+        self.sound += bytes([p is not None for p in some])
 
 
 class Aligner:
@@ -121,6 +122,11 @@ class Aligner:
         if len(self.steps) >= STEPS:
             self.forget_steps()
         steps, a_leads, n_a, n_b = self.steps, self.a_leads, len(a), len(b)
+        if n_a == n_b == 1:  # two steps, of which the first makes the state of a whole token
+            begin = steps[a[0]] if a[0] in steps else self.step(0, a[0])
+            key = begin << 20 | b[0]
+            end = steps[key] if key in steps else self.step(begin, b[0])
+            return None if end else (1, 1, 1, f"{a[0]}|{b[0]}", (a[0] << 32 | b[0],))
         i = j = begin_a = begin_b = state = 0
         groups, links = [], []
         try:
@@ -169,8 +175,8 @@ class Aligner:
     def read(self, texts: list[str | None]) -> tuple[list[np.ndarray], Paths]:
         """For each text the words it consists of, as places among the distinct words' paths; none
         where a word isn't sound."""
-        place: dict[str, int] = {}
-        own = [np.array([place.setdefault(w, len(place)) for w in CUT.split(f" {t}")] if t else [], np.int32) for t in texts]
+        place: dict[str, int] = defaultdict(count().__next__)
+        own = [np.fromiter(map(place.__getitem__, CUT.split(f" {t}") if t else ()), np.int32) for t in texts]
         uses = np.bincount(np.concatenate(own), minlength=len(place)) if own else np.zeros(0)
         if len(self.words) > WORDS:
             self.words.clear()
@@ -180,11 +186,9 @@ class Aligner:
             missing = [w for w in some if w not in self.words]
             ids_b = self.b.encode([w[1:] for w in missing], num_threads=1) if missing else []  # which adds the space
             found = {w: None if a is None else self.path(a, b) for w, a, b in zip(missing, self.encode_a(missing), ids_b)}
-            for k, w in enumerate(some, at):
-                path = found[w] if w in found else self.words[w]
-                paths.add(path)
-                if uses[k] > 1 and len(w) <= WORD_CHARS:
-                    self.words[w] = path
+            paths.add([found[w] if w in found else self.words[w] for w in some])
+            often = uses[at:at + BATCH] > 1
+            self.words.update((w, found[w]) for w, twice in zip(some, often.tolist()) if twice and w in found and len(w) <= WORD_CHARS)
         sound = np.frombuffer(bytes(paths.sound), bool)
         return [w if sound[w].all() else w[:0] for w in own], paths
 
@@ -227,7 +231,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id") ->
             lists = lambda x: pa.array([x if f else None for f in first], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), *(pa.array(totals[:, k]) for k in range(4)),
-                pa.array([";".join([paths.groups[i] for i in w.tolist()]) for w in words], pa.string()),
+                pa.array([";".join(map(paths.groups.__getitem__, w.tolist())) for w in words], pa.string()),
                 pa.array(np.full(batch.num_rows, block)), pa.array([w.tobytes() for w in words], pa.binary()),
                 lists(pairs[used]), lists(counts[used]), only(sizes[:, 3].astype(np.int32).tobytes()), only((np.cumsum(used) - 1)[index].astype(np.int32).tobytes()),
             ], [id_col, "n_a", "n_b", "n_groups", "n_links", "groups", "block", "words", "pairs", "counts", "word_links", "word_pairs"])
