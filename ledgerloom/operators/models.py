@@ -140,57 +140,84 @@ def project(df: DataFrame, x: str, mean, parts, name: str = "scores") -> DataFra
     return df.withColumn("__c", centred).withColumn(name, F.array(*dots)).drop("__c")
 
 
+def whole(x: str):
+    """Whether a vector can take part: neither null nor with null or non-finite components."""
+    return F.col(x).isNotNull() & F.forall(x, lambda v: v.isNotNull() & (F.abs(v.cast("double")) < float("inf")))
+
+
 def kmeans(df: DataFrame, x: str, k: int, seeds: int = 10, rounds: int = 50, sample: int = 20_000):
-    """(centres, their cost): Lloyd's rounds over the whole table from the best of several starts on
-    a bounded sample. A round sends k sums a task, added up by centre in the cluster."""
-    pdf = df.select(x).orderBy(F.xxhash64(x)).limit(sample).toPandas()
+    """(centres, their cost) of k clusters."""
+    return kmeans_each(df, x, [k], seeds, rounds, sample)[k]
+
+
+def kmeans_each(df: DataFrame, x: str, ks: list[int], seeds: int = 10, rounds: int = 50, sample: int = 20_000) -> dict:
+    """k: (centres, their cost). Lloyd's rounds over the whole table from the best of several starts
+    on a bounded sample. A round is one pass for all k, in which a task sends k sums for each, added
+    up by centre in the cluster. Vectors that aren't whole take no part."""
+    df = df.where(whole(x)).select(x)
+    pdf = df.orderBy(F.xxhash64(x)).limit(sample).toPandas()
+    if not len(pdf):
+        raise ValueError("no rows")
     points = np.stack(pdf[x].to_numpy()).astype(float)
 
     def step(p, c):
         d = ((p[:, None, :] - c[None, :, :]) ** 2).sum(-1) if len(p) * len(c) * p.shape[1] < 5e7 else np.stack([((p - q) ** 2).sum(1) for q in c], 1)
         return d.argmin(1), d.min(1)
 
-    best = None
-    for s in range(seeds):
-        rng = np.random.default_rng(s)
-        c = [points[rng.integers(len(points))]]
-        for _ in range(k - 1):
-            d = step(points, np.stack(c))[1]
-            c.append(points[rng.choice(len(points), p=d / d.sum())] if d.sum() else points[0])
-        c = np.stack(c)
-        for _ in range(20):
-            own, d = step(points, c)
-            c = np.stack([points[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
-        if best is None or d.sum() < best[1]:
-            best = (c, d.sum())
-    c = last = best[0]
-    cost = np.inf
+    def start(k):
+        best = None
+        for s in range(seeds):
+            rng = np.random.default_rng(s)
+            c = [points[rng.integers(len(points))]]
+            for _ in range(k - 1):
+                d = step(points, np.stack(c))[1]
+                c.append(points[rng.choice(len(points), p=d / d.sum())] if d.sum() else points[0])
+            c = np.stack(c)
+            for _ in range(20):
+                own, d = step(points, c)
+                c = np.stack([points[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
+            if best is None or d.sum() < best[1]:
+                best = (c, d.sum())
+        return best[0]
+
+    centres = {k: start(k) for k in ks}
+    last, cost, active = dict(centres), {k: np.inf for k in ks}, list(ks)
     for _ in range(rounds):
-        def run(batches, c=c):
-            n, total, d2 = np.zeros(k, np.int64), np.zeros(c.shape), np.zeros(k)
+        if not active:
+            break
+
+        def run(batches, now=[(k, centres[k]) for k in active]):
+            sums = {k: (np.zeros(k, np.int64), np.zeros(c.shape), np.zeros(k)) for k, c in now}
             for b in batches:
                 if len(b):
                     p = np.stack(b[x].to_numpy()).astype(float)
-                    own, d = step(p, c)
-                    n += np.bincount(own, minlength=k)
-                    d2 += np.bincount(own, d, k)
-                    total += np.eye(k)[own].T @ p
-            some = np.flatnonzero(n)
-            yield pd.DataFrame({"j": some, "n": n[some], "s": list(total[some]), "d": d2[some]})
+                    for k, c in now:
+                        own, d = step(p, c)
+                        n, total, d2 = sums[k]
+                        n += np.bincount(own, minlength=k)
+                        d2 += np.bincount(own, d, k)
+                        total += np.eye(k)[own].T @ p
+            for k, (n, total, d2) in sums.items():
+                some = np.flatnonzero(n)
+                if len(some):  # a task may have no rows
+                    yield pd.DataFrame({"k": k, "j": some, "n": n[some], "s": list(total[some]), "d": d2[some]})
 
         def add(pdf):
-            return pd.DataFrame({"j": pdf["j"].iloc[:1], "n": [pdf["n"].sum()], "s": [np.sum(np.stack(pdf["s"]), axis=0)], "d": [pdf["d"].sum()]})
-
-        schema = "j int, n long, s array<double>, d double"
-        got = df.select(x).mapInPandas(run, schema).groupBy("j").applyInPandas(add, schema).toPandas()  # a row for each centre
-        new = c.copy()
-        for j, n, total in zip(got["j"], got["n"], got["s"]):
-            new[j] = np.asarray(total) / n
-        now = float(got["d"].sum())
-        if now >= cost - 1e-9:
-            break
-        last, c, cost = c, new, now
-    return last, cost
+            return pd.DataFrame({"k": pdf["k"].iloc[:1], "j": pdf["j"].iloc[:1], "n": [pdf["n"].sum()], "s": [np.sum(np.stack(pdf["s"]), axis=0)], "d": [pdf["d"].sum()]})
+
+        schema = "k int, j int, n long, s array<double>, d double"
+        got = df.mapInPandas(run, schema).groupBy("k", "j").applyInPandas(add, schema).toPandas()  # a row for each centre
+        for k in list(active):
+            mine = got[got["k"] == k]
+            new = centres[k].copy()
+            for j, n, total in zip(mine["j"], mine["n"], mine["s"]):
+                new[j] = np.asarray(total) / n
+            now = float(mine["d"].sum())
+            if now >= cost[k] - 1e-9:
+                active.remove(k)
+            else:
+                last[k], centres[k], cost[k] = centres[k], new, now
+    return {k: (last[k], cost[k]) for k in ks}
 
 
 def assign_clusters(df: DataFrame, x: str, centres, name: str = "cluster") -> DataFrame:

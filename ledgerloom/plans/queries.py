@@ -741,10 +741,9 @@ def pca_scores(spark, sf_dir):
 
 @query()
 def kmeans_select(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")).where(models.whole("x"))
     out = None
-    for k in range(2, 7):
-        centres, cost = models.kmeans(e, "x", k)
+    for k, (centres, cost) in models.kmeans_each(e, "x", range(2, 7)).items():
         s = models.silhouette(models.assign_clusters(e, "x", centres), "vec_id", "x", "cluster", 5000).agg(F.avg("silhouette").alias("silhouette"))
         one = s.select(F.lit(k).alias("k"), F.lit(cost).alias("cost"), "silhouette")
         out = one if out is None else out.unionByName(one)

@@ -254,6 +254,19 @@ def test_silhouette_over_many_tiles_nulls_and_single_rows(spark, monkeypatch):
             assert got[i] == pytest.approx((far - own) / max(own, far), abs=1e-9)
 
 
+def test_kmeans_with_tasks_without_rows_and_odd_vectors(spark):
+    x = F.array((F.col("id") % 2 * 10).cast("double"), F.col("id") / 100)
+    df = spark.range(0, 40, 1, 3).select("id", x.alias("x")).unionByName(spark.range(0, 0, 1, 2).select("id", x.alias("x")))
+    odd = spark.createDataFrame([(90, None), (91, [None, 1.0]), (92, [float("nan"), 1.0]), (93, [float("-inf"), 1.0])], "id long, x array<double>")
+    found = models.kmeans_each(df.unionByName(odd), "x", [2, 3], seeds=3)
+    centres, cost = found[2]
+    assert sorted(np.round(c, 9).tolist() for c in centres) == [[0.0, 0.19], [10.0, 0.2]] and cost == pytest.approx(sum((i // 2 * 0.02 - 0.19) ** 2 for i in range(0, 40, 2)) * 2)
+    single = models.kmeans(df.where("id < 40"), "x", 3, seeds=3)
+    assert np.allclose(found[3][0], single[0]) and found[3][1] == pytest.approx(single[1]) and found[3][1] < cost
+    with pytest.raises(ValueError):
+        models.kmeans(odd, "x", 2)
+
+
 # Folds, orders.
 
 def plain_folds(sizes, k):
