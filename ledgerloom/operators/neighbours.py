@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -146,54 +148,90 @@ def nearest(train: DataFrame, queries: DataFrame, id_col: str, x: str, y: str, k
     return asked.select("q", "id").join(kept, "q").select(F.col("id").alias(id_col), F.when(F.size(zero) > 0, mean(zero)).otherwise(wy / w).alias("y_pred"))
 
 
-#: Bytes of points on one side of a tile, and its least rows.
-TILE_BYTES, TILE_ROWS = 32 << 20, 128
+#: Bytes of points on one side of a tile, its least rows, and its most (row, cluster) sums.
+TILE_BYTES, TILE_ROWS, TILE_SUMS = 32 << 20, 128, 1 << 21
+#: Rows of either side whose distances a task holds at once.
+STRIP, SPAN = 256, 1_024
+#: Columns of a tile's sums.
+SUMS = ["id", "c", "other", "n", "total"]
+
+
+def _by_cluster(t: pa.Table):
+    """The tile in order of clusters: ids, the clusters, which of them each row has, and points."""
+    c = t.column("c").combine_chunks().dictionary_encode()
+    of = c.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(of, kind="stable")
+    return t.column("id").combine_chunks().take(order), c.dictionary, of[order], _stack(t.column("p"))[order]
+
+
+def runs(of: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal numbers begins and ends."""
+    at = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+    return list(zip(at, at[1:]))
+
+
+def tile_sums(a: pa.Table, b: pa.Table, one_tile: bool) -> pa.Table:
+    """The rows of both tiles (id, c, p), or of one with itself, with their sums for the other's clusters."""
+    ida, ca, of_a, pa_ = _by_cluster(a)
+    del a
+    idb, cb, of_b, pb = (ida, ca, of_a, pa_) if one_tile else _by_cluster(b)
+    del b
+    ia, ib = ida.to_numpy(zero_copy_only=False), idb.to_numpy(zero_copy_only=False)
+    na = np.repeat(np.bincount(of_b, minlength=len(cb))[None, :], len(ia), axis=0)
+    nb = np.repeat(np.bincount(of_a, minlength=len(ca))[None, :], len(ib), axis=0)
+    sa, sb = np.zeros(na.shape), np.zeros(nb.shape)
+    square_a, square_b = (pa_ * pa_).sum(axis=1), (pb * pb).sum(axis=1)
+    if one_tile:  # rows of one id don't count for each other
+        order = np.argsort(ia, kind="stable")
+        place = np.empty(len(ia), np.int64)
+        place[order] = np.cumsum(np.r_[True, ia[order][1:] != ia[order][:-1]][:len(ia)]) - 1
+        own = np.zeros(na.shape, np.int64)
+        np.add.at(own, (place, of_a), 1)
+        na -= own[place]
+    for i in range(0, len(ia) if len(ib) else 0, STRIP):
+        some = slice(i, i + STRIP)
+        for j in range(0, len(ib), SPAN):
+            others = slice(j, j + SPAN)
+            d = pa_[some] @ pb[others].T
+            d *= -2
+            d += square_a[some, None]
+            d += square_b[None, others]
+            np.maximum(d, 0.0, out=d)
+            np.sqrt(d, out=d)
+            if one_tile:
+                d[place[some, None] == place[None, others]] = 0.0
+            else:
+                for lo, hi in runs(of_a[some]):
+                    sb[others, of_a[i + lo]] += d[lo:hi].sum(axis=0)
+            first = [lo for lo, _ in runs(of_b[others])]
+            sa[some, of_b[others][first]] += np.add.reduceat(d, first, axis=1)
+    out = []
+    for ids, of, c, other, n, s in ((ida, of_a, ca, cb, na, sa), *([] if one_tile else [(idb, of_b, cb, ca, nb, sb)])):
+        r, k = np.nonzero(n)
+        out.append(pa.table([ids.take(r), c.take(of[r]), other.take(k), pa.array(n[r, k]), pa.array(s[r, k])], SUMS))
+    return pa.concat_tables(out)
 
 
 def cluster_distances(df: DataFrame, id_col: str, x: str, cluster: str) -> DataFrame:
     """id, cluster, other, n, total: the number and the sum of each row's Euclidean distances to the
     rows of each cluster, but for rows of its own id. All rows meet all rows, tile by tile, as matrix
-    products; a task holds two tiles, and what leaves it is a sum for each row and cluster. Null
-    vectors and clusters take no part."""
-    rows = written(df.where(F.col(x).isNotNull() & F.col(cluster).isNotNull()).select(F.col(id_col).alias("id"), F.col(cluster).alias("c"), F.col(x).cast("array<double>").alias("p")), "points")
-    one = rows.agg(F.count("*").alias("n"), F.max(F.size("p")).alias("d")).first()
+    products; a task holds two tiles of bounded size, and distances of STRIP by SPAN rows at a time,
+    whatever the table's size. What leaves it is a sum for each row and cluster. Null vectors and
+    clusters take no part."""
+    kind = df.schema[x].dataType.simpleString()
+    points = F.col(x) if kind in ("array<float>", "array<double>") else F.col(x).cast("array<double>")
+    rows = written(df.where(F.col(x).isNotNull() & F.col(cluster).isNotNull()).select(F.col(id_col).alias("id"), F.col(cluster).alias("c"), points.alias("p")), "points")
+    one = rows.agg(F.count("*").alias("n"), F.max(F.size("p")).alias("d"), F.count_distinct("c").alias("k")).first()
     n, width = one.n, one.d or 1
-    tiles = max(1, -(-n * 8 * width // TILE_BYTES), min(8, n // TILE_ROWS))
+    most = max(1, min(TILE_BYTES // (8 * width), max(TILE_SUMS // max(one.k, 1), math.isqrt(TILE_SUMS))))
+    tiles = max(1, -(-n // most), min(8, n // TILE_ROWS))
     dealt = rows.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
     # Each pair of tiles once: sums for the rows of both.
     left = dealt.withColumn("u", F.explode(F.sequence(F.col("t"), F.lit(tiles - 1))))
     right = dealt.withColumnRenamed("t", "u").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("u"))))
-    names = ["id", "c", "other", "n", "total"]
 
     def sums(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        one_tile = key[0].as_py() == key[1].as_py()
-        out = []
-        pa_, pb = _stack(a.column("p")), _stack(b.column("p"))
-        ca, cb = (t.column("c").combine_chunks().dictionary_encode() for t in (a, b))
-        ia, ib = a.column("id").to_numpy(), b.column("id").to_numpy()
-        ka, kb = len(ca.dictionary), len(cb.dictionary)
-        of_a, of_b = ca.indices.to_numpy(zero_copy_only=False), cb.indices.to_numpy(zero_copy_only=False)
-        na, sa = np.zeros((len(ia), kb), np.int64), np.zeros((len(ia), kb))
-        nb, sb = np.zeros((len(ib), ka), np.int64), np.zeros((len(ib), ka))
-        hot_a, hot_b = np.eye(ka)[of_a] if ka else np.zeros((0, 0)), np.eye(kb)[of_b] if kb else np.zeros((0, 0))
-        square = (pb * pb).sum(axis=1)
-        for at in range(0, len(ia) if len(ib) else 0, 512):
-            some = slice(at, at + 512)
-            d = np.sqrt(np.maximum((pa_[some] * pa_[some]).sum(axis=1)[:, None] + square[None, :] - 2 * pa_[some] @ pb.T, 0.0))
-            if one_tile:
-                same = ia[some][:, None] == ib[None, :]
-                d[same] = 0.0
-                na[some] = (~same).astype(float) @ hot_b
-            else:
-                na[some] = np.bincount(of_b, minlength=kb)
-                sb += d.T @ hot_a[some]
-            sa[some] = d @ hot_b
-        if not one_tile:
-            nb[:] = np.bincount(of_a, minlength=ka)
-        for t, c, other, n, s in ((a, ca, cb, na, sa), *([] if one_tile else [(b, cb, ca, nb, sb)])):
-            r, k = np.nonzero(n)
-            out.append(pa.table([t.column("id").take(r), t.column("c").take(r), other.dictionary.take(k), pa.array(n[r, k]), pa.array(s[r, k])], names))
-        return pa.concat_tables(out)
+        return tile_sums(a, b, key[0].as_py() == key[1].as_py())
 
     types = dict(rows.dtypes)
     parts = left.groupBy("t", "u").cogroup(right.groupBy("t", "u")).applyInArrow(sums, f"id {types['id']}, c {types['c']}, other {types['c']}, n long, total double")

@@ -2,10 +2,12 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
@@ -254,6 +256,32 @@ def test_silhouette_over_many_tiles_nulls_and_single_rows(spark, monkeypatch):
             assert got[i] == pytest.approx((far - own) / max(own, far), abs=1e-9)
 
 
+def test_a_tile_pair_holds_few_distances_at_once():
+    rng = np.random.default_rng(5)
+    a, b = (pa.table({"id": np.arange(at, at + 20_000), "c": rng.integers(0, 5, 20_000), "p": pa.array(list(rng.normal(size=(20_000, 3))))}) for at in (0, 20_000))
+    tracemalloc.start()
+    neighbours.tile_sums(a, b, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20  # 512 rows against a tile are 82 MB, several times over
+
+
+def test_silhouette_of_repeated_ids_and_many_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i // 2 if i < 40 else i, int(c), [float(v) for v in p]) for i, (c, p) in enumerate(zip(rng.integers(0, 150, 700), rng.normal(size=(700, 3))))]
+    df = spark.createDataFrame(rows, "id long, c int, x array<float>").repartition(3)
+    x, c, ids = np.array([r[2] for r in rows], np.float32).astype(float), np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    for cells in (1 << 21, 900):
+        monkeypatch.setattr(neighbours, "TILE_SUMS", cells)
+        got = {(r.id, r.c, r.other): (r.n, r.total) for r in neighbours.cluster_distances(df, "id", "x", "c").collect()}
+        want = Counter(), Counter()
+        for i in range(len(rows)):
+            for j in np.flatnonzero(ids != ids[i]):
+                want[0][ids[i], c[i], c[j]] += 1
+                want[1][ids[i], c[i], c[j]] += np.sqrt(((x[i] - x[j]) ** 2).sum())
+        assert {k: v[0] for k, v in got.items()} == dict(want[0]) and all(got[k][1] == pytest.approx(v, abs=1e-6) for k, v in want[1].items())
+
+
 def test_kmeans_with_tasks_without_rows_and_odd_vectors(spark):
     x = F.array((F.col("id") % 2 * 10).cast("double"), F.col("id") / 100)
     df = spark.range(0, 40, 1, 3).select("id", x.alias("x")).unionByName(spark.range(0, 0, 1, 2).select("id", x.alias("x")))
