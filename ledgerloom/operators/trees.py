@@ -1,9 +1,10 @@
 """Regression trees, forests and extra trees, grown level by level from sums in the cluster.
 
-Rows stay where they are, as bin numbers. A level of all trees of all fits is one pass: each task
-adds up (node, feature, bin) counts and sums of its rows, the sums are added up by node in the
-cluster, and there each node's split is chosen; the driver gets a row per node. The sums are exact
-integers, so a tree depends on its rows alone, not on how they are partitioned.
+Rows are bin numbers; where many are alike in bins and folds, they are added up once, for each
+tree's draws. A level of all trees of all fits is one pass: each task adds up (node, feature, bin)
+counts and sums of its rows, tree by tree, and sends those that aren't zero; they are added up by
+node in the cluster, and there each node's split is chosen; the driver gets a row per node. The sums
+are exact integers, so a tree depends on its rows alone, not on how they are partitioned.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +22,10 @@ from .ranks import order_statistics
 
 #: Distinct values of a feature that are bins of their own; beyond them bins are quantile ranges.
 MAX_BINS = 256
-#: Cells (node, feature, bin) whose sums a task holds; a level with more takes several passes.
+#: Cells (node, feature, bin) whose sums a task holds; a tree's level with more takes several turns.
 CELLS = 1 << 20
+#: Rows that a task takes together, and the numbers that these may hold in all.
+CHUNK_ROWS, CHUNK_NUMBERS = 1 << 17, 1 << 22
 
 #: What a model is unless its options say otherwise.
 DEFAULTS = {
@@ -179,6 +181,62 @@ def _choose(n, s, edges: Edges, options: dict, seed: int, tree: int, node: int):
     return out
 
 
+def _whole_numbers(y: np.ndarray, unit: tuple) -> tuple[np.ndarray, np.ndarray]:
+    high = np.rint(y / unit[0])
+    return high.astype(np.int64), np.rint((y - high * unit[0]) / unit[1]).astype(np.int64)
+
+
+def _drawn(key, draw, seed: int) -> np.ndarray:
+    return np.ones(len(key), np.int64) if draw is None else poisson(key, draw, seed).astype(np.int64)
+
+
+def alike(rows: DataFrame, draws: list, units: list, seed: int) -> DataFrame | None:
+    """folds, x, sums: rows (binned) of the same folds and bins as one, with the count and the two
+    sums a unit of each draw; None unless that makes the table much smaller.
+
+    Rows are dealt by ranges of (folds, x, key), so that no task gets more than its share of rows
+    that are all alike; a task adds up what is alike in a batch, and what is left twice does no harm."""
+    each = 1 + 2 * len(units)
+    one = rows.agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("folds", "x")).alias("k")).first()
+    if one.k * (4 + len(draws) * each) > 4 * one.n:
+        return None
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, y, folds, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3)
+            both = np.column_stack([_matrix(c, len(c[0])) for c in (folds, x)])
+            first = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(axis=1)])
+            numbers = [a for unit in units for a in _whole_numbers(y, unit)]
+            sums = np.empty((len(first), len(draws), each), np.int64)
+            for d, draw in enumerate(draws):
+                w = _drawn(key, draw, seed)
+                for i, v in enumerate([w, *[w * a for a in numbers]]):
+                    sums[:, d, i] = np.add.reduceat(v, first)
+            width = len(draws) * each
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(first) * width + 1, width), pa.int32()), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([folds.take(first), x.take(first), lists], ["folds", "x", "sums"])
+
+    dealt = rows.select("key", "y", "folds", "x").repartitionByRange("folds", "x", "key").sortWithinPartitions("folds", "x")
+    return written(dealt.mapInArrow(run, "folds array<int>, x array<int>, sums array<long>"), "alike")
+
+
+def _chunks(batches, most: int):
+    """Batches put together, of at most so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            piece = batch.slice(at, most)
+            if n + piece.num_rows > most:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+            held.append(piece)
+            n += piece.num_rows
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def grow(rows: DataFrame, edges: Edges, fits: list[Fit], seed: int = 42) -> list[Forest]:
     """The models of all fits. rows (binned): key long, y, folds (array of int, one a scheme), x."""
     width, bins, schemes = len(edges.low), edges.bins, len(rows.select("folds").first().folds)
@@ -187,74 +245,111 @@ def grow(rows: DataFrame, edges: Edges, fits: list[Fit], seed: int = 42) -> list
     if any(m is None for m in most):
         raise ValueError("a fit without rows")
     units = [((m or 1.0) / 2**31, (m or 1.0) / 2**62) for m in most]  # y as two integers, of which 2**32 rows can be added up
+    kinds = sorted(set(units))
     trees = {(i, t): Grown() for i, fit in enumerate(fits) for t in range(fit.options["trees"])}
-    at_once = max(1, CELLS // (width * bins))
+    draw_of = {(i, t): t if fits[i].options["bootstrap"] else None for i, t in trees}
+    draws = sorted(set(draw_of.values()), key=lambda d: -1 if d is None else d)
+    merged = alike(rows, draws, kinds, seed)
+    table = rows.select("key", "y", "folds", "x") if merged is None else merged
+    folded, numbers = merged is not None, 4 + (len(draws) * (1 + 2 * len(kinds)) if merged is not None else 0)
+    at_once, chunk = max(1, CELLS // (width * bins)), max(1, min(CHUNK_ROWS, CHUNK_NUMBERS // numbers))
     frontier = [(*job, 0) for job in trees]
     while frontier:
-        following = []
-        for begin in range(0, len(frontier), at_once):
-            part = frontier[begin:begin + at_once]
-            slots: dict = {}
-            for slot, (i, t, node) in enumerate(part):
-                slots.setdefault((i, t), []).append((node, slot))
-            jobs = []
-            for (i, t), nodes in slots.items():
-                where = np.full(len(trees[i, t].feature), -1)
-                where[[n for n, _ in nodes]] = [s for _, s in nodes]
-                jobs.append((fits[i], t, trees[i, t].arrays(), where, units[i]))
-            shared = rows.sparkSession.sparkContext.broadcast((jobs, [(fits[i].options, t, node, units[i]) for i, t, node in part]))
-
-            def sums(batches):
-                n = np.zeros((len(shared.value[1]), width, bins), np.int64)
-                s = np.zeros((2, *n.shape), np.int64)
-                for batch in batches:
-                    key, y, folds, x = (batch.column(k) for k in range(4))
-                    key, y, folds, codes = key.to_numpy(), y.to_numpy(), _matrix(folds, schemes), _matrix(x, width)
-                    for fit, t, tree, where, unit in shared.value[0]:
-                        mine = np.flatnonzero((folds[:, fit.scheme] >= 0) & (folds[:, fit.scheme] != fit.held))
-                        slot = where[_nodes(tree, codes[mine])]
-                        mine, slot = mine[slot >= 0], slot[slot >= 0]
-                        w = poisson(key[mine], t, seed) if fit.options["bootstrap"] else np.ones(len(mine), np.int64)
-                        mine, slot, w = mine[w > 0], slot[w > 0], w[w > 0]
-                        if not len(mine):
-                            continue
-                        high = np.rint(y[mine] / unit[0])
-                        low = np.rint((y[mine] - high * unit[0]) / unit[1])
-                        base, slot = int(slot.min()), slot - slot.min()
-                        size = int(slot.max()) + 1
+        slots: dict = {}
+        for slot, (i, t, node) in enumerate(frontier):
+            slots.setdefault((i, t), []).append((node, slot))
+        jobs = []
+        for (i, t), nodes in slots.items():
+            where = np.full(len(trees[i, t].feature), -1)
+            where[[n for n, _ in nodes]] = [s for _, s in nodes]
+            jobs.append((fits[i].scheme, fits[i].held, draw_of[i, t], kinds.index(units[i]), trees[i, t].arrays(), where, min(s for _, s in nodes), max(s for _, s in nodes) + 1))
+        shared = rows.sparkSession.sparkContext.broadcast((jobs, [(fits[i].options, t, node, units[i]) for i, t, node in frontier]))
+
+        def sums(batches):
+            for part in _chunks(batches, chunk):
+                folds, codes = (_matrix(part.column(c).chunk(0), n) for c, n in (("folds", schemes), ("x", width)))
+                if folded:
+                    held = _matrix(part.column("sums").chunk(0), numbers - 4).reshape(part.num_rows, len(draws), -1)
+                else:
+                    key, y = part.column("key").to_numpy(), part.column("y").to_numpy()
+                    whole = [_whole_numbers(y, unit) for unit in kinds]
+                for scheme, out, draw, unit, tree, where, begin, end in shared.value[0]:
+                    mine = np.flatnonzero((folds[:, scheme] >= 0) & (folds[:, scheme] != out))
+                    slot = where[_nodes(tree, codes[mine])]
+                    mine, slot = mine[slot >= 0], slot[slot >= 0]
+                    if folded:
+                        three = held[mine, draws.index(draw)][:, [0, 1 + 2 * unit, 2 + 2 * unit]].T
+                    else:
+                        w = _drawn(key[mine], draw, seed)
+                        three = np.stack([w, w * whole[unit][0][mine], w * whole[unit][1][mine]])
+                    some = three[0] > 0
+                    mine, slot, three = mine[some], slot[some], np.ascontiguousarray(three[:, some])
+                    for low in range(begin, end, at_once):
+                        high = min(low + at_once, end)
+                        take = slice(None) if end - begin <= at_once else (slot >= low) & (slot < high)
+                        cells = (((slot[take] - low) * width)[:, None] + np.arange(width)) * bins + codes[mine[take]]
+                        total = np.zeros((3, (high - low) * width * bins), np.int64)
                         for f in range(width):
-                            cell = slot * bins + codes[mine, f]
-                            for into, weight in ((n, w), (s[0], w * high), (s[1], w * low)):
-                                into[base:base + size, f] += np.rint(np.bincount(cell, weight, size * bins)).astype(np.int64).reshape(size, bins)
-                for slot in np.flatnonzero(n.any(axis=(1, 2))):
-                    yield pa.RecordBatch.from_arrays([pa.array([int(slot)], pa.int32()), pa.array([np.stack([n[slot], s[0][slot], s[1][slot]]).tobytes()], pa.binary())], ["slot", "sums"])
-
-            def split(pdf):
-                slot = int(pdf["slot"].iloc[0])
-                n, high, low = sum(np.frombuffer(b, np.int64) for b in pdf["sums"]).reshape(3, width, bins)
-                options, t, node, unit = shared.value[1][slot]
+                            for into, v in zip(total, three):
+                                np.add.at(into, cells[:, f], v[take])
+                        at = np.flatnonzero(total[0])
+                        if not len(at):
+                            continue
+                        of = at // (width * bins)
+                        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                        offsets, place = pa.array(np.r_[first, len(at)], pa.int32()), (at % (width * bins)).astype(np.int32)
+                        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (place, *total[:, at])]
+                        yield pa.RecordBatch.from_arrays([pa.array(of[first] + low, pa.int32()), *lists], ["slot", "cell", "n", "high", "low"])
+
+        def split(batches):
+            """A node's rows follow each other; they are added up until the next node's begin."""
+            now, total, found = -1, np.zeros((3, width * bins), np.int64), []
+
+            def choose():
+                options, t, node, unit = shared.value[1][now]
+                n, high, low = total.reshape(3, width, bins)
                 s = high * unit[0] + low * unit[1]
-                found = _choose(n, s, edges, options, seed, t, node)
-                total, mass = int(n[0].sum()), float(s[0].sum())
-                f, b, cut, k, left = found or (-1, 0, 0.0, 0, 0.0)
-                return pd.DataFrame({"slot": [slot], "n": [total], "mass": [mass], "f": [f], "b": [b], "cut": [cut], "k": [k], "left": [left]})
-
-            got = rows.select("key", "y", "folds", "x").mapInArrow(sums, "slot int, sums binary").groupBy("slot").applyInPandas(
-                split, "slot int, n long, mass double, f int, b int, cut double, k long, left double").collect()  # a row per node
-            shared.unpersist()
-            for r in sorted(got, key=lambda r: r.slot):
-                i, t, node = part[r.slot]
-                tree, options = trees[i, t], fits[i].options
-                tree.value[node] = r.mass / r.n
-                if r.f < 0 or tree.depth[node] >= options["depth"]:
-                    continue
-                tree.feature[node], tree.bin[node], tree.cut[node] = r.f, r.b, r.cut
-                for side, n, mass in (("left", r.k, r.left), ("right", r.n - r.k, r.mass - r.left)):
-                    child = tree.add(mass / n, tree.depth[node] + 1)
-                    getattr(tree, side)[node] = child
-                    if n >= 2 * options["leaf"] and tree.depth[child] < options["depth"]:
-                        following.append((i, t, child))
-        frontier = following
+                f, b, cut, k, left = _choose(n, s, edges, options, seed, t, node) or (-1, 0, 0.0, 0, 0.0)
+                found.append((now, int(n[0].sum()), float(s[0].sum()), f, b, cut, k, left))
+
+            for batch in batches:
+                slot, offsets = batch.column(0).to_numpy(), batch.column(1).offsets.to_numpy()
+                cell, *values = (batch.column(c).values.to_numpy() for c in range(1, 5))
+                for r in range(len(slot)):
+                    if slot[r] != now:
+                        if now >= 0:
+                            choose()
+                        now, total[:] = int(slot[r]), 0
+                    some = slice(offsets[r], offsets[r + 1])
+                    for into, v in zip(total, values):
+                        into[cell[some]] += v[some]
+            if now >= 0:
+                choose()
+            names = ["slot", "n", "mass", "f", "b", "cut", "k", "left"]
+            types = [pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], kind) for c, kind in enumerate(types)], names)
+
+        sent = table.mapInArrow(sums, "slot int, cell array<int>, n array<long>, high array<long>, low array<long>")
+        got = sent.repartition("slot").sortWithinPartitions("slot").mapInArrow(
+            split, "slot int, n long, mass double, f int, b int, cut double, k long, left double").collect()  # a row per node
+        shared.unpersist()
+        following = []
+        for r in sorted(got, key=lambda r: r.slot):
+            i, t, node = frontier[r.slot]
+            tree, options = trees[i, t], fits[i].options
+            tree.value[node] = r.mass / r.n
+            if r.f < 0 or tree.depth[node] >= options["depth"]:
+                continue
+            tree.feature[node], tree.bin[node], tree.cut[node] = r.f, r.b, r.cut
+            for side, n, mass in (("left", r.k, r.left), ("right", r.n - r.k, r.mass - r.left)):
+                child = tree.add(mass / n, tree.depth[node] + 1)
+                getattr(tree, side)[node] = child
+                if n >= 2 * options["leaf"] and tree.depth[child] < options["depth"]:
+                    following.append((i, t, child))
+        # A tree's nodes have neighbouring numbers, so that a task takes tree after tree.
+        frontier = sorted(following)
+    if merged is not None:
+        discard(merged)
     return [Forest([trees[i, t].nested() for t in range(fit.options["trees"])]) for i, fit in enumerate(fits)]
 
 

@@ -102,6 +102,32 @@ def test_trees_take_quantile_bins_and_any_pass_size(spark, monkeypatch):
         trees.grow_on(rows.where("false"), fits)
 
 
+@pytest.mark.parametrize("model", ["random_forest", "extra_trees"])
+def test_a_level_is_one_pass_and_rows_alike_are_added_up_once(spark, monkeypatch, model):
+    """Twelve nodes' cells a turn, and more nodes a level: the trees are the same however rows are held."""
+    df = spark.range(0, 4000, 1, 3).select("id", F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double")).alias("x"), (F.col("id") % 7 * (F.col("id") % 5) + F.col("id") % 11 / 10).alias("y"), (F.col("id") % 3).cast("int").alias("cv_fold"))
+    rows = models.model_rows(df, "id", [F.col("cv_fold")])
+    options = {**trees.DEFAULTS[model], "trees": 3, "depth": 5, "features": 1.0}
+    fits = [trees.Fit(0, f, options) for f in (0, 1)]
+    merge, sizes, passes = trees.alike, [], []
+    monkeypatch.setattr(trees, "CELLS", 12 * 2 * 7)
+    table = trees.binned(rows, trees.bin_edges(rows, 2))
+
+    def counted(*a):
+        out = merge(*a)
+        sizes.append(out.count())
+        return out
+    monkeypatch.setattr(trees, "alike", counted)
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda c, v: passes.append(1) or broadcast(c, v))
+    edges = trees.bin_edges(rows, 2)
+    one = trees.grow(table, edges, fits)
+    assert 105 <= sizes[0] <= 105 + 8 and len(passes) <= 6
+    monkeypatch.setattr(trees, "alike", lambda *a: None)
+    monkeypatch.setattr(trees, "CHUNK_ROWS", 333)
+    assert [m.to_json() for m in trees.grow(table, edges, fits)] == [m.to_json() for m in one]
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_summed_gradients_reach_the_plain_fit(spark, parts):
     x, y, fold, df = table(spark, 200)
