@@ -14,6 +14,9 @@ from .trees import Fit, _matrix
 #: What a network is unless its options say otherwise.
 DEFAULTS = {"hidden": 16, "epochs": 200, "rate": 0.01, "l2": 1e-4}
 
+#: Rows of a block.
+BLOCK = 4_096
+
 
 def _shapes(width: int, hidden: int) -> list[tuple]:
     return [(width, hidden), (hidden,), (hidden,), (1,)]
@@ -28,26 +31,41 @@ def _parts(flat: np.ndarray, width: int, hidden: int) -> list[np.ndarray]:
     return out
 
 
-def gradient(p: list[np.ndarray], x: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The rows' sum of the gradients of half the squared error, flat."""
+def gradient(p: list[np.ndarray], x: np.ndarray, n: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The sum of the gradients of half the squared error, flat. A row of x stands for n rows, whose
+    targets add up to t: nothing else of them enters the sum."""
     h = np.maximum(0, x @ p[0] + p[1])
-    e = h @ p[2] + p[3][0] - t
+    e = n * (h @ p[2] + p[3][0]) - t
     back = np.outer(e, p[2]) * (h > 0)
     return np.concatenate([(x.T @ back).ravel(), back.sum(0), h.T @ e, [e.sum()]])
 
 
+def _blocks(batches):
+    """Batches as rows of bytes, one for BLOCK rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            some = batch.slice(at, BLOCK)
+            parts = [some.column(0).to_numpy(), some.column(1).to_numpy(), some.column(2).flatten().to_numpy(), some.column(3).flatten().to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["n", "t", "folds", "x"])
+
+
 def descend(rows: DataFrame, fits: list[Fit], seed: int = 42) -> list[Network]:
     """The fits' networks: Adam over the full batch, the target standardised on each fit's rows.
 
-    rows: y, folds (array of int, one a scheme), x (array of double). A round broadcasts the
-    weights of all fits; each task sends one gradient sum a fit, they are added up by fit in the
-    cluster, and the driver takes the step. No task or driver holds rows beyond a batch.
+    rows: y, folds (array of int, one a scheme), x (array of double). Rows of the same folds and x
+    are added up once, and the table that all rounds read is written in blocks of bytes, which cost
+    a round little but the products. A round broadcasts the weights of all fits; each task sends one
+    gradient sum a fit, they are added up by fit in the cluster, and the driver takes the step. No
+    task or driver holds rows beyond a batch.
     """
     first = rows.select(F.size("x").alias("n"), F.size("folds").alias("s")).first()
     if first is None:
         raise ValueError("no rows")
     width, schemes = first.n, first.s
     held = written(rows.select("y", "folds", "x"), "network")
+    mid = held.agg(F.avg("y")).first()[0]  # sums of deviations, so that no precision is lost
+    alike = held.where(F.col("y").isNotNull()).groupBy("folds", "x").agg(F.count("y").alias("n"), F.sum(F.col("y") - F.lit(mid)).alias("t"))
+    blocks = written(alike.select(F.col("n").cast("double").alias("n"), "t", "folds", "x").mapInArrow(_blocks, "n binary, t binary, folds binary, x binary"), "blocks")
     inside = [(F.get("folds", F.lit(f.scheme)) >= 0) & (F.get("folds", F.lit(f.scheme)) != f.held) for f in fits]
     y = [F.when(c, F.col("y")) for c in inside]
     # Two passes: deviations from the mean, so that no precision is lost.
@@ -69,12 +87,13 @@ def descend(rows: DataFrame, fits: list[Fit], seed: int = 42) -> list[Network]:
 
         def run(batches):
             total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                target, folds, x = batch.column(0).to_numpy(), _matrix(batch.column(1), schemes), _matrix(batch.column(2), width)
+            for block in (b for batch in batches for b in zip(*(c.to_pylist() for c in batch.columns))):
+                n, t, folds, x = (np.frombuffer(b, kind) for b, kind in zip(block, (float, float, np.int32, float)))
+                folds, x = folds.reshape(-1, schemes), x.reshape(-1, width)
                 for i, scheme, out, hidden, weights, mu, sd in shared.value:
                     mine = (folds[:, scheme] >= 0) & (folds[:, scheme] != out)
                     if mine.any():
-                        total[i] = total.get(i, 0) + gradient(_parts(weights, width, hidden), x[mine], (target[mine] - mu) / sd)
+                        total[i] = total.get(i, 0) + gradient(_parts(weights, width, hidden), x[mine], n[mine], (t[mine] - n[mine] * (mu - mid)) / sd)
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([g.tobytes() for g in total.values()], pa.binary())], ["fit", "sums"])
 
@@ -82,7 +101,7 @@ def descend(rows: DataFrame, fits: list[Fit], seed: int = 42) -> list[Network]:
             g = sum(np.frombuffer(b, float) for b in table.column("sums").to_pylist())
             return pa.table({"fit": table.column("fit")[:1], "sums": pa.array([g.tobytes()], pa.binary())})
 
-        got = held.mapInArrow(run, "fit int, sums binary").groupBy("fit").applyInArrow(add, "fit int, sums binary").collect()  # a row per fit
+        got = blocks.mapInArrow(run, "fit int, sums binary").groupBy("fit").applyInArrow(add, "fit int, sums binary").collect()  # a row per fit
         shared.unpersist()
         for r in got:
             i, options = r.fit, fits[r.fit].options
@@ -93,4 +112,5 @@ def descend(rows: DataFrame, fits: list[Fit], seed: int = 42) -> list[Network]:
             v[i] = 0.999 * v[i] + 0.001 * g * g
             flat[i] = flat[i] - options["rate"] * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     discard(held)
+    discard(blocks)
     return [Network([a.copy() for a in _parts(flat[i], width, f.options["hidden"])], float(mean[i]), float(std[i])) for i, f in enumerate(fits)]

@@ -138,6 +138,25 @@ def test_summed_gradients_reach_the_plain_fit(spark, parts):
         assert all(np.allclose(a, b, atol=1e-8, rtol=0) for a, b in zip(net.weights, plain.weights)) and net.mean == pytest.approx(plain.mean, abs=1e-12)
 
 
+def test_a_round_of_gradients_reads_rows_alike_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, fold = rng.integers(0, 3, (600, 2)).astype(float), np.arange(600) % 2
+    y = 1e6 + x[:, 0] + rng.normal(size=600)
+    df = spark.createDataFrame([(i, x[i].tolist(), float(y[i]), int(fold[i])) for i in range(600)], "id long, x array<double>, y double, cv_fold int").repartition(3)
+    sizes, write = [], networks.written
+    monkeypatch.setattr(networks, "BLOCK", 5)
+
+    def counted(table, name):
+        out = write(table, name)
+        if name == "blocks":
+            sizes.append(sum(len(r.n) // 8 for r in out.collect()))
+        return out
+    monkeypatch.setattr(networks, "written", counted)
+    net = networks.descend(models.model_rows(df, "id", [F.col("cv_fold")]), [networks.Fit(0, 1, {**networks.DEFAULTS, "epochs": 12})], seed=3)[0]
+    plain = local.fit_mlp(x[fold != 1], y[fold != 1], epochs=12, seed=3)
+    assert sizes == [18] and all(np.allclose(a, b, atol=1e-8, rtol=0) for a, b in zip(net.weights, plain.weights))
+
+
 def test_cross_validation_and_nested_search_agree_with_single_fits(spark):
     x, y, fold, df = table(spark)
     got = {r.id: (r.fold, r.y_pred) for r in models.cross_validate(df, "id", "tree", depth=4).collect()}
