@@ -29,10 +29,10 @@ class Forest(_Numpy):
     """The mean of trees, nested (feature, cut, left, right)."""
 
     def __init__(self, trees: list):
-        self.trees = trees
+        self.trees, self._flat = trees, [_flat(t) for t in trees]
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return np.mean([_tree_values(t, x) for t in self.trees], axis=0)
+        return np.mean([_tree_values(t, x) for t in self._flat], axis=0)
 
     def to_json(self) -> dict:
         return {"trees": self.trees}
@@ -96,18 +96,32 @@ def _tree(x, y, rng, depth, leaf, features, random_cuts):
     return int(best[1]), float(best[2]), _tree(x[m], y[m], rng, depth - 1, leaf, features, random_cuts), _tree(x[~m], y[~m], rng, depth - 1, leaf, features, random_cuts)
 
 
-def _tree_values(tree, x):
-    out = np.zeros(len(x))
-    stack = [(tree, np.arange(len(x)))]
-    while stack:
-        node, rows = stack.pop()
+def _flat(tree):
+    """A nested tree as (feature, cut, children, value, depth): a node's rows with x <= cut go to
+    children[2 * node], the others to the one after it; a leaf is both its own children."""
+    feature, cut, children, value, deepest = [], [], [], [], 0
+    nodes = [(tree, 0)]
+    for at, (node, depth) in enumerate(nodes):  # a node's children are appended as it is read
+        deepest = max(deepest, depth)
         if isinstance(node, float):
-            out[rows] = node
+            f, c, both, v = 0, 0.0, (at, at), node
         else:
-            f, c, a, b = node
-            m = x[rows, f] <= c
-            stack += [(a, rows[m]), (b, rows[~m])]
-    return out
+            f, c, both, v = node[0], node[1], (len(nodes), len(nodes) + 1), 0.0
+            nodes += [(node[2], depth + 1), (node[3], depth + 1)]
+        feature.append(f)
+        cut.append(c)
+        children += both
+        value.append(v)
+    return np.array(feature, np.intp), np.array(cut, float), np.array(children, np.intp), np.array(value, float), deepest
+
+
+def _tree_values(flat, x):
+    """All rows go down a level at a time: as many steps as the tree is deep, however many nodes it has."""
+    feature, cut, children, value, deepest = flat
+    cells, first, at = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x), np.intp)
+    for _ in range(deepest):
+        at = children.take(2 * at + 1 - (cells.take(first + feature.take(at)) <= cut.take(at)))
+    return value.take(at)
 
 
 def fit_trees(x, y, *, trees=1, depth=8, leaf=10, features=1.0, bootstrap=False, random_cuts=False, seed=42):

@@ -56,10 +56,11 @@ def order_statistics(df: DataFrame, by: list[str], columns: list[str], shares: l
     inf = math.inf
     finite = F.when(F.abs("__v") < inf, F.col("__v"))
     stats = rows.groupBy(*on).agg(F.count("*").alias("n"), F.count_if(F.col("__v") == -inf).alias("__low"), F.count(finite).alias("__finite"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
-    # Two ranks a share: the neighbours between which the quantile lies.
-    place = lambda s: (F.col("n") - 1) * F.lit(float(s))
-    wanted = F.array(*[F.struct(F.lit(float(s)).alias("share"), F.lit(up).alias("up"), (F.ceil(place(s)) if up else F.floor(place(s))).cast("long").alias("k")) for s in shares for up in (False, True)])
-    open_ = stats.withColumn("w", F.explode(wanted)).select(*on, "n", "w.share", "w.up", "w.k", "__low", "__finite", "lo", "hi")
+    # Two ranks a share: the neighbours between which the quantile lies. The shares are rows of one
+    # constant, so that the plan's code doesn't grow with their number.
+    asked = stats.withColumn("share", F.explode(F.lit([float(s) for s in shares]).cast("array<double>"))).withColumn("up", F.explode(F.array(F.lit(False), F.lit(True))))
+    place = (F.col("n") - 1) * F.col("share")
+    open_ = asked.select(*on, "n", "share", "up", F.when(F.col("up"), F.ceil(place)).otherwise(F.floor(place)).cast("long").alias("k"), "__low", "__finite", "lo", "hi")
     below, above = F.col("k") < F.col("__low"), F.col("k") >= F.col("__low") + F.col("__finite")
     value = F.when(below, -inf).when(above, inf).when(F.col("lo") == F.col("hi"), F.col("lo"))
     public = [*on, "n", "share", "up"]

@@ -1,5 +1,6 @@
 """Fits and statistics from sums in the cluster, against plain methods over whole arrays."""
 
+import json
 import math
 import random
 import tracemalloc
@@ -128,6 +129,42 @@ def test_a_level_is_one_pass_and_rows_alike_are_added_up_once(spark, monkeypatch
     assert [m.to_json() for m in trees.grow(table, edges, fits)] == [m.to_json() for m in one]
 
 
+def test_many_shares_compile_and_are_exact(spark):
+    """The bins of a feature ask for 257 shares: the plan's code doesn't grow with them."""
+    v = np.random.default_rng(5).normal(size=700)
+    df = spark.createDataFrame([(float(a),) for a in v], "v double").repartition(3)
+    shares = [i / 256 for i in range(257)]
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        got = {r.share: (r.n, r.value) for r in ranks.order_statistics(df, [], ["v"], shares).collect()}
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert len(got) == 257 and all(got[s] == (700, pytest.approx(np.quantile(v, s), abs=1e-12)) for s in shares)
+
+
+def test_a_forest_scores_in_as_many_steps_as_it_is_deep(spark):
+    """A batch's cost must not follow the number of nodes; predictions are those of the nested trees."""
+    rng = np.random.default_rng(6)
+    x = rng.uniform(size=(3000, 3))
+    forest = local.fit_trees(x, np.sin(9 * x[:, 0]) + x[:, 1], trees=3, depth=9, leaf=2, random_cuts=True)
+    compared = []
+
+    class Seen(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *args, **kwargs):
+            compared.append(ufunc)
+            return getattr(ufunc, method)(*[np.asarray(a) for a in args], **kwargs)
+
+    def one(tree, row):
+        while not isinstance(tree, float):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+    some = np.vstack([x[:200], [[np.nan, 0.5, 0.5], [np.inf, -np.inf, np.nan]]])
+    assert forest(some.view(Seen)).tolist() == np.mean([[one(t, row) for row in some] for t in forest.trees], axis=0).tolist()
+    assert len(compared) <= 3 * 9
+    again = local.Forest.from_json(json.loads(json.dumps(forest.to_json())))
+    assert again(some).tolist() == forest(some).tolist() and local.Forest([1.5])(x[:2]).tolist() == [1.5, 1.5] and len(forest(x[:0])) == 0
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_summed_gradients_reach_the_plain_fit(spark, parts):
     x, y, fold, df = table(spark, 200)
