@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import networks, trees
 from .components import written
 from .local import FITS, Forest, Network, fit_mlp, fit_trees  # noqa: F401
-from .neighbours import cluster_distances, nearest  # noqa: F401
+from .neighbours import _distances, _stack, cluster_distances, distances_to_clusters, nearest  # noqa: F401
 from .ranks import medians
 from .trees import Fit
 
@@ -145,79 +146,110 @@ def whole(x: str):
     return F.col(x).isNotNull() & F.forall(x, lambda v: v.isNotNull() & (F.abs(v.cast("double")) < float("inf")))
 
 
-def kmeans(df: DataFrame, x: str, k: int, seeds: int = 10, rounds: int = 50, sample: int = 20_000):
-    """(centres, their cost) of k clusters."""
-    return kmeans_each(df, x, [k], seeds, rounds, sample)[k]
+def distinct_points(df: DataFrame, x: str) -> DataFrame:
+    """x, w: the different whole vectors and how often each occurs."""
+    points = written(df.where(whole(x)).groupBy(F.col(x).cast("array<double>").alias("x")).agg(F.count("*").alias("w")), "points")
+    one = points.agg(F.min(F.size("x")).alias("a"), F.max(F.size("x")).alias("z")).first()
+    if not one.z:
+        raise ValueError("no rows")
+    if one.a != one.z:
+        raise ValueError("vectors of different lengths")
+    return points
 
 
-def kmeans_each(df: DataFrame, x: str, ks: list[int], seeds: int = 10, rounds: int = 50, sample: int = 20_000) -> dict:
-    """k: (centres, their cost). Lloyd's rounds over the whole table from the best of several starts
-    on a bounded sample. A round is one pass for all k, in which a task sends k sums for each, added
-    up by centre in the cluster. Vectors that aren't whole take no part."""
-    df = df.where(whole(x)).select(x)
-    pdf = df.orderBy(F.xxhash64(x)).limit(sample).toPandas()
-    if not len(pdf):
-        raise ValueError("no rows")
-    points = np.stack(pdf[x].to_numpy()).astype(float)
-
-    def step(p, c):
-        d = ((p[:, None, :] - c[None, :, :]) ** 2).sum(-1) if len(p) * len(c) * p.shape[1] < 5e7 else np.stack([((p - q) ** 2).sum(1) for q in c], 1)
-        return d.argmin(1), d.min(1)
-
-    def start(k):
-        best = None
-        for s in range(seeds):
-            rng = np.random.default_rng(s)
-            c = [points[rng.integers(len(points))]]
-            for _ in range(k - 1):
-                d = step(points, np.stack(c))[1]
-                c.append(points[rng.choice(len(points), p=d / d.sum())] if d.sum() else points[0])
-            c = np.stack(c)
-            for _ in range(20):
-                own, d = step(points, c)
-                c = np.stack([points[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
-            if best is None or d.sum() < best[1]:
-                best = (c, d.sum())
-        return best[0]
-
-    centres = {k: start(k) for k in ks}
-    last, cost, active = dict(centres), {k: np.inf for k in ks}, list(ks)
+def _draw(points: DataFrame, held: list[np.ndarray], step: int) -> list[np.ndarray]:
+    """The next centre of each start: a row of the whole table, drawn in proportion to its squared
+    distance from the nearest of the start's centres (the first: each row alike). Each row has an
+    exponential time of that rate, by its hash, and the first one is drawn: one pass, no order of rows.
+    A start that all rows lie on gets its first centre again."""
+    def run(batches):
+        best: dict = {}
+        for b in batches:
+            if b.num_rows:
+                p, w = _stack(b.column(0)), b.column(1).to_numpy()
+                u = (_stack(b.column(2)) + 0.5) / 2.0**53
+                for s, c in enumerate(held):
+                    rate = w * (nearest_of(p, c)[1] if len(c) else 1.0)
+                    time = np.divide(-np.log(u[:, s]), rate, out=np.full(len(p), np.inf), where=rate > 0)
+                    at = int(time.argmin())
+                    if time[at] < best.get(s, (np.inf,))[0]:
+                        best[s] = (float(time[at]), p[at].tolist())
+        if best:
+            yield pa.RecordBatch.from_pylist([{"s": s, "time": t, "x": x} for s, (t, x) in best.items()], pa.schema([("s", pa.int32()), ("time", pa.float64()), ("x", pa.list_(pa.float64()))]))
+
+    keys = F.array(*[F.shiftrightunsigned(F.xxhash64("x", F.lit(s), F.lit(step)), 11).cast("double") for s in range(len(held))])
+    first = points.select("x", "w", keys.alias("u")).mapInArrow(run, "s int, time double, x array<double>").groupBy("s").agg(F.min_by("x", F.struct("time", "x")).alias("x"))
+    drawn = {r.s: np.array(r.x)[None, :] for r in first.collect()}  # a row for each start
+    return [np.concatenate([c, drawn.get(s, c[:1])]) if len(c) else drawn[s] for s, c in enumerate(held)]
+
+
+def nearest_of(p: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each point, the first of equally near ones, and its squared distance."""
+    own, least = np.zeros(len(p), np.int64), np.zeros(len(p))
+    for at in range(0, len(p), 512):
+        d = _distances(p[at:at + 512], c)
+        own[at:at + 512], least[at:at + 512] = d.argmin(axis=1), d.min(axis=1)
+    return own, least
+
+
+def _lloyd(points: DataFrame, starts: dict, rounds: int) -> dict:
+    """key: (centres, their cost) for each key: centres. A round is one pass over the whole table for
+    all keys; a task sends one matrix for each, added up in the cluster. A key whose cost no longer
+    falls takes no part in further rounds."""
+    centres, last, cost, active = dict(starts), dict(starts), {k: np.inf for k in starts}, list(starts)
+    schema = "job int, sums array<double>"
     for _ in range(rounds):
         if not active:
             break
 
-        def run(batches, now=[(k, centres[k]) for k in active]):
-            sums = {k: (np.zeros(k, np.int64), np.zeros(c.shape), np.zeros(k)) for k, c in now}
+        def run(batches, now=[centres[k] for k in active]):
+            sums = [np.zeros((len(c), c.shape[1] + 2)) for c in now]
+            some = False
             for b in batches:
-                if len(b):
-                    p = np.stack(b[x].to_numpy()).astype(float)
-                    for k, c in now:
-                        own, d = step(p, c)
-                        n, total, d2 = sums[k]
-                        n += np.bincount(own, minlength=k)
-                        d2 += np.bincount(own, d, k)
-                        total += np.eye(k)[own].T @ p
-            for k, (n, total, d2) in sums.items():
-                some = np.flatnonzero(n)
-                if len(some):  # a task may have no rows
-                    yield pd.DataFrame({"k": k, "j": some, "n": n[some], "s": list(total[some]), "d": d2[some]})
+                if b.num_rows:
+                    some, p, w = True, _stack(b.column(0)), b.column(1).to_numpy().astype(float)
+                    wide = np.column_stack([w, w, w[:, None] * p])
+                    for c, total in zip(now, sums):
+                        own, d = nearest_of(p, c)
+                        wide[:, 1] = w * d
+                        held = np.zeros((len(p), len(c)))
+                        held[np.arange(len(p)), own] = 1.0
+                        total += held.T @ wide
+            if some:  # a task may have no rows
+                yield pa.RecordBatch.from_pydict({"job": pa.array(range(len(now)), pa.int32()), "sums": [t.ravel() for t in sums]})
 
         def add(pdf):
-            return pd.DataFrame({"k": pdf["k"].iloc[:1], "j": pdf["j"].iloc[:1], "n": [pdf["n"].sum()], "s": [np.sum(np.stack(pdf["s"]), axis=0)], "d": [pdf["d"].sum()]})
-
-        schema = "k int, j int, n long, s array<double>, d double"
-        got = df.mapInPandas(run, schema).groupBy("k", "j").applyInPandas(add, schema).toPandas()  # a row for each centre
-        for k in list(active):
-            mine = got[got["k"] == k]
-            new = centres[k].copy()
-            for j, n, total in zip(mine["j"], mine["n"], mine["s"]):
-                new[j] = np.asarray(total) / n
-            now = float(mine["d"].sum())
+            return pd.DataFrame({"job": pdf["job"].iloc[:1], "sums": [np.sum(np.stack(pdf["sums"]), axis=0)]})
+
+        got = {r.job: np.array(r.sums) for r in points.mapInArrow(run, schema).groupBy("job").applyInPandas(add, schema).collect()}  # a matrix for each key
+        for job, k in enumerate(list(active)):
+            total = got[job].reshape(len(centres[k]), -1)
+            now = float(total[:, 1].sum())
             if now >= cost[k] - 1e-9:
                 active.remove(k)
             else:
+                new, some = centres[k].copy(), total[:, 0] > 0
+                new[some] = total[some, 2:] / total[some, :1]
                 last[k], centres[k], cost[k] = centres[k], new, now
-    return {k: (last[k], cost[k]) for k in ks}
+    return {k: (last[k], cost[k]) for k in starts}
+
+
+def kmeans(df: DataFrame, x: str, k: int, seeds: int = 10, rounds: int = 50):
+    """(centres, their cost) of k clusters."""
+    return kmeans_each(df, x, [k], seeds, rounds)[k]
+
+
+def kmeans_each(df: DataFrame, x: str, ks: list[int], seeds: int = 10, rounds: int = 50) -> dict:
+    """k: (centres, their cost). Several k-means++ starts and 20 of Lloyd's rounds for each, then
+    further rounds from the best start, all of it over the whole table; rows alike are added up once.
+    Vectors that aren't whole take no part."""
+    points = distinct_points(df, x)
+    held, starts = [np.zeros((0, 0))] * seeds, {}
+    for step in range(max(ks)):
+        held = _draw(points, held, step)
+        starts |= {(step + 1, s): c for s, c in enumerate(held) if step + 1 in ks}
+    tried = _lloyd(points, starts, 20)
+    return _lloyd(points, {k: min((tried[k, s] for s in range(seeds)), key=lambda t: t[1])[0] for k in ks}, rounds)
 
 
 def assign_clusters(df: DataFrame, x: str, centres, name: str = "cluster") -> DataFrame:
@@ -225,13 +257,10 @@ def assign_clusters(df: DataFrame, x: str, centres, name: str = "cluster") -> Da
     return df.withColumn("__d", F.array(*d)).withColumn(name, (F.array_position("__d", F.array_min("__d")) - 1).cast("int")).drop("__d")
 
 
-def silhouette(df: DataFrame, id_col: str, x: str, cluster: str, sample: int | None = None) -> DataFrame:
-    """id, cluster, silhouette (Euclidean) of all rows against all rows, in tiles; with `sample`, within
-    the rows of so many smallest ids' hashes. A cluster of one row scores 0, as do rows without a
-    cluster or a vector, which count for no others."""
+def silhouette(df: DataFrame, id_col: str, x: str, cluster: str) -> DataFrame:
+    """id, cluster, silhouette (Euclidean) of all rows against all rows, in tiles. A cluster of one row
+    scores 0, as do rows without a cluster or a vector, which count for no others."""
     rows = df.select(id_col, cluster, x)
-    if sample is not None:
-        rows = rows.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = written(rows, "silhouette")
     m, own = F.col("total") / F.col("n"), F.col("c") == F.col("other")
     means = cluster_distances(rows, id_col, x, cluster).groupBy(F.col("id").alias("__id")).agg(F.max(F.when(own, m)).alias("own"), F.min(F.when(~own, m)).alias("far"))
@@ -239,6 +268,40 @@ def silhouette(df: DataFrame, id_col: str, x: str, cluster: str, sample: int | N
     return rows.join(means, F.col(id_col) == F.col("__id"), "left").select(id_col, cluster, score.alias("silhouette"))
 
 
+def mean_silhouettes(df: DataFrame, x: str, fits: dict) -> DataFrame:
+    """k, cost, silhouette for each k: (centres, cost): the mean silhouette of all whole vectors, each
+    in the cluster of its nearest centre. All clusterings share one pass over the distances of all
+    rows, in which rows alike are one row with their number. Null unless there are two clusters with
+    rows or more, and fewer than rows."""
+    first = dict(zip(fits, np.cumsum([0, *(len(c) for c, _ in fits.values())])))
+    clusters = sum(len(c) for c, _ in fits.values())
+
+    def assign(batches):
+        for b in batches:
+            if b.num_rows:
+                p = _stack(b.column(2))
+                own = np.column_stack([first[k] + nearest_of(p, c)[0] for k, (c, _) in fits.items()])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, len(fits)), pa.int32()), pa.array(own.ravel(), pa.int32()))], ["id", "w", "p", "own"])
+
+    points = distinct_points(df, x).select(F.monotonically_increasing_id().alias("id"), "w", F.col("x").alias("p"))
+    rows = written(points.mapInArrow(assign, "id long, w long, p array<double>, own array<int>"), "assigned")
+    held = {r.c: r.n for r in rows.select(F.explode("own").alias("c"), "w").groupBy("c").agg(F.sum("w").alias("n")).collect()}  # a row for each cluster
+    means = []
+    for i, k in enumerate(fits):
+        mine = {c: held[c] for c in range(first[k], first[k] + len(fits[k][0])) if c in held}
+        n, at = sum(mine.values()), F.get("own", F.lit(i))
+        if not 2 <= len(mine) < n:
+            means.append(F.lit(None).cast("double"))
+            continue
+        total = lambda c: F.get("sums", F.lit(c))
+        own = F.coalesce(*[F.when(at == c, total(c) / (m - 1)) for c, m in mine.items() if m > 1])  # null in a cluster of one row, which scores 0
+        far = F.array_min(F.array(*[F.when(at != c, total(c) / m) for c, m in mine.items()]))
+        top = F.greatest(own, far)
+        means.append(F.sum(F.when(top > 0, (far - own) / top).otherwise(0.0) * F.col("w")) / n)
+    scores = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(fits[k][1])).alias("cost"), m.alias("silhouette")) for k, m in zip(fits, means)])
+    return distances_to_clusters(rows, clusters).agg(scores.alias("s")).select(F.inline("s"))
+
+
 def choose_k(scores: DataFrame) -> DataFrame:
     """scores (k, silhouette, ...) with chosen: true for the largest silhouette, the smallest k of
     equal ones; without a valid silhouette none is chosen."""

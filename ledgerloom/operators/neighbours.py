@@ -170,6 +170,22 @@ def runs(of: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, at[1:]))
 
 
+def _strips(a: np.ndarray, b: np.ndarray):
+    """Rows of a, rows of b (slices) and their distances, for STRIP by SPAN rows at a time."""
+    square_a, square_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    for i in range(0, len(a) if len(b) else 0, STRIP):
+        some = slice(i, i + STRIP)
+        for j in range(0, len(b), SPAN):
+            others = slice(j, j + SPAN)
+            d = a[some] @ b[others].T
+            d *= -2
+            d += square_a[some, None]
+            d += square_b[None, others]
+            np.maximum(d, 0.0, out=d)
+            np.sqrt(d, out=d)
+            yield some, others, d
+
+
 def tile_sums(a: pa.Table, b: pa.Table, one_tile: bool) -> pa.Table:
     """The rows of both tiles (id, c, p), or of one with itself, with their sums for the other's clusters."""
     ida, ca, of_a, pa_ = _by_cluster(a)
@@ -180,7 +196,6 @@ def tile_sums(a: pa.Table, b: pa.Table, one_tile: bool) -> pa.Table:
     na = np.repeat(np.bincount(of_b, minlength=len(cb))[None, :], len(ia), axis=0)
     nb = np.repeat(np.bincount(of_a, minlength=len(ca))[None, :], len(ib), axis=0)
     sa, sb = np.zeros(na.shape), np.zeros(nb.shape)
-    square_a, square_b = (pa_ * pa_).sum(axis=1), (pb * pb).sum(axis=1)
     if one_tile:  # rows of one id don't count for each other
         order = np.argsort(ia, kind="stable")
         place = np.empty(len(ia), np.int64)
@@ -188,23 +203,14 @@ def tile_sums(a: pa.Table, b: pa.Table, one_tile: bool) -> pa.Table:
         own = np.zeros(na.shape, np.int64)
         np.add.at(own, (place, of_a), 1)
         na -= own[place]
-    for i in range(0, len(ia) if len(ib) else 0, STRIP):
-        some = slice(i, i + STRIP)
-        for j in range(0, len(ib), SPAN):
-            others = slice(j, j + SPAN)
-            d = pa_[some] @ pb[others].T
-            d *= -2
-            d += square_a[some, None]
-            d += square_b[None, others]
-            np.maximum(d, 0.0, out=d)
-            np.sqrt(d, out=d)
-            if one_tile:
-                d[place[some, None] == place[None, others]] = 0.0
-            else:
-                for lo, hi in runs(of_a[some]):
-                    sb[others, of_a[i + lo]] += d[lo:hi].sum(axis=0)
-            first = [lo for lo, _ in runs(of_b[others])]
-            sa[some, of_b[others][first]] += np.add.reduceat(d, first, axis=1)
+    for some, others, d in _strips(pa_, pb):
+        if one_tile:
+            d[place[some, None] == place[None, others]] = 0.0
+        else:
+            for lo, hi in runs(of_a[some]):
+                sb[others, of_a[some.start + lo]] += d[lo:hi].sum(axis=0)
+        first = [lo for lo, _ in runs(of_b[others])]
+        sa[some, of_b[others][first]] += np.add.reduceat(d, first, axis=1)
     out = []
     for ids, of, c, other, n, s in ((ida, of_a, ca, cb, na, sa), *([] if one_tile else [(idb, of_b, cb, ca, nb, sb)])):
         r, k = np.nonzero(n)
@@ -212,6 +218,16 @@ def tile_sums(a: pa.Table, b: pa.Table, one_tile: bool) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def _tile_pairs(rows: DataFrame, n: int, width: int, clusters: int):
+    """The n rows (id, ...), dealt into tiles of bounded size: each pair of tiles once, to find sums for the rows of both."""
+    most = max(1, min(TILE_BYTES // (8 * width), max(TILE_SUMS // max(clusters, 1), math.isqrt(TILE_SUMS))))
+    tiles = max(1, -(-n // most), min(8, n // TILE_ROWS))
+    dealt = rows.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
+    left = dealt.withColumn("u", F.explode(F.sequence(F.col("t"), F.lit(tiles - 1))))
+    right = dealt.withColumnRenamed("t", "u").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("u"))))
+    return left.groupBy("t", "u").cogroup(right.groupBy("t", "u"))
+
+
 def cluster_distances(df: DataFrame, id_col: str, x: str, cluster: str) -> DataFrame:
     """id, cluster, other, n, total: the number and the sum of each row's Euclidean distances to the
     rows of each cluster, but for rows of its own id. All rows meet all rows, tile by tile, as matrix
@@ -222,17 +238,52 @@ def cluster_distances(df: DataFrame, id_col: str, x: str, cluster: str) -> DataF
     points = F.col(x) if kind in ("array<float>", "array<double>") else F.col(x).cast("array<double>")
     rows = written(df.where(F.col(x).isNotNull() & F.col(cluster).isNotNull()).select(F.col(id_col).alias("id"), F.col(cluster).alias("c"), points.alias("p")), "points")
     one = rows.agg(F.count("*").alias("n"), F.max(F.size("p")).alias("d"), F.count_distinct("c").alias("k")).first()
-    n, width = one.n, one.d or 1
-    most = max(1, min(TILE_BYTES // (8 * width), max(TILE_SUMS // max(one.k, 1), math.isqrt(TILE_SUMS))))
-    tiles = max(1, -(-n // most), min(8, n // TILE_ROWS))
-    dealt = rows.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
-    # Each pair of tiles once: sums for the rows of both.
-    left = dealt.withColumn("u", F.explode(F.sequence(F.col("t"), F.lit(tiles - 1))))
-    right = dealt.withColumnRenamed("t", "u").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("u"))))
+    pairs = _tile_pairs(rows, one.n, one.d or 1, one.k)
 
     def sums(key, a: pa.Table, b: pa.Table) -> pa.Table:
         return tile_sums(a, b, key[0].as_py() == key[1].as_py())
 
     types = dict(rows.dtypes)
-    parts = left.groupBy("t", "u").cogroup(right.groupBy("t", "u")).applyInArrow(sums, f"id {types['id']}, c {types['c']}, other {types['c']}, n long, total double")
+    parts = pairs.applyInArrow(sums, f"id {types['id']}, c {types['c']}, other {types['c']}, n long, total double")
     return parts.groupBy("id", "c", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def weighted_sums(a: pa.Table, b: pa.Table, one_tile: bool, clusters: int) -> pa.Table:
+    """The rows of both tiles (id, w, own, p), or of one with itself, with the sums of their distances
+    to the other's rows, each counted w times, for each of the clusters; own: the clusters of a row."""
+    def side(t: pa.Table):
+        held = np.zeros((t.num_rows, clusters))
+        held[np.arange(t.num_rows)[:, None], _stack(t.column("own")).astype(int)] = t.column("w").to_numpy()[:, None]
+        return held, _stack(t.column("p"))
+
+    ha, pa_ = side(a)
+    origin = pa_.mean(axis=0) if len(pa_) else 0.0  # far from zero, products would lose digits
+    pa_ -= origin
+    hb, pb = (ha, pa_) if one_tile else side(b)
+    if not one_tile and len(pb):
+        pb -= origin
+    sa, sb = np.zeros(ha.shape), np.zeros(hb.shape)
+    for some, others, d in _strips(pa_, pb):
+        if one_tile:
+            both = np.arange(max(some.start, others.start), min(some.stop, others.stop, len(pa_)))
+            d[both - some.start, both - others.start] = 0.0
+        else:
+            sb[others] += d.T @ ha[some]
+        sa[some] += d @ hb[others]
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, clusters), pa.int32()), pa.array(x.ravel()))
+    return pa.concat_tables([pa.table({"id": t.column("id"), "w": t.column("w"), "own": t.column("own"), "sums": lists(x)}) for t, x in ((a, sa), *([] if one_tile else [(b, sb)]))])
+
+
+def distances_to_clusters(rows: DataFrame, clusters: int) -> DataFrame:
+    """id, w, own, sums: for each row (id: unique, w: how often it counts, own: its cluster in each of
+    several clusterings, all numbered from 0 to clusters - 1, p: its point) the sums of its Euclidean
+    distances to the rows of each cluster. All rows meet all rows once for all clusterings, in the
+    tiles of cluster_distances."""
+    one = rows.agg(F.count("*").alias("n"), F.max(F.size("p")).alias("d")).first()
+
+    def sums(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        return weighted_sums(a, b, key[0].as_py() == key[1].as_py(), clusters)
+
+    parts = _tile_pairs(rows, one.n, one.d or 1, clusters).applyInArrow(sums, "id long, w long, own array<int>, sums array<double>")
+    added = F.array(*[F.sum(F.get("sums", F.lit(c))) for c in range(clusters)])
+    return parts.groupBy("id").agg(F.first("w").alias("w"), F.first("own").alias("own"), added.alias("sums"))

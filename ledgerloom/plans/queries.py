@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import values as V
 from ..operators import dedup, evaluate, families, features, joins, models, order, profile, ranks, rules, search, serve, sparse, split
+from ..operators.components import written
 from ..sources import files, markup
 from . import vehicles
 
@@ -742,12 +743,7 @@ def pca_scores(spark, sf_dir):
 @query()
 def kmeans_select(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")).where(models.whole("x"))
-    out = None
-    for k, (centres, cost) in models.kmeans_each(e, "x", range(2, 7)).items():
-        s = models.silhouette(models.assign_clusters(e, "x", centres), "vec_id", "x", "cluster", 5000).agg(F.avg("silhouette").alias("silhouette"))
-        one = s.select(F.lit(k).alias("k"), F.lit(cost).alias("cost"), "silhouette")
-        out = one if out is None else out.unionByName(one)
-    return models.choose_k(out)
+    return models.choose_k(written(models.mean_silhouettes(e, "x", models.kmeans_each(e, "x", range(2, 7))), "scores"))
 
 
 @query("""WITH p AS (SELECT a.vec_id, a.label AS c, b.label AS o, avg(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))))) AS m

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import sanitize, tokens
 from ledgerloom.operators import families, local, ml, models, neighbours, networks, order, ranks, search, sparse, split, trees
+from ledgerloom.plans import queries
 from ledgerloom.sources import files, markup
 
 
@@ -377,6 +378,61 @@ def test_kmeans_with_tasks_without_rows_and_odd_vectors(spark):
         models.kmeans(odd, "x", 2)
 
 
+def plain_silhouette(x, own):
+    out = []
+    for i in range(len(x)):
+        d, n = np.sqrt(((x - x[i]) ** 2).sum(1)), np.bincount(own)
+        mean = {c: d[own == c].sum() / (n[c] - (c == own[i])) for c in set(own.tolist()) if n[c] > (c == own[i])}
+        near = mean.pop(own[i], None)
+        far = min(mean.values())
+        out.append(0.0 if near is None or max(near, far) == 0 else (far - near) / max(near, far))
+    return np.mean(out)
+
+
+def test_kmeans_select_scores_every_row(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    own = np.arange(6_001) % 3
+    x = (rng.normal(size=(6_001, 2)) * 2 + np.array([[0, 0], [40, 0], [0, 60]])[own]).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.k: r for r in queries.QUERIES["kmeans_select"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [2, 3, 4, 5, 6] and [k for k in got if got[k].chosen] == [3]
+    x = x.astype(float)
+    assert got[3].cost == pytest.approx(sum(((x[own == c] - x[own == c].mean(0)) ** 2).sum() for c in range(3)), rel=1e-9)
+    assert got[3].silhouette == pytest.approx(plain_silhouette(x, own), abs=1e-9)
+
+
+def test_kmeans_starts_see_rows_beyond_any_sample(spark):
+    near = spark.range(25_000).select(F.array((F.col("id") % 2 * 10 + F.col("id") / 25_000).cast("double"), F.lit(0.0)).alias("x"))
+    late = spark.range(1_000).select(F.array(F.lit(400.0), F.col("id").cast("double")).alias("x")).orderBy(F.desc(F.xxhash64("x"))).limit(1).collect()[0].x
+    df = near.unionByName(spark.createDataFrame([(late,)], "x array<double>"))
+    centres, cost = models.kmeans(df, "x", 3, seeds=2)
+    assert any(c.tolist() == late for c in centres) and cost < 25_000 / 11
+
+
+@pytest.mark.parametrize("size", [32 << 20, 3 * 8 * 60])
+def test_mean_silhouettes_of_copies_tiles_and_odd_clusters(spark, monkeypatch, size):
+    monkeypatch.setattr(neighbours, "TILE_BYTES", size)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(300, 3)), np.full((50, 3), 0.5), [[90.0, 0.0, 0.0]]]) + 1e6  # copies, a cluster of one row, all far from zero
+    df = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,), ([None, 1.0, 1.0],), ([float("nan")] * 3,)], "x array<double>").repartition(3)
+    fits = {k: (np.concatenate([x[:k - 1], x[-1:]]), 0.5 * k) for k in (1, 2, 4)} | {3: (np.array([x[0], x[-1], [-9e9] * 3]), 1.5)}
+    got = {r.k: r for r in models.mean_silhouettes(df, "x", fits).collect()}
+    assert got[1].silhouette is None and {k: got[k].cost for k in got} == {1: 0.5, 2: 1.0, 3: 1.5, 4: 2.0}
+    for k in (2, 3, 4):
+        own = ((x[:, None] - fits[k][0][None]) ** 2).sum(-1).argmin(1)
+        assert got[k].silhouette == pytest.approx(plain_silhouette(x, own), abs=1e-7)
+
+
+def test_kmeans_of_few_or_uneven_points(spark):
+    same = spark.createDataFrame([([1.0, 2.0],)] * 5, "x array<double>")
+    fits = models.kmeans_each(same, "x", [2, 3], seeds=2)
+    assert all(cost == 0 for _, cost in fits.values()) and all(r.silhouette is None for r in models.mean_silhouettes(same, "x", fits).collect())
+    pair = spark.createDataFrame([([0.0],), ([1.0],)], "x array<double>")  # as many clusters as rows
+    assert [r.silhouette for r in models.mean_silhouettes(pair, "x", models.kmeans_each(pair, "x", [2], seeds=2)).collect()] == [None]
+    with pytest.raises(ValueError):
+        models.kmeans(spark.createDataFrame([([1.0, 2.0],), ([3.0],)], "x array<double>"), "x", 2)
+
+
 # Folds, orders.
 
 def plain_folds(sizes, k):
